@@ -58,12 +58,12 @@ BASE = ("assign", "access", "hex")
 
 
 def scan_text(text: str, rules: list[Rule]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all matches, leftmost and not overlapping by kind; code points, end exclusive."""
+    """(rule key, start, end) of all matches, leftmost and not overlapping by kind; code points, end exclusive."""
     lowered = text.lower()
     found = []
     for r in rules:
         if r.hint(text, lowered):
-            found += [(r.kind, m.start(), m.end()) for m in re.finditer(r.pattern, text, re.ASCII) if len(m[r.group]) >= r.least]
+            found += [(r.key, m.start(), m.end()) for m in re.finditer(r.pattern, text, re.ASCII) if len(m[r.group]) >= r.least]
     return found
 
 
@@ -72,7 +72,7 @@ def _scan(rules: tuple[Rule, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterato
         by_key = {r.key: r for r in rules}
         for batch in batches:
             found = [scan_text(text, [by_key[k] for k in todo]) for text, todo in zip(batch["text"], batch["rules"], strict=True)]
-            batch["findings"] = [[{"rule": by_kind, "start": a, "end": b} for by_kind, a, b in own] for own in found]
+            batch["findings"] = [[{"rule": key, "start": a, "end": b} for key, a, b in own] for own in found]
             yield batch[["blob", "rules", "findings"]]
 
     return run
@@ -90,7 +90,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     The ledger (a Parquet folder all machines reach) holds which rule versions have scanned which blob, and what they
     found. Each blob that lacks a rule version is scanned by one of its copies and only by the rules it lacks; the
     rows are appended before findings are joined back to every path. A null text counts as empty; repeated rows and
-    paths each get a row; no versions, no rows. Other columns are not read.
+    paths each get a row (a row that repeats with its path may be scanned again); no versions, no rows. Other columns
+    are not read.
 
     Blobs are told apart by content, so a text that fills a third of the table is scanned once. Its copies differ in
     path, which the shuffle of texts uses as a key too.
@@ -107,10 +108,11 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     unseen = texts.join(todo, (texts["blob"] == todo["__blob"]) & texts["__path"].eqNullSafe(todo["__one"]))
     unseen.select("blob", "text", "rules").mapInPandas(_scan(rules), LEDGER).write.mode("append").parquet(ledger)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    current = read_ledger(spark, ledger).where(F.size("findings") > 0).where(F.arrays_overlap("rules", wanted))
-    ordered = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), F.array_position(kinds, f["rule"]).alias("ord"), f["end"].alias("end"), f["rule"].alias("kind")))
-    found = current.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(ordered)))).alias("findings"))
-    empty = F.array().cast("array<struct<start:int,ord:bigint,end:int,kind:string>>")
+    place = lambda f: F.array_position(wanted, f["rule"]).cast("int")
+    current = F.filter("findings", lambda f: place(f) > 0)
+    ordered = F.transform(current, lambda f: F.struct(f["start"].alias("start"), place(f).alias("ord"), f["end"].alias("end"), F.element_at(kinds, place(f)).alias("kind")))
+    found = read_ledger(spark, ledger).where(F.size("findings") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(ordered)))).alias("findings"))
+    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     return paths.join(found, "blob", "left").select(F.col("__path").alias(path_col), "blob", F.coalesce("findings", empty).alias("findings"))
 
 
