@@ -105,16 +105,19 @@ def _half(digest: Column, which: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """node -> root, one node of its component, for all nodes with links (a, b).
 
-    Each round maps every node to the smallest of its neighbours' smallest neighbours and contracts the links. Nodes
-    are hashes, so chains of ever smaller ones are short and rounds grow slower than the logarithm of the longest
-    path. A round is a few pre-aggregated shuffles; its result is kept in the shared folder.
+    Each round gives the nodes a new random order, hangs every node on the first of its neighbours and itself, then
+    on that one's, and contracts the links; a good part of the nodes goes each time, so rounds are logarithmic. A
+    round is a few pre-aggregated shuffles; its result is kept in the shared folder.
     """
     left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = durable(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    turn = 0
     while not left.isEmpty():
+        turn += 1
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y"))
+        up = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("x"), F.least(place("a"), "first")["v"].alias("y"))
         jump = durable(up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", "z"))
         roots = durable(roots.join(jump, roots["root"] == jump["x"], "left").select("node", F.coalesce("z", "root").alias("root")))
         ends = left.join(jump.select(F.col("x").alias("a"), F.col("z").alias("za")), "a").join(jump.select(F.col("x").alias("b"), F.col("z").alias("zb")), "b")
@@ -128,8 +131,8 @@ def _fit(df: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
-    """id, n (set size), digest and node of each row (rows with equal sets share a node, no others do), and clashes."""
-    rows = docs.select(F.col("id"), "text").mapInPandas(_over(lambda t: (len(t), _digest(t)), ["n", "digest"], width, ["id"]), "id string, n bigint, digest binary")
+    """id, h, n (set size), digest and node of each row (rows with equal sets share a node, no others do), and clashes."""
+    rows = docs.mapInPandas(_over(lambda t: (len(t), _digest(t)), ["n", "digest"], width, ["id", "h"]), "id string, h bigint, n bigint, digest binary")
     rows = durable(rows)
     node = _half(F.col("digest"), 0)
     clash = [r["node"] for r in rows.groupBy(node.alias("node")).agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("node").limit(MOST_CLASHES + 1).collect()]
@@ -221,6 +224,15 @@ def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash:
     return direct.unionAll(near).distinct()
 
 
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, h, n and the group (one for each component; null without shingles) of each row of docs (id, h, text)."""
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be from 50 to 99")
+    classes, clash = _classes(docs, width)
+    roots = components(links(docs, width, percent, classes, clash))
+    return classes.join(_fit(roots), "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group"))
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles and component_id.
 
@@ -230,16 +242,32 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_
     with a null id count for links, but not as ids. Rows repeat as they come; no rows, no result; other columns are
     not read. Equal sets are one node, so copies are never paired; sets are 64-bit hashes of shingles.
     """
-    if not 50 <= percent < 100:
-        raise ValueError("percent must be from 50 to 99")
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    plain = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    classes, clash = _classes(plain, width)
     own = F.col("id").cast(kind)
-    roots = components(links(plain, width, percent, classes, clash))
-    named = classes.where("n > 0").groupBy("node").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("rows"))
-    top = named.join(roots, "node").groupBy("root").agg(F.min("least").alias("top"))
-    linked = roots.join(top, "root").select("node", "top")
-    answer = named.join(linked, "node", "left").where("rows > 1 or top is not null").select("node", F.coalesce("top", "least").alias("component"))
-    out = classes.join(answer, "node", "left")
-    return out.select(own.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, own).otherwise(F.coalesce("component", own)).alias("component_id"))
+    rows = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
+    tops = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(own).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    out = rows.join(tops, "group", "left")
+    return out.select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("top", own).alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (null last), by text hash among equal ids.
+
+    Texts without shingles all stay. Of rows alike in id and text one stays.
+    """
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    rows = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
+    rows = durable(rows.where(F.col("group").isNotNull()).select("group", F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "h").alias("key")))
+    first = rows.groupBy("group").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = durable(rows.join(first, "group").groupBy("key").agg(F.max(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows")))
+
+    def held(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        side = _fit(keys.select(F.col("key.id").alias("__kid"), F.col("key.h").alias("__kh")))
+        return of.join(side, of[id_col].eqNullSafe(F.col("__kid")) & (F.xxhash64(of[text_col]) == F.col("__kh")), how)
+
+    kept = held(several.where("not stays"), "left_anti", docs)
+    twins = several.where("stays and rows > 1")
+    if twins.isEmpty():
+        return kept
+    alike = held(twins, "left_semi", kept).withColumn("__kh", F.xxhash64(text_col)).dropDuplicates([id_col, "__kh"]).drop("__kh")
+    return held(twins, "left_anti", kept).unionByName(alike)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, oracles, quality, secrets, sharding, urls
+from . import chat, decontaminate, jaccard, langid, mixing, oracles, quality, secrets, sharding, toxicity, urls
 from .common import shared_dir, table
 
 
@@ -69,10 +70,22 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    index = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    made = docs.withColumn("__r", toxicity.judged(F.col("text"), index))
+    return made.select("doc_id", held_out.alias("held_out"), F.col("__r.score").alias("score"), F.col("__r.predicted").alias("predicted"), F.transform("__r.evidence", lambda e: e["id"].cast("bigint")).alias("evidence_ids"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_distribution_quality, op2_language_id, op3_source_mixing, op4_url_filters, op5_chat_format,
-        op6_decontamination, op7_secret_scan, op8_sharding, op9_jaccard_join,
+        op6_decontamination, op7_secret_scan, op8_sharding, op9_jaccard_join, op10_toxicity, pipeline,
     )
 }
 
