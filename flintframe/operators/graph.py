@@ -1,0 +1,38 @@
+"""Connected components of a table of links, by rounds of contraction."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder (a temporary one where none is set)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flintframe-"))
+    return df.checkpoint(eager=True)
+
+
+def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes (keys, node) with root, the least node of their component; links: keys, a, b. Components stay within keys.
+
+    Each round gives nodes a new random order, hangs each on the first of its neighbours, and contracts; what is left
+    of the links falls by a good part each time.
+    """
+    left = _kept(links.where("a <> b").distinct())
+    roots = _kept(nodes.select(*keys, "node", F.col("node").alias("root")).distinct())
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        both = left.unionByName(left.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), *keys, c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        up = _kept(both.groupBy(*keys, "a").agg(F.min(rank("b")).alias("first")).select(*keys, F.col("a").alias("x"), F.least(rank("a"), "first")["v"].alias("y")))
+        hung = roots.join(up.withColumnRenamed("x", "root"), [*keys, "root"], "left")
+        roots = _kept(hung.select(*keys, "node", F.coalesce("y", "root").alias("root")))
+        ends = left.join(up.select(*keys, F.col("x").alias("a"), F.col("y").alias("ya")), [*keys, "a"]).join(up.select(*keys, F.col("x").alias("b"), F.col("y").alias("yb")), [*keys, "b"])
+        left = _kept(ends.where("ya <> yb").select(*keys, F.col("ya").alias("a"), F.col("yb").alias("b")).distinct())
+    least = roots.groupBy(*keys, "root").agg(F.min("node").alias("least"))
+    return roots.join(least, [*keys, "root"]).select(*keys, "node", F.col("least").alias("root"))

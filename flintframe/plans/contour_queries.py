@@ -1,2 +1,183 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the contour, surface, spatial, raster and calibration operators, with the SQL they must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import arrows, calibration, contours, raster, spatial, surfaces
+from . import adapters
+from .assemblage_queries import rounded
+
+_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS}.items()}
+_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS}
+_NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
+_NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
+_CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
+ch AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY image_id, contour_id ORDER BY d2 DESC, i, j) = 1)
+"""
+
+
+def _parents(surf: DataFrame) -> DataFrame:
+    return surfaces.classify(surf.where("contour_id <= 4"))
+
+
+def _children(surf: DataFrame) -> DataFrame:
+    return surf.where("contour_id > 4").select("image_id", "contour_id", F.when(F.col("contour_id") % 5 == 0, 99).otherwise(F.col("contour_id") % 4 + 1).cast("int").alias("parent_contour_id"), "area")
+
+
+def _features(surf: DataFrame) -> DataFrame:
+    return surfaces.label_children(_children(surf), _parents(surf))
+
+
+def _cortex(surf: DataFrame) -> DataFrame:
+    return surfaces.label_cortex(_features(surf).withColumn("is_cortex", F.col("contour_id") % 3 == 0), _parents(surf))
+
+
+def _polygons(vert: DataFrame) -> DataFrame:
+    return G.polygons(vert)
+
+
+def _measured(vert: DataFrame, *columns: str) -> DataFrame:
+    return contours.measures(_polygons(vert)).select("image_id", "contour_id", *columns)
+
+
+def _sites(vert: DataFrame) -> DataFrame:
+    c = G.centroid(F.col("contour"))
+    return _polygons(vert).select("image_id", F.col("contour_id").alias("site_id"), F.floor(c["x"]).cast("int").alias("sx"), F.floor(c["y"]).cast("int").alias("sy"))
+
+
+_CLASS = """, p AS (SELECT * FROM surf WHERE contour_id <= 4),
+k1 AS (SELECT *, first_value(contour_id) OVER w AS dn, first_value(technical_length) OVER w AS dl, first_value(technical_width) OVER w AS dw, first_value(area) OVER w AS da FROM p WINDOW w AS (PARTITION BY image_id ORDER BY area DESC, contour_id)),
+k2 AS (SELECT *, min(CASE WHEN contour_id <> dn AND abs(technical_length - dl) <= 0.1 * dl AND abs(technical_width - dw) <= 0.1 * dw AND abs(area - da) <= 0.1 * da THEN contour_id END) OVER (PARTITION BY image_id) AS vn FROM k1),
+k3 AS (SELECT *, CASE WHEN contour_id <> dn AND contour_id IS DISTINCT FROM vn AND technical_length < dl AND technical_width < dw THEN 1 ELSE 0 END AS c3 FROM k2),
+k4 AS (SELECT *, max(c3) OVER (PARTITION BY image_id) AS anyp, first_value(contour_id) OVER w AS pn0, first_value(technical_length) OVER w AS pl0 FROM k3 WINDOW w AS (PARTITION BY image_id ORDER BY c3 DESC, area, contour_id)),
+k5 AS (SELECT *, CASE WHEN anyp = 1 THEN pn0 END AS pn FROM k4),
+k6 AS (SELECT *, min(CASE WHEN contour_id <> dn AND contour_id IS DISTINCT FROM vn AND contour_id IS DISTINCT FROM pn AND abs(technical_length - dl) <= 0.1 * dl
+  AND CASE WHEN anyp = 1 THEN abs(technical_length - pl0) > 0.1 * pl0 AND technical_width <> dw ELSE vn IS NOT NULL AND abs(technical_width - dw) > 0.1 * dw END THEN contour_id END) OVER (PARTITION BY image_id) AS ln FROM k5),
+par AS (SELECT image_id, contour_id, technical_length, technical_width, area, CASE WHEN contour_id = dn THEN 'Dorsal' WHEN contour_id = vn THEN 'Ventral' WHEN contour_id = pn THEN 'Platform' WHEN contour_id = ln THEN 'Lateral' ELSE 'Unclassified' END AS surface_type FROM k6),
+kid AS (SELECT image_id, contour_id, CASE WHEN contour_id % 5 = 0 THEN 99 ELSE contour_id % 4 + 1 END AS parent_contour_id, area FROM surf WHERE contour_id > 4),
+fe0 AS (SELECT k.*, q.surface_type, q.area AS pa, CASE WHEN q.surface_type IS NULL THEN NULL WHEN q.surface_type = 'Lateral' THEN 'edge' ELSE 'scar' END AS kind FROM kid k LEFT JOIN par q ON k.image_id = q.image_id AND k.parent_contour_id = q.contour_id WHERE coalesce(q.surface_type NOT IN ('Ventral', 'Platform'), true)),
+fe AS (SELECT *, CASE WHEN kind IS NOT NULL THEN kind || ' ' || row_number() OVER (PARTITION BY image_id, kind ORDER BY contour_id) END AS surface_feature FROM fe0),
+co0 AS (SELECT *, contour_id % 3 = 0 AS is_cortex, CASE WHEN contour_id % 3 = 0 THEN 'cortex' ELSE kind END AS kind2 FROM fe),
+co AS (SELECT * EXCLUDE (surface_feature), CASE WHEN kind2 IS NOT NULL THEN kind2 || ' ' || row_number() OVER (PARTITION BY image_id, kind2 ORDER BY contour_id) END AS surface_feature FROM co0)
+"""
+_LEVEL = ", lv AS (SELECT t.*, CASE WHEN t.parent_contour_id IS NULL THEN 'parent' WHEN u.contour_id IS NOT NULL AND u.parent_contour_id IS NULL THEN 'child' ELSE 'nested' END AS level FROM tree t LEFT JOIN tree u ON t.image_id = u.image_id AND t.parent_contour_id = u.contour_id)\n"
+_BLUR = """, bx AS (SELECT image_id, y, x, v * 0.375 + (coalesce(lag(v, 1) OVER w, lead(v, 1) OVER w) + coalesce(lead(v, 1) OVER w, lag(v, 1) OVER w)) * 0.25 + (coalesce(lag(v, 2) OVER w, lead(v, 2) OVER w) + coalesce(lead(v, 2) OVER w, lag(v, 2) OVER w)) * 0.0625 AS v FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+bl AS (SELECT image_id, y, x, (v * 0.375 + (coalesce(lag(v, 1) OVER w, lead(v, 1) OVER w) + coalesce(lead(v, 1) OVER w, lag(v, 1) OVER w)) * 0.25 + (coalesce(lag(v, 2) OVER w, lead(v, 2) OVER w) + coalesce(lead(v, 2) OVER w, lag(v, 2) OVER w)) * 0.0625)::DOUBLE AS v FROM bx WINDOW w AS (PARTITION BY image_id, x ORDER BY y))
+"""
+_OTSU = """, hi AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY 1, 2), hc AS (SELECT image_id, v, (sum(n) OVER u)::DOUBLE AS n0, (sum(n * v) OVER u)::DOUBLE AS s0, (sum(n) OVER e)::DOUBLE AS n, (sum(n * v) OVER e)::DOUBLE AS s FROM hi WINDOW u AS (PARTITION BY image_id ORDER BY v), e AS (PARTITION BY image_id)),
+lvl AS (SELECT image_id, v AS level FROM hc QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY coalesce(round((s0 * n - s * n0) ** 2 / nullif(n0 * (n - n0), 0), 3), 0) DESC, v) = 1)
+"""
+#: name -> (input, operator, SQL after the common tables, or None where SQL has no fair form)
+FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
+    "c02_border": ("vert", lambda v: contours.drop_border_touching(_polygons(v).withColumn("parent_contour_id", F.lit(None).cast("bigint")), F.lit(800), F.lit(520)).select("image_id", "contour_id"), "SELECT image_id, contour_id FROM vert GROUP BY 1, 2 HAVING min(x) > 0 AND min(y) > 0 AND max(x) + 1 < 800 AND max(y) + 1 < 520"),
+    "c03_min_area": ("tree", lambda t: contours.filter_min_area(t).select("image_id", "contour_id", "parent_contour_id"), "SELECT t.image_id, t.contour_id, u.contour_id AS parent_contour_id FROM tree t LEFT JOIN tree u ON t.image_id = u.image_id AND t.parent_contour_id = u.contour_id AND u.area >= 50 WHERE t.area >= 50"),
+    "c04_levels": ("tree", lambda t: contours.levels(t).select("image_id", "contour_id", "level"), f"{_LEVEL}SELECT image_id, contour_id, level FROM lv"),
+    "c05_child_counts": ("tree", contours.child_counts, "SELECT image_id, parent_contour_id AS contour_id, count(*) AS n_children FROM tree WHERE parent_contour_id IS NOT NULL GROUP BY 1, 2"),
+    "c06_promotion": ("tree", lambda t: contours.promote_nested(contours.levels(t).where("level <> 'child' or image_id <> 'img-1'")).select("image_id", "contour_id", "level"), f"{_LEVEL}SELECT image_id, contour_id, CASE WHEN image_id = 'img-1' AND level = 'nested' THEN 'child' ELSE level END AS level FROM lv WHERE level <> 'child' OR image_id <> 'img-1'"),
+    "c07_fallback_levels": ("tree", lambda t: contours.fallback_levels(t).select("image_id", "contour_id", "level"), "SELECT image_id, contour_id, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY contour_id) = 1 THEN 'parent' ELSE 'child' END AS level FROM tree"),
+    "m01_area": ("vert", lambda v: _measured(v, "area"), f", {_NEXT}SELECT image_id, contour_id, round(abs(a), 2) AS area FROM m"),
+    "m02_perimeter": ("vert", lambda v: _measured(v, "perimeter"), f", {_NEXT}SELECT image_id, contour_id, round(p, 2) AS perimeter FROM m"),
+    "m03_centroid": ("vert", lambda v: _measured(v, "centroid_x", "centroid_y"), f", {_NEXT}SELECT image_id, contour_id, round(mx / (6 * a), 2) AS centroid_x, round(my / (6 * a), 2) AS centroid_y FROM m"),
+    "m04_technical_dims": ("vert", lambda v: _measured(v, "technical_length", "technical_width"), "SELECT image_id, contour_id, (max(y) - min(y))::DOUBLE AS technical_length, max(w)::DOUBLE AS technical_width FROM (SELECT image_id, contour_id, y, max(x) - min(x) AS w FROM vert GROUP BY 1, 2, 3) q GROUP BY 1, 2"),
+    "m05_max_dims": ("vert", lambda v: _measured(v, "max_length", "max_width"), f"{_CHORD}SELECT c.image_id, c.contour_id, round(sqrt(any_value(d2)), 2) AS max_length, round(max(abs((bx - ax)::DOUBLE * (y - ay) - (by - ay)::DOUBLE * (x - ax))) / sqrt(any_value(d2)), 2) AS max_width FROM ch c JOIN vert USING (image_id, contour_id) GROUP BY 1, 2"),
+    "m06_bounding_box": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.bounds(F.col("contour")).alias("b")).select("image_id", "contour_id", "b.*"), "SELECT image_id, contour_id, min(x) AS min_x, min(y) AS min_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM vert GROUP BY 1, 2"),
+    "m07_aspect_ratio": ("vert", lambda v: _measured(v, "aspect_ratio"), "SELECT image_id, contour_id, round((max(y) - min(y) + 1) / (max(x) - min(x) + 1), 2) AS aspect_ratio FROM vert GROUP BY 1, 2"),
+    "m10_fallback_measures": ("vert", lambda v: contours.fallback_measures(_polygons(v)), "SELECT image_id, contour_id, (min(x) + floor((max(x) - min(x) + 1) / 2))::DOUBLE AS centroid_x, (min(y) + floor((max(y) - min(y) + 1) / 2))::DOUBLE AS centroid_y, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY contour_id) = 1 THEN 'Dorsal' ELSE 'Unknown' END AS surface_type FROM vert GROUP BY 1, 2"),
+    "k01_surface_classes": ("surf", lambda s: _parents(s).select("image_id", "contour_id", "surface_type"), f"{_CLASS}SELECT image_id, contour_id, surface_type FROM par"),
+    "k06_child_labels": ("surf", lambda s: _features(s).select("image_id", "contour_id", "surface_type", "surface_feature"), f"{_CLASS}SELECT image_id, contour_id, surface_type, surface_feature FROM fe"),
+    "x05_cortex_labels": ("surf", lambda s: _cortex(s).select("image_id", "contour_id", "surface_feature", "is_cortex", "cortex_area", "cortex_percentage"), f"{_CLASS}SELECT image_id, contour_id, surface_feature, is_cortex, CASE WHEN is_cortex THEN area END AS cortex_area, CASE WHEN is_cortex THEN round(area / pa * 100, 2) END AS cortex_percentage FROM co"),
+    "x07_cortex_totals": ("surf", lambda s: surfaces.cortex_totals(_cortex(s)), f"{_CLASS}SELECT image_id, round(sum(area), 2) AS total_cortex_area, count(*) AS cortex_count, round(avg(area), 2) AS average_cortex_area FROM co WHERE is_cortex GROUP BY 1"),
+    "e01_metric_rows": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)), f"""{_CLASS}SELECT image_id, surface_type, surface_type AS surface_feature, CASE WHEN surface_type = 'Dorsal' THEN coalesce(n, 0)::INTEGER END AS scar_count, contour_id, NULL::INTEGER AS parent_contour_id, area AS total_area, technical_length, technical_width
+  FROM par LEFT JOIN (SELECT image_id, count(*) AS n FROM fe WHERE surface_feature LIKE '%scar%' GROUP BY 1) z USING (image_id) UNION ALL SELECT image_id, coalesce(surface_type, 'NA'), surface_feature, NULL, contour_id, parent_contour_id, area, NULL, NULL FROM fe"""),
+    "e03_scar_count": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)).where("surface_type = 'Dorsal' and surface_feature = 'Dorsal'").select("image_id", "scar_count"), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count FROM par WHERE surface_type = 'Dorsal'"),
+    "e04_documents": ("surf", lambda s: surfaces.documents(surfaces.metric_rows(_parents(s), _features(s))).select("image_id", F.size("surfaces").alias("n_surfaces"), F.aggregate("surfaces", F.lit(0), lambda a, x: a + F.size(x["features"])).alias("n_features"), F.sha2(F.to_json("surfaces"), 256).isNotNull().alias("written")), f"{_CLASS}SELECT p.image_id, count(DISTINCT p.contour_id)::INTEGER AS n_surfaces, count(f.contour_id)::INTEGER AS n_features, true AS written FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id GROUP BY 1"),
+    "e06_flatten": ("surf", lambda s: surfaces.flatten_documents(surfaces.documents(surfaces.metric_rows(_parents(s), _features(s)))), f"{_CLASS}SELECT p.image_id, p.surface_type, f.surface_feature, f.area AS total_area FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id"),
+    "e07_mean_scar_area": ("surf", lambda s: surfaces.mean_scar_area(surfaces.metric_rows(_parents(s), _features(s))), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count, round(m, 4) AS mean_scar_area FROM par JOIN (SELECT image_id, avg(area) AS m FROM fe WHERE surface_feature LIKE 'scar %' GROUP BY 1) z USING (image_id) WHERE surface_type = 'Dorsal'"),
+    "b07_millimetres": ("surf", lambda s: surfaces.to_millimetres(s, (F.col("contour_id") - 1).cast("double")), "SELECT image_id, contour_id, CASE WHEN contour_id > 1 THEN round(technical_length / (contour_id - 1), 2) ELSE technical_length END AS technical_length, CASE WHEN contour_id > 1 THEN round(technical_width / (contour_id - 1), 2) ELSE technical_width END AS technical_width, CASE WHEN contour_id > 1 THEN round(area / ((contour_id - 1) ** 2), 2) ELSE area END AS area FROM surf"),
+    "b01_scale_bars": ("px", calibration.detect_scale_bars, "SELECT image_id, greatest(w, h)::DOUBLE AS scale_pixels, round(least(1.0, greatest(w, h)::DOUBLE / greatest(least(w, h), 1) / 10), 4) AS scale_confidence FROM (SELECT image_id, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM px WHERE v <= 127 GROUP BY 1) q"),
+    "b03_calibration": ("px", lambda p: calibration.calibrate(_metadata(p), calibration.detect_scale_bars(p.where("v <= 60"), 60)), """, md AS (SELECT image_id, CASE WHEN k % 7 = 0 THEN '' ELSE image_id END AS scale_id, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN k % 11 = 0 THEN '-4' ELSE (k % 9)::VARCHAR END AS scale FROM (SELECT DISTINCT image_id, replace(image_id, 'img-', '')::INTEGER AS k FROM px) q),
+  ba AS (SELECT image_id AS scale_id, greatest(max(x) - min(x) + 1, max(y) - min(y) + 1)::DOUBLE AS sp, least(1.0, greatest(max(x) - min(x) + 1, max(y) - min(y) + 1)::DOUBLE / greatest(least(max(x) - min(x) + 1, max(y) - min(y) + 1), 1) / 10) AS sc FROM px WHERE v <= 60 GROUP BY 1),
+  j AS (SELECT md.*, CASE WHEN try_cast(scale AS DOUBLE) > 0 THEN sp / try_cast(scale AS DOUBLE) END AS ppm, sc FROM md LEFT JOIN ba USING (scale_id)), st AS (SELECT *, CASE WHEN scale_id = '' THEN 'pixels_no_scale' WHEN ppm IS NULL THEN 'pixels_detection_failed' ELSE 'scale_bar' END AS calibration_status FROM j)
+  SELECT image_id, scale_id, scale, calibration_status, CASE WHEN calibration_status = 'scale_bar' THEN 'scale_bar' ELSE 'pixels' END AS calibration_method, CASE WHEN calibration_status = 'scale_bar' THEN round(ppm, 4) END AS pixels_per_mm, CASE WHEN calibration_status = 'scale_bar' THEN round(sc, 4) END AS scale_confidence, CASE WHEN calibration_status = 'scale_bar' THEN round(ppm, 4) ELSE 1.0 END AS factor FROM st"""),
+    "b04_suffix": ("px", lambda p: _numbers(p).select("k", calibration.suffix(F.when(F.col("k") % 2 == 0, "scale_bar").otherwise("pixels"), F.col("k") / 4).alias("text"), F.round(calibration.dpi_factor(F.col("k")), 4).alias("dpi_factor")), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT k, CASE WHEN k % 2 = 0 AND k > 0 THEN printf('scale bar, %.2f px/mm', k / 4) ELSE 'pixels only' END AS text, CASE WHEN k > 0 THEN round(k / 25.4, 4)::DOUBLE END AS dpi_factor FROM n"),
+    "r01_grey": ("px", lambda p: p.select("image_id", "y", "x", raster.grey(F.col("v"), 255 - F.col("v"), F.col("v") % 64).alias("g")), "SELECT image_id, y, x, floor(0.299::DOUBLE * v + 0.587::DOUBLE * (255 - v) + 0.114::DOUBLE * (v % 64) + 0.5)::INTEGER AS g FROM px"),
+    "r02_minmax": ("px", raster.normalise, "SELECT image_id, y, x, coalesce(floor((v - min(v) OVER w) * 255.0::DOUBLE / nullif(max(v) OVER w - min(v) OVER w, 0) + 0.5), 0)::INTEGER AS v FROM px WINDOW w AS (PARTITION BY image_id)"),
+    "r02_zscore": ("px", lambda p: raster.normalise(p, "zscore"), "SELECT image_id, y, x, round(coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0), 4) + 0.0 AS v FROM px WINDOW w AS (PARTITION BY image_id)"),
+    "r03_blur": ("px", raster.blur, f"{_BLUR}SELECT image_id, y, x, round(v, 4) AS v FROM bl"),
+    "r04_simple": ("px", lambda p: raster.threshold(p, 127), "SELECT image_id, y, x, CASE WHEN v > 127 THEN 255 ELSE 0 END AS v FROM px"),
+    "r04_otsu": ("px", raster.otsu_levels, f"{_OTSU}SELECT image_id, level FROM lvl"),
+    "r04_adaptive": ("px", raster.threshold_adaptive, f"{_BLUR}SELECT image_id, y, x, CASE WHEN px.v > bl.v - 2 THEN 255 ELSE 0 END AS v FROM px JOIN bl USING (image_id, y, x)"),
+    "r05_invert": ("px", raster.invert, "SELECT image_id, y, x, 255 - v AS v FROM px"),
+    "r06_closing": ("px", raster.close, ", dl AS (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3) SELECT a.image_id, a.y, a.x, min(b.v) AS v FROM dl a JOIN dl b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3"),
+    "r07_dpi_scale": ("px", lambda p: _numbers(p).select("k", *[raster.dpi_scale(F.col("k") * 3, mode=m).alias(m) for m in ("conservative", "standard", "other")], raster.odd_kernel(F.col("k") / 3).alias("kernel")), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT k, round(CASE WHEN k > 0 THEN greatest(1, least(3, 1 + (k * 3 / 300.0::DOUBLE - 1) / 2)) ELSE 1 END, 4) AS conservative, round(CASE WHEN k > 0 THEN greatest(1, least(3, k * 3 / 300.0::DOUBLE)) ELSE 1 END, 4) AS standard, round(CASE WHEN k > 0 THEN greatest(1, k * 3 / 300.0::DOUBLE) ELSE 1 END, 4) AS other, (CASE WHEN greatest(1, k // 3) % 2 = 0 THEN greatest(1, k // 3) + 1 ELSE greatest(1, k // 3) END)::INTEGER AS kernel FROM n"),
+    "r09_preprocess": ("px", raster.preprocess, None),
+    "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v.where("contour_id < 16"))).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), """, e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WHERE contour_id < 16 WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),
+  bb AS (SELECT image_id, contour_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert WHERE contour_id < 16 GROUP BY 1, 2), gy AS (SELECT *, unnest(range(y0, y1 + 1))::INTEGER AS py FROM bb), gx AS (SELECT *, unnest(range(x0, x1 + 1))::INTEGER AS qx FROM gy),
+  hit AS (SELECT g.image_id, g.contour_id, qx, py, sum(CASE WHEN (e.y > py) <> (e.y2 > py) AND qx < (e.x2 - e.x)::DOUBLE * (py - e.y) / nullif(e.y2 - e.y, 0)::DOUBLE + e.x THEN 1 ELSE 0 END) % 2 = 1
+    OR bool_or((e.x2 - e.x)::DOUBLE * (py - e.y) - (e.y2 - e.y)::DOUBLE * (qx - e.x) = 0 AND qx BETWEEN least(e.x, e.x2) AND greatest(e.x, e.x2) AND py BETWEEN least(e.y, e.y2) AND greatest(e.y, e.y2)) AS inside FROM gx g JOIN e USING (image_id, contour_id) GROUP BY 1, 2, 3, 4)
+  SELECT image_id, contour_id, count(*) AS pixels, sum(qx)::BIGINT AS sx FROM hit WHERE inside GROUP BY 1, 2"""),
+    "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), None),
+    "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), None),
+    "x02_stippling": ("px", lambda p: raster.stippling(raster.threshold(p, 150)), None),
+    "r14_texture_variance": ("px", raster.texture_variance, f"{_BLUR}SELECT image_id, round(var_pop(floor(v + 0.5)::INTEGER), 4) AS texture_variance FROM bl GROUP BY 1"),
+    "x04_is_cortex": ("px", lambda p: raster.texture_variance(p).select("image_id", surfaces.is_cortex(F.col("texture_variance") / 1000, F.col("texture_variance"), F.col("texture_variance") / 2000).alias("cortex")), f"{_BLUR}SELECT image_id, var_pop(floor(v + 0.5)::INTEGER) > 200 AS cortex FROM bl GROUP BY 1"),
+    "v03_cells": ("vert", lambda v: spatial.cell_summary(spatial.cells(_grid(v), _sites(v))), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS sx, floor(my / (6 * a))::INTEGER AS sy FROM m),
+  g AS (SELECT image_id, gx.x * 20 AS x, gy.y * 20 AS y FROM (SELECT DISTINCT image_id FROM vert) q, (SELECT unnest(range(40))::INTEGER AS x) gx, (SELECT unnest(range(28))::INTEGER AS y) gy),
+  l AS (SELECT g.image_id, x // 20 AS x, y // 20 AS y, arg_min(site_id, ((x - sx)::DOUBLE ** 2 + (y - sy)::DOUBLE ** 2, site_id)) AS site_id FROM g JOIN si USING (image_id) GROUP BY 1, 2, 3),
+  t AS (SELECT a.image_id, a.site_id, b.site_id AS o FROM l a JOIN l b ON a.image_id = b.image_id AND a.site_id <> b.site_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3)
+  SELECT image_id, site_id, count(*) AS voronoi_cell_area, coalesce((SELECT count(*) FROM t WHERE t.image_id = l.image_id AND t.site_id = l.site_id), 0) AS shared_edges FROM l GROUP BY 1, 2"""),
+    "v04_num_cells": ("vert", lambda v: spatial.cells(_grid(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f", {_NEXT}SELECT image_id, count(*) AS voronoi_num_cells FROM m GROUP BY 1"),
+    "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM d a JOIN d b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y)),
+  ok AS (SELECT pr.contour_id, ax, ay, bx, by FROM pr JOIN d ON pr.contour_id = d.contour_id GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (by - ay)::BIGINT * (d.x - ax)) >= 0),
+  far AS (SELECT contour_id, ax, ay, bx, by FROM ok QUALIFY row_number() OVER (PARTITION BY contour_id, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (by - ay)::BIGINT ** 2 DESC) = 1),
+  tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.by - f.ay) - (g.by - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.by - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.by - g.ay)::BIGINT * (f.by - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.by - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.by - f.ay)::BIGINT ** 2))
+  SELECT contour_id, round(abs(sum(ax::DOUBLE * by - bx::DOUBLE * ay)) / 2, 2) AS hull_area FROM tops GROUP BY 1"""),
+    "v06_site_hull": ("vert", lambda v: spatial.hull_measures(_sites(v)).select("image_id", "n_sites", "convex_hull_width", "convex_hull_height"), f", {_NEXT}SELECT image_id, count(*)::INTEGER AS n_sites, (max(floor(mx / (6 * a))) - min(floor(mx / (6 * a))))::DOUBLE AS convex_hull_width, (max(floor(my / (6 * a))) - min(floor(my / (6 * a))))::DOUBLE AS convex_hull_height FROM m GROUP BY 1"),
+    "v07_padded_box": ("vert", lambda v: spatial.padded_bounds(_polygons(v)), "SELECT image_id, contour_id, round(min(x) - 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_min, round(max(x) + 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_max, round(min(y) - 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_min, round(max(y) + 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_max FROM vert GROUP BY 1, 2"),
+    "l01_convexity": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.solidity(F.col("contour")), 2).alias("convexity")).where("convexity between 0 and 1"), None),
+    "l02_distance": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.lateral_distance(F.col("contour")).alias("d")), f"{_CHORD}, lo AS (SELECT image_id, contour_id, y, list(x ORDER BY x) AS xs FROM vert WHERE (image_id, contour_id, y) IN (SELECT image_id, contour_id, max(y) FROM vert GROUP BY 1, 2) GROUP BY 1, 2, 3) SELECT image_id, contour_id, round(sqrt(((ax + bx) / 2.0 - xs[len(xs) // 2 + 1])::DOUBLE ** 2 + ((ay + by) / 2.0 - y)::DOUBLE ** 2), 4) AS d FROM ch JOIN lo USING (image_id, contour_id)"),
+    "j02_adjacency": ("vert", lambda v: spatial.scar_complexity(_polygons(v.where("contour_id < 96"))), f""", {_NEXT}, pp AS (SELECT a.image_id, a.contour_id AS a, b.contour_id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.contour_id < b.contour_id AND b.contour_id < 96),
+  ee AS (SELECT pp.*, e.x, e.y, e.x2, e.y2, f.x AS fx, f.y AS fy, f.x2 AS fx2, f.y2 AS fy2 FROM pp JOIN e ON e.contour_id = a JOIN e f ON f.contour_id = b),
+  d AS (SELECT image_id, a, b, least(
+      min((fx - x - greatest(0, least(1, coalesce(((fx - x) * (x2 - x) + (fy - y) * (y2 - y))::DOUBLE / nullif((x2 - x) ** 2 + (y2 - y) ** 2, 0), 0))) * (x2 - x)) ** 2 + (fy - y - greatest(0, least(1, coalesce(((fx - x) * (x2 - x) + (fy - y) * (y2 - y))::DOUBLE / nullif((x2 - x) ** 2 + (y2 - y) ** 2, 0), 0))) * (y2 - y)) ** 2),
+      min((x - fx - greatest(0, least(1, coalesce(((x - fx) * (fx2 - fx) + (y - fy) * (fy2 - fy))::DOUBLE / nullif((fx2 - fx) ** 2 + (fy2 - fy) ** 2, 0), 0))) * (fx2 - fx)) ** 2 + (y - fy - greatest(0, least(1, coalesce(((x - fx) * (fx2 - fx) + (y - fy) * (fy2 - fy))::DOUBLE / nullif((fx2 - fx) ** 2 + (fy2 - fy) ** 2, 0), 0))) * (fy2 - fy)) ** 2)) <= 100.0000001
+    OR bool_or(sign(((x2 - x) * (fy - y) - (y2 - y) * (fx - x))::DOUBLE) * sign(((x2 - x) * (fy2 - y) - (y2 - y) * (fx2 - x))::DOUBLE) < 0 AND sign(((fx2 - fx) * (y - fy) - (fy2 - fy) * (x - fx))::DOUBLE) * sign(((fx2 - fx) * (y2 - fy) - (fy2 - fy) * (x2 - fx))::DOUBLE) < 0) AS near FROM ee GROUP BY 1, 2, 3),
+  u AS (SELECT image_id, a AS contour_id FROM d WHERE near UNION ALL SELECT image_id, b FROM d WHERE near)
+  SELECT m.image_id, m.contour_id, (SELECT count(*) FROM u WHERE u.contour_id = m.contour_id)::INTEGER AS scar_complexity FROM m WHERE contour_id < 96"""),
+    "y01_symmetry": ("vert", lambda v: spatial.symmetry(spatial.rasterize(_polygons(v.where("contour_id < 16"))), _polygons(v).select("image_id", "contour_id", G.centroid(F.col("contour")).alias("c")).select("image_id", "contour_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))), None),
+    "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * 5).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5 / 300.0::DOUBLE END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
+    "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), None),
+    "a14_assignment": ("vert", lambda v: spatial.assign_arrows(_sites(v).select("image_id", F.col("site_id").alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), _polygons(v)), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS point_id, floor(mx / (6 * a))::INTEGER AS qx, floor(my / (6 * a))::INTEGER AS qy FROM m),
+  hit AS (SELECT si.image_id, point_id, e.contour_id, sum(CASE WHEN (e.y > qy) <> (e.y2 > qy) AND qx < (e.x2 - e.x)::DOUBLE * (qy - e.y) / nullif(e.y2 - e.y, 0)::DOUBLE + e.x THEN 1 ELSE 0 END) % 2 = 1 OR bool_or((e.x2 - e.x)::DOUBLE * (qy - e.y) - (e.y2 - e.y)::DOUBLE * (qx - e.x) = 0 AND qx BETWEEN least(e.x, e.x2) AND greatest(e.x, e.x2) AND qy BETWEEN least(e.y, e.y2) AND greatest(e.y, e.y2)) AS inside FROM si JOIN e USING (image_id) GROUP BY 1, 2, 3),
+  best AS (SELECT hit.image_id, point_id, hit.contour_id FROM hit JOIN m ON hit.contour_id = m.contour_id WHERE inside QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY abs(a), hit.contour_id) = 1)
+  SELECT image_id, contour_id, min(point_id) AS point_id FROM best GROUP BY 1, 2"""),
+}
+
+
+def _numbers(pixels: DataFrame) -> DataFrame:
+    return pixels.select(F.replace("image_id", F.lit("img-"), F.lit("")).cast("int").alias("k")).distinct()
+
+
+def _metadata(pixels: DataFrame) -> DataFrame:
+    k = F.col("k")
+    own = _numbers(pixels).withColumn("image_id", F.concat(F.lit("img-"), k.cast("string")))
+    return own.select("image_id", F.when(k % 7 == 0, "").otherwise(F.col("image_id")).alias("scale_id"), F.when(k % 5 == 0, "unknown").when(k % 11 == 0, "-4").otherwise((k % 9).cast("string")).alias("scale"))
+
+
+def _grid(vert: DataFrame) -> DataFrame:
+    """A mask of every twentieth pixel of each image, in cells one apart (their places stay those of the pixels)."""
+    own = vert.select("image_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(780), F.lit(20)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(540), F.lit(20))))
+    return own
+
+
+def _query(source: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(make(adapters.adapt(spark, sf_dir, _OF[source])))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(source, make) for name, (source, make, _) in FOUND.items()}
+ORACLES: dict[str, str] = {name: f"WITH {source} AS ({_DUCK[source]})\n" + (sql if sql.lstrip().startswith(",") else sql) for name, (source, _, sql) in FOUND.items() if sql}
