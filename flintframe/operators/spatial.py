@@ -83,12 +83,23 @@ def assign_arrows(candidates: DataFrame, scars: DataFrame) -> DataFrame:
 
 
 def rasterize(polygons: DataFrame) -> DataFrame:
-    """image_id, contour_id, x, y of all pixels inside or on the outline of each polygon."""
+    """image_id, contour_id, x, y of all pixels inside or on the outline of each polygon.
+
+    A row of pixels is filled between its crossings with the edges, in pairs from the left; whole points of edges are
+    added.
+    """
     b = G.bounds(F.col("contour"))
-    own = polygons.select("image_id", "contour_id", "contour", b.alias("b"))
-    rows = own.withColumn("y", F.explode(F.sequence(F.col("b.min_y"), F.col("b.min_y") + F.col("b.height") - 1)))
-    cells = rows.withColumn("x", F.explode(F.sequence(F.col("b.min_x"), F.col("b.min_x") + F.col("b.width") - 1)))
-    return cells.where(G.contains(F.col("contour"), F.col("x"), F.col("y"))).select("image_id", "contour_id", "x", "y")
+    rows = polygons.select("image_id", "contour_id", _edges(F.col("contour")).alias("e"), b.alias("b")).select("image_id", "contour_id", "e", F.explode(F.sequence(F.col("b.min_y"), F.col("b.min_y") + F.col("b.height") - 1)).alias("y"))
+    y = F.col("y")
+    rise = lambda e: e["v"]["y"] - e["u"]["y"]
+    ahead = lambda e: (e["v"]["x"] - e["u"]["x"]).cast("bigint") * (y - e["u"]["y"])
+    cut = F.filter("e", lambda e: (e["u"]["y"] > y) != (e["v"]["y"] > y))
+    at = F.sort_array(F.transform(cut, lambda e: F.ceil(ahead(e).cast("double") / rise(e) + e["u"]["x"]).cast("int")))
+    on = F.filter("e", lambda e: (rise(e) != 0) & y.between(F.least(e["u"]["y"], e["v"]["y"]), F.greatest(e["u"]["y"], e["v"]["y"])) & (ahead(e) % rise(e) == 0))
+    flat = F.filter("e", lambda e: (rise(e) == 0) & (e["u"]["y"] == y))
+    filled = rows.select("image_id", "contour_id", "y", at.alias("c"), F.transform(on, lambda e: (ahead(e) / rise(e) + e["u"]["x"]).cast("int")).alias("on"), F.flatten(F.transform(flat, lambda e: F.sequence(F.least(e["u"]["x"], e["v"]["x"]), F.greatest(e["u"]["x"], e["v"]["x"])))).alias("flat"))
+    spans = F.flatten(F.transform("c", lambda lo, k: F.when((k % 2 == 0) & (F.get("c", k + 1) > lo), F.sequence(lo, F.get("c", k + 1) - 1)).otherwise(F.array().cast("array<int>"))))
+    return filled.select("image_id", "contour_id", F.explode(F.array_distinct(F.concat(spans, "on", "flat"))).alias("x"), "y")
 
 
 def symmetry(mask: DataFrame, centres: DataFrame) -> DataFrame:
@@ -111,12 +122,16 @@ def cells(mask: DataFrame, sites: DataFrame) -> DataFrame:
     return near.select("image_id", "x", "y", F.col("best.site").alias("site_id"))
 
 
-def cell_summary(labelled: DataFrame) -> DataFrame:
-    """By site: pixels of its cell and how many other cells share an edge with it."""
+def cell_summary(labelled: DataFrame, step: int = 1) -> DataFrame:
+    """By site: pixels of its cell and how many other cells share an edge with it; pixels are ``step`` apart."""
     size = labelled.groupBy("image_id", "site_id").agg(F.count(F.lit(1)).alias("voronoi_cell_area"))
-    w = lambda line, along: F.lead("site_id").over(Window.partitionBy("image_id", line).orderBy(along))
-    nexts = lambda line, along: F.when(F.lead(along).over(Window.partitionBy("image_id", line).orderBy(along)) == F.col(along) + 1, w(line, along))
-    both = labelled.select("image_id", "site_id", F.explode(F.array(nexts("y", "x"), nexts("x", "y"))).alias("other")).where("other <> site_id")
+
+    def beyond(line: str, along: str) -> Column:
+        w = Window.partitionBy("image_id", line).orderBy(along)
+        return F.when(F.lead(along).over(w) == F.col(along) + step, F.lead("site_id").over(w))
+
+    nexts = labelled.select("image_id", "site_id", beyond("y", "x").alias("right"), beyond("x", "y").alias("below"))
+    both = nexts.select("image_id", "site_id", F.explode(F.array("right", "below")).alias("other")).where("other <> site_id")
     touching = both.unionByName(both.select("image_id", F.col("other").alias("site_id"), F.col("site_id").alias("other"))).distinct().groupBy("image_id", "site_id").agg(F.count(F.lit(1)).alias("shared_edges"))
     return size.join(touching, ["image_id", "site_id"], "left").fillna(0, ["shared_edges"])
 

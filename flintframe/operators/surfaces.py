@@ -65,10 +65,10 @@ def label_cortex(features: DataFrame, parents: DataFrame) -> DataFrame:
     return out.select(*features.columns, F.when(F.col("is_cortex"), F.col("area")).alias("cortex_area"), F.when(F.col("is_cortex"), share).alias("cortex_percentage"))
 
 
-def cortex_totals(features: DataFrame) -> DataFrame:
+def cortex_totals(features: DataFrame, digits: int = 2) -> DataFrame:
     """By image: total area, number and mean area of cortex regions."""
     own = features.where("is_cortex").groupBy("image_id")
-    return own.agg(F.round(F.sum("area"), 2).alias("total_cortex_area"), F.count(F.lit(1)).alias("cortex_count"), F.round(F.avg("area"), 2).alias("average_cortex_area"))
+    return own.agg(F.round(F.sum("area"), digits).alias("total_cortex_area"), F.count(F.lit(1)).alias("cortex_count"), F.round(F.avg("area"), digits).alias("average_cortex_area"))
 
 
 def is_cortex(stippling: Column, variance: Column, edges: Column, sensitivity: str = "medium") -> Column:

@@ -16,7 +16,7 @@ _DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": ada
 _OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS}
 _NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
 _NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
-_CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
+_CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
 ch AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY image_id, contour_id ORDER BY d2 DESC, i, j) = 1)
 """
 
@@ -84,21 +84,21 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "m02_perimeter": ("vert", lambda v: _measured(v, "perimeter"), f", {_NEXT}SELECT image_id, contour_id, round(p, 2) AS perimeter FROM m"),
     "m03_centroid": ("vert", lambda v: _measured(v, "centroid_x", "centroid_y"), f", {_NEXT}SELECT image_id, contour_id, round(mx / (6 * a), 2) AS centroid_x, round(my / (6 * a), 2) AS centroid_y FROM m"),
     "m04_technical_dims": ("vert", lambda v: _measured(v, "technical_length", "technical_width"), "SELECT image_id, contour_id, (max(y) - min(y))::DOUBLE AS technical_length, max(w)::DOUBLE AS technical_width FROM (SELECT image_id, contour_id, y, max(x) - min(x) AS w FROM vert GROUP BY 1, 2, 3) q GROUP BY 1, 2"),
-    "m05_max_dims": ("vert", lambda v: _measured(v, "max_length", "max_width"), f"{_CHORD}SELECT c.image_id, c.contour_id, round(sqrt(any_value(d2)), 2) AS max_length, round(max(abs((bx - ax)::DOUBLE * (y - ay) - (by - ay)::DOUBLE * (x - ax))) / sqrt(any_value(d2)), 2) AS max_width FROM ch c JOIN vert USING (image_id, contour_id) GROUP BY 1, 2"),
+    "m05_max_dims": ("vert", lambda v: _measured(v, "max_length", "max_width"), f"{_CHORD}SELECT c.image_id, c.contour_id, round(sqrt(any_value(d2)), 2) AS max_length, round(max(abs((bx - ax)::DOUBLE * (y - ay) - (b_y - ay)::DOUBLE * (x - ax))) / sqrt(any_value(d2)), 2) AS max_width FROM ch c JOIN vert USING (image_id, contour_id) GROUP BY 1, 2"),
     "m06_bounding_box": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.bounds(F.col("contour")).alias("b")).select("image_id", "contour_id", "b.*"), "SELECT image_id, contour_id, min(x) AS min_x, min(y) AS min_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM vert GROUP BY 1, 2"),
     "m07_aspect_ratio": ("vert", lambda v: _measured(v, "aspect_ratio"), "SELECT image_id, contour_id, round((max(y) - min(y) + 1) / (max(x) - min(x) + 1), 2) AS aspect_ratio FROM vert GROUP BY 1, 2"),
     "m10_fallback_measures": ("vert", lambda v: contours.fallback_measures(_polygons(v)), "SELECT image_id, contour_id, (min(x) + floor((max(x) - min(x) + 1) / 2))::DOUBLE AS centroid_x, (min(y) + floor((max(y) - min(y) + 1) / 2))::DOUBLE AS centroid_y, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY contour_id) = 1 THEN 'Dorsal' ELSE 'Unknown' END AS surface_type FROM vert GROUP BY 1, 2"),
     "k01_surface_classes": ("surf", lambda s: _parents(s).select("image_id", "contour_id", "surface_type"), f"{_CLASS}SELECT image_id, contour_id, surface_type FROM par"),
     "k06_child_labels": ("surf", lambda s: _features(s).select("image_id", "contour_id", "surface_type", "surface_feature"), f"{_CLASS}SELECT image_id, contour_id, surface_type, surface_feature FROM fe"),
     "x05_cortex_labels": ("surf", lambda s: _cortex(s).select("image_id", "contour_id", "surface_feature", "is_cortex", "cortex_area", "cortex_percentage"), f"{_CLASS}SELECT image_id, contour_id, surface_feature, is_cortex, CASE WHEN is_cortex THEN area END AS cortex_area, CASE WHEN is_cortex THEN round(area / pa * 100, 2) END AS cortex_percentage FROM co"),
-    "x07_cortex_totals": ("surf", lambda s: surfaces.cortex_totals(_cortex(s)), f"{_CLASS}SELECT image_id, round(sum(area), 2) AS total_cortex_area, count(*) AS cortex_count, round(avg(area), 2) AS average_cortex_area FROM co WHERE is_cortex GROUP BY 1"),
+    "x07_cortex_totals": ("surf", lambda s: surfaces.cortex_totals(_cortex(s), 4), f"{_CLASS}SELECT image_id, round(sum(area), 4) AS total_cortex_area, count(*) AS cortex_count, round(avg(area), 4) AS average_cortex_area FROM co WHERE is_cortex GROUP BY 1"),
     "e01_metric_rows": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)), f"""{_CLASS}SELECT image_id, surface_type, surface_type AS surface_feature, CASE WHEN surface_type = 'Dorsal' THEN coalesce(n, 0)::INTEGER END AS scar_count, contour_id, NULL::INTEGER AS parent_contour_id, area AS total_area, technical_length, technical_width
   FROM par LEFT JOIN (SELECT image_id, count(*) AS n FROM fe WHERE surface_feature LIKE '%scar%' GROUP BY 1) z USING (image_id) UNION ALL SELECT image_id, coalesce(surface_type, 'NA'), surface_feature, NULL, contour_id, parent_contour_id, area, NULL, NULL FROM fe"""),
     "e03_scar_count": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)).where("surface_type = 'Dorsal' and surface_feature = 'Dorsal'").select("image_id", "scar_count"), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count FROM par WHERE surface_type = 'Dorsal'"),
     "e04_documents": ("surf", lambda s: surfaces.documents(surfaces.metric_rows(_parents(s), _features(s))).select("image_id", F.size("surfaces").alias("n_surfaces"), F.aggregate("surfaces", F.lit(0), lambda a, x: a + F.size(x["features"])).alias("n_features"), F.sha2(F.to_json("surfaces"), 256).isNotNull().alias("written")), f"{_CLASS}SELECT p.image_id, count(DISTINCT p.contour_id)::INTEGER AS n_surfaces, count(f.contour_id)::INTEGER AS n_features, true AS written FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id GROUP BY 1"),
     "e06_flatten": ("surf", lambda s: surfaces.flatten_documents(surfaces.documents(surfaces.metric_rows(_parents(s), _features(s)))), f"{_CLASS}SELECT p.image_id, p.surface_type, f.surface_feature, f.area AS total_area FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id"),
     "e07_mean_scar_area": ("surf", lambda s: surfaces.mean_scar_area(surfaces.metric_rows(_parents(s), _features(s))), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count, round(m, 4) AS mean_scar_area FROM par JOIN (SELECT image_id, avg(area) AS m FROM fe WHERE surface_feature LIKE 'scar %' GROUP BY 1) z USING (image_id) WHERE surface_type = 'Dorsal'"),
-    "b07_millimetres": ("surf", lambda s: surfaces.to_millimetres(s, (F.col("contour_id") - 1).cast("double")), "SELECT image_id, contour_id, CASE WHEN contour_id > 1 THEN round(technical_length / (contour_id - 1), 2) ELSE technical_length END AS technical_length, CASE WHEN contour_id > 1 THEN round(technical_width / (contour_id - 1), 2) ELSE technical_width END AS technical_width, CASE WHEN contour_id > 1 THEN round(area / ((contour_id - 1) ** 2), 2) ELSE area END AS area FROM surf"),
+    "b07_millimetres": ("surf", lambda s: surfaces.to_millimetres(s, (F.col("contour_id") - 1) * F.lit(1.2345679)), "SELECT image_id, contour_id, CASE WHEN contour_id > 1 THEN round(technical_length / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_length END AS technical_length, CASE WHEN contour_id > 1 THEN round(technical_width / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_width END AS technical_width, CASE WHEN contour_id > 1 THEN round(area / (((contour_id - 1) * 1.2345679::DOUBLE) ** 2), 2) ELSE area END AS area FROM surf"),
     "b01_scale_bars": ("px", calibration.detect_scale_bars, "SELECT image_id, greatest(w, h)::DOUBLE AS scale_pixels, round(least(1.0, greatest(w, h)::DOUBLE / greatest(least(w, h), 1) / 10), 4) AS scale_confidence FROM (SELECT image_id, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM px WHERE v <= 127 GROUP BY 1) q"),
     "b03_calibration": ("px", lambda p: calibration.calibrate(_metadata(p), calibration.detect_scale_bars(p.where("v <= 60"), 60)), """, md AS (SELECT image_id, CASE WHEN k % 7 = 0 THEN '' ELSE image_id END AS scale_id, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN k % 11 = 0 THEN '-4' ELSE (k % 9)::VARCHAR END AS scale FROM (SELECT DISTINCT image_id, replace(image_id, 'img-', '')::INTEGER AS k FROM px) q),
   ba AS (SELECT image_id AS scale_id, greatest(max(x) - min(x) + 1, max(y) - min(y) + 1)::DOUBLE AS sp, least(1.0, greatest(max(x) - min(x) + 1, max(y) - min(y) + 1)::DOUBLE / greatest(least(max(x) - min(x) + 1, max(y) - min(y) + 1), 1) / 10) AS sc FROM px WHERE v <= 60 GROUP BY 1),
@@ -124,23 +124,23 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), None),
     "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), None),
     "x02_stippling": ("px", lambda p: raster.stippling(raster.threshold(p, 150)), None),
-    "r14_texture_variance": ("px", raster.texture_variance, f"{_BLUR}SELECT image_id, round(var_pop(floor(v + 0.5)::INTEGER), 4) AS texture_variance FROM bl GROUP BY 1"),
+    "r14_texture_variance": ("px", lambda p: raster.texture_variance(p).select("image_id", F.round(F.col("texture_variance") * 4096).cast("bigint").alias("variance_4096")), f"{_BLUR}SELECT image_id, round(var_pop(floor(v + 0.5)::INTEGER) * 4096)::BIGINT AS variance_4096 FROM bl GROUP BY 1"),
     "x04_is_cortex": ("px", lambda p: raster.texture_variance(p).select("image_id", surfaces.is_cortex(F.col("texture_variance") / 1000, F.col("texture_variance"), F.col("texture_variance") / 2000).alias("cortex")), f"{_BLUR}SELECT image_id, var_pop(floor(v + 0.5)::INTEGER) > 200 AS cortex FROM bl GROUP BY 1"),
-    "v03_cells": ("vert", lambda v: spatial.cell_summary(spatial.cells(_grid(v), _sites(v))), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS sx, floor(my / (6 * a))::INTEGER AS sy FROM m),
+    "v03_cells": ("vert", lambda v: spatial.cell_summary(spatial.cells(_grid(v), _sites(v)), 20), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS sx, floor(my / (6 * a))::INTEGER AS sy FROM m),
   g AS (SELECT image_id, gx.x * 20 AS x, gy.y * 20 AS y FROM (SELECT DISTINCT image_id FROM vert) q, (SELECT unnest(range(40))::INTEGER AS x) gx, (SELECT unnest(range(28))::INTEGER AS y) gy),
   l AS (SELECT g.image_id, x // 20 AS x, y // 20 AS y, arg_min(site_id, ((x - sx)::DOUBLE ** 2 + (y - sy)::DOUBLE ** 2, site_id)) AS site_id FROM g JOIN si USING (image_id) GROUP BY 1, 2, 3),
   t AS (SELECT a.image_id, a.site_id, b.site_id AS o FROM l a JOIN l b ON a.image_id = b.image_id AND a.site_id <> b.site_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3)
   SELECT image_id, site_id, count(*) AS voronoi_cell_area, coalesce((SELECT count(*) FROM t WHERE t.image_id = l.image_id AND t.site_id = l.site_id), 0) AS shared_edges FROM l GROUP BY 1, 2"""),
     "v04_num_cells": ("vert", lambda v: spatial.cells(_grid(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f", {_NEXT}SELECT image_id, count(*) AS voronoi_num_cells FROM m GROUP BY 1"),
-    "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM d a JOIN d b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y)),
-  ok AS (SELECT pr.contour_id, ax, ay, bx, by FROM pr JOIN d ON pr.contour_id = d.contour_id GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (by - ay)::BIGINT * (d.x - ax)) >= 0),
-  far AS (SELECT contour_id, ax, ay, bx, by FROM ok QUALIFY row_number() OVER (PARTITION BY contour_id, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (by - ay)::BIGINT ** 2 DESC) = 1),
-  tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.by - f.ay) - (g.by - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.by - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.by - g.ay)::BIGINT * (f.by - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.by - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.by - f.ay)::BIGINT ** 2))
-  SELECT contour_id, round(abs(sum(ax::DOUBLE * by - bx::DOUBLE * ay)) / 2, 2) AS hull_area FROM tops GROUP BY 1"""),
+    "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM d a JOIN d b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y)),
+  ok AS (SELECT pr.contour_id, ax, ay, bx, b_y FROM pr JOIN d ON pr.contour_id = d.contour_id GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (b_y - ay)::BIGINT * (d.x - ax)) >= 0),
+  far AS (SELECT contour_id, ax, ay, bx, b_y FROM ok QUALIFY row_number() OVER (PARTITION BY contour_id, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (b_y - ay)::BIGINT ** 2 DESC) = 1),
+  tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2))
+  SELECT contour_id, round(abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2, 2) AS hull_area FROM tops GROUP BY 1"""),
     "v06_site_hull": ("vert", lambda v: spatial.hull_measures(_sites(v)).select("image_id", "n_sites", "convex_hull_width", "convex_hull_height"), f", {_NEXT}SELECT image_id, count(*)::INTEGER AS n_sites, (max(floor(mx / (6 * a))) - min(floor(mx / (6 * a))))::DOUBLE AS convex_hull_width, (max(floor(my / (6 * a))) - min(floor(my / (6 * a))))::DOUBLE AS convex_hull_height FROM m GROUP BY 1"),
     "v07_padded_box": ("vert", lambda v: spatial.padded_bounds(_polygons(v)), "SELECT image_id, contour_id, round(min(x) - 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_min, round(max(x) + 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_max, round(min(y) - 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_min, round(max(y) + 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_max FROM vert GROUP BY 1, 2"),
     "l01_convexity": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.solidity(F.col("contour")), 2).alias("convexity")).where("convexity between 0 and 1"), None),
-    "l02_distance": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.lateral_distance(F.col("contour")).alias("d")), f"{_CHORD}, lo AS (SELECT image_id, contour_id, y, list(x ORDER BY x) AS xs FROM vert WHERE (image_id, contour_id, y) IN (SELECT image_id, contour_id, max(y) FROM vert GROUP BY 1, 2) GROUP BY 1, 2, 3) SELECT image_id, contour_id, round(sqrt(((ax + bx) / 2.0 - xs[len(xs) // 2 + 1])::DOUBLE ** 2 + ((ay + by) / 2.0 - y)::DOUBLE ** 2), 4) AS d FROM ch JOIN lo USING (image_id, contour_id)"),
+    "l02_distance": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.lateral_distance(F.col("contour")).alias("d")), f"{_CHORD}, lo AS (SELECT image_id, contour_id, y, list(x ORDER BY x) AS xs FROM vert WHERE (image_id, contour_id, y) IN (SELECT image_id, contour_id, max(y) FROM vert GROUP BY 1, 2) GROUP BY 1, 2, 3) SELECT image_id, contour_id, round(sqrt(((ax + bx) / 2.0 - xs[len(xs) // 2 + 1])::DOUBLE ** 2 + ((ay + b_y) / 2.0 - y)::DOUBLE ** 2), 4) AS d FROM ch JOIN lo USING (image_id, contour_id)"),
     "j02_adjacency": ("vert", lambda v: spatial.scar_complexity(_polygons(v.where("contour_id < 96"))), f""", {_NEXT}, pp AS (SELECT a.image_id, a.contour_id AS a, b.contour_id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.contour_id < b.contour_id AND b.contour_id < 96),
   ee AS (SELECT pp.*, e.x, e.y, e.x2, e.y2, f.x AS fx, f.y AS fy, f.x2 AS fx2, f.y2 AS fy2 FROM pp JOIN e ON e.contour_id = a JOIN e f ON f.contour_id = b),
   d AS (SELECT image_id, a, b, least(
@@ -150,7 +150,7 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
   u AS (SELECT image_id, a AS contour_id FROM d WHERE near UNION ALL SELECT image_id, b FROM d WHERE near)
   SELECT m.image_id, m.contour_id, (SELECT count(*) FROM u WHERE u.contour_id = m.contour_id)::INTEGER AS scar_complexity FROM m WHERE contour_id < 96"""),
     "y01_symmetry": ("vert", lambda v: spatial.symmetry(spatial.rasterize(_polygons(v.where("contour_id < 16"))), _polygons(v).select("image_id", "contour_id", G.centroid(F.col("contour")).alias("c")).select("image_id", "contour_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))), None),
-    "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * 5).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5 / 300.0::DOUBLE END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
+    "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * F.lit(5.3)).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5.3::DOUBLE / 300 END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
     "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), None),
     "a14_assignment": ("vert", lambda v: spatial.assign_arrows(_sites(v).select("image_id", F.col("site_id").alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), _polygons(v)), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS point_id, floor(mx / (6 * a))::INTEGER AS qx, floor(my / (6 * a))::INTEGER AS qy FROM m),
   hit AS (SELECT si.image_id, point_id, e.contour_id, sum(CASE WHEN (e.y > qy) <> (e.y2 > qy) AND qx < (e.x2 - e.x)::DOUBLE * (qy - e.y) / nullif(e.y2 - e.y, 0)::DOUBLE + e.x THEN 1 ELSE 0 END) % 2 = 1 OR bool_or((e.x2 - e.x)::DOUBLE * (qy - e.y) - (e.y2 - e.y)::DOUBLE * (qx - e.x) = 0 AND qx BETWEEN least(e.x, e.x2) AND greatest(e.x, e.x2) AND qy BETWEEN least(e.y, e.y2) AND greatest(e.y, e.y2)) AS inside FROM si JOIN e USING (image_id) GROUP BY 1, 2, 3),

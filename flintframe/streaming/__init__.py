@@ -1,0 +1 @@
+"""Nothing streams: all operators are batch."""
