@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +16,13 @@ from .common import durable
 #: Rows that are broadcast at most; larger sides are shuffled.
 MOST_BROADCAST = 500_000
 MOST_CLASHES = 100_000
-_CACHE = 1 << 18
+#: Parts of a set for each element in which linked sets can differ; more parts make the bound on shared ones tighter.
+PARTS = 1.5
 _BUCKET_BITS = 6
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_power = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 _GOLD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -29,24 +33,36 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def tokens(text: str | None, width: int, known: dict[bytes, int]) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base and of its inverse, n at least."""
+    global _power
+    if len(_power[0]) < n:
+        size = 1 << max(14, n.bit_length())
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _power = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _power
+
+
+def tokens(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct ``width``-word shingles of a text, A-Z lower-cased.
 
-    Fewer words are one shingle, none give none. known caches hashes of words.
+    Fewer words are one shingle, none give none. A word's hash is a polynomial in its bytes, from running sums over
+    the whole text.
     """
-    ws = (text or "").encode("utf-8", "replace").lower().split()
-    if not ws:
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    inside = np.concatenate(([False], ~_SPACE[raw], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
         return np.empty(0, np.uint64)
-    if len(known) > _CACHE:
-        known.clear()
-    for w in ws:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    hashed = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    take = min(width, len(ws))
-    made = np.full(len(ws) - take + 1, take, np.uint64)
+    up, down = _powers(len(raw))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)))
+    hashed = _stir((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    take = min(width, len(hashed))
+    made = np.full(len(hashed) - take + 1, take, np.uint64)
     for k in range(take):
-        made = _stir(made + hashed[k : len(ws) - take + 1 + k])
+        made = _stir(made + hashed[k : len(hashed) - take + 1 + k])
     return np.unique(made)
 
 
@@ -59,15 +75,20 @@ def bucket_floors(percent: int) -> list[int]:
 
 
 def parts_of(bucket: int, floors: list[int], percent: int) -> int:
-    """Parts of a set in a bucket: one more than the elements in which two linked sets can differ."""
-    return (floors[bucket + 1] - 1) * (100 - percent) // percent + 1
+    """Parts of a set in a bucket: PARTS times the elements in which two linked sets can differ, and one."""
+    return int(PARTS * ((floors[bucket + 1] - 1) * (100 - percent) // percent)) + 1
+
+
+def most_apart(n: Column, top: Column, percent: int) -> Column:
+    """Elements in which a set of n differs at most from a linked one no larger than top."""
+    return F.floor((n + F.least(top, F.floor(n * 100 / percent))) * (100 - percent) / (100 + percent))
 
 
 def signatures(own: np.ndarray, percent: int, floors: list[int]) -> np.ndarray:
     """A 64-bit signature of each part of a set, the bucket in the low bits.
 
-    Elements fall into parts by value. Two linked sets differ in fewer elements than there are parts, so at least one
-    part is the same in both. The larger set's bucket sets the number of parts; a set that may have a larger partner
+    Elements fall into parts by value. Two linked sets differ in fewer elements than there are parts, so the other
+    parts are the same in both. The larger set's bucket sets the number of parts; a set that may have a larger partner
     in the next bucket has the parts of that one too.
     """
     n = len(own)
@@ -86,9 +107,8 @@ def signatures(own: np.ndarray, percent: int, floors: list[int]) -> np.ndarray:
 
 def _over(make: Callable[[np.ndarray], tuple], names: list[str], width: int, extra: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for b in batches:
-            made = [make(tokens(t, width, known)) for t in b["text"]]
+            made = [make(tokens(t, width)) for t in b["text"]]
             yield pd.DataFrame({c: b[c] for c in extra} | {name: [m[k] for m in made] for k, name in enumerate(names)})
 
     return run
@@ -180,23 +200,29 @@ def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash:
     difference, rarest elements in its group first, finds these pairs.
     """
     floors = bucket_floors(percent)
+    low_bits = (1 << _BUCKET_BITS) - 1
+    bucket = F.col("sig").bitwiseAND(F.lit(low_bits).cast("bigint")).cast("int")
+    last = min(low_bits, len(floors) - 1)
+    need = F.get(F.array(*[F.lit(parts_of(j, floors, percent)) for j in range(last)]), F.col("bucket"))
+    need = need - most_apart(F.col("n"), F.get(F.array(*[F.lit(floors[j + 1] - 1) for j in range(last)]), F.col("bucket")), percent)
     shared = durable(_shared_parts(docs, width, percent, clash))
     sizes = classes.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
     sizes = durable(sizes.join(_fit(shared.select("node").distinct()), "node", "left_semi"))
+    for _ in range(2):  # a node with fewer shared parts than any link needs has none, nor do its parts count for others
+        able = shared.groupBy("node", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).join(sizes, "node").where(F.col("k") >= need).select("node", "bucket")
+        some = shared.withColumn("bucket", bucket).join(able, ["node", "bucket"], "left_semi").select("sig", "node")
+        several = some.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
+        shared = durable(some.join(several, "sig"))
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node").select("node", (F.col("c") / F.col("n")).alias("central"))
     led = shared.join(counted, "node").groupBy("sig").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("leader"))
     home = shared.join(led, "sig").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
     home = durable(home.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"))).alias("top")).select("node", (-F.col("top.minus")).alias("home")))
     matrix = shared.join(home, "node").select("sig", F.col("home").alias("leader")).distinct()
-    low_bits = (1 << _BUCKET_BITS) - 1
-    bucket = F.col("sig").bitwiseAND(F.lit(low_bits).cast("bigint")).cast("int")
     found = shared.join(matrix, "sig").groupBy("node", "leader", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
-    need = F.array(*[F.lit(parts_of(j, floors, percent)) for j in range(min(low_bits, len(floors) - 1))])
-    differ = F.floor(F.col("n") * (100 - percent) / percent)
-    opened = found.join(sizes, "node").where(F.col("k") >= F.get(need, F.col("bucket")) - differ).select("node", "leader").distinct()
+    opened = found.join(sizes, "node").where(F.col("k") >= need).select("node", "leader").distinct()
     opened = durable(opened.unionAll(home.select("node", F.col("home").alias("leader"))).where("node <> leader").distinct())
     wanted = opened.select("node").unionAll(opened.select(F.col("leader").alias("node"))).distinct()
-    sets = _token_sets(docs, durable(wanted), classes, width, clash)
+    sets = durable(_token_sets(docs, durable(wanted), classes, width, clash))
     lead = sets.join(_fit(opened.select(F.col("leader").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
     opening = sets.join(_fit(opened), "node").join(lead, "leader")
     diff = F.concat(F.array_except("tokens", "lt"), F.array_except("lt", "tokens"))
