@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -16,9 +15,8 @@ from .common import durable
 #: Rows that are broadcast at most; larger sides are shuffled.
 MOST_BROADCAST = 500_000
 MOST_CLASHES = 100_000
-#: Parts of a set for each element in which linked sets can differ; more parts make the bound on shared ones tighter.
-PARTS = 1.5
-_BUCKET_BITS = 6
+#: Cells in which shingles are counted to find the common ones, and the fewest that one task must count to report a cell.
+CELL_BITS, LEAST_REPORT = 20, 8
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -66,43 +64,28 @@ def tokens(text: str | None, width: int) -> np.ndarray:
     return np.unique(made)
 
 
-def bucket_floors(percent: int) -> list[int]:
-    """Least sizes of the size buckets. Smaller sets have no partner but themselves."""
-    floors = [-(-percent // (100 - percent))]
-    while floors[-1] < 1 << 31:
-        floors.append(floors[-1] * 3 // 2 + 1)
-    return floors
+def least_overlap(n: int, percent: int) -> int:
+    """Elements that a set of n shares at least with any set that it links with."""
+    return -(-percent * n // 100)
 
 
-def parts_of(bucket: int, floors: list[int], percent: int) -> int:
-    """Parts of a set in a bucket: PARTS times the elements in which two linked sets can differ, and one."""
-    return int(PARTS * ((floors[bucket + 1] - 1) * (100 - percent) // percent)) + 1
+def least_shared(n: int, percent: int) -> int:
+    """Prefix elements that two linked sets of n or more elements share at least."""
+    return 1 + n * (100 - percent) // 200
 
 
-def most_apart(n: Column, top: Column, percent: int) -> Column:
-    """Elements in which a set of n differs at most from a linked one no larger than top."""
-    return F.floor((n + F.least(top, F.floor(n * 100 / percent))) * (100 - percent) / (100 + percent))
+def prefix(own: np.ndarray, percent: int, rank: np.ndarray) -> np.ndarray:
+    """The first elements of a set in the common order: by how common their cell is, then by value.
 
-
-def signatures(own: np.ndarray, percent: int, floors: list[int]) -> np.ndarray:
-    """A 64-bit signature of each part of a set, the bucket in the low bits.
-
-    Elements fall into parts by value. Two linked sets differ in fewer elements than there are parts, so the other
-    parts are the same in both. The larger set's bucket sets the number of parts; a set that may have a larger partner
-    in the next bucket has the parts of that one too.
+    A set of n shares at least ``least_overlap(n)`` elements with a linked one, so each of the two has all but
+    ``n - least_overlap(n)`` of its own in common. With ``least_shared(n)`` elements more than those it can differ in,
+    the prefixes of two linked sets share as many as the smaller one's ``least_shared``, whatever the order is.
     """
     n = len(own)
-    if n < floors[0]:
+    if n < -(-percent // (100 - percent)):  # smaller sets have no partner but themselves
         return np.empty(0, np.int64)
-    k = bisect.bisect_right(floors, n) - 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_stir(own), dtype=np.uint64)))
-    made = []
-    for j in [k, k + 1] if n * 100 // percent >= floors[k + 1] else [k]:
-        m = parts_of(j, floors, percent)
-        cuts = np.searchsorted((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
-        place = _stir(np.arange(m, dtype=np.uint64) + (np.full(1, j + 1, np.uint64) << np.uint64(32)))
-        made.append(_stir((sums[cuts[1:]] - sums[cuts[:-1]]) ^ place) >> np.uint64(_BUCKET_BITS) << np.uint64(_BUCKET_BITS) | np.uint64(j))
-    return np.concatenate(made).view(np.int64)
+    order = np.argsort(rank[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
+    return own[order[: n - least_overlap(n, percent) + least_shared(n, percent)]].view(np.int64)
 
 
 def _over(make: Callable[[np.ndarray], tuple], names: list[str], width: int, extra: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -150,15 +133,42 @@ def _fit(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
-    """id, h, n (set size), digest and node of each row (rows with equal sets share a node, no others do), and clashes."""
-    rows = docs.mapInPandas(_over(lambda t: (len(t), _digest(t)), ["n", "digest"], width, ["id", "h"]), "id string, h bigint, n bigint, digest binary")
-    rows = durable(rows)
+def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Size and digest of each set; then one row with the cells in which the task has counted far more than the mean."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            sizes, digests = [], []
+            for text in b["text"]:
+                own = tokens(text, width)
+                sizes.append(len(own))
+                digests.append(_digest(own))
+                np.add.at(seen, (own >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": sizes, "digest": digests, "cells": None, "counts": None, "total": 0})
+        total = int(seen.sum())
+        often = np.flatnonzero(seen >= max(LEAST_REPORT, 4 * total >> CELL_BITS))
+        yield pd.DataFrame({"id": [None], "h": [0], "n": [0], "digest": [None], "cells": [often.tolist()], "counts": [seen[often].tolist()], "total": [total]})
+
+    return run
+
+
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, list[int], np.ndarray]:
+    """id, h, n (set size), digest and node of each row (rows with equal sets share a node, no others do), clashes, and the rank of each cell.
+
+    The rank orders shingles by how common their cell is; it is one byte for each of a fixed number of cells.
+    """
+    every = durable(docs.mapInPandas(_profiled(width), "id string, h bigint, n bigint, digest binary, cells array<int>, counts array<bigint>, total bigint"))
+    rows = every.where("cells is null").select("id", "h", "n", "digest")
+    rank = np.zeros(1 << CELL_BITS, np.uint8)
+    mean = max(1, (every.agg(F.sum("total")).first()[0] or 0) >> CELL_BITS)
+    counted = every.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("n"))
+    for r in counted.where(F.col("n") >= 4 * mean).collect():  # a quarter of the cells at most
+        rank[r["cell"]] = (r["n"] // mean).bit_length()
     node = _half(F.col("digest"), 0)
     clash = [r["node"] for r in rows.groupBy(node.alias("node")).agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("node").limit(MOST_CLASHES + 1).collect()]
     if len(clash) > MOST_CLASHES:
         raise RuntimeError("too many hash clashes")
-    return rows.withColumn("node", _node(F.col("digest"), clash)), clash
+    return rows.withColumn("node", _node(F.col("digest"), clash)), clash, rank
 
 
 def _node(digest: Column, clash: list[int]) -> Column:
@@ -166,10 +176,9 @@ def _node(digest: Column, clash: list[int]) -> Column:
     return F.when(plain.isin(clash), -1 - _half(digest, 1)).otherwise(plain) if clash else plain
 
 
-def _shared_parts(docs: DataFrame, width: int, percent: int, clash: list[int]) -> DataFrame:
-    """(sig, node) of the signatures that more than one node has."""
-    floors = bucket_floors(percent)
-    make = lambda t: (_digest(t), signatures(t, percent, floors))
+def _shared_tokens(docs: DataFrame, width: int, percent: int, clash: list[int], rank: np.ndarray) -> DataFrame:
+    """(sig, node) of the prefix shingles that more than one node has."""
+    make = lambda t: (_digest(t), prefix(t, percent, rank))
     made = docs.select("text").mapInPandas(_over(make, ["digest", "sigs"], width, []), "digest binary, sigs array<bigint>")
     every = made.select(F.explode("sigs").alias("sig"), _node(F.col("digest"), clash).alias("node")).repartition("sig")
     several = every.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
@@ -186,31 +195,26 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: i
     return made.join(_fit(wanted), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
-def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash: list[int]) -> DataFrame:
+def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash: list[int], rank: np.ndarray) -> DataFrame:
     """Links (a, b) between nodes that together lead wherever the links of all pairs lead.
 
-    Groups: each node that shares a part goes to the group of the leader it shares most parts with; the leader of a
-    part is the node most of whose parts are shared. The matrix holds the union of its members' parts for each
-    group. A query (every such node) and a group qualify if the group's union holds enough of its parts for any
-    member to be linked: all but as many as a linked pair can differ in. Only qualifying groups are opened: the query
-    is compared with the leader; what it has more or less than the leader is its difference.
+    Groups: each node that shares a prefix shingle goes to the group of the leader it shares most of them with; the
+    leader of a shingle is the node most of whose shingles are shared. The matrix holds the union of its members'
+    prefix shingles for each group. A query (every such node) and a group qualify if the group's union holds as many
+    of its shingles as it shares with any linked member. Only qualifying groups are opened: the query is compared with
+    the leader; what it has more or less than the leader is its difference.
 
     Two nodes whose difference from a leader is disjoint are no nearer to each other than either is to the leader. So
     a linked pair either both have links to the leader, or share an element of their differences; a prefix of each
     difference, rarest elements in its group first, finds these pairs.
     """
-    floors = bucket_floors(percent)
-    low_bits = (1 << _BUCKET_BITS) - 1
-    bucket = F.col("sig").bitwiseAND(F.lit(low_bits).cast("bigint")).cast("int")
-    last = min(low_bits, len(floors) - 1)
-    need = F.get(F.array(*[F.lit(parts_of(j, floors, percent)) for j in range(last)]), F.col("bucket"))
-    need = need - most_apart(F.col("n"), F.get(F.array(*[F.lit(floors[j + 1] - 1) for j in range(last)]), F.col("bucket")), percent)
-    shared = durable(_shared_parts(docs, width, percent, clash))
+    need = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) * (100 - percent) / 200)
+    shared = durable(_shared_tokens(docs, width, percent, clash, rank))
     sizes = classes.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
     sizes = durable(sizes.join(_fit(shared.select("node").distinct()), "node", "left_semi"))
-    for _ in range(2):  # a node with fewer shared parts than any link needs has none, nor do its parts count for others
-        able = shared.groupBy("node", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).join(sizes, "node").where(F.col("k") >= need).select("node", "bucket")
-        some = shared.withColumn("bucket", bucket).join(able, ["node", "bucket"], "left_semi").select("sig", "node")
+    for _ in range(2):  # a node with fewer shared shingles than any link needs has none, nor do its shingles count for others
+        able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(sizes, "node").where(F.col("k") >= need).select("node")
+        some = shared.join(able, "node", "left_semi").select("sig", "node")
         several = some.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
         shared = durable(some.join(several, "sig"))
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node").select("node", (F.col("c") / F.col("n")).alias("central"))
@@ -218,7 +222,7 @@ def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash:
     home = shared.join(led, "sig").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
     home = durable(home.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"))).alias("top")).select("node", (-F.col("top.minus")).alias("home")))
     matrix = shared.join(home, "node").select("sig", F.col("home").alias("leader")).distinct()
-    found = shared.join(matrix, "sig").groupBy("node", "leader", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    found = shared.join(matrix, "sig").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
     opened = found.join(sizes, "node").where(F.col("k") >= need).select("node", "leader").distinct()
     opened = durable(opened.unionAll(home.select("node", F.col("home").alias("leader"))).where("node <> leader").distinct())
     wanted = opened.select("node").unionAll(opened.select(F.col("leader").alias("node"))).distinct()
@@ -254,8 +258,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """id, h, n and the group (one for each component; null without shingles) of each row of docs (id, h, text)."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
-    classes, clash = _classes(docs, width)
-    roots = components(links(docs, width, percent, classes, clash))
+    classes, clash, rank = _classes(docs, width)
+    roots = components(links(docs, width, percent, classes, clash, rank))
     return classes.join(_fit(roots), "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group"))
 
 
