@@ -115,10 +115,21 @@ def symmetry(mask: DataFrame, centres: DataFrame) -> DataFrame:
     return s.withColumns({"vertical_symmetry": even("top_area", "bottom_area"), "horizontal_symmetry": even("left_area", "right_area")})
 
 
-def cells(mask: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pixels of a mask (image_id, x, y) with their nearest site (image_id, site_id, sx, sy); the smaller id on ties."""
+def cells(mask: DataFrame, sites: DataFrame, tile: int = 16) -> DataFrame:
+    """Pixels of a mask (image_id, x, y) with their nearest site (image_id, site_id, sx, sy); the smaller id on ties.
+
+    Pixels are filed under square tiles. A tile keeps each site that is no farther from its nearest edge than some site
+    is from its farthest corner: no other can be nearest to a pixel of it. Pixels are compared with these sites only.
+    """
+    at = mask.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
+    gap = lambda t, s: F.greatest(F.lit(0), F.col(t) * tile - F.col(s), F.col(s) - (F.col(t) + 1) * tile).cast("double")
+    far = lambda t, s: F.greatest(F.abs(F.col(t) * tile - F.col(s)), F.abs((F.col(t) + 1) * tile - F.col(s))).cast("double")
+    two = lambda f: F.pow(f("tx", "sx"), F.lit(2)) + F.pow(f("ty", "sy"), F.lit(2))
+    tiles = at.select("image_id", "tx", "ty").distinct().join(sites.select("image_id", "site_id", "sx", "sy"), "image_id")
+    reach = F.min(two(far)).over(Window.partitionBy("image_id", "tx", "ty"))
+    able = tiles.withColumn("reach", reach).where(two(gap) <= F.col("reach")).drop("reach")
     d2 = F.pow((F.col("x") - F.col("sx")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("sy")).cast("double"), F.lit(2))
-    near = mask.join(sites, "image_id").groupBy("image_id", "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("site_id").alias("site"))).alias("best"))
+    near = at.join(able, ["image_id", "tx", "ty"]).groupBy("image_id", "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("site_id").alias("site"))).alias("best"))
     return near.select("image_id", "x", "y", F.col("best.site").alias("site_id"))
 
 

@@ -149,7 +149,12 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     OR bool_or(sign(((x2 - x) * (fy - y) - (y2 - y) * (fx - x))::DOUBLE) * sign(((x2 - x) * (fy2 - y) - (y2 - y) * (fx2 - x))::DOUBLE) < 0 AND sign(((fx2 - fx) * (y - fy) - (fy2 - fy) * (x - fx))::DOUBLE) * sign(((fx2 - fx) * (y2 - fy) - (fy2 - fy) * (x2 - fx))::DOUBLE) < 0) AS near FROM ee GROUP BY 1, 2, 3),
   u AS (SELECT image_id, a AS contour_id FROM d WHERE near UNION ALL SELECT image_id, b FROM d WHERE near)
   SELECT m.image_id, m.contour_id, (SELECT count(*) FROM u WHERE u.contour_id = m.contour_id)::INTEGER AS scar_complexity FROM m WHERE contour_id < 96"""),
-    "y01_symmetry": ("vert", lambda v: spatial.symmetry(spatial.rasterize(_polygons(v.where("contour_id < 16"))), _polygons(v).select("image_id", "contour_id", G.centroid(F.col("contour")).alias("c")).select("image_id", "contour_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))), None),
+    "y01_symmetry": ("vert", lambda v: spatial.symmetry(spatial.rasterize(_polygons(v)), _polygons(v).select("image_id", "contour_id", G.centroid(F.col("contour")).alias("c")).select("image_id", "contour_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))), None),
+    # r11, j02, v03 and v04 are held against SQL on a part of their input; these take all of it and have no SQL
+    "r11_rasterize_all": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), None),
+    "j02_adjacency_all": ("vert", lambda v: spatial.scar_complexity(_polygons(v)), None),
+    "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), None),
+    "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), None),
     "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * F.lit(5.3)).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5.3::DOUBLE / 300 END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
     "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), None),
     "a14_assignment": ("vert", lambda v: spatial.assign_arrows(_sites(v).select("image_id", F.col("site_id").alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), _polygons(v)), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS point_id, floor(mx / (6 * a))::INTEGER AS qx, floor(my / (6 * a))::INTEGER AS qy FROM m),
@@ -175,6 +180,11 @@ def _grid(vert: DataFrame) -> DataFrame:
     return own
 
 
+def _mask(vert: DataFrame) -> DataFrame:
+    """All pixels that any contour of an image holds."""
+    return spatial.rasterize(_polygons(vert)).select("image_id", "x", "y").distinct()
+
+
 def _query(source: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(make(adapters.adapt(spark, sf_dir, _OF[source])))
 

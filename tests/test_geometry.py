@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flintframe.functions import geometry as G
 from flintframe.operators import arrows, contours, raster, spatial, surfaces
+from flintframe.plans import contour_queries
 
 RECT = [(50, 50), (99, 50), (99, 109), (50, 109)]
 POLY = "image_id string, contour_id bigint, contour array<struct<x:int,y:int>>"
@@ -127,3 +128,37 @@ def test_regions_match_flood_fill(spark):
 
 def test_hull_needs_points(spark):
     assert polygons(spark, [[(0, 0), (4, 0), (4, 4), (0, 4)]]).select(G.solidity(F.col("contour"))).first()[0] == pytest.approx(1.0)
+
+
+def test_queries_take_all_contours_and_pixels(spark):
+    def inside(p, x, y):
+        e = list(zip(p, p[1:] + p[:1], strict=True))
+        on = any((v[0] - u[0]) * (y - u[1]) == (v[1] - u[1]) * (x - u[0]) and min(u[0], v[0]) <= x <= max(u[0], v[0]) and min(u[1], v[1]) <= y <= max(u[1], v[1]) for u, v in e)
+        return on or sum((u[1] > y) != (v[1] > y) and x < (v[0] - u[0]) * (y - u[1]) / (v[1] - u[1]) + u[0] for u, v in e) % 2 == 1
+
+    own = {3: [(10, 10), (50, 12), (47, 61), (8, 55)], 16: [(55, 15), (99, 20), (70, 66)], 97: [(15, 90), (18, 90), (18, 93), (15, 93)], 240: [(60, 70), (90, 75), (80, 110), (62, 99)], 1999: [(23, 91), (26, 91), (26, 94), (23, 94)]}
+    vert = spark.createDataFrame([("i", k, i, x, y) for k, p in own.items() for i, (x, y) in enumerate(p)], "image_id string, contour_id bigint, i int, x int, y int")
+    run = lambda name: contour_queries.FOUND[name][1](vert).collect()
+    mask = {k: {(x, y) for x in range(120) for y in range(120) if inside(p, x, y)} for k, p in own.items()}
+    assert {(r.contour_id, r.pixels, r.sx) for r in run("r11_rasterize_all")} == {(k, len(m), sum(x for x, _ in m)) for k, m in mask.items()}
+    assert {(r.contour_id, r.top_area + r.bottom_area) for r in run("y01_symmetry")} == {(k, len(m)) for k, m in mask.items()}
+    assert {r.contour_id: r.scar_complexity for r in run("j02_adjacency_all")} == {3: 1, 16: 2, 97: 1, 240: 1, 1999: 1}
+    sites = {r.site_id: (r.sx, r.sy) for r in contour_queries._sites(vert).collect()}
+    label = {p: min(sites, key=lambda s: ((p[0] - sites[s][0]) ** 2 + (p[1] - sites[s][1]) ** 2, s)) for p in set().union(*mask.values())}
+    beside = {k: set() for k in own}
+    for (x, y), s in label.items():
+        for q in ((x + 1, y), (x, y + 1)):
+            if label.get(q, s) != s:
+                beside[s].add(label[q])
+                beside[label[q]].add(s)
+    assert {(r.site_id, r.voronoi_cell_area, r.shared_edges) for r in run("v03_cells_all")} == {(k, list(label.values()).count(k), len(beside[k])) for k in own}
+    assert [r.voronoi_num_cells for r in run("v04_num_cells_all")] == [5]
+
+
+def test_cells_of_many_sites(spark):
+    rnd = random.Random(4)
+    sites = [("i", k, rnd.randrange(-40, 200), rnd.randrange(-40, 200)) for k in range(60)] + [("i", 60, 5, 5), ("i", 61, 5, 5), ("j", 0, -900, 70)]
+    mask = [(im, x, y) for im in "ij" for x in range(-20, 150, 3) for y in range(-7, 120, 4)]
+    got = spatial.cells(spark.createDataFrame(mask, "image_id string, x int, y int"), spark.createDataFrame(sites, "image_id string, site_id bigint, sx int, sy int")).collect()
+    assert {(r.image_id, r.x, r.y): r.site_id for r in got} == {(im, x, y): min(((x - a) ** 2 + (y - b) ** 2, k) for j, k, a, b in sites if j == im)[1] for im, x, y in mask}
+    assert len(got) == len(mask)
