@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Labelled rows of each class that the classifier is fitted on (about), terms, examples in a block, neighbours.
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 2000, 4096, 64, 15
-#: A term needs this chi-square against the label, and this many examples, to be in the vocabulary.
-LEAST_CHI2, LEAST_EXAMPLES = 25.0, 3
+#: Labelled rows of each class that the classifier is fitted on (about), examples in a block, neighbours.
+EXAMPLES, BLOCK, NEIGHBOURS = 2000, 64, 15
+#: Blocks that are scored before the others are held against the k-th cosine, and cells that count terms of no example.
+FIRST_BLOCKS, CELLS = 8, 1 << 20
+#: Words whose terms a task keeps in mind.
+MOST_KNOWN = 100_000
 _PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 RESULT = "struct<score:double,predicted:int,evidence:array<struct<id:string,label:int,similarity:float>>>"
@@ -34,59 +38,82 @@ def terms(text: str | None) -> Counter:
     return found
 
 
+def _cell(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "replace")) % CELLS
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of n[0] numbers, then those from first[1] and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Postings by term and block, block maxima, labels, and the calibration of votes."""
+    """Postings by term and block, block maxima, labels, and the calibration of votes.
+
+    An entry is a term in a block: its postings and their greatest weight. ``rest`` is the idf of terms that no example
+    has, by cell; they count for the length of a text's vector only.
+    """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: list[str] = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))  # term, block -> first posting
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # term -> first entry
+    block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # of each entry
+    most: np.ndarray = field(default_factory=lambda: np.empty(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # entry -> first posting
     doc: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    rest: np.ndarray | None = None
     slope: float = 1.0
     offset: float = 0.0
     prior: float = 0.0
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and L2-normalised TF-IDF weights of a whole text; both empty if no term is in it."""
-        made = {}
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for t in (w, *["~" + w[:k] for k in _PREFIXES if len(w) > k]):
-                if (at := self.vocabulary.get(t)) is not None:
-                    made[at] = made.get(at, 0) + n
+        """Term numbers and TF-IDF weights of a whole text, normalised by all its terms; both empty if no example has one of them."""
+        made, other = {}, 0.0
+        for t, n in terms(text).items():
+            if (at := self.vocabulary.get(t)) is not None:
+                made[at] = n
+            elif self.rest is not None:
+                other += ((1 + math.log(n)) * self.rest[_cell(t)]) ** 2
         at = np.fromiter(sorted(made), np.int64, len(made))
         x = (1 + np.log(np.fromiter((made[k] for k in at), float, len(at)))) * self.idf[at]
-        return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+        return at, x / max(float(np.sqrt(x @ x + other)), 1e-12)
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a positive cosine and of all as near as the last of them.
 
-        A block's bound is the query's product with its maxima. Blocks are scored exactly in order of their bounds
-        until no bound reaches the k-th cosine.
+        A block's bound is the query's product with its maxima. The blocks of the greatest bounds are scored exactly,
+        then all others whose bound reaches the k-th cosine of these.
         """
         if not len(at) or not len(self.doc):
             return np.empty(0, np.int64), np.empty(0)
-        bounds = x @ self.most[at]
-        docs, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-9:
+        n = self.starts[at + 1] - self.starts[at]
+        entry, x = _runs(self.starts[at], n), np.repeat(x, n)
+        block = self.block[entry]
+        bounds = np.bincount(block, self.most[entry] * x, -(-len(self.ids) // BLOCK))
+        take, scores = np.zeros(len(bounds), bool), np.zeros(len(self.ids))
+        take[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        done = np.zeros(len(bounds), bool)
+        while True:
+            own = take[block]
+            lo = self.first[entry[own]]
+            n = self.first[entry[own] + 1] - lo
+            at = _runs(lo, n)
+            scores += np.bincount(self.doc[at], self.weight[at] * np.repeat(x[own], n), len(scores))
+            done |= take
+            if skip >= 0:
+                scores[skip] = 0
+            kth = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+            take = ~done & (bounds > 0) & (bounds >= kth - 1e-9)
+            if not take.any():
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(at, x, strict=True):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                acc[self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            own = np.flatnonzero(acc)
-            docs, scores = np.concatenate((docs, own + b * BLOCK)), np.concatenate((scores, acc[own]))
-            keep = docs != skip
-            docs, scores = docs[keep], scores[keep]
-            if len(scores) >= k:
-                kth = float(np.partition(scores, len(scores) - k)[len(scores) - k])
-        near = scores >= kth - 1e-9
-        order = np.lexsort((docs[near], -scores[near]))
-        return docs[near][order], scores[near][order]
+        docs = np.flatnonzero((scores > 0) & (scores >= kth - 1e-9))
+        order = np.lexsort((docs, -scores[docs]))
+        return docs[order], scores[docs[order]]
 
     def vote(self, docs: np.ndarray, scores: np.ndarray) -> float | None:
         """Share of label 1 among the neighbours, each weighing one over its distance; none without neighbours."""
@@ -103,16 +130,16 @@ class Index:
         return p, int(p >= 0.5), [{"id": self.ids[d], "label": int(self.labels[d]), "similarity": float(s)} for d, s in zip(docs[:NEIGHBOURS], cosines[:NEIGHBOURS], strict=True)]
 
 
-def build(ids: list[str], labels: list[int], vectors: list[tuple[list[int], list[int]]], vocabulary: dict[str, int], idf: np.ndarray, class_rows: tuple[int, int]) -> Index:
+def build(ids: list[str], labels: list[int], vectors: list[tuple[list[int], list[int]]], vocabulary: dict[str, int], idf: np.ndarray, class_rows: tuple[int, int], rest: np.ndarray | None = None) -> Index:
     """The index over examples given as (terms, counts), with votes calibrated to the true class sizes.
 
     Examples lie in blocks by their heaviest term, so that maxima are tight. Each example's own vote, without itself,
     and its label fit a logistic curve; classes weigh as in all labelled rows.
     """
-    index = Index(vocabulary, idf)
+    index = Index(vocabulary, idf, rest=rest)
     made = []
     for at, n in vectors:
-        x = (1 + np.log(np.asarray(n, float))) * idf[at] if at else np.empty(0)
+        x = (1 + np.log(np.asarray(n, float))) * idf[at] if len(at) else np.empty(0)
         made.append((np.asarray(at, np.int64), x / max(float(np.sqrt(x @ x)), 1e-12)))
     order = sorted(range(len(ids)), key=lambda k: (int(made[k][0][made[k][1].argmax()]) if len(made[k][0]) else -1, ids[k]))
     index.ids, index.labels = [ids[k] for k in order], np.asarray([labels[k] for k in order], np.int32)
@@ -123,9 +150,11 @@ def build(ids: list[str], labels: list[int], vectors: list[tuple[list[int], list
     w = np.concatenate([x for _, x in made] or [np.empty(0)])
     sort = np.lexsort((d, t))
     t, index.doc, index.weight = t[sort], d[sort].astype(np.int32), w[sort]
-    index.starts = np.searchsorted(t * blocks + index.doc // BLOCK, np.arange(len(vocabulary))[:, None] * blocks + np.arange(blocks + 1)[None, :]) if blocks else np.zeros((len(vocabulary), 1), np.int64)
-    index.most = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(index.most, (t, index.doc // BLOCK), index.weight)
+    key = t * blocks + index.doc // BLOCK
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    index.first = np.append(new, len(key)).astype(np.int32)
+    index.starts, index.block = np.searchsorted(t[new], np.arange(len(vocabulary) + 1)), (index.doc[new] // BLOCK).astype(np.int32)
+    index.most = np.maximum.reduceat(index.weight, new) if len(new) else np.empty(0)
     share = [rows / max(1, int((index.labels == c).sum())) for c, rows in enumerate(class_rows)]
     silent = [share[c] * sum(1 for (at, _), y in zip(made, index.labels, strict=True) if y == c and not len(at)) for c in (0, 1)]
     index.prior = (silent[1] + 0.01) / (sum(silent) + 1) if sum(class_rows) else 0.0
@@ -146,12 +175,20 @@ def build(ids: list[str], labels: list[int], vectors: list[tuple[list[int], list
     return index
 
 
+_COUNTED = "id string, y int, at binary, n binary"
+
+
+def _index(counted: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, sizes: dict[int, int], rest: np.ndarray | None) -> Index:
+    rows = sorted(counted.collect(), key=lambda r: (r["id"], r["at"], r["n"]))
+    return build([r["id"] for r in rows], [r["y"] for r in rows], [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows], vocabulary, idf, (sizes.get(0, 0), sizes.get(1, 0)), rest)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     """An index over about EXAMPLES labelled documents of each class, drawn by hash of the id.
 
     labels: id and label 0 or 1; null ids and labels are left out, and of several labels of an id the greatest counts.
-    Terms are chosen by chi-square against the label, idf comes from the same examples. Only the examples' terms of
-    the vocabulary reach the driver; both numbers are parameters.
+    All terms of the examples are in the index; idf comes from all documents. Only the examples' terms and a count for
+    each and for each cell reach the driver, so what it holds depends on the examples and not on the documents.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     sizes = {r["__y"]: r["count"] for r in own.groupBy("__y").count().collect()}  # a row a class
@@ -160,36 +197,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = own.where(draw < share).limit(4 * EXAMPLES).withColumnRenamed(id_col, "__id")
     sample = durable(docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("__d") == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "__y", "text"))
 
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for y, text in zip(b["__y"], b["text"], strict=True):
-                own = list(terms(text))
-                yield pd.DataFrame({"term": own, "y": np.full(len(own), y, np.int32)})
-
-    counts = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    a, b = F.col("a"), F.col("b")
-    odds = F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    tally = sample.mapInPandas(exploded, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    tally = tally.where((a + b >= LEAST_EXAMPLES) & (a + b < n0 + n1)) if n0 and n1 else tally.limit(0)
-    chosen = tally.withColumn("chi2", odds).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect() if n0 and n1 else []
-    vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
-    idf = np.asarray([np.log((1 + n0 + n1) / (1 + r["a"] + r["b"])) + 1 for r in chosen])
+            yield pd.DataFrame({"term": sorted(set().union(*map(terms, b["text"])))})
+
+    vocabulary = {t: k for k, t in enumerate(sorted(sample.select("text").mapInPandas(worded, "term string").distinct().toArrow()["term"].to_pylist()))}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [{vocabulary[t]: n for t, n in terms(x).items() if t in vocabulary} for x in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "y": batch["__y"], "at": [sorted(m) for m in made], "n": [[m[k] for k in sorted(m)] for m in made]})
+            made = [sorted((vocabulary[t], n) for t, n in terms(x).items()) for x in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "y": batch["__y"], "at": [np.asarray([k for k, _ in m], np.int32).tobytes() for m in made], "n": [np.asarray([n for _, n in m], np.int32).tobytes() for m in made]})
 
-    rows = sample.mapInPandas(counted, "id string, y int, at array<int>, n array<int>").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["at"], r["n"]))
-    return build([r["id"] for r in rows], [r["y"] for r in rows], [(r["at"], r["n"]) for r in rows], vocabulary, idf, (sizes.get(0, 0), sizes.get(1, 0)))
+    def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents with each term (its number) or cell (numbers after those), and all of them as number -1."""
+        seen, rows, known = np.zeros(len(vocabulary) + CELLS, np.int64), 0, {}
+        for batch in batches:
+            rows += len(batch)
+            for text in batch["text"]:
+                own: set[int] = set()
+                for w in set(_WORD.findall((text or "").lower())):
+                    if (at := known.get(w)) is None:
+                        if len(known) >= MOST_KNOWN:
+                            known.clear()
+                        at = known[w] = [k if (k := vocabulary.get(t)) is not None else len(vocabulary) + _cell(t) for t in terms(w)]
+                    own.update(at)
+                seen[np.fromiter(own, np.int64, len(own))] += 1
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(seen[at], rows)})
+
+    if not vocabulary:
+        return _index(sample.mapInPandas(counted, _COUNTED), {}, np.empty(0), sizes, None)
+    seen = docs.select(F.col(text_col).alias("text")).mapInPandas(tallied, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = {c: seen[c].to_numpy() for c in ("at", "n")}
+    found = np.zeros(len(vocabulary) + CELLS)
+    found[seen["at"][seen["at"] >= 0]] = seen["n"][seen["at"] >= 0]
+    idf = np.log((1 + float(seen["n"][seen["at"] < 0].sum())) / (1 + found)) + 1
+    return _index(sample.mapInPandas(counted, _COUNTED), vocabulary, idf[: len(vocabulary)], sizes, np.maximum(idf[len(vocabulary) :], 0).astype(np.float32))
 
 
 def judged(text: Column, index: Index) -> Column:
     """struct(score, predicted, evidence) of each whole text.
 
-    A null or blank text, and one without a term of the vocabulary, has no neighbours: its score is the share of
+    A null or blank text, and one without a term of any example, has no neighbours: its score is the share of
     label 1 among examples of that sort. Repeated texts are judged alike. Without labels every score is 0.
     """
 

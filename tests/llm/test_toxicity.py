@@ -63,6 +63,36 @@ def test_hard_texts(spark):
     assert table.limit(0).select(toxicity.judged(F.col("text"), index)).isEmpty()
 
 
+def test_cosines_of_whole_texts(spark):
+    rnd = random.Random(8)
+    texts = [(k, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(1, 40)))) for k in range(120)]
+    asked = [(k + 2000, f"{t} never seen words") for k, t in texts[60:]] + [(k + 1000, t) for k, t in texts[:60]]
+    docs = spark.createDataFrame(texts + asked, "doc_id bigint, text string")
+    index = toxicity.train(docs, spark.createDataFrame([(k, int(k < 6)) for k in range(60)], "doc_id bigint, toxic int"))
+    seen = docs.collect()
+    df = {}
+    for r in seen:
+        for t in toxicity.terms(r.text):
+            df[t] = df.get(t, 0) + 1
+
+    def vector(text):
+        x = {t: (1 + np.log(n)) * (np.log((1 + len(seen)) / (1 + df[t])) + 1) for t, n in toxicity.terms(text).items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {t: v / norm for t, v in x.items()}
+
+    examples = {k: vector(t) for k, t in texts[:60]}
+    for r in seen:
+        own = vector(r.text)
+        cosines = {k: sum(v * own.get(t, 0) for t, v in x.items()) for k, x in examples.items()}
+        kth = sorted(cosines.values())[-toxicity.NEIGHBOURS]
+        docs, scores = index.nearest(*index.vector(r.text))
+        got = {int(index.ids[d]): s for d, s in zip(docs, scores, strict=True)}
+        assert set(got) == {k for k, c in cosines.items() if c > 0 and c >= kth - 1e-9}
+        assert all(abs(cosines[k] - s) < 1e-4 for k, s in got.items())
+        if 1000 <= r.doc_id < 2000:
+            assert got[r.doc_id - 1000] > 1 - 1e-6
+
+
 def test_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     out = queries.op10_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "toxic").where("toxic is not null").collect()
