@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,24 @@ def test_mixing_schedule():
     assert used == list(range(803))
 
 
+def test_mixing_keeps_to_the_weights():
+    for weights, sizes in (
+        (mixing.TARGETS, {s: 10**6 for s in mixing.TARGETS}), ({"a": 1, "b": 1e-6, "c": 0.3}, {"a": 9000, "b": 50, "c": 9000}),
+        ({"a": 5, "b": 3, "*": 2}, {"a": 3000, "b": 9000, "*": 9000}),
+    ):
+        total = sum(map(Fraction, weights.values()))
+        sizes = {s: min(n, 1 + int(9000 * Fraction(weights[s]) / total) if len(weights) > 3 else n) for s, n in sizes.items()}
+        plan = mixing.phases(weights, sizes)
+        first = {s: [p["base"] + k // p["q"] * mixing.PERIOD + p["slots"][k % p["q"]] for k in range(p["n"])] for s, (p, *_) in plan.items()}
+        order = sorted((slot, s) for s, own in first.items() for slot in own)
+        assert [slot for slot, _ in order] == list(range(len(order))) and len(order) > 5000
+        got = dict.fromkeys(weights, 0)
+        for slot, s in order:
+            got[s] += 1
+            if slot % 37 == 0 or slot == len(order) - 1:
+                assert all(abs(got[x] - (slot + 1) * Fraction(w) / total) < 1 for x, w in weights.items())
+
+
 def test_mixing_rows(docs):
     out = mixing.mix(docs.withColumn("slot", F.lit("clash")), {"src1": 2, "src2": 1, "b": 1}, block_rows=2, period=20)
     rows = out.collect()
