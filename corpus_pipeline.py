@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is kept as Parquet in the shared folder."""
+    """All stages over documents; what each returns is kept as Parquet in the shared folder.
+
+    The result has the place of each row in the mix (mix_source, block, position) beside its slot and shard: files
+    are read in no order, so the order of rows says nothing. Placing again gives what the mixing stage sorted by.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, mixing.mix(docs).drop("phase", "slot"), sf_dir)

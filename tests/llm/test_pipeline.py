@@ -1,10 +1,13 @@
 """The stages of the corpus pipeline against plain versions, each over all that the one before it kept."""
 
+import collections
+import functools
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from flintframe.llm import toxicity
+from flintframe.llm import mixing, toxicity
 
 from . import brute
 
@@ -45,6 +48,20 @@ def test_run(spark, sf_dir, walked):
     assert ids(corpus_pipeline.run(spark, sf_dir)) == ids(walked[-1][2])
 
 
+def test_run_keeps_the_mix(spark, sf_dir, walked, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", functools.partial(mixing.mix, block_rows=1))
+    rows = sorted(corpus_pipeline.run(spark, sf_dir).select("position", "mix_source", "block", "slot", "shard").collect())
+    assert [r.position for r in rows] == list(range(walked[3][2].count()))
+    left = collections.Counter(r.mix_source for r in rows)
+    total, got = sum(mixing.TARGETS[s] for s in left), collections.Counter()
+    for n, r in enumerate(rows, 1):
+        got[r.mix_source] += 1
+        assert all(abs(got[s] - n * mixing.TARGETS[s] / total) < 1 + 1e-9 for s in left)
+        if got[r.mix_source] == left[r.mix_source]:
+            break
+    assert n > len(left)
+
+
 def test_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
