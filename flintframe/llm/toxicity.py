@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"term": sorted(set().union(*map(terms, b["text"])))})
+            yield pd.DataFrame({"term": pd.Series(sorted(set().union(*map(terms, b["text"]))), dtype=object)})
 
     vocabulary = {t: k for k, t in enumerate(sorted(sample.select("text").mapInPandas(worded, "term string").distinct().toArrow()["term"].to_pylist()))}
 
