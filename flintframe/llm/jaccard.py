@@ -7,16 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch
 
-#: Rows that are broadcast at most; larger sides are shuffled.
+#: Ids that are broadcast at most, to pick texts; more are shuffled.
 MOST_BROADCAST = 500_000
-MOST_CLASHES = 100_000
 #: Cells in which shingles are counted to find the common ones, and the fewest that one task must count to report a cell.
-CELL_BITS, LEAST_REPORT = 20, 8
+CELL_BITS, LEAST_REPORT = 22, 8
+#: Prefix shingles in a row of the packed exchange and in one of its buckets (about), and nodes in a block of a group.
+PACKED, BLOCK = 1 << 20, 1024
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -88,21 +89,13 @@ def prefix(own: np.ndarray, percent: int, rank: np.ndarray) -> np.ndarray:
     return own[order[: n - least_overlap(n, percent) + least_shared(n, percent)]].view(np.int64)
 
 
-def _over(make: Callable[[np.ndarray], tuple], names: list[str], width: int, extra: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [make(tokens(t, width)) for t in b["text"]]
-            yield pd.DataFrame({c: b[c] for c in extra} | {name: [m[k] for m in made] for k, name in enumerate(names)})
-
-    return run
-
-
 def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.md5(own.tobytes()).digest() if len(own) else None
 
 
-def _half(digest: Column, which: int) -> Column:
-    return F.conv(F.substring(F.hex(digest), 1 + 16 * which, 15), 16, 10).cast("bigint")
+def _node(digest: Column) -> Column:
+    """The first 60 bits of a digest. Sets that share them are candidates together; whole digests tell them apart."""
+    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -110,33 +103,32 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives the nodes a new random order, hangs every node on the first of its neighbours and itself, then
     on that one's, and contracts the links; a good part of the nodes goes each time, so rounds are logarithmic. A
-    round is a few pre-aggregated shuffles; its result is kept in the shared folder.
+    round is a few pre-aggregated shuffles; its result is kept in the shared folder and replaces the last one's.
     """
-    left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    left = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = durable(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    roots = scratch.keep(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     turn = 0
     while not left.isEmpty():
         turn += 1
         place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("x"), F.least(place("a"), "first")["v"].alias("y"))
-        jump = durable(up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", "z"))
-        roots = durable(roots.join(jump, roots["root"] == jump["x"], "left").select("node", F.coalesce("z", "root").alias("root")))
+        jump = scratch.keep(up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", "z"))
+        moved = scratch.keep(roots.join(jump, roots["root"] == jump["x"], "left").select("node", F.coalesce("z", "root").alias("root")))
         ends = left.join(jump.select(F.col("x").alias("a"), F.col("z").alias("za")), "a").join(jump.select(F.col("x").alias("b"), F.col("z").alias("zb")), "b")
-        left = durable(ends.where("za <> zb").select(F.least("za", "zb").alias("a"), F.greatest("za", "zb").alias("b")).distinct())
+        fewer = scratch.keep(ends.where("za <> zb").select(F.least("za", "zb").alias("a"), F.greatest("za", "zb").alias("b")).distinct())
+        scratch.drop(roots, jump, left)
+        roots, left = moved, fewer
+    scratch.drop(left)
     return roots
 
 
-def _fit(df: DataFrame) -> DataFrame:
-    """df as a broadcast if it is small, counted first."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Size and digest of each set; then one row with the cells in which the task has counted far more than the mean."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(1 << CELL_BITS, np.int64)
+        seen = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
             sizes, digests = [], []
             for text in b["text"]:
@@ -145,139 +137,324 @@ def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                 digests.append(_digest(own))
                 np.add.at(seen, (own >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": sizes, "digest": digests, "cells": None, "counts": None, "total": 0})
-        total = int(seen.sum())
+        total = int(seen.sum(dtype=np.int64))
         often = np.flatnonzero(seen >= max(LEAST_REPORT, 4 * total >> CELL_BITS))
         yield pd.DataFrame({"id": [None], "h": [0], "n": [0], "digest": [None], "cells": [often.tolist()], "counts": [seen[often].tolist()], "total": [total]})
 
     return run
 
 
-def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, list[int], np.ndarray]:
-    """id, h, n (set size), digest and node of each row (rows with equal sets share a node, no others do), clashes, and the rank of each cell.
+def _classes(docs: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+    """id, h, n (set size) and digest of each row, the rank of each cell, and the number of shingles of all rows.
 
     The rank orders shingles by how common their cell is; it is one byte for each of a fixed number of cells.
     """
-    every = durable(docs.mapInPandas(_profiled(width), "id string, h bigint, n bigint, digest binary, cells array<int>, counts array<bigint>, total bigint"))
-    rows = every.where("cells is null").select("id", "h", "n", "digest")
+    every = scratch.keep(docs.mapInPandas(_profiled(width), "id string, h bigint, n bigint, digest binary, cells array<int>, counts array<bigint>, total bigint"))
     rank = np.zeros(1 << CELL_BITS, np.uint8)
-    mean = max(1, (every.agg(F.sum("total")).first()[0] or 0) >> CELL_BITS)
+    total = every.agg(F.sum("total")).first()[0] or 0
+    mean = max(1, total >> CELL_BITS)
     counted = every.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("n"))
-    for r in counted.where(F.col("n") >= 4 * mean).collect():  # a quarter of the cells at most
-        rank[r["cell"]] = (r["n"] // mean).bit_length()
-    node = _half(F.col("digest"), 0)
-    clash = [r["node"] for r in rows.groupBy(node.alias("node")).agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("node").limit(MOST_CLASHES + 1).collect()]
-    if len(clash) > MOST_CLASHES:
-        raise RuntimeError("too many hash clashes")
-    return rows.withColumn("node", _node(F.col("digest"), clash)), clash, rank
+    often = counted.where(F.col("n") >= 4 * mean).toArrow()  # a quarter of the cells at most
+    rank[often["cell"].to_numpy()] = np.frexp(often["n"].to_numpy() // mean)[1]
+    return every.where("cells is null").select("id", "h", "n", "digest"), rank, total
+
 
+def _packed(width: int, percent: int, rank, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Prefix shingles and nodes of texts, PACKED of them at a time, dealt to buckets by shingle.
 
-def _node(digest: Column, clash: list[int]) -> Column:
-    plain = _half(digest, 0)
-    return F.when(plain.isin(clash), -1 - _half(digest, 1)).otherwise(plain) if clash else plain
+    Of the nodes with the same shingle two go to its bucket; the others are shared for sure and go to any bucket, so
+    a shingle that a great many texts have does not fill one.
+    """
+    def dealt(sigs: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
+        node = np.repeat(np.asarray(nodes, np.int64), [len(s) for s in sigs])
+        sig = _stir(np.concatenate(sigs).view(np.uint64))
+        order = np.argsort(sig)
+        sig, node = sig[order], node[order]
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        key = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        sure = np.concatenate((np.zeros(min(2, len(sig)), bool), sig[2:] == sig[:-2]))
+        rows = []
+        edges = np.searchsorted(bucket[~sure], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            rows.append((int(k), False, key[~sure][edges[k] : edges[k + 1]].tobytes(), node[~sure][edges[k] : edges[k + 1]].tobytes()))
+        whole = bucket[sure] << 32 | key[sure].astype(np.int64)
+        for k in range(0, len(whole), PACKED // 64):
+            rows.append((int(node[sure][k] % buckets), True, whole[k : k + PACKED // 64].tobytes(), node[sure][k : k + PACKED // 64].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "sure", "sigs", "nodes"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, sigs, held = {}, [], 0
+        for b in batches:
+            for text in b["text"]:
+                own = tokens(text, width)
+                first = prefix(own, percent, rank.value)
+                node = int.from_bytes(_digest(own)[:8], "big") >> 4 if len(first) else -1
+                if len(first) and node not in seen:
+                    seen[node] = len(sigs)
+                    sigs.append(first)
+                    held += len(first)
+                if held >= PACKED:
+                    yield dealt(sigs, list(seen))
+                    seen, sigs, held = {}, [], 0
+        if sigs:
+            yield dealt(sigs, list(seen))
+
+    return run
 
 
-def _shared_tokens(docs: DataFrame, width: int, percent: int, clash: list[int], rank: np.ndarray) -> DataFrame:
+def _several(rows: pd.DataFrame) -> pd.DataFrame:
+    """(sig, node) of the shingles of a bucket that several nodes have, and of those that came as shared."""
+    key, node, whole, more = [], [], [], []
+    for bucket, sure, s, n in zip(rows["bucket"], rows["sure"], rows["sigs"], rows["nodes"], strict=True):
+        (whole if sure else key).append(np.frombuffer(s, np.int64) if sure else (bucket << 32) + np.frombuffer(s, np.uint32).astype(np.int64))
+        (more if sure else node).append(np.frombuffer(n, np.int64))
+    if key:
+        k, n = np.concatenate(key), np.concatenate(node)
+        order = np.lexsort((n, k))
+        k, n = k[order], n[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+        k, n = k[new], n[new]
+        again = k[1:] == k[:-1]
+        shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
+        whole.append(k[shared])
+        more.append(n[shared])
+    return pd.DataFrame({"sig": np.concatenate(whole), "node": np.concatenate(more)})
+
+
+def _shared_tokens(docs: DataFrame, width: int, percent: int, rank: np.ndarray, total: int) -> DataFrame:
     """(sig, node) of the prefix shingles that more than one node has."""
-    make = lambda t: (_digest(t), prefix(t, percent, rank))
-    made = docs.select("text").mapInPandas(_over(make, ["digest", "sigs"], width, []), "digest binary, sigs array<bigint>")
-    every = made.select(F.explode("sigs").alias("sig"), _node(F.col("digest"), clash).alias("node")).repartition("sig")
-    several = every.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
-    return every.join(several, "sig").distinct()
+    spark = docs.sparkSession
+    share = (100 - percent) * 3 / 200
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * share) // PACKED + 1)
+    made = docs.select("text").mapInPandas(_packed(width, percent, spark.sparkContext.broadcast(rank), buckets), "bucket bigint, sure boolean, sigs binary, nodes binary")
+    return made.groupBy("bucket").applyInPandas(_several, "sig bigint, node bigint").distinct()
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int, clash: list[int]) -> DataFrame:
-    """node, n and tokens of the wanted nodes, from one document of each."""
-    few = classes.join(_fit(wanted), "node", "left_semi").groupBy("node").agg(F.min("id").alias("label"))
-    few = _fit(durable(few))
-    texts = docs.join(few.select("label").distinct(), docs["id"].eqNullSafe(F.col("label")), "left_semi")
-    made = texts.select("text").mapInPandas(_over(lambda t: (_digest(t), t.view(np.int64)), ["digest", "tokens"], width, []), "digest binary, tokens array<bigint>")
-    made = made.select(_node(F.col("digest"), clash).alias("node"), F.size("tokens").alias("n"), "tokens")
-    return made.join(_fit(wanted), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+def _token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """digest, node, n, w (rows with the set) and tokens of the sets of wanted nodes, each from one document."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [tokens(t, width) for t in b["text"]]
+            yield pd.DataFrame({"digest": [_digest(t) for t in made], "tokens": [t.view(np.int64) for t in made]})
+
+    few = classes.where("n > 0").groupBy("digest").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"))
+    few = scratch.keep(few.withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi"))
+    ids = few.select("label").distinct()
+    ids = F.broadcast(ids) if few.count() <= MOST_BROADCAST else ids
+    texts = docs.join(ids, docs["id"].eqNullSafe(F.col("label")), "left_semi")
+    made = texts.select("text").mapInPandas(run, "digest binary, tokens array<bigint>")
+    sets = made.groupBy("digest").agg(F.first("tokens").alias("tokens")).join(few.drop("label"), "digest")
+    sets = scratch.keep(sets)
+    scratch.drop(few)
+    return sets
 
 
-def links(docs: DataFrame, width: int, percent: int, classes: DataFrame, clash: list[int], rank: np.ndarray) -> DataFrame:
-    """Links (a, b) between nodes that together lead wherever the links of all pairs lead.
+def _opened(docs: DataFrame, width: int, percent: int, classes: DataFrame, rank: np.ndarray, total: int, scratch: Scratch) -> DataFrame:
+    """Sets and the groups to open for them: leader, digest, n, w, member, a, and the two differences from the leader.
 
     Groups: each node that shares a prefix shingle goes to the group of the leader it shares most of them with; the
-    leader of a shingle is the node most of whose shingles are shared. The matrix holds the union of its members'
-    prefix shingles for each group. A query (every such node) and a group qualify if the group's union holds as many
-    of its shingles as it shares with any linked member. Only qualifying groups are opened: the query is compared with
-    the leader; what it has more or less than the leader is its difference.
-
-    Two nodes whose difference from a leader is disjoint are no nearer to each other than either is to the leader. So
-    a linked pair either both have links to the leader, or share an element of their differences; a prefix of each
-    difference, rarest elements in its group first, finds these pairs.
+    leader of a shingle is the node most of whose shingles are shared. The matrix has, for each group, the union of
+    its members' prefix shingles. A query (every such node) and a group qualify if this union holds as many of the
+    query's shingles as it shares with any set it links with. ``more`` is what the set has and the leader lacks,
+    ``less`` the contrary; ``a`` is positive by as much as the set is nearer to the leader than half the limit.
     """
     need = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) * (100 - percent) / 200)
-    shared = durable(_shared_tokens(docs, width, percent, clash, rank))
-    sizes = classes.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    sizes = durable(sizes.join(_fit(shared.select("node").distinct()), "node", "left_semi"))
+    shared = scratch.keep(_shared_tokens(docs, width, percent, rank, total))
+    sizes = classes.where("n > 0").select(_node(F.col("digest")).alias("node"), "n").groupBy("node").agg(F.min("n").alias("n"))
     for _ in range(2):  # a node with fewer shared shingles than any link needs has none, nor do its shingles count for others
         able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(sizes, "node").where(F.col("k") >= need).select("node")
-        some = shared.join(able, "node", "left_semi").select("sig", "node")
+        some = shared.join(able, "node", "left_semi")
         several = some.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
-        shared = durable(some.join(several, "sig"))
+        fewer = scratch.keep(some.join(several, "sig", "left_semi"))
+        scratch.drop(shared)
+        shared = fewer
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node").select("node", (F.col("c") / F.col("n")).alias("central"))
     led = shared.join(counted, "node").groupBy("sig").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top")).select("sig", (-F.col("top.minus")).alias("leader"))
     home = shared.join(led, "sig").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
-    home = durable(home.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"))).alias("top")).select("node", (-F.col("top.minus")).alias("home")))
+    home = scratch.keep(home.groupBy("node").agg(F.max(F.struct("k", (-F.col("leader")).alias("minus"))).alias("top")).select("node", (-F.col("top.minus")).alias("home")))
     matrix = shared.join(home, "node").select("sig", F.col("home").alias("leader")).distinct()
     found = shared.join(matrix, "sig").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
-    opened = found.join(sizes, "node").where(F.col("k") >= need).select("node", "leader").distinct()
-    opened = durable(opened.unionAll(home.select("node", F.col("home").alias("leader"))).where("node <> leader").distinct())
+    opened = found.join(sizes, "node").where(F.col("k") >= need).select("node", "leader")
+    opened = scratch.keep(opened.unionAll(home.select("node", F.col("home").alias("leader"))).distinct())
     wanted = opened.select("node").unionAll(opened.select(F.col("leader").alias("node"))).distinct()
-    sets = durable(_token_sets(docs, durable(wanted), classes, width, clash))
-    lead = sets.join(_fit(opened.select(F.col("leader").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
-    opening = sets.join(_fit(opened), "node").join(lead, "leader")
-    diff = F.concat(F.array_except("tokens", "lt"), F.array_except("lt", "tokens"))
-    close = (100 + percent) * F.size("diff") <= (100 - percent) * (F.col("n") + F.col("ln"))
-    opening = opening.select("leader", "node", "n", "ln", diff.alias("diff")).join(_fit(home), "node")
-    opening = durable(opening.select("leader", "node", "n", (F.col("home") == F.col("leader")).alias("member"), close.alias("close"), "diff"))
-    direct = opening.where("close").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    # what is left: pairs of a query and a member of an opened group that are not both close to its leader
-    each = opening.select("leader", "node", F.explode("diff").alias("t"))
-    often = each.groupBy("leader", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ranked = each.join(often, ["leader", "t"]).groupBy("leader", "node").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("common"))
-    left = opening.join(ranked, ["leader", "node"])
-    room = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1 - (F.size("diff") - F.size("common"))
-    prefix = left.where(room > 0).select("leader", "node", "n", "member", "close", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))).alias("p"))
-    prefix = prefix.select("leader", "node", "n", "member", "close", F.col("p.t").alias("t"))
-    q, m = prefix.alias("q"), prefix.where("member").alias("m")
-    fits = (F.col("q.node") != F.col("m.node")) & ~(F.col("q.close") & F.col("m.close")) & (100 * F.least("q.n", "m.n") >= percent * F.greatest("q.n", "m.n"))
-    pairs = q.join(m, (F.col("q.leader") == F.col("m.leader")) & (F.col("q.t") == F.col("m.t")) & fits)
-    pairs = pairs.select(F.col("q.leader").alias("leader"), F.col("q.node").alias("a"), F.col("m.node").alias("b")).distinct()
-    dx = opening.select("leader", F.col("node").alias("a"), F.col("n").alias("na"), F.col("diff").alias("da"))
-    dy = opening.select("leader", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
-    tried = pairs.join(dx, ["leader", "a"]).join(dy, ["leader", "b"])
-    apart = F.size(F.array_except("da", "db")) + F.size(F.array_except("db", "da"))
-    near = tried.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
-    return direct.unionAll(near).distinct()
-
-
-def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, h, n and the group (one for each component; null without shingles) of each row of docs (id, h, text)."""
+    sets = _token_sets(docs, wanted, classes, width, scratch)
+    lead = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens"))["tokens"].alias("lt")).join(opened.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "leader")
+    each = opened.join(sets, "node").join(lead, "leader").join(home, "node").withColumn("more", F.array_except("tokens", "lt")).withColumn("less", F.array_except("lt", "tokens"))
+    a = (100 - percent) * F.col("n") - (100 + percent) * (F.size("more") + F.size("less"))
+    each = scratch.keep(each.select("leader", "digest", "n", "w", (F.col("home") == F.col("leader")).alias("member"), a.alias("a"), "more", "less"))
+    scratch.drop(shared, home, opened, sets)
+    return each
+
+
+def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """Rows of the blocks to compare: key (leader, block of queries, block of members), query, digest, n, w, a, differences.
+
+    Two sets with a_q + a_m >= 0 link for sure. Blocks hold about BLOCK sets of a group with similar ``a``, so only
+    those pairs of blocks are made that hold a pair which is not sure and whose differences can overlap enough.
+    """
+    differ = opened.withColumn("d", F.size("more") + F.size("less")).where("d > 0")
+    # a pair needs 2 * (100 + percent) * overlap >= -(a + a'), and no set overlaps by more than its own difference
+    reach = 2 * (100 + percent) * F.col("d") + F.col("a")
+    top = differ.groupBy("leader").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count(F.lit(1)).alias("rows"))
+    unsure = differ.join(top.where("rows > 1"), "leader").where((F.col("a") + F.col("low") < 0) & (reach + F.col("high") >= 0)).drop("low", "high", "rows")
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        """rows with their block: sets in order of a; equal values are dealt by digest where they are many."""
+        sizes = rows.groupBy("leader", "a").agg(F.count(F.lit(1)).alias("c"))
+        before = F.sum("c").over(Window.partitionBy("leader").orderBy("a")) - F.col("c")
+        sizes = sizes.select("leader", "a", F.floor(before / BLOCK).alias("first"), F.ceil(F.col("c") / BLOCK).alias("span"))
+        return rows.join(sizes, ["leader", "a"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("span"))).drop("first", "span")
+
+    queries, members = blocked(unsure), blocked(unsure.where("member"))
+    q = queries.groupBy("leader", "block").agg(F.min("a").alias("qa")).withColumnRenamed("block", "qb")
+    m = members.groupBy("leader", "block").agg(F.min("a").alias("ma")).withColumnRenamed("block", "mb")
+    pairs = q.join(m, "leader").where("qa + ma < 0").select("leader", "qb", "mb")
+    cols = ["leader", "qb", "mb", "query", "digest", "n", "w", "a", "more", "less"]
+    left = queries.withColumnRenamed("block", "qb").join(pairs, ["leader", "qb"]).withColumn("query", F.lit(True))
+    right = members.withColumnRenamed("block", "mb").join(pairs, ["leader", "mb"]).withColumn("query", F.lit(False))
+    return left.select(cols).unionAll(right.select(cols))
+
+
+def _postings(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate(arrays) if arrays else np.empty(0, np.int64)), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+
+
+def _overlaps(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+    """How many values each two arrays of q and m share."""
+    t, row = _postings(q)
+    u, col = _postings(m)
+    out = np.zeros((len(q), len(m)), np.int32)
+    order = np.argsort(u, kind="stable")
+    u, col = u[order], col[order]
+    lo, hi = np.searchsorted(u, t, "left"), np.searchsorted(u, t, "right")
+    hit = np.flatnonzero(hi > lo)
+    for part in np.split(hit, np.searchsorted(np.cumsum((hi - lo)[hit]), np.arange(1 << 22, int((hi - lo)[hit].sum()), 1 << 22))):
+        n = (hi - lo)[part]
+        ends = np.cumsum(n)
+        at = np.repeat(lo[part] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        out += np.bincount(np.repeat(row[part], n) * len(m) + col[at], minlength=out.size).reshape(out.shape).astype(np.int32)
+    return out
+
+
+def _compare(rows: pd.DataFrame, percent: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, bytes]]]:
+    """Links of the queries of two blocks that are not sure ones, counted, and a spanning part of them.
+
+    The token union of the members' block bounds what a query can share with any of them; only queries that qualify
+    are compared.
+    """
+    q, m = rows[rows["query"]], rows[~rows["query"]]
+    if not len(q) or not len(m):
+        return [], []
+    union = np.unique(np.concatenate(list(m["more"])))
+    more = list(q["more"])
+    t, row = _postings(more)
+    extra = np.bincount(row, np.isin(t, union), minlength=len(q)).astype(np.int64)
+    size = np.asarray([len(x) for x in more])
+    q = q[(q["n"].to_numpy() - size + extra) * 100 >= percent * q["n"].to_numpy()]
+    if not len(q):
+        return [], []
+    over = _overlaps(list(q["more"]), list(m["more"])) + _overlaps(list(q["less"]), list(m["less"]))
+    a = q["a"].to_numpy()[:, None] + m["a"].to_numpy()[None, :]
+    qd, md = q["digest"].to_numpy(), m["digest"].to_numpy()
+    at = {d: k for k, d in enumerate(md)}
+    linked = (a < 0) & (a + 2 * (100 + percent) * over >= 0)
+    for k, d in enumerate(qd):
+        if (j := at.get(d)) is not None:
+            linked[k, j] = False
+    counts = linked @ m["w"].to_numpy()
+    up = list(range(len(qd) + len(md)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    edges = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for j in np.flatnonzero(linked[i]):
+            if (x := top(i)) != (y := top(len(qd) + int(j))):
+                up[x] = y
+                edges.append((qd[i], md[j]))
+    return [(d, int(c)) for d, c in zip(qd, counts, strict=True) if c], edges
+
+
+def _comparisons(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """_compare() over rows sorted by their key; a key's rows may lie in several batches."""
+    def made(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        out = []
+        for rows in parts:
+            counts, edges = _compare(rows, percent)
+            out += [(d, None, c) for d, c in counts] + [(x, y, 0) for x, y in edges]
+        return pd.DataFrame(out, columns=["a", "b", "links"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat((rest, b), ignore_index=True)
+            key = b[["leader", "qb", "mb"]].to_numpy()
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))) if len(b) else np.empty(0, int)
+            yield made([b.iloc[lo:hi] for lo, hi in zip(new[:-1], new[1:], strict=True)])
+            rest = b.iloc[new[-1] :] if len(new) else None
+        if rest is not None:
+            yield made([rest])
+
+    return run
+
+
+def _links(opened: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links of sets: how many rows other than its copies each set links with (digest, links), and edges (a, b) that span all links.
+
+    Each pair of a query and a member is met once, in the member's own group. Sure links are counted from the
+    members' values of ``a``, without the pairs, and all lead to the set of the group with the greatest ``a``; the
+    others come from comparisons of blocks.
+    """
+    value = F.col("a").alias("key")
+    points = opened.where("member").groupBy("leader", value).agg(F.sum("w").alias("w")).unionAll(opened.select("leader", (-F.col("a")).alias("key")).distinct().withColumn("w", F.lit(0).cast("bigint")))
+    points = points.groupBy("leader", "key").agg(F.sum("w").alias("w")).withColumn("w", F.sum("w").over(Window.partitionBy("leader").orderBy(F.desc("key"))))
+    sure = opened.select("leader", "digest", "member", "w", "a", (-F.col("a")).alias("key")).join(points.withColumnRenamed("w", "links"), ["leader", "key"])
+    sure = sure.select("digest", (F.col("links") - F.when(F.col("member") & (F.col("a") >= 0), F.col("w")).otherwise(0)).alias("links"))
+    tops = opened.groupBy("leader").agg(F.max(F.struct("a", "digest")).alias("top"))
+    star = opened.select("leader", "digest", "a").join(tops, "leader").where((F.col("a") + F.col("top.a") >= 0) & (F.col("digest") != F.col("top.digest"))).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"))
+    keys = ["leader", "qb", "mb"]
+    blocks = _block_pairs(opened, percent).repartition(*keys).sortWithinPartitions(*keys)
+    compared = scratch.keep(blocks.mapInPandas(_comparisons(percent), "a binary, b binary, links bigint"))
+    edges = star.unionAll(compared.where("b is not null").select("a", "b"))
+    counts = sure.where("links > 0").unionAll(compared.where("b is null").select(F.col("a").alias("digest"), "links")).groupBy("digest").agg(F.sum("links").alias("links"))
+    return counts, edges
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """id, h, n, digest and group (one for each component; null without shingles) of each row of docs (id, h, text), and the links of each digest."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
-    classes, clash, rank = _classes(docs, width)
-    roots = components(links(docs, width, percent, classes, clash, rank))
-    return classes.join(_fit(roots), "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group"))
+    scratch = Scratch(docs.sparkSession)
+    classes, rank, total = _classes(docs, width, scratch)
+    opened = _opened(docs, width, percent, classes, rank, total, scratch)
+    counts, edges = _links(opened, percent, scratch)
+    roots = components(edges)
+    rows = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("id", "h", "n", "digest", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("group"))
+    return rows, counts
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles and component_id.
+    """One row a document: id, n_shingles, component_id and n_links.
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``width``-word shingles (words
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words are one shingle). component_id is the smallest id that
-    links lead to, the document's own included. Null and blank texts have no shingles and link with nothing. Rows
-    with a null id count for links, but not as ids. Rows repeat as they come; no rows, no result; other columns are
-    not read. Equal sets are one node, so copies are never paired; sets are 64-bit hashes of shingles.
+    links lead to, the document's own included; n_links is how many other rows the row links with. Null and blank
+    texts have no shingles and link with nothing. Rows with a null id count for links, but not as ids. Rows repeat as
+    they come; no rows, no result; other columns are not read. Equal sets are one node, so copies are never paired;
+    sets are 64-bit hashes of shingles. Links of near copies are counted, but pairs are never rows.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
     own = F.col("id").cast(kind)
-    rows = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
+    rows, counts = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
     tops = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(own).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    out = rows.join(tops, "group", "left")
-    return out.select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("top", own).alias("component_id"))
+    copies = rows.where("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    linked = copies.join(counts, "digest", "full").select("digest", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.join(tops, "group", "left").join(linked, "digest", "left")
+    return out.select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("top", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,13 +463,16 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Texts without shingles all stay. Of rows alike in id and text one stays.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    rows = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
-    rows = durable(rows.where(F.col("group").isNotNull()).select("group", F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "h").alias("key")))
+    scratch = Scratch(docs.sparkSession)
+    rows, _ = _grouped(docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), width, percent)
+    rows = scratch.keep(rows.where(F.col("group").isNotNull()).select("group", F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "h").alias("key")))
     first = rows.groupBy("group").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    several = durable(rows.join(first, "group").groupBy("key").agg(F.max(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows")))
+    several = scratch.keep(rows.join(first, "group").groupBy("key").agg(F.max(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows")))
+    scratch.drop(rows)
 
     def held(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
-        side = _fit(keys.select(F.col("key.id").alias("__kid"), F.col("key.h").alias("__kh")))
+        side = keys.select(F.col("key.id").alias("__kid"), F.col("key.h").alias("__kh"))
+        side = F.broadcast(side) if keys.count() <= MOST_BROADCAST else side
         return of.join(side, of[id_col].eqNullSafe(F.col("__kid")) & (F.xxhash64(of[text_col]) == F.col("__kh")), how)
 
     kept = held(several.where("not stays"), "left_anti", docs)

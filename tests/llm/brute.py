@@ -72,6 +72,7 @@ def jaccard_components(docs, width, percent):
             reps.setdefault(s, []).append(d)
     keys = list(reps)
     up = list(range(len(keys)))
+    links = {a: len(own) - 1 for a, own in reps.items()}
 
     def top(x):
         while up[x] != x:
@@ -85,9 +86,11 @@ def jaccard_components(docs, width, percent):
                 n = len(a & b)
                 if 100 * n >= percent * (len(a) + len(b) - n):
                     up[top(i)] = top(j)
+                    links[a] += len(reps[b])
+                    links[b] += len(reps[a])
     least = {}
     for i, a in enumerate(keys):
         ids = [d for d in reps[a] if d is not None]
         least[top(i)] = min([*ids, *([least[top(i)]] if least.get(top(i)) is not None else [])], default=None)
     where = {a: top(i) for i, a in enumerate(keys)}
-    return [(d, len(s), least[where[s]] if s else d) for d, s in sets]
+    return [(d, len(s), least[where[s]] if s else d, links.get(s, 0)) for d, s in sets]

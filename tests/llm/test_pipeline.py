@@ -35,7 +35,7 @@ def test_stages(spark, sf_dir, walked):
     index = toxicity.train(walked[0][1], spark.read.parquet(f"{sf_dir}/labels.parquet"))
     assert ids(walked[0][2]) == sorted(d for d, t in texts[0] if index.score(t)[1] == 0)
     groups = {}
-    for d, n, c in brute.jaccard_components(texts[1], 5, 80):
+    for d, _, c, _ in brute.jaccard_components(texts[1], 5, 80):
         groups.setdefault(c, []).append(d)
     assert ids(walked[1][2]) == sorted(min(own) for own in groups.values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
