@@ -130,12 +130,15 @@ def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
-            sizes, digests = [], []
+            sizes, digests, cells = [], [], []
             for text in b["text"]:
                 own = tokens(text, width)
                 sizes.append(len(own))
                 digests.append(_digest(own))
-                np.add.at(seen, (own >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                cells.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int32))
+            for lo in range(0, len(cells), 1000):
+                at, n = np.unique(np.concatenate(cells[lo : lo + 1000]), return_counts=True)
+                seen[at] += n.astype(np.int32)
             yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": sizes, "digest": digests, "cells": None, "counts": None, "total": 0})
         total = int(seen.sum(dtype=np.int64))
         often = np.flatnonzero(seen >= max(LEAST_REPORT, 4 * total >> CELL_BITS))
@@ -249,13 +252,13 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: i
     return sets
 
 
-def _opened(docs: DataFrame, width: int, percent: int, classes: DataFrame, rank: np.ndarray, total: int, scratch: Scratch) -> DataFrame:
-    """Sets and the groups to open for them: leader, digest, n, w, member, a, and the two differences from the leader.
+def _opened(docs: DataFrame, width: int, percent: int, classes: DataFrame, rank: np.ndarray, total: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets and the groups to open for them: leader, digest, n, w, member, a, more, less; the token sets; the leaders'.
 
     Groups: each node that shares a prefix shingle goes to the group of the leader it shares most of them with; the
     leader of a shingle is the node most of whose shingles are shared. The matrix has, for each group, the union of
     its members' prefix shingles. A query (every such node) and a group qualify if this union holds as many of the
-    query's shingles as it shares with any set it links with. ``more`` is what the set has and the leader lacks,
+    query's shingles as it shares with any set it links with. ``more`` is how many the set has that the leader lacks,
     ``less`` the contrary; ``a`` is positive by as much as the set is nearer to the leader than half the limit.
     """
     need = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) * (100 - percent) / 200)
@@ -278,25 +281,31 @@ def _opened(docs: DataFrame, width: int, percent: int, classes: DataFrame, rank:
     opened = scratch.keep(opened.unionAll(home.select("node", F.col("home").alias("leader"))).distinct())
     wanted = opened.select("node").unionAll(opened.select(F.col("leader").alias("node"))).distinct()
     sets = _token_sets(docs, wanted, classes, width, scratch)
-    lead = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens"))["tokens"].alias("lt")).join(opened.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "leader")
-    each = opened.join(sets, "node").join(lead, "leader").join(home, "node").withColumn("more", F.array_except("tokens", "lt")).withColumn("less", F.array_except("lt", "tokens"))
-    a = (100 - percent) * F.col("n") - (100 + percent) * (F.size("more") + F.size("less"))
-    each = scratch.keep(each.select("leader", "digest", "n", "w", (F.col("home") == F.col("leader")).alias("member"), a.alias("a"), "more", "less"))
-    scratch.drop(shared, home, opened, sets)
-    return each
+    first = sets.groupBy("node").agg(F.min("digest").alias("first")).join(opened.select(F.col("leader").alias("node")).distinct(), "node", "left_semi")
+    lead = scratch.keep(sets.join(first, "node").where("digest = first").select(F.col("node").alias("leader"), F.col("tokens").alias("lt")))
+    each = opened.join(home, "node").join(sets, "node").join(lead, "leader").withColumn("same", F.size(F.array_intersect("tokens", "lt")))
+    a = (100 - percent) * F.col("n") - (100 + percent) * (F.size("tokens") + F.size("lt") - 2 * F.col("same"))
+    each = scratch.keep(each.select("leader", "digest", "n", "w", (F.col("home") == F.col("leader")).alias("member"), a.alias("a"), (F.size("tokens") - F.col("same")).alias("more"), (F.size("lt") - F.col("same")).alias("less")))
+    scratch.drop(shared, home, opened)
+    return each, sets, lead
 
 
 def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """Rows of the blocks to compare: key (leader, block of queries, block of members), query, digest, n, w, a, differences.
+    """What to compare: leader, block of queries, block of members, query, digest, n, w, a.
 
     Two sets with a_q + a_m >= 0 link for sure. Blocks hold about BLOCK sets of a group with similar ``a``, so only
-    those pairs of blocks are made that hold a pair which is not sure and whose differences can overlap enough.
+    those pairs of blocks are made that hold a pair which is not sure. A set is left out where no other of the group
+    has enough that the leader lacks: of what it has beyond the leader it must share all but what it can differ in.
     """
-    differ = opened.withColumn("d", F.size("more") + F.size("less")).where("d > 0")
+    differ = opened.withColumn("d", F.col("more") + F.col("less")).where("d > 0")
     # a pair needs 2 * (100 + percent) * overlap >= -(a + a'), and no set overlaps by more than its own difference
     reach = 2 * (100 + percent) * F.col("d") + F.col("a")
-    top = differ.groupBy("leader").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count(F.lit(1)).alias("rows"))
-    unsure = differ.join(top.where("rows > 1"), "leader").where((F.col("a") + F.col("low") < 0) & (reach + F.col("high") >= 0)).drop("low", "high", "rows")
+    top = differ.groupBy("leader").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max(F.struct("more", "digest")).alias("top"))
+    near = differ.join(top, "leader")
+    next_most = near.where("digest <> top.digest").groupBy("leader").agg(F.max("more").alias("second"))
+    near = near.join(next_most, "leader").withColumn("others", F.when(F.col("digest") == F.col("top.digest"), F.col("second")).otherwise(F.col("top.more")))
+    fits = (F.col("a") + F.col("low") < 0) & (reach + F.col("high") >= 0) & (F.col("others") >= F.col("more") - F.floor(F.col("n") * (100 - percent) / 100))
+    unsure = near.where(fits).select("leader", "digest", "n", "w", "member", "a")
 
     def blocked(rows: DataFrame) -> DataFrame:
         """rows with their block: sets in order of a; equal values are dealt by digest where they are many."""
@@ -309,7 +318,7 @@ def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
     q = queries.groupBy("leader", "block").agg(F.min("a").alias("qa")).withColumnRenamed("block", "qb")
     m = members.groupBy("leader", "block").agg(F.min("a").alias("ma")).withColumnRenamed("block", "mb")
     pairs = q.join(m, "leader").where("qa + ma < 0").select("leader", "qb", "mb")
-    cols = ["leader", "qb", "mb", "query", "digest", "n", "w", "a", "more", "less"]
+    cols = ["leader", "qb", "mb", "query", "digest", "n", "w", "a"]
     left = queries.withColumnRenamed("block", "qb").join(pairs, ["leader", "qb"]).withColumn("query", F.lit(True))
     right = members.withColumnRenamed("block", "mb").join(pairs, ["leader", "mb"]).withColumn("query", F.lit(False))
     return left.select(cols).unionAll(right.select(cols))
@@ -402,7 +411,7 @@ def _comparisons(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     return run
 
 
-def _links(opened: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _links(opened: DataFrame, sets: DataFrame, lead: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links of sets: how many rows other than its copies each set links with (digest, links), and edges (a, b) that span all links.
 
     Each pair of a query and a member is met once, in the member's own group. Sure links are counted from the
@@ -417,8 +426,12 @@ def _links(opened: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame
     tops = opened.groupBy("leader").agg(F.max(F.struct("a", "digest")).alias("top"))
     star = opened.select("leader", "digest", "a").join(tops, "leader").where((F.col("a") + F.col("top.a") >= 0) & (F.col("digest") != F.col("top.digest"))).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"))
     keys = ["leader", "qb", "mb"]
-    blocks = _block_pairs(opened, percent).repartition(*keys).sortWithinPartitions(*keys)
-    compared = scratch.keep(blocks.mapInPandas(_comparisons(percent), "a binary, b binary, links bigint"))
+    blocks = scratch.keep(_block_pairs(opened, percent))
+    differ = blocks.select("leader", "digest").distinct().join(sets.select("digest", "tokens"), "digest").join(lead, "leader")
+    differ = differ.select("leader", "digest", F.array_except("tokens", "lt").alias("more"), F.array_except("lt", "tokens").alias("less"))
+    dealt = blocks.join(differ, ["leader", "digest"]).repartition(*keys).sortWithinPartitions(*keys)
+    compared = scratch.keep(dealt.mapInPandas(_comparisons(percent), "a binary, b binary, links bigint"))
+    scratch.drop(blocks, sets, lead)
     edges = star.unionAll(compared.where("b is not null").select("a", "b"))
     counts = sure.where("links > 0").unionAll(compared.where("b is null").select(F.col("a").alias("digest"), "links")).groupBy("digest").agg(F.sum("links").alias("links"))
     return counts, edges
@@ -430,8 +443,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         raise ValueError("percent must be from 50 to 99")
     scratch = Scratch(docs.sparkSession)
     classes, rank, total = _classes(docs, width, scratch)
-    opened = _opened(docs, width, percent, classes, rank, total, scratch)
-    counts, edges = _links(opened, percent, scratch)
+    opened, sets, lead = _opened(docs, width, percent, classes, rank, total, scratch)
+    counts, edges = _links(opened, sets, lead, percent, scratch)
     roots = components(edges)
     rows = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("id", "h", "n", "digest", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("group"))
     return rows, counts

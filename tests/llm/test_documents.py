@@ -232,3 +232,18 @@ def test_urls(spark):
         return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if other else "allow"
 
     same(out.select("page_id", "host", "path", "rule", "verdict"), [(k, *plain(u)) for k, u in enumerate(given)])
+
+
+def test_jaccard_groups_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1000 + k, " ".join(base)) for k in range(3)]
+    for k in range(60):
+        own = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 9])):
+            own[rnd.randrange(60)] = f"e{rnd.randrange(12)}"
+        rows.append((k, " ".join(own)))
+    table = spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string")
+    same(jaccard.join(table, 1, 85), brute.jaccard_components(rows + rows[:9], 1, 85))
+    assert jaccard.join(table.limit(0)).isEmpty()
