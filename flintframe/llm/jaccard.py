@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +16,8 @@ from .common import Scratch
 
 #: Ids that are broadcast at most, to pick texts; more are shuffled.
 MOST_BROADCAST = 500_000
-#: Cells in which shingles are counted to find the common ones, and the fewest that one task must count to report a cell.
-CELL_BITS, LEAST_REPORT = 22, 8
+#: Cells in which shingles are counted to find the common ones (by their first bits), and cells in a row of counts.
+CELL_BITS, CHUNK = 22, 1 << 16
 #: Prefix shingles in a row of the packed exchange and in one of its buckets (about), and nodes in a block of a group.
 PACKED, BLOCK = 1 << 20, 1024
 _BASE = 0x9E3779B97F4A7C15
@@ -93,6 +95,17 @@ def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.md5(own.tobytes()).digest() if len(own) else None
 
 
+def _bits(own: np.ndarray) -> bytes:
+    """A bit for each element, in as many as the size of the set, as a power of two of 64 at least.
+
+    Sets differ in no fewer elements than their bits do, whatever elements share a bit.
+    """
+    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def _node(digest: Column) -> Column:
     """The first 60 bits of a digest. Sets that share them are candidates together; whole digests tell them apart."""
     return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("bigint")
@@ -126,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Size and digest of each set; then one row with the cells in which the task has counted far more than the mean."""
+    """Size and digest of each set; then the task's counts of all cells, CHUNK of them a row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
@@ -139,10 +152,11 @@ def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
             for lo in range(0, len(cells), 1000):
                 at, n = np.unique(np.concatenate(cells[lo : lo + 1000]), return_counts=True)
                 seen[at] += n.astype(np.int32)
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": sizes, "digest": digests, "cells": None, "counts": None, "total": 0})
-        total = int(seen.sum(dtype=np.int64))
-        often = np.flatnonzero(seen >= max(LEAST_REPORT, 4 * total >> CELL_BITS))
-        yield pd.DataFrame({"id": [None], "h": [0], "n": [0], "digest": [None], "cells": [often.tolist()], "counts": [seen[often].tolist()], "total": [total]})
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": sizes, "digest": digests, "chunk": -1, "counts": None, "total": 0})
+        if not seen.any():
+            return
+        for k, part in enumerate(seen.reshape(-1, CHUNK)):
+            yield pd.DataFrame({"id": [None], "h": [0], "n": [0], "digest": [None], "chunk": [k], "counts": [zlib.compress(part.tobytes(), 1)], "total": [int(part.sum(dtype=np.int64))]})
 
     return run
 
@@ -150,16 +164,25 @@ def _profiled(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
 def _classes(docs: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
     """id, h, n (set size) and digest of each row, the rank of each cell, and the number of shingles of all rows.
 
-    The rank orders shingles by how common their cell is; it is one byte for each of a fixed number of cells.
+    The rank orders shingles by how common their cell is: how far its count is over what chance gives an average one.
+    It is one byte for each of a fixed number of cells.
     """
-    every = scratch.keep(docs.mapInPandas(_profiled(width), "id string, h bigint, n bigint, digest binary, cells array<int>, counts array<bigint>, total bigint"))
+    every = scratch.keep(docs.mapInPandas(_profiled(width), "id string, h bigint, n bigint, digest binary, chunk int, counts binary, total bigint"))
     rank = np.zeros(1 << CELL_BITS, np.uint8)
     total = every.agg(F.sum("total")).first()[0] or 0
-    mean = max(1, total >> CELL_BITS)
-    counted = every.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("n"))
-    often = counted.where(F.col("n") >= 4 * mean).toArrow()  # a quarter of the cells at most
-    rank[often["cell"].to_numpy()] = np.frexp(often["n"].to_numpy() // mean)[1]
-    return every.where("cells is null").select("id", "h", "n", "digest"), rank, total
+    mean = total / (1 << CELL_BITS)
+    limit = mean + 6 * math.sqrt(mean) + 8
+
+    def summed(parts: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(CHUNK, np.int64)
+        for x in parts["counts"]:
+            n += np.frombuffer(zlib.decompress(x), np.int32)
+        often = np.flatnonzero(n >= limit)
+        return pd.DataFrame({"cell": int(parts["chunk"].iloc[0]) * CHUNK + often, "n": n[often]})
+
+    often = every.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(summed, "cell bigint, n bigint").toArrow()  # some of the cells
+    rank[often["cell"].to_numpy()] = np.frexp((often["n"].to_numpy() - mean) / limit)[1].clip(-6, 60) + 8
+    return every.where("chunk < 0").select("id", "h", "n", "digest"), rank, total
 
 
 def _packed(width: int, percent: int, rank, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -234,19 +257,19 @@ def _shared_tokens(docs: DataFrame, width: int, percent: int, rank: np.ndarray,
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """digest, node, n, w (rows with the set) and tokens of the sets of wanted nodes, each from one document."""
+    """digest, node, n, w (rows with the set), tokens and bits of the sets of wanted nodes, each from one document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [tokens(t, width) for t in b["text"]]
-            yield pd.DataFrame({"digest": [_digest(t) for t in made], "tokens": [t.view(np.int64) for t in made]})
+            yield pd.DataFrame({"digest": [_digest(t) for t in made], "tokens": [t.view(np.int64) for t in made], "bits": [_bits(t) for t in made]})
 
     few = classes.where("n > 0").groupBy("digest").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"))
     few = scratch.keep(few.withColumn("node", _node(F.col("digest"))).join(wanted, "node", "left_semi"))
     ids = few.select("label").distinct()
     ids = F.broadcast(ids) if few.count() <= MOST_BROADCAST else ids
     texts = docs.join(ids, docs["id"].eqNullSafe(F.col("label")), "left_semi")
-    made = texts.select("text").mapInPandas(run, "digest binary, tokens array<bigint>")
-    sets = made.groupBy("digest").agg(F.first("tokens").alias("tokens")).join(few.drop("label"), "digest")
+    made = texts.select("text").mapInPandas(run, "digest binary, tokens array<bigint>, bits binary")
+    sets = made.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).join(few.drop("label"), "digest")
     sets = scratch.keep(sets)
     scratch.drop(few)
     return sets
@@ -345,6 +368,35 @@ def _overlaps(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _words(bits: list[bytes], size: int) -> np.ndarray:
+    """Bits of several sets as rows of 64-bit words, folded to size bits."""
+    rows = np.stack([np.frombuffer(b, np.uint64) for b in bits])
+    while rows.shape[1] * 64 > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
+def _able(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of two blocks that may have an unsure link with a row of the other: their bits do not differ too much."""
+    q, m = rows[rows["query"]].reset_index(drop=True), rows[~rows["query"]].reset_index(drop=True)
+    keep_q, keep_m = np.zeros(len(q), bool), np.zeros(len(m), bool)
+    sizes = [x["bits"].map(len).to_numpy() * 8 for x in (q, m)]
+    for sq in np.unique(sizes[0]):
+        for sm in np.unique(sizes[1]):
+            if max(sq, sm) > 2 * min(sq, sm):  # sets of so different sizes do not link
+                continue
+            i, j = np.flatnonzero(sizes[0] == sq), np.flatnonzero(sizes[1] == sm)
+            wq, wm = _words(list(q["bits"].iloc[i]), min(sq, sm)), _words(list(m["bits"].iloc[j]), min(sq, sm))
+            n, a, digest = m["n"].to_numpy()[j], m["a"].to_numpy()[j], m["digest"].to_numpy()[j]
+            for k, own in zip(i, wq, strict=True):
+                apart = np.bitwise_count(wm ^ own).sum(axis=1, dtype=np.int64)
+                near = ((100 + percent) * apart <= (100 - percent) * (n + q["n"].iat[k])) & (a + q["a"].iat[k] < 0) & (digest != q["digest"].iat[k])
+                keep_q[k] |= near.any()
+                keep_m[j] |= near
+    return pd.concat((q[keep_q], m[keep_m]))[["leader", "qb", "mb", "query", "digest", "n", "w", "a"]]
+
+
 def _compare(rows: pd.DataFrame, percent: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, bytes]]]:
     """Links of the queries of two blocks that are not sure ones, counted, and a spanning part of them.
 
@@ -388,35 +440,37 @@ def _compare(rows: pd.DataFrame, percent: int) -> tuple[list[tuple[bytes, int]],
     return [(d, int(c)) for d, c in zip(qd, counts, strict=True) if c], edges
 
 
-def _comparisons(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """_compare() over rows sorted by their key; a key's rows may lie in several batches."""
-    def made(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        out = []
-        for rows in parts:
-            counts, edges = _compare(rows, percent)
-            out += [(d, None, c) for d, c in counts] + [(x, y, 0) for x, y in edges]
-        return pd.DataFrame(out, columns=["a", "b", "links"])
-
+def _by_key(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """work on the rows of each key (leader, qb, mb) of sorted rows; a key's rows may lie in several batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat((rest, b), ignore_index=True)
             key = b[["leader", "qb", "mb"]].to_numpy()
             new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))) if len(b) else np.empty(0, int)
-            yield made([b.iloc[lo:hi] for lo, hi in zip(new[:-1], new[1:], strict=True)])
+            if len(new) > 1:
+                yield pd.concat([work(b.iloc[lo:hi]) for lo, hi in zip(new[:-1], new[1:], strict=True)])
             rest = b.iloc[new[-1] :] if len(new) else None
         if rest is not None:
-            yield made([rest])
+            yield work(rest)
 
     return run
 
 
+def _compared(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        counts, edges = _compare(rows, percent)
+        return pd.DataFrame([(d, None, c) for d, c in counts] + [(x, y, 0) for x, y in edges], columns=["a", "b", "links"])
+
+    return made
+
+
 def _links(opened: DataFrame, sets: DataFrame, lead: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links of sets: how many rows other than its copies each set links with (digest, links), and edges (a, b) that span all links.
 
     Each pair of a query and a member is met once, in the member's own group. Sure links are counted from the
     members' values of ``a``, without the pairs, and all lead to the set of the group with the greatest ``a``; the
-    others come from comparisons of blocks.
+    others come from comparisons of blocks, first of a few bits of each set, then of what is left with whole sets.
     """
     value = F.col("a").alias("key")
     points = opened.where("member").groupBy("leader", value).agg(F.sum("w").alias("w")).unionAll(opened.select("leader", (-F.col("a")).alias("key")).distinct().withColumn("w", F.lit(0).cast("bigint")))
@@ -426,11 +480,12 @@ def _links(opened: DataFrame, sets: DataFrame, lead: DataFrame, percent: int, sc
     tops = opened.groupBy("leader").agg(F.max(F.struct("a", "digest")).alias("top"))
     star = opened.select("leader", "digest", "a").join(tops, "leader").where((F.col("a") + F.col("top.a") >= 0) & (F.col("digest") != F.col("top.digest"))).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"))
     keys = ["leader", "qb", "mb"]
-    blocks = scratch.keep(_block_pairs(opened, percent))
+    blocks = _block_pairs(opened, percent).join(sets.select("digest", "bits"), "digest").repartition(*keys).sortWithinPartitions(*keys)
+    blocks = scratch.keep(blocks.select(*keys, "query", "digest", "n", "w", "a", "bits").mapInPandas(_by_key(lambda rows: _able(rows, percent)), "leader bigint, qb bigint, mb bigint, query boolean, digest binary, n bigint, w bigint, a bigint"))
     differ = blocks.select("leader", "digest").distinct().join(sets.select("digest", "tokens"), "digest").join(lead, "leader")
     differ = differ.select("leader", "digest", F.array_except("tokens", "lt").alias("more"), F.array_except("lt", "tokens").alias("less"))
     dealt = blocks.join(differ, ["leader", "digest"]).repartition(*keys).sortWithinPartitions(*keys)
-    compared = scratch.keep(dealt.mapInPandas(_comparisons(percent), "a binary, b binary, links bigint"))
+    compared = scratch.keep(dealt.mapInPandas(_by_key(_compared(percent)), "a binary, b binary, links bigint"))
     scratch.drop(blocks, sets, lead)
     edges = star.unionAll(compared.where("b is not null").select("a", "b"))
     counts = sure.where("links > 0").unionAll(compared.where("b is null").select(F.col("a").alias("digest"), "links")).groupBy("digest").agg(F.sum("links").alias("links"))
