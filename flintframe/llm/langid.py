@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 14
-#: Labelled rows of each language that the model is fitted on, about, and languages at most.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 1500, 64
+#: Labelled rows of each language that the model is fitted on, about, and of all languages together, which share these alike.
+ROWS_PER_LANGUAGE, MOST_ROWS = 1500, 12_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 _letters: np.ndarray | None = None
@@ -21,8 +21,8 @@ _letters: np.ndarray | None = None
 def _is_letter(points: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(k).isalpha() for k in range(0x10000)), bool, 0x10000)
-    return _letters[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+        _letters = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+    return _letters[points]
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,15 +114,18 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model fitted on a hash sample of the labelled rows: about ROWS_PER_LANGUAGE of each of MOST_LANGUAGES languages.
+    """A model of every language in the labelled rows, fitted on a hash sample: about ROWS_PER_LANGUAGE rows of each,
+    fewer where all of them would be more than MOST_ROWS.
 
-    Only the samples' hashed grams reach the driver; how many rows is bounded by the two parameters.
+    Only the sample's hashed grams reach the driver (at most ``2 ** BITS`` a row), about MOST_ROWS rows at most. Null
+    texts and those without a letter teach nothing; repeated rows with the same id are drawn together.
     """
     labelled = docs.where(F.col(lang_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy(lang_col).count().collect()  # a row a language
     if not sizes:
         return Model([], np.zeros(1 << BITS, np.float32), np.zeros(((1 << BITS) + 1, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang_col], min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
+    wanted = min(ROWS_PER_LANGUAGE, MOST_ROWS / len(sizes))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang_col], min(1.0, wanted / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(1 << 30)) / (1 << 30)
     sample = labelled.where(draw < F.element_at(share, F.col(lang_col))).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
@@ -131,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             made = [grams(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "index": [i for i, _ in made], "tf": [t for _, t in made]})
 
-    rows = sample.mapInPandas(featured, "id string, lang string, index array<int>, tf array<float>").limit(2 * ROWS_PER_LANGUAGE * MOST_LANGUAGES).toPandas()
+    rows = sample.mapInPandas(featured, "id string, lang string, index array<int>, tf array<float>").toPandas()
     rows = rows.assign(n=[len(x) for x in rows["index"]]).sort_values(["id", "lang", "n"], kind="stable", na_position="first")
     return fit([(np.asarray(i, np.int64), np.asarray(t, np.float32), lang) for i, t, lang in zip(rows["index"], rows["tf"], rows["lang"], strict=True) if len(i)])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import sharding, urls
+from . import decontaminate, sharding, urls
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
@@ -55,4 +55,38 @@ placed AS (SELECT doc_id, (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR),
 SELECT doc_id, slot, owners[slot + 1]::INTEGER AS shard FROM placed, t"""
 
 
-ORACLES = {"op4_url_filters": url_filters, "op5_chat_format": chat_format, "op8_sharding": shards}
+def contamination() -> str:
+    said = lambda text: rf"regexp_extract_all(translate(coalesce({text}, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {said('text')} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {said('text')} AS w FROM benchmark),
+cut AS (SELECT item, w, least({decontaminate.WIDTH}, len(w)) AS n FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM cut)),
+each AS (SELECT k, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hits AS (SELECT k, i, n, item FROM each JOIN wins USING (n, win)),
+covered AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
+named AS (SELECT k, count(DISTINCT item) AS n_items, sha256(coalesce(string_agg(DISTINCT item, ',' ORDER BY item), '')) AS items FROM hits GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (k) LEFT JOIN named USING (k)"""
+
+
+def jaccard_join() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT k, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT k, count(*) AS n FROM sets GROUP BY k),
+both AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT x, y FROM both JOIN sizes p ON x = p.k JOIN sizes q ON y = q.k WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT k, k AS r FROM d UNION SELECT reach.k, y FROM reach JOIN links ON r = x),
+tops AS (SELECT reach.k, min(e.doc_id) AS component_id FROM reach JOIN d e ON r = e.k GROUP BY reach.k),
+degree AS (SELECT x AS k, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN sizes USING (k) LEFT JOIN tops USING (k) LEFT JOIN degree USING (k)"""
+
+
+ORACLES = {
+    "op4_url_filters": url_filters, "op5_chat_format": chat_format, "op6_decontamination": contamination,
+    "op8_sharding": shards, "op9_jaccard_join": jaccard_join,
+}

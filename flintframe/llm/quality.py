@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, durable, let, words
 
-#: Common words by language.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "ist", "nicht"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "pour"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "las", "por", "un", "con"],
-}
-BINS = sorted({w for ws in COMMON.values() for w in ws})
+#: Common words of a language: at most COMMON of those that a share LEAST_SHARE of its documents has, the most frequent
+#: first; longer words are no candidates. A language with fewer documents than LEAST_DOCS has no reference.
+COMMON, LEAST_SHARE, LONGEST, LEAST_DOCS = 12, 0.05, 12, 20
 #: Character classes in the order in which they are taken out of a text; what is left is the last class.
 CLASSES = [("lower", "[a-z]+"), ("space", WHITESPACE), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"), ("punct", "[\\x21-\\x7E]+"), ("letter", "\\p{L}+")]
 WINDOW = 5
@@ -40,8 +35,22 @@ def repeat_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(ws) < window, F.lit(0)).otherwise(let(let(F.transform(ws, lambda w: F.xxhash64(w)), keyed), covered))
 
 
-def profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with base counts, class counts (__c) and the common words (__b bins, __n counts)."""
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The common words of each language with LEAST_DOCS documents or more, lower-cased, from all documents (share of documents, then word)."""
+    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    short = F.filter(F.array_distinct(words(F.lower("text"))), lambda w: F.length(w) <= LONGEST)
+    said = own.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    often = said.join(sizes, "lang").where(F.col("n") >= LEAST_SHARE * F.col("docs"))  # one over LEAST_SHARE times a document's words, at most
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    found = {r["lang"]: [] for r in sizes.collect()}  # a row a language
+    for r in often.withColumn("rank", rank).where(F.col("rank") <= COMMON).orderBy("lang", "rank").collect():  # COMMON rows a language
+        found[r["lang"]].append(r["word"])
+    return found
+
+
+def profile(docs: DataFrame, bins: list[str], text_col: str = "text") -> DataFrame:
+    """docs without the text, with base counts, class counts (__c) and the common words (__b: numbers in bins, __n: counts)."""
     keep = [c for c in docs.columns if c != text_col]
     df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__t0"))
     df = df.withColumn("__w", words(F.col("__t0")))
@@ -50,7 +59,7 @@ def profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sizes = [F.length(f"__t{k}").cast("long") for k in range(len(CLASSES) + 1)]
     of = dict(zip([name for name, _ in CLASSES], range(len(CLASSES)), strict=True))
     lines = F.filter(F.split("__t0", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    spelled = [v for w in BINS for v in dict.fromkeys((w, w.capitalize()))]
+    spelled = [v for w in bins for v in dict.fromkeys((w, w.capitalize()))]
     df = df.select(
         *keep, "__w", F.size("__w").cast("long").alias("n_words"), (sizes[0] - (sizes[of["space"]] - sizes[of["space"] + 1])).alias("word_chars"),
         (sizes[of["symbol"]] - sizes[of["symbol"] + 1]).alias("n_symbols"),
@@ -60,27 +69,27 @@ def profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     df = df.withColumn("__d", F.array_distinct("__s")).withColumn("__at", F.transform("__d", lambda w: F.array_position("__s", w)))
     following = lambda i: F.coalesce(F.get("__at", i + 1), F.size("__s") + 1)
-    bins = F.array(*[F.lit(w) for w in BINS])
+    listed = F.array(*[F.lit(w) for w in bins]).cast("array<string>")
     return df.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat_words(F.col("__w")).cast("long").alias("n_repeat_words"), "__c",
-        F.transform("__d", lambda w: F.array_position(bins, w).cast("int") - 1).alias("__b"),
+        F.transform("__d", lambda w: F.array_position(listed, w).cast("int") - 1).alias("__b"),
         F.transform("__at", lambda p, i: (following(i) - p).cast("long")).alias("__n"),
     )
 
 
-def references(profiles: DataFrame, languages: list[str], lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references(profiles: DataFrame, languages: list[str], bins: list[str], lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """By language: shares of the character classes, and of each bin and all other words, over all its documents."""
     own = profiles.where(F.col(lang_col).isin(languages))
     size = len(CLASSES) + 1
     sums = [F.sum(F.get("__c", F.lit(k))).alias(f"c{k}") for k in range(size)] + [F.sum("n_words").alias("words")]
-    count = lambda k: F.sum(F.coalesce(F.get("__n", F.array_position("__b", F.lit(k)).cast("int") - 1), F.lit(0)))
-    sums += [count(k).alias(f"b{k}") for k in range(len(BINS))]
-    found = {}
-    for r in own.groupBy(lang_col).agg(*sums).collect():  # a row a language of the parameter
+    found, spoken = {}, {}
+    for r in own.select(lang_col, F.explode(F.arrays_zip("__b", "__n")).alias("x")).groupBy(lang_col, F.col("x.__b").alias("b")).agg(F.sum("x.__n").alias("n")).collect():  # a row a language and bin
+        spoken[r[lang_col], r["b"]] = r["n"]
+    for r in own.groupBy(lang_col).agg(*sums).collect():  # a row a language
         chars, said = sum(r[f"c{k}"] for k in range(size)), r["words"]
         if chars and said:
-            bins = [r[f"b{k}"] / said for k in range(len(BINS))]
-            found[r[lang_col]] = ([r[f"c{k}"] / chars for k in range(size)], [*bins, max(0.0, 1 - sum(bins))])
+            shares = [spoken.get((r[lang_col], k), 0) / said for k in range(len(bins))]
+            found[r[lang_col]] = ([r[f"c{k}"] / chars for k in range(size)], [*shares, max(0.0, 1 - sum(shares))])
     return found
 
 
@@ -108,23 +117,25 @@ def word_distance(bins: Column, counts: Column, said: Column, ref: list[float])
     return F.sqrt(F.greatest(F.lit(0.0), sums))
 
 
-def judge(docs: DataFrame, languages: list[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the text, with base counts, base_failed, ref_lang, class_distance, word_distance and kept.
 
     Base: words ``[^\\x20\\x09-\\x0D]+``, their code points, symbols, repeated lines, words in repeated 5-word windows;
     base_failed if there are under 10 words or over a fifth of them repeat. A null text has no words and fails.
 
-    References are the character-class and common-word histograms of all documents of each language (those in the
-    parameter; documents with another or no lang are judged, but no reference). A document goes by the language whose
-    two Jensen-Shannon distances (0 to 1) have the smallest sum. Distances are null, and not judged, for texts with
-    fewer than LEAST_CHARS characters (classes) or LEAST_WORDS words (words), or when there is no reference. kept is
-    false if base_failed or a distance is over its limit. Rows repeat as they come; an empty table stays empty; input
-    columns with the names of the new ones are replaced.
+    References are the character-class and common-word histograms of all documents of each language with LEAST_DOCS
+    documents or more; its common words are learned from them too. A document goes by the language whose two
+    Jensen-Shannon distances (0 to 1) have the smallest sum (of equal sums the first language). Distances are null,
+    and not judged, for texts with fewer than LEAST_CHARS characters (classes) or LEAST_WORDS words (words), and for
+    documents of a language that has no reference. kept is false if base_failed or a distance is over its limit. A
+    null lang is judged, but no reference. Rows repeat as they come; an empty table stays empty; input columns with
+    the names of the new ones are replaced.
     """
-    languages = sorted(COMMON) if languages is None else languages
+    common = common_words(docs, text_col, lang_col)
+    languages, bins = sorted(common), sorted({w for own in common.values() for w in own})
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ref_lang", "class_distance", "word_distance", "kept")
-    profiles = durable(profile(docs.drop(*[c for c in new if c in docs.columns]), text_col))
-    refs = references(profiles, languages, lang_col)
+    profiles = durable(profile(docs.drop(*[c for c in new if c in docs.columns]), bins, text_col))
+    refs = references(profiles, languages, bins, lang_col)
     keep = [c for c in profiles.columns if c not in new and not c.startswith("__")]
     chars = F.aggregate("__c", F.lit(0).cast("long"), lambda a, x: a + x)
     each = [
@@ -138,7 +149,8 @@ def judge(docs: DataFrame, languages: list[str] | None = None, text_col: str = "
     best = F.lit(None).cast("struct<sum:double,lang:string,c:double,w:double>")
     if each:
         order = lambda s: F.struct((F.coalesce(s["c"], F.lit(0.0)) + F.coalesce(s["w"], F.lit(0.0))).alias("sum"), s["lang"].alias("lang"), s["c"].alias("c"), s["w"].alias("w"))
-        best = F.array_min(F.transform(F.array(*each), order))
+        known = F.col(lang_col).isNull() | F.col(lang_col).isin(list(refs))
+        best = F.when(known, F.array_min(F.transform(F.array(*each), order)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = F.coalesce(F.col("__best.c") <= MOST_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("__best.w") <= MOST_WORD_DISTANCE, F.lit(True))
     return profiles.withColumn("__best", best).select(

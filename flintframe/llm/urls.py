@@ -48,16 +48,27 @@ def _tokens(text: str) -> list[str]:
 
 
 def host_rule(action: str, host: str, path: str, order: int = 0) -> Rule:
-    """A rule for a host, all its subdomains, and paths that start with path. The longest of these wins."""
+    """A rule for a host, all its subdomains, and paths that start with path. The longest of these wins.
+
+    It is held against host and path alone, so nothing after ``?`` or ``#`` counts.
+    """
     sure = path if re.search(_TOKEN_GAP + "$", path) else path[: len(path) - len((_tokens(path) or [""])[-1])]
     quoted = re.sub(r"([^0-9A-Za-z_/-])", r"\\\1", host + path)
-    return Rule(action, rf"^(?:[^/]*\.)?{quoted}" + ("" if path else r"(?:[/?#]|$)"), tuple(_tokens(host) + _tokens(sure)), f"{host}{path or '/'}", len(host + path), order)
+    return Rule(action, rf"^(?:[^/?#]*\.)?{quoted}" + ("" if path else r"(?:/|\z)"), tuple(_tokens(host) + _tokens(sure)), f"{host}{path or '/'}", len(host + path), order)
 
 
 def rules_of_contract() -> list[Rule]:
     return [host_rule(*r, order=k) for k, r in enumerate(HOST_RULES)] + [Rule(a, p, t, order=k) for k, (a, p, t) in enumerate(PATTERN_RULES, len(HOST_RULES))]
 
 
+def read_rules(table: DataFrame) -> list[Rule]:
+    """Host rules from the columns action, host and path of a table of at most MOST_RULES rows; a null path is every path."""
+    rows = table.select("action", "host", "path").distinct().orderBy("host", "path", "action").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules")
+    return [host_rule(r["action"], r["host"], r["path"] or "", order=k) for k, r in enumerate(rows) if r["host"]]
+
+
 def parts(url: Column) -> dict[str, Column]:
     """host, path and rest (from ? or #) of a URL; all empty for null or where there is no ``://``."""
     after = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
@@ -112,7 +123,8 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url
     found = F.flatten(F.transform("__tokens", lambda t: F.filter(F.get(index, F.pmod(F.crc32(t), F.lit(len(buckets))).cast("int")), lambda e: e["token"] == t)))
     if always:
         found = F.concat(found, F.from_json(F.lit(json.dumps(always)), f"array<{entry}>"))
-    fits = split.withColumn("__found", found).withColumn("__fits", F.filter("__found", lambda e: F.rlike("__target", e["pattern"])))
+    where = lambda e: F.when(e["name"].isNull(), F.col("__target")).otherwise(F.concat("__host", "__path"))
+    fits = split.withColumn("__found", found).withColumn("__fits", F.filter("__found", lambda e: F.rlike(where(e), e["pattern"])))
     best = F.array_max(F.transform(F.filter("__fits", lambda e: e["name"].isNotNull()), lambda e: F.struct(e["rank"].alias("r"), (-e["ord"]).alias("o"), e["name"].alias("name"), e["action"].alias("action"))))
     plain = F.filter("__fits", lambda e: e["name"].isNull())
     blocked = F.exists(plain, lambda e: e["action"] == "block") & ~F.exists(plain, lambda e: e["action"] == "allow")

@@ -1,9 +1,11 @@
 """Operators over documents against plain versions, on a small table and on hard cases."""
 
+import math
 import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +249,110 @@ def test_jaccard_groups_of_several_blocks(spark, monkeypatch):
     table = spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string")
     same(jaccard.join(table, 1, 85), brute.jaccard_components(rows + rows[:9], 1, 85))
     assert jaccard.join(table.limit(0)).isEmpty()
+
+
+def test_url_rules_stop_at_query_and_fragment(spark):
+    given = ["http://evil?x.com/en/", "https://x.org?r=y.net/de/", "http://a#b.com/en/", "http://a.com/en?/en/", "http://a.com/en/?x", "http://B.example.COM/en/71"]
+    out = {r.url: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame([(u,) for u in given], "url string")).collect()}
+    assert [out[u][0] for u in given] == [None, None, None, None, "com/en/", "example.com/en/7"]
+    assert out[given[-1]][1] == "allow" and out[given[-2]][1] == "block"
+    assert urls.judge(spark.createDataFrame([], "url string")).isEmpty()
+    long = "http://" + "a." * 20000 + "com/en/" + "x" * 50000
+    assert urls.judge(spark.createDataFrame([(long,)], "url string")).first().rule == "com/en/"
+
+
+def test_thousands_of_url_rules(spark):
+    rnd = random.Random(3)
+    names = [f"{rnd.choice('abc')}{k}" for k in range(40)]
+    table = spark.createDataFrame([(rnd.choice(["block", "allow"]), ".".join(rnd.choices(names, k=rnd.randrange(1, 3))) + rnd.choice([".com", ".org"]), rnd.choice(["", "/", f"/{rnd.choice(names)}", f"/{rnd.choice(names)}/"])) for _ in range(3000)], "action string, host string, path string")
+    rules = urls.read_rules(table)
+    given = [f"http://{'.'.join(rnd.choices(names, k=rnd.randrange(1, 4)))}{rnd.choice(['.com', '.org'])}{rnd.choice(['', '/', '/' + rnd.choice(names), '/' + rnd.choice(names) + '/x'])}" for _ in range(150)]
+    best = {}
+    for u in given:
+        host, _, path = u[7:].partition("/")
+        path = "/" + path if "/" in u[7:] else ""
+        fits = [(len(r.name[:-1] if r.pattern.endswith(r"(?:/|\z)") else r.name), -r.order, r.action) for r in rules for h, p in [(r.name.partition("/")[0], "" if r.pattern.endswith(r"(?:/|\z)") else "/" + r.name.partition("/")[2])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best[u] = max(fits)[2] if fits else "allow"
+    out = urls.judge(spark.createDataFrame([(u,) for u in given], "url string"), rules).collect()
+    assert {r.url: r.verdict for r in out} == best and max(r.n_candidates for r in out) < 1500
+
+
+def test_language_of_symbols_alone(spark):
+    model = langid.train(spark.createDataFrame([(k, "der die das und" if k % 2 else "the and of it", "de" if k % 2 else "en") for k in range(40)], "doc_id bigint, text string, lang string"))
+    texts = ["😀😀 😀", "𝟙𝟚 🜀", "𐐀𐐁", "the", None]
+    out = [r.lang_pred for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()]
+    assert out[:2] == ["und", "und"] and "und" not in out[2:4] and out[4] == "und"
+
+
+def test_language_steps():
+    rnd = np.random.default_rng(2)
+    examples = [(np.sort(rnd.choice(30, 6, replace=False)), rnd.random(6).astype(np.float32) + 0.5, "abc"[k % 3]) for k in range(9)]
+    model = langid.fit(examples)
+    size = 1 << langid.BITS
+    z, n = np.zeros((size + 1, 3)), np.zeros((size + 1, 3))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= langid.L1:
+            return 0.0
+        return -(z[i, c] - math.copysign(langid.L1, z[i, c])) / ((langid.BETA + math.sqrt(n[i, c])) / langid.ALPHA + langid.L2)
+
+    df = {i: sum(i in ex[0] for ex in examples) for i in range(30)}
+    idf = {i: math.log((1 + len(examples)) / (1 + d)) + 1 for i, d in df.items()}
+    for _ in range(langid.EPOCHS):
+        for k in np.random.default_rng(0).permutation(len(examples)):
+            index, tf, lang = examples[k]
+            x = [float(t) * idf[int(i)] for i, t in zip(index, tf)]
+            norm = math.sqrt(sum(v * v for v in x))
+            own = [(int(i), v / norm) for i, v in zip(index, x)] + [(size, 1.0)]
+            logits = [sum(v * weight(i, c) for i, v in own) for c in range(3)]
+            p = [math.exp(v) / sum(math.exp(u) for u in logits) for v in logits]
+            step = [(i, c, v * (p[c] - ("abc"[c] == lang)), weight(i, c)) for i, v in own for c in range(3)]
+            for i, c, g, w in step:
+                s = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / langid.ALPHA
+                z[i, c] += g - s * w
+                n[i, c] += g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in [*range(30), size]])
+    assert np.allclose(model.weights[[*range(30), size]], want, atol=1e-4)
+    losses = lambda t: -sum(math.log(max(langid._softmax(model.logits(i, f).astype(float) / t)["abc".index(y)], 1e-12)) for i, f, y in examples)
+    assert losses(model.temperature) <= min(losses(t) for t in np.geomspace(0.02, 20, 61)) + 1e-9
+
+
+def test_quality_learns_its_languages(spark):
+    polish = "w na nie to się z do jest że jak po co ale tak za od czy rzeka kamień dom droga".split()
+    english = "the of and to in is that stone river house walking bright".split()
+    rows = [(k, " ".join(random.Random(k).choices(polish, k=130)), "pl") for k in range(40)] + [(100 + k, " ".join(random.Random(k).choices(english, k=130)), "en") for k in range(40)]
+    rare = [(200, " ".join(random.Random(1).choices("zqa zqb zqc zqd zqe zqf zqg".split(), k=300)), "xx")]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows + rare, "doc_id int, text string, lang string").withColumn("kept", F.lit("clash"))).collect()}
+    assert all(out[k].ref_lang == "pl" and (out[k].kept or out[k].base_failed) for k in range(40))
+    assert all(out[100 + k].ref_lang == "en" for k in range(40)) and out[200].ref_lang is None and out[200].kept == (not out[200].base_failed)
+    none = quality.judge(spark.createDataFrame([], "doc_id int, text string, lang string"))
+    assert none.isEmpty() and none.columns == quality.judge(spark.createDataFrame(rare, "doc_id int, text string, lang string")).columns
+
+
+def test_mixing_against_a_plain_list(spark, docs):
+    weights, size = {"src1": 2.0, "src2": 1.0, "b": 1.0, "*": 0.5}, 3
+    keyed = docs.select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id", "source").alias("h")).collect()
+    lists = {}
+    for r in keyed:
+        lists.setdefault(r.source if r.source in weights else "*", []).append((r.h, r.doc_id is not None, r.doc_id or 0))
+    blocks = {s: -(-len(own) // size) for s, own in lists.items()}
+    slot, slots, done = 0, {s: [] for s in lists}, 0
+    while any(blocks.values()):  # a phase: sources with blocks left, each block within its window, the nearest deadline first
+        live = sorted(s for s in blocks if blocks[s])
+        share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in live) for s in live}
+        at = dict.fromkeys(live, 0)
+        start = slot
+        while all(blocks[s] for s in live):
+            t = slot - start
+            open_ = [(math.ceil((at[s] + 1) / share[s]), s) for s in live if math.floor(at[s] / share[s]) <= t]
+            s = min(open_)[1]
+            slots[s].append(slot)
+            at[s] += 1
+            blocks[s] -= 1
+            slot += 1
+    got = {}
+    for r in mixing.mix(docs, weights, block_rows=size).collect():
+        got.setdefault(r.mix_source, []).append((r.position, r.doc_id))
+        assert r.slot == slots[r.mix_source][r.block] and r.position // size == r.slot
+    for s, own in lists.items():
+        assert [d if d is None else d for _, d in sorted(got[s], key=lambda x: x[0])] == [d if has else None for _, has, d in sorted(own)]

@@ -100,3 +100,32 @@ def test_held_out_rows(spark):
     assert len(yes) > 20 and len(no) > 20
     better = sum((a > b) + (a == b) / 2 for a in yes for b in no)
     assert better >= 0.9 * len(yes) * len(no)
+
+
+def test_votes_and_calibration():
+    index, _, _, _ = made_index(5)
+    docs, scores = np.asarray([0, 3, 7]), np.asarray([1.0, 0.5, 0.2])
+    w = [1 / 0.05, 1 / 0.55, 1 / 0.85]
+    assert abs(index.vote(docs, scores) - sum(a * index.labels[d] for a, d in zip(w, docs)) / sum(w)) < 1e-12
+    assert index.vote(docs[:0], scores[:0]) is None
+    rnd = np.random.default_rng(4)
+    v = rnd.random(200)
+    y = (rnd.random(200) < v**2).astype(int)
+    weight = np.where(y == 1, 2.0, 5.0)
+    a, b = toxicity.calibrated(v, y, weight)
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * v + b)))
+        return -(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum() + 0.5e-2 * ((a - 8) ** 2 + (b + 4) ** 2)
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
+def test_a_copy_of_a_toxic_example_is_near_it(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, texts[3])], "doc_id bigint, text string")
+    index = toxicity.train(docs, spark.createDataFrame([(k, int(k < 8)) for k in range(60)], "doc_id bigint, toxic int"))
+    assert index.score(texts[3])[2][0]["id"] == "3" and index.score(texts[3])[2][0]["similarity"] > 1 - 1e-6
