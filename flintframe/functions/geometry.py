@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import polygons as kernels
+
 
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _apart(p: Column) -> tuple[Column, Column]:
+    return F.transform(p, lambda v: v["x"].cast("int")), F.transform(p, lambda v: v["y"].cast("int"))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
@@ -73,13 +79,8 @@ def technical(p: Column) -> Column:
 
 
 def longest_chord(p: Column) -> Column:
-    """d2, i, j of the farthest pair of vertices; among equals the first in pair order."""
-    def from_i(u: Column, i: Column) -> Column:
-        rest = F.slice(p, i + 1, F.size(p) - i)
-        d2 = F.transform(rest, lambda v, k: F.struct((F.pow((u["x"] - v["x"]).cast("double"), F.lit(2)) + F.pow((u["y"] - v["y"]).cast("double"), F.lit(2))).alias("d2"), (-i).alias("mi"), (-(i + k)).alias("mj")))
-        return F.array_max(d2)
-
-    return _let(F.array_max(F.transform(p, from_i)), lambda m: F.struct(m["d2"].alias("d2"), (-m["mi"]).alias("i"), (-m["mj"]).alias("j")))
+    """d2, i, j of the farthest pair of vertices; among equals the first in pair order. In Arrow batches, over hull corners."""
+    return kernels.chord_of(*_apart(p))
 
 
 def max_dimensions(p: Column) -> Column:
@@ -107,26 +108,24 @@ def contains(p: Column, x: Column, y: Column) -> Column:
 
 
 def hull(p: Column) -> Column:
-    """Convex hull of the points, counter-clockwise from the least (x, y): both halves are a fold over sorted points."""
-    def turn(acc: Column, v: Column) -> Column:
-        """acc without the end vertices that make no left turn to v, then v: the longest prefix that turns left."""
-        fine = F.filter(F.sequence(F.lit(1), F.size(acc)), lambda k: (k == 1) | (_area2(F.get(acc, k - 2), F.get(acc, k - 1), v) > 0))
-        return F.concat(F.slice(acc, F.lit(1), F.coalesce(F.array_max(fine), F.lit(0))), F.array(v))
+    """Convex hull of the points, counter-clockwise from the least (x, y), in Arrow batches."""
+    return kernels.hull_of(*_apart(p))
+
 
-    kind = F.expr("cast(array() as array<struct<x:int,y:int>>)")
-    half = lambda points: F.aggregate(points, kind, lambda acc, v: F.when(F.size(acc) == 0, F.array(v)).otherwise(turn(acc, v)))
-    ordered = F.array_sort(F.array_distinct(F.transform(p, lambda v: F.struct(v["x"].cast("int").alias("x"), v["y"].cast("int").alias("y")))))
+def halves(p: Column, x: Column, y: Column) -> Column:
+    """top_area, bottom_area, left_area and right_area: filled pixels on the sides of the truncated (x, y)."""
+    return kernels.halves_of(*_apart(p), x.cast("int"), y.cast("int"))
 
-    def both(points: Column) -> Column:
-        lower, upper = half(points), half(F.reverse(points))
-        trim = lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
-        return F.when(F.size(points) < 3, points).otherwise(F.concat(trim(lower), trim(upper)))
 
-    return _let(ordered, both)
+def arrow(p: Column, least: Column, low: float, high: float) -> Column:
+    """The arrow of a contour (arrow_angle null if none), within limits min_area, min_depth and min_height and of solidity."""
+    return kernels.arrow_of(*_apart(p), least, F.lit(low), F.lit(high))
 
 
-def _area2(a: Column, b: Column, c: Column) -> Column:
-    return (b["x"] - a["x"]).cast("bigint") * (c["y"] - a["y"]) - (b["y"] - a["y"]).cast("bigint") * (c["x"] - a["x"])
+def site_cells(p: Column, sites: Column) -> Column:
+    """site_id, area and shared_edges of the parts of a contour nearest to each of the sites (site_id, sx, sy)."""
+    of = lambda c, kind: F.transform(sites, lambda s: s[c].cast(kind))
+    return kernels.cells_of(*_apart(p), of("site_id", "bigint"), of("sx", "double"), of("sy", "double"))
 
 
 def solidity(p: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 REFERENCE_DPI = 300.0
-LEAST_SIDE = 5
 
 
 def thresholds(dpi: Column) -> Column:
@@ -18,32 +17,6 @@ def thresholds(dpi: Column) -> Column:
     return F.struct(one(1, s * s * 0.7).alias("min_area"), one(2, 2 * s * 0.8).alias("min_depth"), one(8, 8 * s * 0.8).alias("min_height"))
 
 
-def defects(p: Column) -> Column:
-    """depth (in 1/256 px) and place of the farthest vertex between each two following hull vertices, deepest first."""
-    def between(marks: Column) -> Column:
-        def one(i: Column, k: Column) -> Column:
-            j = F.get(marks, (k + 1) % F.size(marks))
-            a, b = F.get(p, i), F.get(p, j)
-            span = F.pmod(j - i, F.size(p))
-            length = F.sqrt(F.pow((b["x"] - a["x"]).cast("double"), F.lit(2)) + F.pow((b["y"] - a["y"]).cast("double"), F.lit(2)))
-
-            def depth(step: Column) -> Column:
-                v = F.get(p, (i + step) % F.size(p))
-                off = F.abs((b["x"] - a["x"]).cast("double") * (v["y"] - a["y"]) - (b["y"] - a["y"]).cast("double") * (v["x"] - a["x"]))
-                return F.struct((F.floor(off / length * 256) / 256).alias("depth"), (-((i + step) % F.size(p))).alias("minus"))
-
-            return F.when((span > 1) & (length > 0), F.array_max(F.transform(F.sequence(F.lit(1), span - 1), depth)))
-
-        found = F.filter(F.transform(marks, one), lambda d: d.isNotNull())
-        return F.reverse(F.array_sort(found))
-
-    def marked(h: Column) -> Column:
-        on = F.filter(F.transform(p, lambda v, i: F.when(F.array_contains(h, F.struct(v["x"].cast("int").alias("x"), v["y"].cast("int").alias("y"))), i)), lambda i: i.isNotNull())
-        return F.get(F.transform(F.array(on), between), F.lit(0))
-
-    return F.get(F.transform(F.array(G.hull(p)), marked), F.lit(0))
-
-
 def detect(contours: DataFrame, dpi: Column | None = None, solidity: tuple[float, float] = (0.4, 1.0)) -> DataFrame:
     """contours with has_arrow, arrow_angle, tip and back points, triangle base and height, and solidity of both sides.
 
@@ -51,32 +24,11 @@ def detect(contours: DataFrame, dpi: Column | None = None, solidity: tuple[float
     tie) are the shaft; the tip is the vertex of the other side farthest from the middle of the base.
     """
     t = thresholds(F.lit(None).cast("double") if dpi is None else dpi)
-    df = contours.withColumn("__t", t).withColumn("__area", G.area(F.col("contour"))).withColumn("__sol", G.solidity(F.col("contour")))
-    fine = (F.col("__area") >= F.col("__t.min_area")) & F.col("__sol").between(*solidity) & (F.size("contour") >= 3)
-    df = df.withColumn("__def", F.when(fine, F.filter(defects(F.col("contour")), lambda d: d["depth"] > F.col("__t.min_depth"))))
-    point = lambda k: F.get("contour", -F.get("__def", F.lit(k))["minus"])
-    df = df.withColumn("__a", F.when(F.size("__def") >= 2, point(0))).withColumn("__b", F.when(F.size("__def") >= 2, point(1)))
-    mid = F.struct(F.floor((F.col("__a.x") + F.col("__b.x")) / 2).cast("int").alias("x"), F.floor((F.col("__a.y") + F.col("__b.y")) / 2).cast("int").alias("y"))
-    df = df.withColumn("__mid", F.when(F.col("__a").isNotNull(), mid))
-    side = lambda v: (v["x"] - F.col("__mid.x")) * -(F.col("__b.y") - F.col("__a.y")) + (v["y"] - F.col("__mid.y")) * (F.col("__b.x") - F.col("__a.x"))
-    df = df.withColumn("__one", F.filter("contour", lambda v: side(v) > 0)).withColumn("__two", F.filter("contour", lambda v: side(v) <= 0))
-    enough = F.col("__mid").isNotNull() & (F.size("__one") >= LEAST_SIDE) & (F.size("__two") >= LEAST_SIDE)
-    solid = lambda c: F.coalesce(G.solidity(F.col(c)), F.lit(0.0))
-    df = df.withColumn("__s1", F.when(enough, solid("__one"))).withColumn("__s2", F.when(enough, solid("__two")))
-    df = df.withColumn("__tips", F.when(F.col("__s1") > F.col("__s2"), F.col("__two")).otherwise(F.col("__one")))
-    d2 = lambda v: F.pow((v["x"] - F.col("__mid.x")).cast("double"), F.lit(2)) + F.pow((v["y"] - F.col("__mid.y")).cast("double"), F.lit(2))
-    far = F.array_max(F.transform("__tips", lambda v, i: F.struct(d2(v).alias("d2"), (-i).alias("minus"), v["x"].alias("x"), v["y"].alias("y"))))
-    df = df.withColumn("__tip", F.when(enough, far))
-    height = F.sqrt("__tip.d2")
-    ok = F.coalesce(height >= F.col("__t.min_height"), F.lit(False))
-    turn = F.pmod(F.degrees(F.atan2((F.col("__mid.y") - F.col("__tip.y")).cast("double"), (F.col("__mid.x") - F.col("__tip.x")).cast("double"))), F.lit(360.0))
-    compass = F.pmod(270 + turn, F.lit(360.0))
-    base = F.sqrt(F.pow((F.col("__a.x") - F.col("__b.x")).cast("double"), F.lit(2)) + F.pow((F.col("__a.y") - F.col("__b.y")).cast("double"), F.lit(2)))
-    keep = lambda c: F.when(ok, c)
-    return df.select(
-        *contours.columns, ok.alias("has_arrow"), keep(F.bround(F.bround(compass, 1), 0)).alias("arrow_angle"), keep(F.struct("__tip.x", "__tip.y")).alias("arrow_tip"), keep(F.col("__mid")).alias("arrow_back"),
-        keep(base).alias("triangle_base_length"), keep(height).alias("triangle_height"), keep(F.greatest("__s1", "__s2")).alias("shaft_solidity"), keep(F.least("__s1", "__s2")).alias("tip_solidity"),
-    )
+    found = G.arrow(F.col("contour"), t, *solidity)
+    df = contours.withColumn("__a", found)
+    ok = F.col("__a.arrow_angle").isNotNull()
+    point = lambda of: F.when(ok, F.struct(*[F.col(f"__a.{of}_{c}").cast("int").alias(c) for c in "xy"])).alias(f"arrow_{of}")
+    return df.select(*contours.columns, ok.alias("has_arrow"), "__a.arrow_angle", point("tip"), point("back"), "__a.triangle_base_length", "__a.triangle_height", "__a.shaft_solidity", "__a.tip_solidity")
 
 
 def merge_nested(scars: DataFrame, arrows: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW_CONFIDENCE = 0.8
-#: Labels that are not the field name in words.
-LABELS = {"voronoi_num_cells": "Voronoi cells"}
+#: Labels that are not the field name in words, and the fields measured as lengths and as areas.
+LABELS = {"image_id": "Image ID", "centroid_x": "Centroid X", "centroid_y": "Centroid Y", "voronoi_num_cells": "Voronoi cells"}
 LINEAR_FIELDS = ("centroid_x", "centroid_y", "technical_width", "technical_length", "max_width", "max_length", "perimeter", "distance_to_max_width", "convex_hull_width", "convex_hull_height")
 AREA_FIELDS = ("total_area", "voronoi_cell_area", "convex_hull_area", "top_area", "bottom_area", "left_area", "right_area", "cortex_area")
 
@@ -111,7 +111,7 @@ def dpi_counts(manifest: DataFrame) -> DataFrame:
 
 def label(value: Column) -> Column:
     """A display label: curated, else blanks for underscores, the first letter upper and the rest lower."""
-    plain = F.replace(value, F.lit("_"), F.lit(" "))
+    plain = F.trim(F.replace(value, F.lit("_"), F.lit(" ")))
     out = F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1 << 30)))
     for name, text in LABELS.items():
         out = F.when(value == name, text).otherwise(out)

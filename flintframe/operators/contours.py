@@ -37,6 +37,16 @@ def levels(contours: DataFrame) -> DataFrame:
     return joined.select(*contours.columns, level.alias("level"))
 
 
+def labelled(leveled: DataFrame) -> DataFrame:
+    """Parents and children with record (``parent N``, ``child N`` in the image) and parent_record (``Unknown`` without one)."""
+    own = leveled.where("level <> 'nested'")
+    n = F.row_number().over(Window.partitionBy("image_id", F.col("level") == "parent").orderBy("contour_id"))
+    named = own.withColumn("record", F.concat_ws(" ", F.when(F.col("level") == "parent", "parent").otherwise("child"), n))
+    up = named.select("image_id", F.col("contour_id").alias("parent_contour_id"), F.col("record").alias("__up"))
+    parent = F.when(F.col("level") == "parent", F.col("record")).otherwise(F.coalesce("__up", F.lit("Unknown")))
+    return named.join(up, ["image_id", "parent_contour_id"], "left").select(*leveled.columns, "record", parent.alias("parent_record"))
+
+
 def promote_nested(leveled: DataFrame) -> DataFrame:
     """Nested contours as children in images that have nested ones but no children."""
     w = Window.partitionBy("image_id")

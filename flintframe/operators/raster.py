@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from ..functions import rasters
+from ..options import Options
 
-#: Weights of the five-tap blur.
-GAUSS5 = (0.0625, 0.25, 0.375, 0.25, 0.0625)
+GAUSS5 = rasters.SMALL[5]
+TEXTURE = ("stippling_density", "texture_variance", "edge_density")
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).cast("int")
 
 
+def _each(pixels: DataFrame, step: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
+    """step over each image as an array: one shuffle by image, whatever the step looks at."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy() - rows["y"].min(), rows["x"].to_numpy() - rows["x"].min()
+        a = np.zeros((y.max() + 1, x.max() + 1), rows["v"].dtype)
+        a[y, x] = rows["v"]
+        return rows.assign(v=step(a)[y, x])[["image_id", "y", "x", "v"]]
+
+    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInPandas(run, f"image_id string, y int, x int, v {kind}")
+
+
 def normalise(pixels: DataFrame, method: str = "minmax", low: int = 0, high: int = 255) -> DataFrame:
     """Values stretched to [low, high] by the image's extremes, or in deviations from its mean; other methods fail."""
-    w = Window.partitionBy("image_id")
-    v = F.col("v").cast("double")
     if method == "minmax":
-        ends = pixels.withColumn("__lo", F.min("v").over(w)).withColumn("__hi", F.max("v").over(w))
-        span = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0))
-        return ends.select("image_id", "y", "x", F.coalesce(F.floor(low + (F.col("v") - F.col("__lo")) * float(high - low) / span + 0.5), F.lit(low)).cast("int").alias("v"))
+        return _each(pixels, lambda a: rasters.stretched(a, low, high))
     if method == "zscore":
-        parts = pixels.withColumn("__m", F.avg(v).over(w)).withColumn("__s", F.stddev_pop(v).over(w))
-        return parts.select("image_id", "y", "x", F.coalesce((v - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.lit(0.0)).alias("v"))
+        return _each(pixels, rasters.deviations, "double")
     raise ValueError(f"unknown normalisation {method}")
 
 
-def _line(pixels: DataFrame, line: str, along: str, value: Column, weights: tuple[float, ...]) -> Column:
-    """Weighted sum over neighbours along a line, mirrored at its ends without the end itself."""
-    w = Window.partitionBy("image_id", line).orderBy(along)
-    half = len(weights) // 2
-    total = value * weights[half]
-    for k in range(1, half + 1):
-        back, on = F.lag(value, k).over(w), F.lead(value, k).over(w)
-        total = total + F.coalesce(back, on, value) * weights[half - k] + F.coalesce(on, back, value) * weights[half + k]
-    return total
+def equalise(pixels: DataFrame, tiles: int = 8, clip: float = 2.0) -> DataFrame:
+    """Local contrast by clipped histograms of tiles."""
+    return _each(pixels, lambda a: rasters.equalised(a, tiles, clip))
 
 
 def blur(pixels: DataFrame, weights: tuple[float, ...] = GAUSS5) -> DataFrame:
-    """Separable blur: along rows, then along columns. Images must be wider and higher than half the weights."""
-    across = pixels.select("image_id", "y", "x", _line(pixels, "y", "x", F.col("v").cast("double"), weights).alias("v"))
-    return across.select("image_id", "y", "x", _line(across, "x", "y", F.col("v"), weights).alias("v"))
+    """Separable blur: along rows, then along columns, mirrored at the frame without the frame itself."""
+    return _each(pixels, lambda a: rasters.blurred(a, weights), "double")
 
 
 def rounded(pixels: DataFrame) -> DataFrame:
@@ -70,25 +74,16 @@ def threshold_otsu(pixels: DataFrame, most: int = 255) -> DataFrame:
 
 def threshold_adaptive(pixels: DataFrame, weights: tuple[float, ...] = GAUSS5, offset: float = 2.0, most: int = 255) -> DataFrame:
     """Pixels above their weighted local mean less the offset."""
-    mean = blur(pixels, weights).withColumnRenamed("v", "__m")
-    return pixels.join(mean, ["image_id", "y", "x"]).withColumn("v", F.when(F.col("v") > F.col("__m") - offset, most).otherwise(0)).drop("__m")
+    return _each(pixels, lambda a: np.where(a > rasters.blurred(a, weights) - offset, most, 0))
 
 
 def invert(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("v", 255 - F.col("v"))
 
 
-def _spread(pixels: DataFrame, pick, size: int, flip: bool) -> DataFrame:
-    lo, hi = -(size // 2), size - 1 - size // 2
-    lo, hi = (-hi, -lo) if flip else (lo, hi)
-    for line, along in (("y", "x"), ("x", "y")):
-        pixels = pixels.withColumn("v", pick("v").over(Window.partitionBy("image_id", line).orderBy(along).rowsBetween(lo, hi)))
-    return pixels
-
-
 def close(pixels: DataFrame, size: int = 3) -> DataFrame:
     """Dilation, then erosion, with a square of this size."""
-    return _spread(_spread(pixels, F.max, size, False), F.min, size, True)
+    return _each(pixels, lambda a: rasters.closed(a, size))
 
 
 def dpi_scale(dpi: Column, reference: float = 300.0, mode: str = "conservative", most: float = 3.0, enabled: bool = True) -> Column:
@@ -107,19 +102,64 @@ def odd_kernel(size: Column) -> Column:
     return F.when(whole % 2 == 0, whole + 1).otherwise(whole)
 
 
-def preprocess(pixels: DataFrame, closing: int = 3) -> DataFrame:
-    """Stretch, blur, Otsu threshold, inversion and closing in turn."""
-    return close(invert(threshold_otsu(rounded(blur(normalise(pixels))))), closing)
+def preprocess(pixels: DataFrame, options: Options | None = None, dpi: float | None = None) -> DataFrame:
+    """Contrast, blur, threshold, inversion and closing in turn, by the options (and a resolution), in one pass an image."""
+    o = options or Options()
+    return _each(pixels, lambda a: rasters.binarised(a, dpi, o.preprocessing, o.dpi).astype(int))
 
 
 def regions(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """image_id, y, x, root for set pixels (v > 0): the component's first pixel as (y, x) in 32 + 32 bits."""
-    key = F.col("y").cast("bigint") * (1 << 32) + F.col("x")
-    on = pixels.where(F.col("v") > 0).select("image_id", "y", "x", key.alias("node"))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    to = on.select("image_id", F.col("node").alias("a"), F.explode(F.array(*[(F.col("y") + dy).cast("bigint") * (1 << 32) + F.col("x") + dx for dy, dx in steps])).alias("b"))
-    links = to.join(on.select("image_id", F.col("node").alias("b")), ["image_id", "b"])
-    return on.join(connected_components(on, links, ["image_id"]), ["image_id", "node"]).select("image_id", "y", "x", "root")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = rows["y"].min(), rows["x"].min()
+        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        on = np.zeros((y.max() + 1, x.max() + 1), bool)
+        on[y, x] = True
+        number = rasters.labels(on, eight)
+        at = rasters._first(number)
+        root = (at // on.shape[1] + y0).astype(np.int64) * (1 << 32) + at % on.shape[1] + x0
+        return rows.assign(root=root[number[y, x] - 1])
+
+    return pixels.where(F.col("v") > 0).select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, "image_id string, y int, x int, root bigint")
+
+
+OUTLINES = "image_id string, contour_id bigint, parent_contour_id bigint, contour array<struct<x:int,y:int>>, width int, height int"
+
+
+def _outlined(image_id: str, a: np.ndarray) -> pd.DataFrame:
+    found = rasters.outlines(a > 0)
+    return pd.DataFrame({
+        "image_id": image_id, "contour_id": np.arange(len(found)), "parent_contour_id": pd.array([p for p, _ in found], "Int64"),
+        "contour": pd.Series([[{"x": int(x), "y": int(y)} for x, y in c] for _, c in found], dtype=object), "width": a.shape[1], "height": a.shape[0]})
+
+
+def outlines(pixels: DataFrame) -> DataFrame:
+    """Contours of a binary image with their nesting: image_id, contour_id, parent_contour_id, contour (corners), width, height.
+
+    Outer contours run along components of eight neighbours, inner ones around each of their holes; both lie on set
+    pixels. Ids are in order of the first pixel of the component or hole.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1), np.uint8)
+        a[rows["y"], rows["x"]] = rows["v"] > 0
+        return _outlined(rows["image_id"].iloc[0], a)
+
+    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInPandas(run, OUTLINES)
+
+
+def textures(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
+    """polygons (image_id, contour_id, contour) with stippling_density, texture_variance and edge_density of their pixels in the image."""
+    def run(rows: pd.DataFrame, shapes: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(shapes):
+            return pd.DataFrame(columns=["image_id", "contour_id", *TEXTURE])
+        a = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1), int)
+        a[rows["y"], rows["x"]] = rows["v"]
+        made = [rasters.texture(a, list(zip(x, y, strict=True))) for x, y in zip(shapes["xs"], shapes["ys"], strict=True)]
+        return pd.concat((shapes[["image_id", "contour_id"]].reset_index(drop=True), pd.DataFrame(made, columns=list(TEXTURE))), axis=1)
+
+    apart = polygons.select("image_id", "contour_id", F.transform("contour", lambda v: v["x"]).alias("xs"), F.transform("contour", lambda v: v["y"]).alias("ys"))
+    left = pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id")
+    return left.cogroup(apart.groupBy("image_id")).applyInPandas(run, "image_id string, contour_id bigint, " + ", ".join(f"{c} double" for c in TEXTURE))
 
 
 def region_tree(pixels: DataFrame) -> DataFrame:
@@ -138,8 +178,8 @@ def region_tree(pixels: DataFrame) -> DataFrame:
     back = regions(shifted.withColumn("v", F.when(F.col("v") > 0, 0).otherwise(1)), False).withColumn("hole", F.lit(True))
     every = fore.unionByName(back)
     first = every.groupBy("image_id", "root", "hole").agg(F.count(F.lit(1)).alias("area"), F.min(F.struct("y", "x")).alias("p"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-    around = every.select("image_id", F.col("y").alias("ay"), (F.col("x") + 1).alias("ax"), F.col("root").alias("parent_root"), F.col("hole").alias("__h"))
-    held = first.join(around, (first["image_id"] == around["image_id"]) & (F.col("p.y") == F.col("ay")) & (F.col("p.x") == F.col("ax")) & (first["hole"] != F.col("__h")), "left").drop(around["image_id"])
+    around = every.select(F.col("image_id").alias("__of"), F.col("y").alias("ay"), (F.col("x") + 1).alias("ax"), F.col("root").alias("parent_root"), F.col("hole").alias("__h"))
+    held = first.join(around, (F.col("image_id") == F.col("__of")) & (F.col("p.y") == F.col("ay")) & (F.col("p.x") == F.col("ax")) & (F.col("hole") != F.col("__h")), "left").drop("__of")
     frame = held.where(F.col("hole") & F.col("parent_root").isNull()).select("image_id", F.col("root").alias("parent_root"), F.lit(True).alias("__frame"))
     tree = held.where(F.col("parent_root").isNotNull()).join(frame, ["image_id", "parent_root"], "left")
     less = lambda c: (F.col(c) - 1).alias(c)
@@ -157,3 +197,13 @@ def texture_variance(pixels: DataFrame) -> DataFrame:
     """By image: population variance of the blurred values; 0 if it is five pixels or less either way."""
     spread = rounded(blur(pixels)).groupBy("image_id").agg(F.var_pop("v").alias("s"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
     return spread.select("image_id", F.when((F.col("w") <= 5) | (F.col("h") <= 5), 0.0).otherwise(F.col("s")).alias("texture_variance"))
+
+
+def edges(pixels: DataFrame, low: float = 50, high: float = 150) -> DataFrame:
+    """Pixels on edges as 255, others 0: greatest across the edge and over high, or over low and joined to such."""
+    return _each(pixels, lambda a: np.where(rasters.canny(a, low, high), 255, 0))
+
+
+def edge_density(pixels: DataFrame) -> DataFrame:
+    """By image: share of edge pixels."""
+    return edges(pixels).groupBy("image_id").agg((F.count_if(F.col("v") > 0) / F.count(F.lit(1))).alias("edge_density"))

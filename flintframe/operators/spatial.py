@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import rasters
 
 BORDER_DISTANCE = 10.0
 
@@ -147,11 +150,53 @@ def cell_summary(labelled: DataFrame, step: int = 1) -> DataFrame:
     return size.join(touching, ["image_id", "site_id"], "left").fillna(0, ["shared_edges"])
 
 
+def outline_cells(outlines: DataFrame, sites: DataFrame) -> DataFrame:
+    """image_id, site_id, area, shared_edges: the part of the image's outline (image_id, contour) nearest to each site, where it has one.
+
+    Cells are the outline cut by middle lines, exactly; sites: image_id, site_id, sx, sy. Of sites at one place the
+    first by id has the cell.
+    """
+    own = sites.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("site_id", "sx", "sy"))).alias("sites"))
+    both = outlines.join(own, "image_id").select("image_id", F.explode(G.site_cells(F.col("contour"), F.col("sites"))).alias("c"))
+    return both.select("image_id", "c.*")
+
+
+def pixel_cells(polygons: DataFrame, sites: DataFrame) -> DataFrame:
+    """By site: pixels of the image's polygons nearest to it (the smaller id on ties), and how many other cells touch them."""
+    def run(shapes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(shapes) or not len(own):
+            return pd.DataFrame(columns=["image_id", "site_id", "voronoi_cell_area", "shared_edges"])
+        points = [list(zip(np.asarray(x).tolist(), np.asarray(y).tolist(), strict=True)) for x, y in zip(shapes["xs"], shapes["ys"], strict=True)]
+        every = np.concatenate([np.asarray(p) for p in points])
+        (x0, y0), (w, h) = every.min(axis=0), every.max(axis=0) - every.min(axis=0) + 1
+        mask = np.zeros((h, w), bool)
+        for p in points:
+            mask |= rasters.filled(p, x0, y0, w, h)
+        own = own.sort_values("site_id")
+        best, label = np.full((h, w), np.inf), np.full((h, w), -1)
+        for k, (sx, sy) in enumerate(zip(own["sx"], own["sy"], strict=True)):
+            d2 = (np.arange(w) + x0 - sx)[None, :] ** 2.0 + (np.arange(h) + y0 - sy)[:, None] ** 2.0
+            near = d2 < best
+            best[near], label[near] = d2[near], k
+        label[~mask] = -1
+        touch = np.zeros((len(own), len(own)), bool)
+        for a, b in ((label[:, :-1], label[:, 1:]), (label[:-1], label[1:])):
+            beside = (a >= 0) & (b >= 0) & (a != b)
+            touch[a[beside], b[beside]] = touch[b[beside], a[beside]] = True
+        n = np.bincount(label[mask], minlength=len(own))
+        return pd.DataFrame({"image_id": own["image_id"], "site_id": own["site_id"], "voronoi_cell_area": n, "shared_edges": touch.sum(axis=1)})[n > 0]
+
+    apart = polygons.select("image_id", F.transform("contour", lambda v: v["x"]).alias("xs"), F.transform("contour", lambda v: v["y"]).alias("ys"))
+    own = sites.select("image_id", F.col("site_id").cast("bigint").alias("site_id"), F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
+    return apart.groupBy("image_id").cogroup(own.groupBy("image_id")).applyInPandas(run, "image_id string, site_id bigint, voronoi_cell_area bigint, shared_edges bigint")
+
+
 def hull_measures(sites: DataFrame) -> DataFrame:
     """By image: number of sites, width, height and area of their convex hull; a line has no area."""
-    points = sites.groupBy("image_id").agg(F.collect_list(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"))).alias("p"))
+    spots = sites.withColumns({c: F.round(F.col(c).cast("double") * 100).cast("int") for c in ("sx", "sy")})  # hundredths: hulls are of whole numbers
+    points = spots.groupBy("image_id").agg(F.collect_list(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"))).alias("p"))
     b = G.bounds(F.col("p"))
-    return points.select("image_id", F.size("p").alias("n_sites"), (b["width"] - 1).cast("double").alias("convex_hull_width"), (b["height"] - 1).cast("double").alias("convex_hull_height"), F.round(G.area(G.hull(F.col("p"))), 2).alias("convex_hull_area"))
+    return points.select("image_id", F.size("p").alias("n_sites"), ((b["width"] - 1) / 100).alias("convex_hull_width"), ((b["height"] - 1) / 100).alias("convex_hull_height"), F.round(G.area(G.hull(F.col("p"))) / 10_000, 2).alias("convex_hull_area"))
 
 
 def padded_bounds(polygons: DataFrame, padding: float = 0.02) -> DataFrame:

@@ -5,37 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOLERANCE = 0.1
-LINEAR = ("centroid_x", "centroid_y", "technical_width", "technical_length", "max_width", "max_length", "perimeter", "distance_to_max_width", "convex_hull_width", "convex_hull_height")
-AREAS = ("total_area", "area", "voronoi_cell_area", "convex_hull_area", "top_area", "bottom_area", "left_area", "right_area", "cortex_area")
+from ..sources.metrics import COLUMNS
+from .assemblage import AREA_FIELDS, LINEAR_FIELDS
 
+TOLERANCE = 0.1
+LINEAR = LINEAR_FIELDS
+AREAS = (*AREA_FIELDS, "area")
+VORONOI = ("voronoi_num_cells", "convex_hull_width", "convex_hull_height", "convex_hull_area", "voronoi_cell_area")
+SYMMETRY = ("top_area", "bottom_area", "left_area", "right_area", "vertical_symmetry", "horizontal_symmetry")
 
-def classify(parents: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """parents (image_id, contour_id, technical_length, technical_width, area) with surface_type.
 
-    In turn: Dorsal has the greatest area; Ventral is the first like it in length, width and area; Platform has the
-    least area of those shorter and narrower; Lateral is the first as long as the Dorsal but unlike the Platform (or,
-    without one but with a Ventral, of another width); the rest are Unclassified. An only parent is Dorsal. First
-    means the smallest contour_id. One shuffle by image serves all steps.
-    """
+def _typed(df: DataFrame, tolerance: float, parent: Column) -> tuple[DataFrame, Column]:
+    """df with what the classes of its parents need beside each row, and the class of a parent as a column."""
     w = Window.partitionBy("image_id")
     length, width, area, at = (F.col(c) for c in ("technical_length", "technical_width", "area", "contour_id"))
-    df = parents.withColumn("__d", F.max(F.struct(area, (-at).alias("m"), length.alias("l"), width.alias("w"))).over(w))
+    df = df.withColumn("__d", F.max(F.when(parent, F.struct(area, (-at).alias("m"), length.alias("l"), width.alias("w")))).over(w))
     d = F.col("__d")
     near = lambda x, y, t=tolerance: F.abs(x - y) <= t * y
-    df = df.withColumn("__t", F.when(at == -d["m"], "Dorsal"))
-    alike = F.col("__t").isNull() & near(length, d["l"]) & near(width, d["w"]) & near(area, d["area"])
+    df = df.withColumn("__t", F.when(parent & (at == -d["m"]), "Dorsal"))
+    free = parent & F.col("__t").isNull()
+    alike = free & near(length, d["l"]) & near(width, d["w"]) & near(area, d["area"])
     df = df.withColumn("__v", F.min(F.when(alike, at)).over(w))
-    df = df.withColumn("__t", F.coalesce("__t", F.when(at == F.col("__v"), "Ventral")))
-    smaller = F.col("__t").isNull() & (length < d["l"]) & (width < d["w"])
+    df = df.withColumn("__t", F.coalesce("__t", F.when(parent & (at == F.col("__v")), "Ventral")))
+    smaller = free & (length < d["l"]) & (width < d["w"])
     df = df.withColumn("__p", F.min(F.when(smaller, F.struct(area, at.alias("at"), length.alias("l")))).over(w))
     p = F.col("__p")
-    df = df.withColumn("__t", F.coalesce("__t", F.when(at == p["at"], "Platform")))
+    df = df.withColumn("__t", F.coalesce("__t", F.when(parent & (at == p["at"]), "Platform")))
     beside = near(length, d["l"]) & ~near(length, p["l"]) & (width != d["w"])
     alone = p.isNull() & F.col("__v").isNotNull() & near(length, d["l"]) & ~near(width, d["w"])
-    side = F.col("__t").isNull() & F.when(p.isNotNull(), beside).otherwise(alone)
+    side = free & F.when(p.isNotNull(), beside).otherwise(alone)
     df = df.withColumn("__l", F.min(F.when(side, at)).over(w))
-    return df.select(*parents.columns, F.coalesce("__t", F.when(at == F.col("__l"), "Lateral"), F.lit("Unclassified")).alias("surface_type"))
+    return df, F.coalesce("__t", F.when(at == F.col("__l"), "Lateral"), F.lit("Unclassified"))
+
+
+def classify(parents: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """parents (image_id, contour_id, technical_length, technical_width, area) with surface_type.
+
+    In turn: Dorsal has the greatest area; Ventral is the first like it in length, width and area; Platform has the
+    least area of those shorter and narrower; Lateral is the first as long as the Dorsal but unlike the Platform (or,
+    without one but with a Ventral, of another width); the rest are Unclassified. An only parent is Dorsal. First
+    means the smallest contour_id. One shuffle by image serves all steps.
+    """
+    df, surface = _typed(parents, tolerance, F.lit(True))
+    return df.select(*parents.columns, surface.alias("surface_type"))
+
+
+def classify_and_label(contours: DataFrame, tolerance: float = TOLERANCE, enabled: bool = True) -> DataFrame:
+    """Parents (null parent_contour_id) and children in one table, with surface_type and surface_feature.
+
+    The same classes as classify() and labels as label_children(): a parent's feature is its type, and features of
+    Ventral and Platform surfaces go. A child whose parent is not in the image has neither. All of it takes one
+    shuffle by image. With enabled off, parents are Unclassified.
+    """
+    parent = F.col("parent_contour_id").isNull()
+    df, surface = _typed(contours, tolerance, parent)
+    df = df.withColumn("__own", F.when(parent, surface if enabled else F.lit("Unclassified")))
+    types = F.map_from_entries(F.collect_list(F.when(parent, F.struct(F.col("contour_id").cast("bigint"), "__own"))).over(Window.partitionBy("image_id")))
+    df = df.withColumn("surface_type", F.coalesce("__own", types[F.col("parent_contour_id").cast("bigint")]))
+    df = df.where(parent | F.coalesce(~F.col("surface_type").isin("Ventral", "Platform"), F.lit(True)))
+    df = df.withColumn("__kind", F.when(~parent & F.col("surface_type").isNotNull(), F.when(F.col("surface_type") == "Lateral", "edge").otherwise("scar")))
+    n = F.row_number().over(Window.partitionBy("image_id", "__kind").orderBy("contour_id"))
+    return df.select(*contours.columns, "surface_type", F.when(parent, F.col("surface_type")).when(F.col("__kind").isNotNull(), F.concat_ws(" ", "__kind", n)).alias("surface_feature"))
 
 
 def label_children(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -86,23 +116,57 @@ def to_millimetres(rows: DataFrame, pixels_per_mm: Column) -> DataFrame:
 
 
 def metric_rows(parents: DataFrame, features: DataFrame) -> DataFrame:
-    """The long table: a row a surface (feature = type, with its scar count if Dorsal), then a row a feature."""
-    scars = features.where(F.lower("surface_feature").contains("scar")).groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("__scars"))
-    own = parents.join(scars, "image_id", "left").select(
-        "image_id", "surface_type", F.col("surface_type").alias("surface_feature"), F.when(F.col("surface_type") == "Dorsal", F.coalesce("__scars", F.lit(0))).alias("scar_count"),
-        "contour_id", F.lit(None).cast("int").alias("parent_contour_id"), F.col("area").alias("total_area"), "technical_length", "technical_width")
-    rest = features.select("image_id", F.coalesce("surface_type", F.lit("NA")).alias("surface_type"), "surface_feature", "contour_id", "parent_contour_id", F.col("area").alias("total_area"))
-    return own.unionByName(rest, allowMissingColumns=True)
+    """The long table: a row a surface (feature = type, with its scar count if Dorsal), then a row a feature.
+
+    Columns of the metrics table that the inputs have come along.
+    """
+    more = [c for c in COLUMNS if c not in ("image_id", "surface_type", "surface_feature", "scar_count", "total_area", "technical_length", "technical_width")]
+    own = parents.select("image_id", "surface_type", F.col("surface_type").alias("surface_feature"), F.lit(True).alias("__parent"), "contour_id", F.lit(None).cast("int").alias("parent_contour_id"),
+                         F.col("area").alias("total_area"), "technical_length", "technical_width", *[c for c in more if c in parents.columns])
+    rest = features.select("image_id", F.coalesce("surface_type", F.lit("NA")).alias("surface_type"), "surface_feature", F.lit(False).alias("__parent"), "contour_id", "parent_contour_id",
+                           F.col("area").alias("total_area"), *[c for c in more if c in features.columns])
+    return _counted(own.unionByName(rest, allowMissingColumns=True))
+
+
+def rows_of(labelled: DataFrame) -> DataFrame:
+    """The long table from classify_and_label(), in place: no further shuffle."""
+    parent = F.col("parent_contour_id").isNull()
+    more = [c for c in COLUMNS if c in labelled.columns and c not in ("image_id", "surface_type", "surface_feature", "scar_count", "total_area", "technical_length", "technical_width")]
+    only = lambda c: F.when(F.col("__parent"), F.col(c)).alias(c)
+    return _counted(labelled.withColumn("__parent", parent).select(
+        "image_id", F.when(parent, F.col("surface_type")).otherwise(F.coalesce("surface_type", F.lit("NA"))).alias("surface_type"), "surface_feature", "__parent", "contour_id",
+        "parent_contour_id", F.col("area").alias("total_area"), only("technical_length"), only("technical_width"), *more))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with scar_count on the Dorsal surface in place of __parent."""
+    scars = F.count_if(~F.col("__parent") & F.lower("surface_feature").contains("scar")).over(Window.partitionBy("image_id")).cast("int")
+    count = F.when(F.col("__parent") & (F.col("surface_type") == "Dorsal"), scars)
+    return rows.select("image_id", "surface_type", "surface_feature", count.alias("scar_count"), *[c for c in rows.columns if c not in ("image_id", "surface_type", "surface_feature", "__parent")])
 
 
 def documents(rows: DataFrame) -> DataFrame:
-    """One nested document a lithic: surfaces by contour_id, each with its features."""
-    feature = F.struct("contour_id", "surface_feature", "total_area")
+    """One nested document a lithic, by one grouping: schema_version, calibration, and surfaces by contour_id with their features.
+
+    Fields that rows lack are null. Blocks for cells and symmetry are on the Dorsal surface only, convexity on the
+    Lateral only; orphans are in no surface.
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast(COLUMNS[c])
+    field = lambda *names: [has(c).alias(c) for c in names]
     is_surface = F.col("parent_contour_id").isNull() & (F.col("surface_feature") == F.col("surface_type"))
-    kids = rows.where(~is_surface).groupBy("image_id", "parent_contour_id").agg(F.array_sort(F.collect_list(feature)).alias("features"))
-    own = rows.where(is_surface).join(kids.withColumnRenamed("parent_contour_id", "contour_id"), ["image_id", "contour_id"], "left")
-    surface = F.struct("contour_id", "surface_type", "scar_count", "total_area", F.coalesce("features", F.expr("cast(array() as array<struct<contour_id:int,surface_feature:string,total_area:double>>)")).alias("features"))
-    return own.groupBy("image_id").agg(F.array_sort(F.collect_list(surface)).alias("surfaces"))
+    flag = lambda c: F.coalesce(has(c), F.lit(False)).alias(c)
+    feature = F.struct("contour_id", "surface_feature", "total_area", *field("centroid_x", "centroid_y", "max_width", "max_length", "aspect_ratio", "voronoi_cell_area", "scar_complexity", "cortex_area", "cortex_percentage", "arrow_angle"), flag("is_cortex"), flag("has_arrow"))
+    on = lambda kind, value: F.when(F.col("surface_type") == kind, value)
+    surface = F.struct(
+        "contour_id", "surface_type", "surface_feature", "scar_count", "total_area",
+        *field("centroid_x", "centroid_y", "technical_width", "technical_length", "max_width", "max_length", "aspect_ratio", "perimeter", "distance_to_max_width"),
+        on("Dorsal", F.struct(*field(*VORONOI))).alias("voronoi"), on("Dorsal", F.struct(*field(*SYMMETRY))).alias("symmetry"), on("Lateral", has("lateral_convexity")).alias("lateral_convexity"))
+    grouped = rows.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.when(is_surface, surface))).alias("__s"), F.array_sort(F.collect_list(F.when(~is_surface, F.struct(F.col("parent_contour_id").alias("of"), feature.alias("f"))))).alias("__f"),
+        *[F.first(has(c), ignorenulls=True).alias(c) for c in ("calibration_method", "pixels_per_mm", "scale_confidence")])
+    under = lambda s: F.transform(F.filter("__f", lambda f: f["of"] == s["contour_id"]), lambda f: f["f"])
+    calibration = F.struct(F.col("calibration_method").alias("method"), "pixels_per_mm", "scale_confidence")
+    return grouped.where(F.size("__s") > 0).select("image_id", F.lit(1).alias("schema_version"), calibration.alias("calibration"), F.transform("__s", lambda s: s.withField("features", under(s))).alias("surfaces"))
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:

@@ -1,65 +1,109 @@
-"""A whole run: images to the metrics table, in one plan."""
+"""A whole run: images to the metrics table."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calibration, raster, surfaces
+from ..functions import rasters
+from ..operators import analyses, calibration, contours, raster, surfaces
 from ..options import Options
-from ..sources import images, metadata
+from ..sources import images, metadata, metrics
 
+COLUMNS = ("image_id", "contour_id", "parent_contour_id", "contour", "width", "height", *raster.TEXTURE, "dpi", "error")
+CONTOURS = raster.OUTLINES + ", " + ", ".join(f"{c} double" for c in raster.TEXTURE) + ", dpi double, error string"
 
-def binarise(pixels: DataFrame, options: Options) -> DataFrame:
-    """Grey pixels as a binary image with the drawing set, by the options' steps."""
-    p = options.preprocessing
-    smooth = raster.rounded(raster.blur(raster.rounded(raster.normalise(pixels, p.normalise))))
-    by = {"otsu": lambda: raster.threshold_otsu(smooth), "simple": lambda: raster.threshold(smooth, p.threshold_at), "default": lambda: raster.threshold(smooth, p.threshold_at), "adaptive": lambda: raster.threshold_adaptive(smooth)}
-    return raster.close(raster.invert(by[p.threshold]()), p.closing)
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder (on one machine without one, as in tests, in a temporary one)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flintframe-"))
+    return df.checkpoint(eager=True)
 
-def contours_of(binary: DataFrame, options: Options) -> DataFrame:
-    """Outlined regions: image_id, contour_id, parent_contour_id, area and technical size, filtered by border and area.
 
-    Outer outlines are foreground regions, inner ones holes; ids follow the first pixel.
-    """
+def _outlined(options: Options) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Contours of each image with the texture of those inside others; one image at a time, a bad one gives its reason."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image_id, content, dpi in zip(batch["image_id"], batch["content"], batch["dpi"], strict=True):
+                dpi = None if pd.isna(dpi) else float(dpi)
+                try:
+                    binary = rasters.binarised(images.grey_of(images.decode(bytes(content))), dpi, options.preprocessing, options.dpi)
+                    found = raster._outlined(image_id, binary)
+                    inner = found["parent_contour_id"].notna()
+                    made = [rasters.texture(binary, [(v["x"], v["y"]) for v in c]) if own else (np.nan,) * 3 for c, own in zip(found["contour"], inner, strict=True)]
+                    yield found.assign(**{c: [m[k] for m in made] for k, c in enumerate(raster.TEXTURE)}, dpi=dpi, error=None)
+                except Exception as e:  # one bad image is a row with its reason
+                    known = {"image_id": image_id, "dpi": dpi, "error": f"{type(e).__name__}: {e}"[:300]}
+                    yield pd.DataFrame({c: pd.Series([known.get(c)], dtype=object) for c in COLUMNS})
+
+    return run
+
+
+def find_contours(files: DataFrame, options: Options) -> DataFrame:
+    """Contours of images (image_id, content, dpi), with size of the image and texture; a bad image is a row with error."""
+    return files.select("image_id", "content", F.col("dpi").cast("double").alias("dpi")).mapInPandas(_outlined(options), CONTOURS)
+
+
+def levelled(found: DataFrame, options: Options) -> DataFrame:
+    """Contours with their measures and level, without those at the frame or too small; no child, but nested ones: promoted."""
     f = options.filtering
-    tree = raster.region_tree(binary)
-    frame = binary.groupBy("image_id").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
-    held = tree.join(frame, "image_id")
+    own = contours.measures(found)
     if f.exclude_border:
-        held = held.where((F.col("min_x") > F.col("a")) & (F.col("max_x") < F.col("b")) & (F.col("min_y") > F.col("c")) & (F.col("max_y") < F.col("d")))
-    # a hole and the region around it are told apart by the sign of the id
-    own = F.when(F.col("hole"), -F.col("root")).otherwise(F.col("root"))
-    up = F.when(F.col("hole"), F.col("parent_root")).otherwise(-F.col("parent_root"))
-    full = held.select("image_id", own.alias("contour_id"), up.alias("parent_contour_id"), F.col("area").cast("double").alias("area"), (F.col("max_y") - F.col("min_y")).cast("double").alias("technical_length"), (F.col("max_x") - F.col("min_x")).cast("double").alias("technical_width"))
-    kept = full.where(F.col("area") >= f.min_area)
-    ids = kept.select("image_id", F.col("contour_id").alias("parent_contour_id"), F.lit(True).alias("__there"))
-    return kept.join(ids, ["image_id", "parent_contour_id"], "left").select(*kept.columns[:2], F.when(F.col("__there"), F.col("parent_contour_id")).alias("parent_contour_id"), *kept.columns[3:])
+        own = contours.drop_border_touching(own, F.col("width"), F.col("height"))
+    return contours.promote_nested(contours.levels(contours.filter_min_area(own, f.min_area)))
+
+
+def analyse(level: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Surfaces and features of levelled contours with everything that the options ask for."""
+    o = options
+    labelled = _kept(surfaces.classify_and_label(level.where("level <> 'nested'"), o.classification.tolerance, o.classification.enabled))
+    parents, features = labelled.where("parent_contour_id is null"), labelled.where("parent_contour_id is not null")
+    features = analyses.cortex(features, parents, o.cortex.sensitivity) if o.cortex.enabled else features.withColumn("is_cortex", F.lit(False))
+    if o.scars.enabled:
+        features = analyses.complexity(features, o.scars.distance_threshold)
+    parents, features = analyses.cells(analyses.symmetry(parents), features)
+    parents = analyses.lateral(parents).withColumn("is_cortex", F.lit(False)).withColumn("has_arrow", F.lit(False))
+    if o.arrows.enabled:
+        return parents, analyses.arrow_marks(_kept(features), level, o.arrows.solidity)
+    return parents, features.withColumn("has_arrow", F.lit(False))
 
 
 def run(spark: SparkSession, folder: str, meta: DataFrame, bars: DataFrame | None = None, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
-    """The metrics rows and a status row an image (image_id, ok, dpi, reason).
+    """The metrics rows, in all their columns, and a status row an image (image_id, ok, dpi, reason).
 
     An image that is missing or can't be decoded has its reason in the status and no row; it does not stop the others.
     """
     options = options or Options()
-    found = metadata.resolve_images(meta, metadata.list_images(spark, folder))
-    px = images.read_pixels(spark, folder).join(found.select("image_id", "path"), "path")
-    bad = px.where("error is not null").select("image_id", "error").distinct()
-    grey = px.where("error is null").select("image_id", "y", "x", raster.grey(F.col("r"), F.col("g"), F.col("b")).alias("v"))
-    each = contours_of(binarise(grey, options), options)
-    parents = surfaces.classify(each.where("parent_contour_id is null"), options.classification.tolerance)
-    if not options.classification.enabled:
-        parents = parents.withColumn("surface_type", F.lit("Unclassified"))
-    features = surfaces.label_children(each.where("parent_contour_id is not null"), parents)
+    files = images.read_images(spark, folder)
+    at = metadata.resolve_images(meta, metadata.list_images(spark, folder)).select("image_id", "path")
+    each = _kept(find_contours(files.join(at, "path"), options))
+    level = _kept(levelled(each.where("error is null").drop("error"), options))
+    parents, features = analyse(level, options)
     none = spark.createDataFrame([], "image_id string, scale_pixels double, scale_confidence double")
     scaled = calibration.calibrate(meta, none if bars is None else bars, options.scale.enabled)
-    rows = surfaces.metric_rows(parents.withColumn("parent_contour_id", F.lit(None).cast("bigint")), features)
+    rows = surfaces.metric_rows(parents, features)
     rows = rows.join(scaled.select("image_id", "calibration_method", "pixels_per_mm", "scale_confidence"), "image_id", "left")
     if not options.legacy_pixel_units:
         rows = surfaces.to_millimetres(rows, F.col("pixels_per_mm"))
-    dpi = images.read_dpi(spark, folder)
-    status = found.select("image_id", "path").join(dpi, "path", "left").join(bad, "image_id", "left")
+    bad = each.where("error is not null").select("image_id", "error")
+    status = at.join(files.select("path", "dpi"), "path", "left").join(bad, "image_id", "left")
     reason = F.when(F.col("path").isNull(), "image not found").otherwise(F.col("error"))
-    return rows, status.select("image_id", reason.isNull().alias("ok"), "dpi", reason.alias("reason"))
+    return metrics.arrange(rows), status.select("image_id", reason.isNull().alias("ok"), "dpi", reason.alias("reason"))
+
+
+def save(rows: DataFrame, status: DataFrame, folder: str, options: Options | None = None) -> None:
+    """The metrics table, the documents (unless switched off) and the manifest in a folder."""
+    metrics.write_csv(rows.drop("contour_id", "parent_contour_id"), f"{folder}/processed_metrics")
+    if (options or Options()).json_per_lithic:
+        metrics.write_documents(surfaces.documents(rows), f"{folder}/json")
+    metrics.write_manifest(status, f"{folder}/run_summary")

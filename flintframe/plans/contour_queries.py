@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import arrows, calibration, contours, raster, spatial, surfaces
+from ..operators import analyses, arrows, calibration, contours, raster, spatial, surfaces
 from . import adapters
 from .assemblage_queries import rounded
 
@@ -33,6 +33,18 @@ def _features(surf: DataFrame) -> DataFrame:
     return surfaces.label_children(_children(surf), _parents(surf))
 
 
+def _labelled(surf: DataFrame) -> DataFrame:
+    """Parents and children of one table, classified and labelled in one pass."""
+    up = F.when(F.col("contour_id") > 4, F.when(F.col("contour_id") % 5 == 0, 99).otherwise(F.col("contour_id") % 4 + 1)).cast("int")
+    return surfaces.classify_and_label(surf.withColumn("parent_contour_id", up))
+
+
+def _textures(px: DataFrame) -> DataFrame:
+    """Textures of ink in the box of each image."""
+    box = F.expr("array(named_struct('x', 0, 'y', 0), named_struct('x', 7, 'y', 0), named_struct('x', 7, 'y', 7), named_struct('x', 0, 'y', 7))")
+    return raster.textures(raster.threshold(px, 150), px.select("image_id").distinct().select("image_id", F.lit(0).cast("bigint").alias("contour_id"), box.alias("contour")))
+
+
 def _cortex(surf: DataFrame) -> DataFrame:
     return surfaces.label_cortex(_features(surf).withColumn("is_cortex", F.col("contour_id") % 3 == 0), _parents(surf))
 
@@ -66,12 +78,62 @@ co0 AS (SELECT *, contour_id % 3 = 0 AS is_cortex, CASE WHEN contour_id % 3 = 0
 co AS (SELECT * EXCLUDE (surface_feature), CASE WHEN kind2 IS NOT NULL THEN kind2 || ' ' || row_number() OVER (PARTITION BY image_id, kind2 ORDER BY contour_id) END AS surface_feature FROM co0)
 """
 _LEVEL = ", lv AS (SELECT t.*, CASE WHEN t.parent_contour_id IS NULL THEN 'parent' WHEN u.contour_id IS NOT NULL AND u.parent_contour_id IS NULL THEN 'child' ELSE 'nested' END AS level FROM tree t LEFT JOIN tree u ON t.image_id = u.image_id AND t.parent_contour_id = u.contour_id)\n"
-_BLUR = """, bx AS (SELECT image_id, y, x, v * 0.375 + (coalesce(lag(v, 1) OVER w, lead(v, 1) OVER w) + coalesce(lead(v, 1) OVER w, lag(v, 1) OVER w)) * 0.25 + (coalesce(lag(v, 2) OVER w, lead(v, 2) OVER w) + coalesce(lead(v, 2) OVER w, lag(v, 2) OVER w)) * 0.0625 AS v FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
-bl AS (SELECT image_id, y, x, (v * 0.375 + (coalesce(lag(v, 1) OVER w, lead(v, 1) OVER w) + coalesce(lead(v, 1) OVER w, lag(v, 1) OVER w)) * 0.25 + (coalesce(lag(v, 2) OVER w, lead(v, 2) OVER w) + coalesce(lead(v, 2) OVER w, lag(v, 2) OVER w)) * 0.0625)::DOUBLE AS v FROM bx WINDOW w AS (PARTITION BY image_id, x ORDER BY y))
-"""
-_OTSU = """, hi AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY 1, 2), hc AS (SELECT image_id, v, (sum(n) OVER u)::DOUBLE AS n0, (sum(n * v) OVER u)::DOUBLE AS s0, (sum(n) OVER e)::DOUBLE AS n, (sum(n * v) OVER e)::DOUBLE AS s FROM hi WINDOW u AS (PARTITION BY image_id ORDER BY v), e AS (PARTITION BY image_id)),
+
+
+def _blur(source: str, name: str = "bl") -> str:
+    """Five taps along rows, then columns; what lies beyond the frame is mirrored at its last pixel."""
+    def line(of: str, to: str, at: str, along: str, kind: str) -> str:
+        tap = lambda k: f"l[CASE WHEN i + {k} < 0 THEN -(i + {k}) WHEN i + {k} >= len(l) THEN 2 * len(l) - 2 - i - {k} ELSE i + {k} END + 1]"
+        total = f"l[i + 1] * 0.375 + ({tap(-1)} + {tap(1)}) * 0.25 + ({tap(-2)} + {tap(2)}) * 0.0625"
+        return f"{to} AS (SELECT image_id, {at}, i AS {along}, ({total}){kind} AS v FROM (SELECT *, unnest(range(len(l)))::INTEGER AS i FROM (SELECT image_id, {at}, list(v ORDER BY {along}) AS l FROM {of} GROUP BY 1, 2) q) z)"
+
+    return f", {line(source, name + 'x', 'y', 'x', '')},\n{line(name + 'x', name, 'x', 'y', '::DOUBLE')}\n"
+
+
+def _otsu(source: str) -> str:
+    return f""", hi AS (SELECT image_id, v, count(*) AS n FROM {source} GROUP BY 1, 2), hc AS (SELECT image_id, v, (sum(n) OVER u)::DOUBLE AS n0, (sum(n * v) OVER u)::DOUBLE AS s0, (sum(n) OVER e)::DOUBLE AS n, (sum(n * v) OVER e)::DOUBLE AS s FROM hi WINDOW u AS (PARTITION BY image_id ORDER BY v), e AS (PARTITION BY image_id)),
 lvl AS (SELECT image_id, v AS level FROM hc QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY coalesce(round((s0 * n - s * n0) ** 2 / nullif(n0 * (n - n0), 0), 3), 0) DESC, v) = 1)
 """
+
+
+def _closing(source: str) -> str:
+    near = "a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
+    return f", dl AS (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM {source} a JOIN {source} b ON {near} GROUP BY 1, 2, 3) SELECT a.image_id, a.y, a.x, min(b.v) AS v FROM dl a JOIN dl b ON {near} GROUP BY 1, 2, 3"
+
+
+_BLUR, _OTSU = _blur("px"), _otsu("px")
+#: Pixels inside each contour or on its outline, a row of pixels at a time.
+_FILL = f""", {_NEXT}, ey AS (SELECT *, unnest(range(least(y, y2), greatest(y, y2) + 1))::INTEGER AS py FROM e WHERE y <> y2),
+sp AS (SELECT image_id, contour_id, py, c, lead(c) OVER w AS c2, row_number() OVER w AS k FROM (SELECT image_id, contour_id, py, x + ceil((x2 - x)::DOUBLE * (py - y) / (y2 - y))::INTEGER AS c FROM ey WHERE py < greatest(y, y2)) q WINDOW w AS (PARTITION BY image_id, contour_id, py ORDER BY c)),
+fill AS (SELECT DISTINCT image_id, contour_id, y, x FROM (SELECT image_id, contour_id, py AS y, unnest(range(c, c2))::INTEGER AS x FROM sp WHERE k % 2 = 1
+  UNION ALL SELECT image_id, contour_id, py, (x + ((x2 - x) * (py - y))::DOUBLE / (y2 - y))::INTEGER FROM ey WHERE (x2 - x) * (py - y) % (y2 - y) = 0
+  UNION ALL SELECT image_id, contour_id, y, unnest(range(least(x, x2), greatest(x, x2) + 1))::INTEGER FROM e WHERE y = y2) q),
+si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS sx, floor(my / (6 * a))::INTEGER AS sy FROM m)
+"""
+_CELLS = _FILL + """, lb AS (SELECT f.image_id, f.x, f.y, min(((f.x - sx)::BIGINT ** 2 + (f.y - sy)::BIGINT ** 2)::BIGINT * 100000 + site_id) % 100000 AS site_id FROM (SELECT DISTINCT image_id, x, y FROM fill) f JOIN si USING (image_id) GROUP BY 1, 2, 3)
+"""
+_PIECES = """, ink AS (SELECT image_id, y, x, y::BIGINT * 4294967296 + x AS node FROM px WHERE v > 150),
+reach AS (SELECT image_id, node, y, x, node AS root FROM ink UNION SELECT r.image_id, o.node, o.y, o.x, r.root FROM reach r JOIN ink o ON r.image_id = o.image_id AND abs(r.y - o.y) <= 1 AND abs(r.x - o.x) <= 1),
+piece AS (SELECT image_id, root, count(*) AS area FROM (SELECT image_id, node, min(root) AS root FROM reach GROUP BY 1, 2) q GROUP BY 1, 2)
+"""
+#: Edges of the 8 by 8 images, ink as 255: gradients with the frame repeated, the greatest across, and what joins strong ones.
+_EDGES = """, bw AS (SELECT image_id, y, x, CASE WHEN v > 150 THEN 255 ELSE 0 END AS v FROM px),
+kern AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) k(dy, dx, kx, ky)),
+gr AS (SELECT a.image_id, a.y, a.x, sum(b.v * kx) AS gx, sum(b.v * ky) AS gy FROM bw a, kern k JOIN bw b ON b.image_id = a.image_id AND b.y = least(7, greatest(0, a.y + dy)) AND b.x = least(7, greatest(0, a.x + dx)) GROUP BY 1, 2, 3),
+mg AS (SELECT *, abs(gx) + abs(gy) AS s FROM gr),
+nb AS (SELECT a.image_id, a.y, a.x, a.gx, a.gy, a.s, coalesce(max(b.s) FILTER (b.y = a.y AND b.x = a.x - 1), 0) AS l, coalesce(max(b.s) FILTER (b.y = a.y AND b.x = a.x + 1), 0) AS r, coalesce(max(b.s) FILTER (b.y = a.y - 1 AND b.x = a.x), 0) AS u, coalesce(max(b.s) FILTER (b.y = a.y + 1 AND b.x = a.x), 0) AS d,
+  coalesce(max(b.s) FILTER (b.y = a.y - 1 AND b.x = a.x - 1), 0) AS ul, coalesce(max(b.s) FILTER (b.y = a.y + 1 AND b.x = a.x + 1), 0) AS dr, coalesce(max(b.s) FILTER (b.y = a.y - 1 AND b.x = a.x + 1), 0) AS ur, coalesce(max(b.s) FILTER (b.y = a.y + 1 AND b.x = a.x - 1), 0) AS dl
+  FROM mg a LEFT JOIN mg b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4, 5, 6),
+weak AS (SELECT image_id, y, x, s FROM nb WHERE s > 50 AND CASE WHEN abs(gy) < tan(pi() / 8) * abs(gx) THEN s > l AND s >= r WHEN abs(gy) > tan(3 * pi() / 8) * abs(gx) THEN s > u AND s >= d WHEN (gx < 0) = (gy < 0) THEN s > ul AND s > dr ELSE s > ur AND s > dl END),
+edge AS (SELECT image_id, y, x FROM weak WHERE s > 150 UNION SELECT w.image_id, w.y, w.x FROM edge g JOIN weak w ON g.image_id = w.image_id AND abs(g.y - w.y) <= 1 AND abs(g.x - w.x) <= 1),
+dens AS (SELECT image_id, count(g.y) / 64.0::DOUBLE AS edge_density FROM (SELECT DISTINCT image_id FROM px) q LEFT JOIN edge g USING (image_id) GROUP BY 1)
+"""
+_HULL = """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM d a JOIN d b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y)),
+  ok AS (SELECT pr.contour_id, ax, ay, bx, b_y FROM pr JOIN d ON pr.contour_id = d.contour_id GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (b_y - ay)::BIGINT * (d.x - ax)) >= 0),
+  far AS (SELECT contour_id, ax, ay, bx, b_y FROM ok QUALIFY row_number() OVER (PARTITION BY contour_id, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (b_y - ay)::BIGINT ** 2 DESC) = 1),
+  tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2)),
+  hull AS (SELECT contour_id, abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2 AS h FROM tops GROUP BY 1)
+"""
 #: name -> (input, operator, SQL after the common tables, or None where SQL has no fair form)
 FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "c02_border": ("vert", lambda v: contours.drop_border_touching(_polygons(v).withColumn("parent_contour_id", F.lit(None).cast("bigint")), F.lit(800), F.lit(520)).select("image_id", "contour_id"), "SELECT image_id, contour_id FROM vert GROUP BY 1, 2 HAVING min(x) > 0 AND min(y) > 0 AND max(x) + 1 < 800 AND max(y) + 1 < 520"),
@@ -92,12 +154,15 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "k06_child_labels": ("surf", lambda s: _features(s).select("image_id", "contour_id", "surface_type", "surface_feature"), f"{_CLASS}SELECT image_id, contour_id, surface_type, surface_feature FROM fe"),
     "x05_cortex_labels": ("surf", lambda s: _cortex(s).select("image_id", "contour_id", "surface_feature", "is_cortex", "cortex_area", "cortex_percentage"), f"{_CLASS}SELECT image_id, contour_id, surface_feature, is_cortex, CASE WHEN is_cortex THEN area END AS cortex_area, CASE WHEN is_cortex THEN round(area / pa * 100, 2) END AS cortex_percentage FROM co"),
     "x07_cortex_totals": ("surf", lambda s: surfaces.cortex_totals(_cortex(s), 4), f"{_CLASS}SELECT image_id, round(sum(area), 4) AS total_cortex_area, count(*) AS cortex_count, round(avg(area), 4) AS average_cortex_area FROM co WHERE is_cortex GROUP BY 1"),
-    "e01_metric_rows": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)), f"""{_CLASS}SELECT image_id, surface_type, surface_type AS surface_feature, CASE WHEN surface_type = 'Dorsal' THEN coalesce(n, 0)::INTEGER END AS scar_count, contour_id, NULL::INTEGER AS parent_contour_id, area AS total_area, technical_length, technical_width
+    "e01_metric_rows": ("surf", lambda s: surfaces.rows_of(_labelled(s)), f"""{_CLASS}SELECT image_id, surface_type, surface_type AS surface_feature, CASE WHEN surface_type = 'Dorsal' THEN coalesce(n, 0)::INTEGER END AS scar_count, contour_id, NULL::INTEGER AS parent_contour_id, area AS total_area, technical_length, technical_width
   FROM par LEFT JOIN (SELECT image_id, count(*) AS n FROM fe WHERE surface_feature LIKE '%scar%' GROUP BY 1) z USING (image_id) UNION ALL SELECT image_id, coalesce(surface_type, 'NA'), surface_feature, NULL, contour_id, parent_contour_id, area, NULL, NULL FROM fe"""),
-    "e03_scar_count": ("surf", lambda s: surfaces.metric_rows(_parents(s), _features(s)).where("surface_type = 'Dorsal' and surface_feature = 'Dorsal'").select("image_id", "scar_count"), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count FROM par WHERE surface_type = 'Dorsal'"),
-    "e04_documents": ("surf", lambda s: surfaces.documents(surfaces.metric_rows(_parents(s), _features(s))).select("image_id", F.size("surfaces").alias("n_surfaces"), F.aggregate("surfaces", F.lit(0), lambda a, x: a + F.size(x["features"])).alias("n_features"), F.sha2(F.to_json("surfaces"), 256).isNotNull().alias("written")), f"{_CLASS}SELECT p.image_id, count(DISTINCT p.contour_id)::INTEGER AS n_surfaces, count(f.contour_id)::INTEGER AS n_features, true AS written FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id GROUP BY 1"),
-    "e06_flatten": ("surf", lambda s: surfaces.flatten_documents(surfaces.documents(surfaces.metric_rows(_parents(s), _features(s)))), f"{_CLASS}SELECT p.image_id, p.surface_type, f.surface_feature, f.area AS total_area FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id"),
-    "e07_mean_scar_area": ("surf", lambda s: surfaces.mean_scar_area(surfaces.metric_rows(_parents(s), _features(s))), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count, round(m, 4) AS mean_scar_area FROM par JOIN (SELECT image_id, avg(area) AS m FROM fe WHERE surface_feature LIKE 'scar %' GROUP BY 1) z USING (image_id) WHERE surface_type = 'Dorsal'"),
+    "e03_scar_count": ("surf", lambda s: surfaces.rows_of(_labelled(s)).where("surface_type = 'Dorsal' and surface_feature = 'Dorsal'").select("image_id", "scar_count"), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count FROM par WHERE surface_type = 'Dorsal'"),
+    "e04_documents": ("surf", lambda s: surfaces.documents(surfaces.rows_of(_labelled(s))).select("image_id", F.size("surfaces").alias("n_surfaces"), F.aggregate("surfaces", F.lit(0), lambda a, x: a + F.size(x["features"])).alias("n_features"), F.array_join(F.transform("surfaces", lambda x: x["surface_type"]), ",").alias("types"),
+            F.array_join(F.transform(F.flatten(F.transform("surfaces", lambda x: x["features"])), lambda f: F.concat_ws(":", f["contour_id"].cast("string"), f["surface_feature"])), ",").alias("features")),
+        f"""{_CLASS}, de AS (SELECT p.image_id, count(DISTINCT p.contour_id)::INTEGER AS n_surfaces, count(f.contour_id)::INTEGER AS n_features, coalesce(string_agg(f.contour_id || ':' || f.surface_feature, ',' ORDER BY p.contour_id, f.contour_id), '') AS features FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id GROUP BY 1)
+  SELECT image_id, n_surfaces, n_features, types, features FROM de JOIN (SELECT image_id, string_agg(surface_type, ',' ORDER BY contour_id) AS types FROM par GROUP BY 1) z USING (image_id)"""),
+    "e06_flatten": ("surf", lambda s: surfaces.flatten_documents(surfaces.documents(surfaces.rows_of(_labelled(s)))), f"{_CLASS}SELECT p.image_id, p.surface_type, f.surface_feature, f.area AS total_area FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id"),
+    "e07_mean_scar_area": ("surf", lambda s: surfaces.mean_scar_area(surfaces.rows_of(_labelled(s))), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count, round(m, 4) AS mean_scar_area FROM par JOIN (SELECT image_id, avg(area) AS m FROM fe WHERE surface_feature LIKE 'scar %' GROUP BY 1) z USING (image_id) WHERE surface_type = 'Dorsal'"),
     "b07_millimetres": ("surf", lambda s: surfaces.to_millimetres(s, (F.col("contour_id") - 1) * F.lit(1.2345679)), "SELECT image_id, contour_id, CASE WHEN contour_id > 1 THEN round(technical_length / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_length END AS technical_length, CASE WHEN contour_id > 1 THEN round(technical_width / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_width END AS technical_width, CASE WHEN contour_id > 1 THEN round(area / (((contour_id - 1) * 1.2345679::DOUBLE) ** 2), 2) ELSE area END AS area FROM surf"),
     "b01_scale_bars": ("px", calibration.detect_scale_bars, "SELECT image_id, greatest(w, h)::DOUBLE AS scale_pixels, round(least(1.0, greatest(w, h)::DOUBLE / greatest(least(w, h), 1) / 10), 4) AS scale_confidence FROM (SELECT image_id, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM px WHERE v <= 127 GROUP BY 1) q"),
     "b03_calibration": ("px", lambda p: calibration.calibrate(_metadata(p), calibration.detect_scale_bars(p.where("v <= 60"), 60)), """, md AS (SELECT image_id, CASE WHEN k % 7 = 0 THEN '' ELSE image_id END AS scale_id, CASE WHEN k % 5 = 0 THEN 'unknown' WHEN k % 11 = 0 THEN '-4' ELSE (k % 9)::VARCHAR END AS scale FROM (SELECT DISTINCT image_id, replace(image_id, 'img-', '')::INTEGER AS k FROM px) q),
@@ -113,46 +178,45 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r04_otsu": ("px", raster.otsu_levels, f"{_OTSU}SELECT image_id, level FROM lvl"),
     "r04_adaptive": ("px", raster.threshold_adaptive, f"{_BLUR}SELECT image_id, y, x, CASE WHEN px.v > bl.v - 2 THEN 255 ELSE 0 END AS v FROM px JOIN bl USING (image_id, y, x)"),
     "r05_invert": ("px", raster.invert, "SELECT image_id, y, x, 255 - v AS v FROM px"),
-    "r06_closing": ("px", raster.close, ", dl AS (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3) SELECT a.image_id, a.y, a.x, min(b.v) AS v FROM dl a JOIN dl b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3"),
+    "r06_closing": ("px", raster.close, _closing("px")),
     "r07_dpi_scale": ("px", lambda p: _numbers(p).select("k", *[raster.dpi_scale(F.col("k") * 3, mode=m).alias(m) for m in ("conservative", "standard", "other")], raster.odd_kernel(F.col("k") / 3).alias("kernel")), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT k, round(CASE WHEN k > 0 THEN greatest(1, least(3, 1 + (k * 3 / 300.0::DOUBLE - 1) / 2)) ELSE 1 END, 4) AS conservative, round(CASE WHEN k > 0 THEN greatest(1, least(3, k * 3 / 300.0::DOUBLE)) ELSE 1 END, 4) AS standard, round(CASE WHEN k > 0 THEN greatest(1, k * 3 / 300.0::DOUBLE) ELSE 1 END, 4) AS other, (CASE WHEN greatest(1, k // 3) % 2 = 0 THEN greatest(1, k // 3) + 1 ELSE greatest(1, k // 3) END)::INTEGER AS kernel FROM n"),
-    "r09_preprocess": ("px", raster.preprocess, None),
-    "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v.where("contour_id < 16"))).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), """, e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WHERE contour_id < 16 WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),
-  bb AS (SELECT image_id, contour_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert WHERE contour_id < 16 GROUP BY 1, 2), gy AS (SELECT *, unnest(range(y0, y1 + 1))::INTEGER AS py FROM bb), gx AS (SELECT *, unnest(range(x0, x1 + 1))::INTEGER AS qx FROM gy),
-  hit AS (SELECT g.image_id, g.contour_id, qx, py, sum(CASE WHEN (e.y > py) <> (e.y2 > py) AND qx < (e.x2 - e.x)::DOUBLE * (py - e.y) / nullif(e.y2 - e.y, 0)::DOUBLE + e.x THEN 1 ELSE 0 END) % 2 = 1
-    OR bool_or((e.x2 - e.x)::DOUBLE * (py - e.y) - (e.y2 - e.y)::DOUBLE * (qx - e.x) = 0 AND qx BETWEEN least(e.x, e.x2) AND greatest(e.x, e.x2) AND py BETWEEN least(e.y, e.y2) AND greatest(e.y, e.y2)) AS inside FROM gx g JOIN e USING (image_id, contour_id) GROUP BY 1, 2, 3, 4)
-  SELECT image_id, contour_id, count(*) AS pixels, sum(qx)::BIGINT AS sx FROM hit WHERE inside GROUP BY 1, 2"""),
-    "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), None),
+    "r09_preprocess": ("px", raster.preprocess, ", mn AS (SELECT image_id, y, x, coalesce(floor((v - min(v) OVER w) * 255.0::DOUBLE / nullif(max(v) OVER w - min(v) OVER w, 0) + 0.5), 0)::INTEGER AS v FROM px WINDOW w AS (PARTITION BY image_id))" + _blur("mn")
+        + ", rd AS (SELECT image_id, y, x, floor(v + 0.5)::INTEGER AS v FROM bl)" + _otsu("rd") + ", iv AS (SELECT image_id, y, x, CASE WHEN v > level THEN 0 ELSE 255 END AS v FROM rd JOIN lvl USING (image_id))" + _closing("iv")),
+    "r01_equalise": ("px", lambda p: raster.equalise(p, 2), None),
+    "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
+    "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), f"{_PIECES}SELECT image_id, root, area FROM piece"),
     "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), None),
-    "x02_stippling": ("px", lambda p: raster.stippling(raster.threshold(p, 150)), None),
+    "c01_contours": ("px", lambda p: raster.outlines(raster.threshold(p, 127)).select("image_id", "contour_id", "parent_contour_id", F.size("contour").alias("corners"), G.area(F.col("contour")).alias("area")), None),
+    "m08_labels": ("tree", lambda t: contours.labelled(contours.levels(t)).select("image_id", "contour_id", "record", "parent_record"), f"""{_LEVEL}, nu AS (SELECT *, CASE level WHEN 'parent' THEN 'parent ' ELSE 'child ' END || row_number() OVER (PARTITION BY image_id, level = 'parent' ORDER BY contour_id) AS record FROM lv WHERE level <> 'nested')
+  SELECT a.image_id, a.contour_id, a.record, CASE WHEN a.level = 'parent' THEN a.record ELSE coalesce(b.record, 'Unknown') END AS parent_record FROM nu a LEFT JOIN nu b ON a.image_id = b.image_id AND a.parent_contour_id = b.contour_id"""),
+    "x02_stippling": ("px", lambda p: raster.stippling(raster.threshold(p, 150)), f"{_PIECES}SELECT image_id, round(coalesce(k, 0) / 64.0::DOUBLE * 1000, 4) AS stippling_density FROM (SELECT DISTINCT image_id FROM px) q LEFT JOIN (SELECT image_id, count(*) AS k FROM piece WHERE area <= 50 GROUP BY 1) z USING (image_id)"),
+    "x03_edge_density": ("px", lambda p: raster.edge_density(raster.threshold(p, 150)), f"{_EDGES}SELECT image_id, round(edge_density, 4) AS edge_density FROM dens"),
     "r14_texture_variance": ("px", lambda p: raster.texture_variance(p).select("image_id", F.round(F.col("texture_variance") * 4096).cast("bigint").alias("variance_4096")), f"{_BLUR}SELECT image_id, round(var_pop(floor(v + 0.5)::INTEGER) * 4096)::BIGINT AS variance_4096 FROM bl GROUP BY 1"),
-    "x04_is_cortex": ("px", lambda p: raster.texture_variance(p).select("image_id", surfaces.is_cortex(F.col("texture_variance") / 1000, F.col("texture_variance"), F.col("texture_variance") / 2000).alias("cortex")), f"{_BLUR}SELECT image_id, var_pop(floor(v + 0.5)::INTEGER) > 200 AS cortex FROM bl GROUP BY 1"),
-    "v03_cells": ("vert", lambda v: spatial.cell_summary(spatial.cells(_grid(v), _sites(v)), 20), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS sx, floor(my / (6 * a))::INTEGER AS sy FROM m),
-  g AS (SELECT image_id, gx.x * 20 AS x, gy.y * 20 AS y FROM (SELECT DISTINCT image_id FROM vert) q, (SELECT unnest(range(40))::INTEGER AS x) gx, (SELECT unnest(range(28))::INTEGER AS y) gy),
-  l AS (SELECT g.image_id, x // 20 AS x, y // 20 AS y, arg_min(site_id, ((x - sx)::DOUBLE ** 2 + (y - sy)::DOUBLE ** 2, site_id)) AS site_id FROM g JOIN si USING (image_id) GROUP BY 1, 2, 3),
-  t AS (SELECT a.image_id, a.site_id, b.site_id AS o FROM l a JOIN l b ON a.image_id = b.image_id AND a.site_id <> b.site_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3)
-  SELECT image_id, site_id, count(*) AS voronoi_cell_area, coalesce((SELECT count(*) FROM t WHERE t.image_id = l.image_id AND t.site_id = l.site_id), 0) AS shared_edges FROM l GROUP BY 1, 2"""),
-    "v04_num_cells": ("vert", lambda v: spatial.cells(_grid(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f", {_NEXT}SELECT image_id, count(*) AS voronoi_num_cells FROM m GROUP BY 1"),
-    "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.contour_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM d a JOIN d b ON a.contour_id = b.contour_id AND (a.x <> b.x OR a.y <> b.y)),
-  ok AS (SELECT pr.contour_id, ax, ay, bx, b_y FROM pr JOIN d ON pr.contour_id = d.contour_id GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (b_y - ay)::BIGINT * (d.x - ax)) >= 0),
-  far AS (SELECT contour_id, ax, ay, bx, b_y FROM ok QUALIFY row_number() OVER (PARTITION BY contour_id, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (b_y - ay)::BIGINT ** 2 DESC) = 1),
-  tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2))
-  SELECT contour_id, round(abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2, 2) AS hull_area FROM tops GROUP BY 1"""),
+    "x04_is_cortex": ("px", lambda p: _textures(p).select("image_id", F.round("stippling_density", 2).alias("stippling"), F.round(F.col("texture_variance") * 4096).cast("bigint").alias("variance_4096"), "edge_density", surfaces.is_cortex(F.col("stippling_density"), F.col("texture_variance"), F.col("edge_density"), "low").alias("cortex")),
+        _PIECES + _EDGES + _blur("bw") + """, va AS (SELECT image_id, var_pop(floor(v + 0.5)::INTEGER) AS variance FROM bl GROUP BY 1), st AS (SELECT image_id, coalesce(k, 0) / 64.0::DOUBLE * 1000 AS stippling FROM (SELECT DISTINCT image_id FROM px) q LEFT JOIN (SELECT image_id, count(*) AS k FROM piece WHERE area <= 50 GROUP BY 1) z USING (image_id))
+  SELECT image_id, round(stippling, 2) AS stippling, round(variance * 4096)::BIGINT AS variance_4096, round(edge_density, 4) AS edge_density, stippling > 0.4 AND variance > 200 AND edge_density > 0.1 AS cortex FROM va JOIN st USING (image_id) JOIN dens USING (image_id)"""),
+    "v03_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)), _CELLS + """, t AS (SELECT DISTINCT image_id, a, b FROM (SELECT p.image_id, p.site_id AS a, q.site_id AS b FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.y = q.y AND q.x = p.x + 1 AND p.site_id <> q.site_id
+    UNION ALL SELECT p.image_id, p.site_id, q.site_id FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.x = q.x AND q.y = p.y + 1 AND p.site_id <> q.site_id) z)
+  SELECT lb.image_id, site_id, count(*) AS voronoi_cell_area, (SELECT count(DISTINCT CASE WHEN a = site_id THEN b ELSE a END) FROM t WHERE t.image_id = lb.image_id AND (a = site_id OR b = site_id)) AS shared_edges FROM lb GROUP BY 1, 2"""),
+    "v03_outline_cells": ("vert", lambda v: spatial.outline_cells(_polygons(v).where("contour_id % 8 = 0"), _sites(v)), None),
+    "v04_num_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)).groupBy("image_id").agg(F.count(F.lit(1)).alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
+    "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), f"{_HULL}SELECT contour_id, round(h, 2) AS hull_area FROM hull"),
     "v06_site_hull": ("vert", lambda v: spatial.hull_measures(_sites(v)).select("image_id", "n_sites", "convex_hull_width", "convex_hull_height"), f", {_NEXT}SELECT image_id, count(*)::INTEGER AS n_sites, (max(floor(mx / (6 * a))) - min(floor(mx / (6 * a))))::DOUBLE AS convex_hull_width, (max(floor(my / (6 * a))) - min(floor(my / (6 * a))))::DOUBLE AS convex_hull_height FROM m GROUP BY 1"),
     "v07_padded_box": ("vert", lambda v: spatial.padded_bounds(_polygons(v)), "SELECT image_id, contour_id, round(min(x) - 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_min, round(max(x) + 0.02::DOUBLE * (max(x) - min(x)), 4) AS x_max, round(min(y) - 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_min, round(max(y) + 0.02::DOUBLE * (max(y) - min(y)), 4) AS y_max FROM vert GROUP BY 1, 2"),
-    "l01_convexity": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.solidity(F.col("contour")), 2).alias("convexity")).where("convexity between 0 and 1"), None),
+    "l01_convexity": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.solidity(F.col("contour")), 4).alias("convexity")), f"{_HULL}, {_NEXT}SELECT contour_id, round(least(1, abs(a) / h), 4) AS convexity FROM m JOIN hull USING (contour_id)"),
     "l02_distance": ("vert", lambda v: _polygons(v).select("image_id", "contour_id", G.lateral_distance(F.col("contour")).alias("d")), f"{_CHORD}, lo AS (SELECT image_id, contour_id, y, list(x ORDER BY x) AS xs FROM vert WHERE (image_id, contour_id, y) IN (SELECT image_id, contour_id, max(y) FROM vert GROUP BY 1, 2) GROUP BY 1, 2, 3) SELECT image_id, contour_id, round(sqrt(((ax + bx) / 2.0 - xs[len(xs) // 2 + 1])::DOUBLE ** 2 + ((ay + b_y) / 2.0 - y)::DOUBLE ** 2), 4) AS d FROM ch JOIN lo USING (image_id, contour_id)"),
-    "j02_adjacency": ("vert", lambda v: spatial.scar_complexity(_polygons(v.where("contour_id < 96"))), f""", {_NEXT}, pp AS (SELECT a.image_id, a.contour_id AS a, b.contour_id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.contour_id < b.contour_id AND b.contour_id < 96),
+    "j02_adjacency": ("vert", lambda v: spatial.scar_complexity(_polygons(v)), f""", {_NEXT}, pp AS (SELECT a.image_id, a.contour_id AS a, b.contour_id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.contour_id < b.contour_id),
   ee AS (SELECT pp.*, e.x, e.y, e.x2, e.y2, f.x AS fx, f.y AS fy, f.x2 AS fx2, f.y2 AS fy2 FROM pp JOIN e ON e.contour_id = a JOIN e f ON f.contour_id = b),
   d AS (SELECT image_id, a, b, least(
       min((fx - x - greatest(0, least(1, coalesce(((fx - x) * (x2 - x) + (fy - y) * (y2 - y))::DOUBLE / nullif((x2 - x) ** 2 + (y2 - y) ** 2, 0), 0))) * (x2 - x)) ** 2 + (fy - y - greatest(0, least(1, coalesce(((fx - x) * (x2 - x) + (fy - y) * (y2 - y))::DOUBLE / nullif((x2 - x) ** 2 + (y2 - y) ** 2, 0), 0))) * (y2 - y)) ** 2),
       min((x - fx - greatest(0, least(1, coalesce(((x - fx) * (fx2 - fx) + (y - fy) * (fy2 - fy))::DOUBLE / nullif((fx2 - fx) ** 2 + (fy2 - fy) ** 2, 0), 0))) * (fx2 - fx)) ** 2 + (y - fy - greatest(0, least(1, coalesce(((x - fx) * (fx2 - fx) + (y - fy) * (fy2 - fy))::DOUBLE / nullif((fx2 - fx) ** 2 + (fy2 - fy) ** 2, 0), 0))) * (fy2 - fy)) ** 2)) <= 100.0000001
     OR bool_or(sign(((x2 - x) * (fy - y) - (y2 - y) * (fx - x))::DOUBLE) * sign(((x2 - x) * (fy2 - y) - (y2 - y) * (fx2 - x))::DOUBLE) < 0 AND sign(((fx2 - fx) * (y - fy) - (fy2 - fy) * (x - fx))::DOUBLE) * sign(((fx2 - fx) * (y2 - fy) - (fy2 - fy) * (x2 - fx))::DOUBLE) < 0) AS near FROM ee GROUP BY 1, 2, 3),
   u AS (SELECT image_id, a AS contour_id FROM d WHERE near UNION ALL SELECT image_id, b FROM d WHERE near)
-  SELECT m.image_id, m.contour_id, (SELECT count(*) FROM u WHERE u.contour_id = m.contour_id)::INTEGER AS scar_complexity FROM m WHERE contour_id < 96"""),
-    "y01_symmetry": ("vert", lambda v: spatial.symmetry(spatial.rasterize(_polygons(v)), _polygons(v).select("image_id", "contour_id", G.centroid(F.col("contour")).alias("c")).select("image_id", "contour_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))), None),
-    # r11, j02, v03 and v04 are held against SQL on a part of their input; these take all of it and have no SQL
-    "r11_rasterize_all": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), None),
-    "j02_adjacency_all": ("vert", lambda v: spatial.scar_complexity(_polygons(v)), None),
+  SELECT m.image_id, m.contour_id, (SELECT count(*) FROM u WHERE u.contour_id = m.contour_id)::INTEGER AS scar_complexity FROM m"""),
+    "y01_symmetry": ("vert", lambda v: _polygons(v).withColumn("c", G.centroid(F.col("contour"))).select("image_id", "contour_id", G.halves(F.col("contour"), F.col("c.x"), F.col("c.y")).alias("h")).select("image_id", "contour_id", "h.*").withColumns(analyses.even_sides()),
+        _FILL + """, ct AS (SELECT image_id, contour_id, trunc(mx / (6 * a))::INTEGER AS cx, trunc(my / (6 * a))::INTEGER AS cy FROM m), hv AS (SELECT image_id, contour_id, count(*) FILTER (y < cy) AS top_area, count(*) FILTER (y >= cy) AS bottom_area, count(*) FILTER (x < cx) AS left_area, count(*) FILTER (x >= cx) AS right_area FROM fill JOIN ct USING (image_id, contour_id) GROUP BY 1, 2)
+  SELECT *, round(1 - abs(top_area - bottom_area)::DOUBLE / nullif(top_area + bottom_area, 0), 2) AS vertical_symmetry, round(1 - abs(left_area - right_area)::DOUBLE / nullif(left_area + right_area, 0), 2) AS horizontal_symmetry FROM hv"""),
+    # the same as queries of other plans: cells by joins of pixels, tiles and sites
     "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), None),
     "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), None),
     "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * F.lit(5.3)).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5.3::DOUBLE / 300 END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
@@ -174,12 +238,6 @@ def _metadata(pixels: DataFrame) -> DataFrame:
     return own.select("image_id", F.when(k % 7 == 0, "").otherwise(F.col("image_id")).alias("scale_id"), F.when(k % 5 == 0, "unknown").when(k % 11 == 0, "-4").otherwise((k % 9).cast("string")).alias("scale"))
 
 
-def _grid(vert: DataFrame) -> DataFrame:
-    """A mask of every twentieth pixel of each image, in cells one apart (their places stay those of the pixels)."""
-    own = vert.select("image_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(780), F.lit(20)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(540), F.lit(20))))
-    return own
-
-
 def _mask(vert: DataFrame) -> DataFrame:
     """All pixels that any contour of an image holds."""
     return spatial.rasterize(_polygons(vert)).select("image_id", "x", "y").distinct()
@@ -190,4 +248,4 @@ def _query(source: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(source, make) for name, (source, make, _) in FOUND.items()}
-ORACLES: dict[str, str] = {name: f"WITH {source} AS ({_DUCK[source]})\n" + (sql if sql.lstrip().startswith(",") else sql) for name, (source, _, sql) in FOUND.items() if sql}
+ORACLES: dict[str, str] = {name: f"WITH RECURSIVE {source} AS ({_DUCK[source]})\n" + (sql if sql.lstrip().startswith(",") else sql) for name, (source, _, sql) in FOUND.items() if sql}

@@ -140,9 +140,9 @@ def test_queries_take_all_contours_and_pixels(spark):
     vert = spark.createDataFrame([("i", k, i, x, y) for k, p in own.items() for i, (x, y) in enumerate(p)], "image_id string, contour_id bigint, i int, x int, y int")
     run = lambda name: contour_queries.FOUND[name][1](vert).collect()
     mask = {k: {(x, y) for x in range(120) for y in range(120) if inside(p, x, y)} for k, p in own.items()}
-    assert {(r.contour_id, r.pixels, r.sx) for r in run("r11_rasterize_all")} == {(k, len(m), sum(x for x, _ in m)) for k, m in mask.items()}
+    assert {(r.contour_id, r.pixels, r.sx) for r in run("r11_rasterize")} == {(k, len(m), sum(x for x, _ in m)) for k, m in mask.items()}
     assert {(r.contour_id, r.top_area + r.bottom_area) for r in run("y01_symmetry")} == {(k, len(m)) for k, m in mask.items()}
-    assert {r.contour_id: r.scar_complexity for r in run("j02_adjacency_all")} == {3: 1, 16: 2, 97: 1, 240: 1, 1999: 1}
+    assert {r.contour_id: r.scar_complexity for r in run("j02_adjacency")} == {3: 1, 16: 2, 97: 1, 240: 1, 1999: 1}
     sites = {r.site_id: (r.sx, r.sy) for r in contour_queries._sites(vert).collect()}
     label = {p: min(sites, key=lambda s: ((p[0] - sites[s][0]) ** 2 + (p[1] - sites[s][1]) ** 2, s)) for p in set().union(*mask.values())}
     beside = {k: set() for k in own}
