@@ -479,12 +479,12 @@ def _links(opened: DataFrame, sets: DataFrame, lead: DataFrame, percent: int, sc
     sure = sure.select("digest", (F.col("links") - F.when(F.col("member") & (F.col("a") >= 0), F.col("w")).otherwise(0)).alias("links"))
     tops = opened.groupBy("leader").agg(F.max(F.struct("a", "digest")).alias("top"))
     star = opened.select("leader", "digest", "a").join(tops, "leader").where((F.col("a") + F.col("top.a") >= 0) & (F.col("digest") != F.col("top.digest"))).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"))
-    keys = ["leader", "qb", "mb"]
-    blocks = _block_pairs(opened, percent).join(sets.select("digest", "bits"), "digest").repartition(*keys).sortWithinPartitions(*keys)
+    keys, parts = ["leader", "qb", "mb"], int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the rows are few for the work they make
+    blocks = _block_pairs(opened, percent).join(sets.select("digest", "bits"), "digest").repartition(parts, *keys).sortWithinPartitions(*keys)
     blocks = scratch.keep(blocks.select(*keys, "query", "digest", "n", "w", "a", "bits").mapInPandas(_by_key(lambda rows: _able(rows, percent)), "leader bigint, qb bigint, mb bigint, query boolean, digest binary, n bigint, w bigint, a bigint"))
     differ = blocks.select("leader", "digest").distinct().join(sets.select("digest", "tokens"), "digest").join(lead, "leader")
     differ = differ.select("leader", "digest", F.array_except("tokens", "lt").alias("more"), F.array_except("lt", "tokens").alias("less"))
-    dealt = blocks.join(differ, ["leader", "digest"]).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = blocks.join(differ, ["leader", "digest"]).repartition(parts, *keys).sortWithinPartitions(*keys)
     compared = scratch.keep(dealt.mapInPandas(_by_key(_compared(percent)), "a binary, b binary, links bigint"))
     scratch.drop(blocks, sets, lead)
     edges = star.unionAll(compared.where("b is not null").select("a", "b"))

@@ -77,8 +77,8 @@ def jaccard_join() -> str:
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT DISTINCT k, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 sizes AS (SELECT k, count(*) AS n FROM sets GROUP BY k),
-both AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
-links AS (SELECT x, y FROM both JOIN sizes p ON x = p.k JOIN sizes q ON y = q.k WHERE 100 * c >= 90 * (p.n + q.n - c)),
+met AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT x, y FROM met JOIN sizes p ON x = p.k JOIN sizes q ON y = q.k WHERE 100 * c >= 90 * (p.n + q.n - c)),
 reach AS (SELECT k, k AS r FROM d UNION SELECT reach.k, y FROM reach JOIN links ON r = x),
 tops AS (SELECT reach.k, min(e.doc_id) AS component_id FROM reach JOIN d e ON r = e.k GROUP BY reach.k),
 degree AS (SELECT x AS k, count(*) AS n_links FROM links GROUP BY x)
