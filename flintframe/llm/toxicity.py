@@ -1,12 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Weights are TF-IDF over all words and word beginnings of whole texts; terms that the labels make telling weigh more
+Weights are TF-IDF over all words of whole texts; words that the labels make telling weigh more
 (BOOST), as a few insults in a long text would else hardly turn its cosines. README has held-out figures.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import zlib
@@ -29,22 +28,15 @@ FIRST_BLOCKS, CELLS = 8, 1 << 20
 OFTEN, AT_ONCE = 8, 64
 #: Terms that tell labels apart (chi-square over the examples, and examples that have it) weigh BOOST-fold.
 LEAST_CHI2, LEAST_EXAMPLES, BOOST = 25.0, 3, 8.0
-#: Words whose terms, and texts whose scores, a task keeps in mind.
+#: Words of no example, and texts whose scores, a task keeps in mind.
 MOST_KNOWN, MOST_JUDGED = 100_000, 2000
-_PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 RESULT = "struct<score:double,predicted:int,evidence:array<struct<id:string,label:int,similarity:float>>>"
 
 
 def terms(text: str | None) -> Counter:
-    """Counts of the words of the whole lower-cased text and of their beginnings (marked with ``~``)."""
-    found: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        found[w] += n
-        for k in _PREFIXES:
-            if len(w) > k:
-                found["~" + w[:k]] += n
-    return found
+    """Counts of the words of the whole lower-cased text."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def _cell(term: str) -> int:
@@ -158,38 +150,30 @@ class Index:
 
 
 class _Reader:
-    """Vectors of texts; the term numbers of words met before are kept in mind, terms of no example as numbers after the vocabulary's."""
+    """Vectors of texts; words of no example that were met before are kept in mind, as numbers after the vocabulary's."""
 
     def __init__(self, index: Index) -> None:
-        self._index, self._words, self._other, self._idf = index, {}, {}, index.idf
-        if index.rest is not None:
-            self._idf = np.concatenate((index.idf, np.zeros(8 * MOST_KNOWN)))
-
-    def _numbers(self, word: str) -> list[int]:
-        known, size, out = self._index.vocabulary, len(self._index.vocabulary), []
-        for t in terms(word):
-            if (at := known.get(t)) is None:
-                if self._index.rest is None:
-                    continue
-                if (at := self._other.get(t)) is None:
-                    at = self._other[t] = size + len(self._other)
-                    self._idf[at] = self._index.rest[_cell(t)]
-            out.append(at)
-        self._words[word] = out
-        return out
+        self._index, self._known = index, index.vocabulary.copy()
+        self._idf = np.concatenate((index.idf, np.zeros(MOST_KNOWN)))
+
+    def _number(self, word: str) -> int:
+        """The number of a word that is not in mind: the next one."""
+        size = len(self._known)
+        if size >= len(self._idf):
+            self._idf = np.concatenate((self._idf, np.zeros(size)))
+        self._idf[size] = self._index.rest[_cell(word)] if self._index.rest is not None else 0.0
+        self._known[word] = size
+        return size
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        said = Counter(_WORD.findall((text or "").lower()))
-        if len(self._words) + len(said) > MOST_KNOWN:
-            self._words, self._other = {}, {}
-            if self._index.rest is not None and 4 * len(said) > 8 * MOST_KNOWN:
-                self._idf = np.concatenate((self._index.idf, np.zeros(4 * len(said))))
-        numbers = [self._words[w] if w in self._words else self._numbers(w) for w in said]
-        at, inverse = np.unique(np.fromiter(itertools.chain.from_iterable(numbers), np.int64), return_inverse=True)
-        n = np.bincount(inverse, np.repeat(np.fromiter(said.values(), np.int64, len(said)), [len(x) for x in numbers]), len(at))
-        x = (1 + np.log(np.maximum(n, 1))) * self._idf[at]
+        said, size = terms(text), len(self._index.idf)
+        if len(self._known) > size + MOST_KNOWN:
+            self._known = self._index.vocabulary.copy()
+        get = self._known.get
+        at = np.fromiter([k if (k := get(w)) is not None else self._number(w) for w in said], np.int64, len(said))
+        x = (1 + np.log(np.fromiter(said.values(), float, len(said)))) * self._idf[at]
         x /= max(float(np.sqrt(x @ x)), 1e-12)
-        own = at < len(self._index.vocabulary)
+        own = at < size
         return at[own], x[own]
 
 
@@ -306,17 +290,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Documents with each term (its number) or cell (numbers after those), and all of them as number -1."""
-        seen, rows, known = np.zeros(len(vocabulary) + CELLS, np.int64), 0, {}
+        seen, rows, size = np.zeros(len(vocabulary) + CELLS, np.int64), 0, len(vocabulary)
         for batch in batches:
             rows += len(batch)
             for text in batch["text"]:
-                own: set[int] = set()
-                for w in set(_WORD.findall((text or "").lower())):
-                    if (at := known.get(w)) is None:
-                        if len(known) >= MOST_KNOWN:
-                            known.clear()
-                        at = known[w] = [k if (k := vocabulary.get(t)) is not None else len(vocabulary) + _cell(t) for t in terms(w)]
-                    own.update(at)
+                own = {k if (k := vocabulary.get(w)) is not None else size + _cell(w) for w in terms(text)}
                 seen[np.fromiter(own, np.int64, len(own))] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(seen[at], rows)})
