@@ -168,14 +168,12 @@ def cells(outline: list[tuple[int, int]], sites: list[tuple[float, float]]) -> l
     sign, so what joins loose pieces of a part cancels out. Of sites at one place the first has the part.
     """
     found: list[tuple[float, int]] = []
+    first = {site: k for k, site in reversed(list(enumerate(sites)))}
     for i, (sx, sy) in enumerate(sites):
-        ring = [(float(x), float(y), -1) for x, y in outline]
-        for j, (ox, oy) in enumerate(sites):
+        ring = [(float(x), float(y), -1) for x, y in outline] if first[sx, sy] == i else []
+        for (ox, oy), j in first.items():
             if j == i or not ring:
                 continue
-            if (sx, sy) == (ox, oy):
-                ring = ring if i < j else []
-                continue
             nx, ny = ox - sx, oy - sy
             ring = _cut(ring, nx, ny, (ox * ox + oy * oy - sx * sx - sy * sy) / 2, j)
         area, along = 0.0, {}

@@ -27,9 +27,10 @@ def top_filter(df: DataFrame) -> DataFrame:
 
 def aspect_by_surface(df: DataFrame) -> DataFrame:
     """Quartiles, extremes and point style of parents' aspect ratios by surface, in page order (position)."""
-    q = lambda p: F.percentile("aspect_ratio", F.lit(p))
-    out = parent_rows(df).where(F.col("aspect_ratio").isNotNull() & F.col("surface_type").isNotNull()).groupBy("surface_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("aspect_ratio").alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("aspect_ratio").alias("most"))
+    own = parent_rows(df).where(F.col("aspect_ratio").isNotNull() & F.col("surface_type").isNotNull())
+    ends = own.groupBy("surface_type").agg(F.min("aspect_ratio").alias("least"), F.max("aspect_ratio").alias("most"))
+    parts = quantiles(own, "aspect_ratio", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["surface_type"])
+    out = ends.join(parts, "surface_type").select("surface_type", "n", "least", "q1", "median", "q3", "most")
     style = F.when(F.col("n") <= 20, "large").when(F.col("n") <= 100, "medium").otherwise("small")
     return out.withColumn("point_style", style).withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(surface_rank(F.col("surface_type")), "surface_type")))
 
@@ -57,29 +58,49 @@ def asymmetry_axis(df: DataFrame) -> DataFrame:
     return asymmetry(df).agg(F.greatest(F.lit(0.1), 1.2 * most).alias("axis"))
 
 
-def ecdf(rows: DataFrame, value: str, by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
-    """Cumulative curve: each row its own step of rank / count, ties too. Columns: by, value, rank, share.
+def _ranked(rows: DataFrame, value: str, by: list[str], buckets: int = 256) -> DataFrame:
+    """by, value, __n (rows with it), __from (rows before it) and __all, a row a distinct value.
 
-    Ranks come from two levels, so that no task holds all rows: values are counted by value first, the running count
-    over distinct values is split by range into buckets whose totals alone are accumulated together, and a value's
-    ties are then unfolded.
+    Values are counted first; the running count over distinct values is split at approximate quantiles, so tasks get
+    like shares whatever the spread, and only the buckets' totals are accumulated together.
     """
-    by = by or []
     own = rows.where(F.col(value).isNotNull())
     counted = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    lo_hi = counted.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__all"))
-    joined = counted.join(F.broadcast(lo_hi), by) if by else counted.crossJoin(F.broadcast(lo_hi))  # a row a curve
-    width = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets)).otherwise(0)
-    joined = joined.withColumn("__b", width)
+    marks = counted.groupBy(*by).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 4 * buckets).alias("__marks"), F.sum("__n").alias("__all"))
+    joined = counted.join(F.broadcast(marks), by) if by else counted.crossJoin(F.broadcast(marks))  # a row a curve
+    joined = joined.withColumn("__b", F.size(F.filter("__marks", lambda m: m < F.col(value)))).drop("__marks")
     totals = joined.groupBy(*by, "__b").agg(F.sum("__n").alias("__t"))
     before = totals.select(*by, "__b", (F.sum("__t").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__t")).alias("__before"))
     placed = joined.join(F.broadcast(before), [*by, "__b"])  # buckets of each curve at most
     inner = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy(value)) - F.col("__n")
-    steps = placed.withColumn("__from", F.col("__before") + inner)
-    out = steps.select(*by, value, "__all", F.explode(F.sequence(F.col("__from") + 1, F.col("__from") + F.col("__n"))).alias("rank"))
+    return placed.select(*by, value, "__n", (F.col("__before") + inner).alias("__from"), "__all")
+
+
+def ecdf(rows: DataFrame, value: str, by: list[str] | None = None, block: int = 10_000) -> DataFrame:
+    """Cumulative curve: each row its own step of rank / count, ties too. Columns: by, value, rank, share.
+
+    Ties are unfolded in blocks, so no array is longer than one.
+    """
+    by = by or []
+    pieces = _ranked(rows, value, by).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / block))).alias("__k"))
+    first = F.col("__from") + F.col("__k") * block + 1
+    last = F.least(first + block - 1, F.col("__from") + F.col("__n"))
+    out = pieces.select(*by, value, "__all", F.explode(F.sequence(first, last)).alias("rank"))
     return out.select(*by, value, "rank", (F.col("rank") / F.col("__all")).alias("share"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """By group, a column for each share: the quantile of the values, linear between neighbours; n counts the values."""
+    by = by or []
+    at = {name: (F.col("__all") - 1) * p for name, p in shares.items()}
+    holds = lambda r: (F.col("__from") <= r) & (r < F.col("__from") + F.col("__n"))
+    ends = [F.max(F.when(holds(f(pos)), F.col(value))).alias(f"__{side}_{name}") for name, pos in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = _ranked(rows, value, by).groupBy(*by).agg(F.coalesce(F.max("__all"), F.lit(0)).alias("__all"), *ends)
+    part = lambda name: at[name] - F.floor(at[name])
+    between = [(F.col(f"__lo_{name}") + part(name) * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))).alias(name) for name in shares]
+    return found.select(*by, *between, F.col("__all").alias("n"))
+
+
 def symmetry_ecdf(df: DataFrame) -> DataFrame:
     """Curves of the vertical and horizontal symmetry of dorsal parents."""
     own = parent_rows(df).where(F.col("surface_type") == "Dorsal")
@@ -90,8 +111,9 @@ def symmetry_ecdf(df: DataFrame) -> DataFrame:
 def symmetry_summary(df: DataFrame) -> DataFrame:
     """One row: medians of both symmetries and the floor of the axis."""
     own = parent_rows(df).where(F.col("surface_type") == "Dorsal")
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return own.agg(med("vertical_symmetry").alias("vertical_median"), med("horizontal_symmetry").alias("horizontal_median"), F.least(F.min("vertical_symmetry"), F.min("horizontal_symmetry")).alias("x_floor"))
+    floor = own.agg(F.least(F.min("vertical_symmetry"), F.min("horizontal_symmetry")).alias("x_floor"))
+    middle = lambda c, name: F.broadcast(quantiles(own, c, {name: 0.5}).select(name))  # noqa: E731  one row
+    return middle("vertical_symmetry", "vertical_median").crossJoin(middle("horizontal_symmetry", "horizontal_median")).crossJoin(floor)
 
 
 def scar_summary(df: DataFrame) -> DataFrame:
@@ -165,6 +187,12 @@ def hull_ratios(df: DataFrame) -> DataFrame:
     return own.select("image_id", "total_area", "convex_hull_area", (F.col("convex_hull_area") / F.col("total_area")).alias("ratio"), "calibration_method")
 
 
+def coverage(summary: DataFrame) -> DataFrame:
+    """One row: lithics with a coverage, its median, and the largest dorsal area among them."""
+    own = summary.where("coverage_pct is not null")
+    return quantiles(own, "coverage_pct", {"median_coverage": 0.5}).crossJoin(F.broadcast(own.agg(F.max("dorsal_area").alias("largest")))).select("n", "median_coverage", "largest")
+
+
 def cortex_summary(df: DataFrame) -> DataFrame:
     """One row: cortex regions, lithics with cortex, and their share in percent."""
     own = cortex_rows(df).agg(F.count(F.lit(1)).alias("n_regions"), F.countDistinct("image_id").alias("n_with_cortex"))
@@ -180,9 +208,14 @@ def histogram(rows: DataFrame, value: str, bins: int = 15) -> DataFrame:
     return own.groupBy(at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def number_text(value: Column) -> Column:
+    """A number with thousands separators: whole, or with two digits."""
+    exact = value.cast("decimal(28,6)").cast("decimal(24,2)")
+    return F.when(value == F.floor(value), F.format_number(value.cast("bigint"), 0)).otherwise(F.format_number(exact, 2))
+
+
 def caption(rows: DataFrame, value: str) -> DataFrame:
-    """One row: median, quartiles (linear) and n, and the text of a caption."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    out = rows.agg(q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.count(value).alias("n"))
-    two = lambda c: F.format_string("%.2f", F.round(c, 2))
-    return out.withColumn("text", F.concat(F.lit("median "), two(F.col("median")), F.lit(", IQR "), two(F.col("q1")), F.lit("-"), two(F.col("q3")), F.lit(", N "), F.col("n").cast("string")))
+    """One row: median, quartiles (linear) and n, and the text of a caption (empty without values)."""
+    out = quantiles(rows, value, {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    parts = [F.lit("Median: "), number_text(F.col("median")), F.lit(" · IQR: "), number_text(F.col("q1")), F.lit("–"), number_text(F.col("q3")), F.lit(" · N: "), F.col("n").cast("string")]
+    return out.withColumn("text", F.when(F.col("n") > 0, F.concat(*parts)).otherwise(""))

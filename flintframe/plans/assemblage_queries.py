@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemblage as A
 from ..operators import statistics as S
+from ..sources.metrics import COLUMNS
 from . import adapters
 
 Make = Callable[[DataFrame], DataFrame]
@@ -40,7 +41,7 @@ FOUND: dict[str, tuple[Make, str]] = {
     "d09_low_confidence": (lambda a: A.overview(a).select("low_confidence_scales", "successful"), "SELECT count(DISTINCT CASE WHEN scale_confidence < 0.8 THEN image_id END) AS low_confidence_scales, count(DISTINCT image_id) AS successful FROM a"),
     "d10_quality_counts": (lambda a: A.overview(a).select("unclassified_surfaces", "zero_scar_lithics", "pixel_only_lithics"), """SELECT (SELECT count(*) FROM p WHERE surface_type = 'Unclassified') AS unclassified_surfaces,
   (SELECT count(*) FROM d WHERE scar_count = 0) AS zero_scar_lithics, (SELECT count(DISTINCT image_id) FROM a WHERE calibration_method = 'pixels') AS pixel_only_lithics"""),
-    "d12_labels": (lambda a: a.select("surface_type").distinct().select("surface_type", A.label(F.concat(F.lit("num_CELLS_of_"), "surface_type")).alias("label")).unionByName(a.limit(1).select(F.lit("voronoi_num_cells").alias("surface_type"), A.label(F.lit("voronoi_num_cells")).alias("label"))), "SELECT DISTINCT surface_type, 'Num cells of ' || lower(surface_type) AS label FROM a UNION ALL SELECT 'voronoi_num_cells', 'Voronoi cells'"),
+    "d12_labels": (lambda a: a.select(F.explode(F.array(*[F.lit(c) for c in sorted(COLUMNS)])).alias("name")).distinct().select("name", A.label(F.col("name")).alias("label")), "SELECT name, CASE name WHEN 'image_id' THEN 'Image ID' WHEN 'centroid_x' THEN 'Centroid X' WHEN 'centroid_y' THEN 'Centroid Y' WHEN 'voronoi_num_cells' THEN 'Voronoi cells' ELSE upper(name[1]) || lower(replace(name[2:], '_', ' ')) END AS label FROM (SELECT DISTINCT unnest([" + ", ".join(f"'{c}'" for c in sorted(COLUMNS)) + "]) AS name FROM a) q"),
     "d13_unit_suffix": (lambda a: A.unit_suffix(A.filter_metrics(a, [], ["scale_bar"]), ["perimeter", "total_area", "aspect_ratio"]).unionByName(A.unit_suffix(a, ["max_width"])).unionByName(A.unit_suffix(A.filter_metrics(a, [], ["pixels"]), ["cortex_area"])),
         "SELECT * FROM (VALUES ('perimeter', 'mm', 'Perimeter'), ('total_area', 'mm²', 'Total area'), ('aspect_ratio', '', 'Aspect ratio'), ('max_width', '', 'Max width'), ('cortex_area', 'px²', 'Cortex area')) v(field, unit, label)"),
     "d14_drill_down": (lambda a: A.drill_down(a, "lithic-7").select("image_id", "surface_feature", "ord"), "SELECT image_id, surface_feature, ord FROM a WHERE image_id = 'lithic-7'"),
@@ -64,7 +65,7 @@ FOUND: dict[str, tuple[Make, str]] = {
   SELECT image_id, abs(e) > 2 * (SELECT stddev_pop(e) FROM r) AS is_outlier FROM r"""),
     "p10_count_vs_area": (lambda a: S.outliers(S.scar_summary(a), "dorsal_area", "num_scars").where("is_outlier").select("image_id", "dorsal_area", "num_scars", "residual"), """, f AS (SELECT regr_slope(num_scars::DOUBLE, dorsal_area) AS slope, regr_intercept(num_scars::DOUBLE, dorsal_area) AS intercept FROM sums), r AS (SELECT *, num_scars - (slope * dorsal_area + intercept) AS e FROM sums, f)
   SELECT image_id, round(dorsal_area, 4) AS dorsal_area, num_scars, round(e, 4) AS residual FROM r WHERE abs(e) > 2 * (SELECT stddev_pop(e) FROM r)"""),
-    "p11_coverage_vs_area": (lambda a: S.scar_summary(a).where("coverage_pct is not null").agg(F.count(F.lit(1)).alias("n"), F.percentile("coverage_pct", F.lit(0.5)).alias("median_coverage"), F.max("dorsal_area").alias("largest")), "SELECT count(*) AS n, round(median(coverage_pct), 4) AS median_coverage, round(max(dorsal_area), 4) AS largest FROM sums WHERE coverage_pct IS NOT NULL"),
+    "p11_coverage_vs_area": (lambda a: S.coverage(S.scar_summary(a)), "SELECT count(*) AS n, round(median(coverage_pct), 4) AS median_coverage, round(max(dorsal_area), 4) AS largest FROM sums WHERE coverage_pct IS NOT NULL"),
     "p12_complexity_histogram": (lambda a: S.integer_histogram(S.complexity(a), "scar_complexity"), "SELECT scar_complexity::BIGINT AS bin, count(*) AS n FROM s WHERE scar_complexity IS NOT NULL GROUP BY 1"),
     "p13_complexity_grid": (S.complexity_grid, """, k AS (SELECT image_id, median(scar_complexity) AS median FROM s GROUP BY 1 HAVING count(*) >= 2), c AS (SELECT image_id, scar_complexity, count(*) AS n, any_value(median) AS median FROM s JOIN k USING (image_id) GROUP BY 1, 2)
   SELECT image_id, scar_complexity, n, median, round(6 + (n - 1) * 22 / ((SELECT max(n) FROM c) - 1)::DOUBLE, 4) AS size FROM c"""),
@@ -77,7 +78,9 @@ FOUND: dict[str, tuple[Make, str]] = {
     "p20_cortex_summary": (S.cortex_summary, "SELECT count(*) FILTER (is_cortex) AS n_regions, count(DISTINCT CASE WHEN is_cortex THEN image_id END) AS n_with_cortex, count(DISTINCT image_id) AS n_lithics, round(count(DISTINCT CASE WHEN is_cortex THEN image_id END) * 100.0 / count(DISTINCT image_id), 4)::DOUBLE AS prevalence_pct FROM a"),
     "p20_cortex_areas": (lambda a: S.histogram(A.cortex_rows(a), "total_area"), """, c AS (SELECT total_area AS v, min(total_area) OVER () AS lo, max(total_area) OVER () AS hi FROM a WHERE is_cortex)
   SELECT least(14, floor((v - lo) * 15 / (hi - lo)))::BIGINT AS bin, count(*) AS n, round(min(v), 4) AS least, round(max(v), 4) AS most FROM c GROUP BY 1"""),
-    "p21_caption": (lambda a: S.caption(A.dorsal_scars(a), "total_area"), "SELECT round(median(total_area), 4) AS median, round(quantile_cont(total_area, 0.25), 4) AS q1, round(quantile_cont(total_area, 0.75), 4) AS q3, count(*) AS n, printf('median %.2f, IQR %.2f-%.2f, N %d', round(median(total_area), 2), round(quantile_cont(total_area, 0.25), 2), round(quantile_cont(total_area, 0.75), 2), count(*)) AS text FROM s"),
+    "p21_caption": (lambda a: S.caption(A.dorsal_scars(a), "total_area"), """, q AS (SELECT median(total_area) AS median, quantile_cont(total_area, 0.25) AS q1, quantile_cont(total_area, 0.75) AS q3, count(*) AS n FROM s),
+  f AS (SELECT *, [CASE WHEN v = floor(v) THEN format('{:,}', v::BIGINT) ELSE format('{:,}', trunc(v::DECIMAL(28,6)::DECIMAL(24,2))::BIGINT) || '.' || lpad((abs(v::DECIMAL(28,6)::DECIMAL(24,2) * 100)::BIGINT % 100)::VARCHAR, 2, '0') END FOR v IN [median, q1, q3]] AS t FROM q)
+  SELECT round(median, 4) AS median, round(q1, 4) AS q1, round(q3, 4) AS q3, n, 'Median: ' || t[1] || ' · IQR: ' || t[2] || '–' || t[3] || ' · N: ' || n AS text FROM f"""),
 }
 
 
