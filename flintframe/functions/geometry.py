@@ -112,6 +112,11 @@ def hull(p: Column) -> Column:
     return kernels.hull_of(*_apart(p))
 
 
+def distance(p: Column, q: Column) -> Column:
+    """Distance of two polygons, 0 where outlines meet or one holds the other, in Arrow batches."""
+    return kernels.distance_of(*_apart(p), *_apart(q))
+
+
 def halves(p: Column, x: Column, y: Column) -> Column:
     """top_area, bottom_area, left_area and right_area: filled pixels on the sides of the truncated (x, y)."""
     return kernels.halves_of(*_apart(p), x.cast("int"), y.cast("int"))

@@ -103,6 +103,38 @@ def arrow(points: list[tuple[int, int]], least_area: float, least_depth: float,
     return float(round(round(compass, 1))), tx, ty, mx, my, math.hypot(bx - ax, by - ay), height, max(one, two), min(one, two)
 
 
+def _inside(points: np.ndarray, x: float, y: float) -> bool:
+    """Whether a point is inside by the parity of crossings; outlines are left to distances."""
+    a, b = points, np.roll(points, -1, axis=0)
+    spans = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[spans], b[spans]
+    return bool((x < a[:, 0] + (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1])).sum() % 2)
+
+
+def distance(one: list[tuple[int, int]], two: list[tuple[int, int]], part: int = 256) -> float:
+    """Distance of two polygons: 0 where their outlines meet or one holds the other. Sides are taken ``part`` at a time."""
+    p, q = np.asarray(one, float), np.asarray(two, float)
+    if _inside(p, *q[0]) or _inside(q, *p[0]):
+        return 0.0
+    least = np.inf
+    for v, ends in ((p, q), (q, p)):
+        for lo in range(0, len(ends), part):
+            a = ends[lo : lo + part]
+            d = np.roll(ends, -1, axis=0)[lo : lo + part] - a
+            n = np.maximum((d * d).sum(axis=1), 1e-300)
+            w = v[:, None, :] - a[None, :, :]
+            t = np.clip((w * d).sum(axis=2) / n, 0, 1)
+            least = min(least, float(((w - t[:, :, None] * d) ** 2).sum(axis=2).min()))
+            if v is p:  # sides of one against this part of the other's
+                e = np.roll(p, -1, axis=0) - p
+                side = lambda u, to: u[..., 0] * to[..., 1] - u[..., 1] * to[..., 0]
+                back = -w
+                across = side(e[:, None, :], back) * side(e[:, None, :], back + d) < 0
+                if (across & (side(d, w) * side(d, w + e[:, None, :]) < 0)).any():
+                    return 0.0
+    return math.sqrt(least)
+
+
 def _pairs(xs: pd.Series, ys: pd.Series) -> Iterator[list[tuple[int, int]] | None]:
     for x, y in zip(xs, ys, strict=True):
         yield None if x is None or y is None or not len(x) else list(zip(np.asarray(x).tolist(), np.asarray(y).tolist(), strict=True))
@@ -118,6 +150,11 @@ def chord_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None, None) if p is None else chord(p) for p in _pairs(xs, ys)], columns=["d2", "i", "j"])
 
 
+@F.pandas_udf(T.DoubleType())
+def distance_of(xs: pd.Series, ys: pd.Series, us: pd.Series, vs: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or q is None else distance(p, q) for p, q in zip(_pairs(xs, ys), _pairs(us, vs), strict=True)], dtype=float)
+
+
 @F.pandas_udf(_row(top_area=T.LongType(), bottom_area=T.LongType(), left_area=T.LongType(), right_area=T.LongType()))
 def halves_of(xs: pd.Series, ys: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.DataFrame:
     """Filled pixels above and not above cy, left and not left of cx."""

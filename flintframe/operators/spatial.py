@@ -35,27 +35,12 @@ def _edges(p: Column) -> Column:
     return F.zip_with(p, F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1)), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
 
 
-def _point_edge2(v: Column, e: Column) -> Column:
-    """Squared distance of a vertex from an edge."""
-    dx, dy = (e["v"]["x"] - e["u"]["x"]).cast("double"), (e["v"]["y"] - e["u"]["y"]).cast("double")
-    wx, wy = (v["x"] - e["u"]["x"]).cast("double"), (v["y"] - e["u"]["y"]).cast("double")
-    n = dx * dx + dy * dy
-    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wx * dx + wy * dy) / n))).otherwise(0.0)
-    return F.pow(wx - t * dx, F.lit(2)) + F.pow(wy - t * dy, F.lit(2))
-
-
 def distances(polygons: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs with the distance of their polygons: 0 where outlines cross or one holds the other."""
     one = polygons.select("image_id", F.col("contour_id").alias("a"), F.col("contour").alias("pa"))
     two = polygons.select("image_id", F.col("contour_id").alias("b"), F.col("contour").alias("pb"))
-    both = pairs.join(one, ["image_id", "a"]).join(two, ["image_id", "b"]).withColumn("ea", _edges(F.col("pa"))).withColumn("eb", _edges(F.col("pb")))
-    nearest = lambda vs, es: F.array_min(F.transform(vs, lambda v: F.array_min(F.transform(es, lambda e: _point_edge2(v, e)))))
-    side = lambda p, q, r: F.signum((q["x"] - p["x"]).cast("double") * (r["y"] - p["y"]) - (q["y"] - p["y"]).cast("double") * (r["x"] - p["x"]))
-    cut = lambda e, f: (side(e["u"], e["v"], f["u"]) * side(e["u"], e["v"], f["v"]) < 0) & (side(f["u"], f["v"], e["u"]) * side(f["u"], f["v"], e["v"]) < 0)
-    crossing = F.exists("ea", lambda e: F.exists("eb", lambda f: cut(e, f)))
-    inside = G.contains(F.col("pa"), F.get("pb", F.lit(0))["x"], F.get("pb", F.lit(0))["y"]) | G.contains(F.col("pb"), F.get("pa", F.lit(0))["x"], F.get("pa", F.lit(0))["y"])
-    apart = F.sqrt(F.least(nearest(F.col("pa"), F.col("eb")), nearest(F.col("pb"), F.col("ea"))))
-    return both.select("image_id", "a", "b", F.when(crossing | inside, 0.0).otherwise(apart).alias("distance"))
+    both = pairs.join(one, ["image_id", "a"]).join(two, ["image_id", "b"])
+    return both.select("image_id", "a", "b", G.distance(F.col("pa"), F.col("pb")).alias("distance"))
 
 
 def scar_complexity(scars: DataFrame, threshold: float = BORDER_DISTANCE) -> DataFrame:
