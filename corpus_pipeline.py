@@ -11,29 +11,39 @@ from pyspark.sql import functions as F
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic."""
+    """Documents that the nearest labelled examples do not call toxic.
+
+    Null and blank texts are judged as examples of that sort are; texts are whole; repeated rows stay or go together;
+    without labels all stay; no documents, no rows. Columns of the labels do not clash.
+    """
     index = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("__r", toxicity.judged(F.col("text"), index)).where("__r.predicted = 0").drop("__r")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by five-word shingles at a similarity of 0.8."""
+    """One document of each group that links by five-word shingles at a similarity of 0.8: the one with the smallest id.
+
+    Texts without words (null, blank) all stay; of rows alike in id and text one stays; a null id comes last.
+    """
     return jaccard.representatives(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and blank texts hold none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: source blocks interleave to their target weights."""
+    """All documents, in the order of the mix: source blocks interleave to their target weights.
+
+    A null source counts with those without a weight; repeated rows have places of their own.
+    """
     placed = mixing.mix(docs)
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
 def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their slot and shard."""
+    """Documents with their slot and shard, by id (without one, by their other columns); columns of these names are replaced."""
     return sharding.assign_shards(docs)
 
 

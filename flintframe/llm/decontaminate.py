@@ -13,7 +13,7 @@ WIDTH = 10
 #: Windows in one broadcast; a larger benchmark is taken in blocks of this size, each joined with all documents.
 BLOCK_WINDOWS = 200_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_GAP_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_words(text: Column) -> Column:
@@ -32,9 +32,9 @@ def windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_
 def _index(wins: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Windows filed under their rarest word: ``__token``, its place ``__off``, ``__len``, and the window.
 
-    Words are ordered by how often they occur in all documents. A window occurs only where all its words do, so one
-    word is the whole necessary prefix; the rarest makes the fewest candidates. A window with a word that no document
-    holds is left out.
+    Words are ordered by how often they occur in all documents. Containment is exact and whole, so a window occurs only
+    where each of its words does: the necessary prefix is one token, of any shingle width, and the rarest word makes
+    few candidates without counts of longer shingles. A window with a word that no document holds is left out.
     """
     spots = wins.select("__win", F.posexplode("__win").alias("__off", "__token"))
     vocabulary = spots.select("__token").distinct()
@@ -86,7 +86,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "d
     (rows are told apart by id and text). No documents, no rows; no items, no hits. Other columns are not read.
     """
     hits = matches(docs, items, width, id_col, text_col)
-    base = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text_col).alias("__dh"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text_col).alias("__dh"), F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), _GAP_OF_ANY_CASE), lambda w: w != "")).cast("long").alias("n_words"))
     out = base.join(hits, base["__d"].eqNullSafe(hits["__id"]) & (base["__dh"] == hits["__h"]), "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
@@ -97,6 +97,10 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "d
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any hit, as they came."""
+    """The documents without any hit, as they came.
+
+    Null and blank texts have no words and stay, as do all texts when there are no items; rows alike in id and text go
+    or stay together; no documents, no rows. Texts are whole, however long; columns of the items do not clash.
+    """
     hits = matches(docs, items, width, id_col, text_col).select("__id", "__h")
     return docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(docs[text_col]) == hits["__h"]), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import decontaminate, sharding, urls
+from . import decontaminate, quality, sharding, urls
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
@@ -55,6 +55,39 @@ placed AS (SELECT doc_id, (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR),
 SELECT doc_id, slot, owners[slot + 1]::INTEGER AS shard FROM placed, t"""
 
 
+def distribution_quality() -> str:
+    blank, q = r"\x20\x09-\x0D", quality
+    pieces = {"lower": "[a-z]+", "space": rf"[{blank}]+", "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>]+", "punct": r"[\x21-\x7E]+", "letter": r"\p{L}+"}
+    cut = "".join(f", c{k + 1} AS (SELECT *, regexp_replace(t{k}, '{pieces[name]}', '', 'g') AS t{k + 1} FROM c{k})" for k, (name, _) in enumerate(q.CLASSES))
+    last = len(q.CLASSES)
+    counts = ", ".join([f"length(t{k}) - length(t{k + 1})" for k in range(last)] + [f"length(t{last})"])
+    half = "CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END"
+    return f"""
+WITH c0 AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t0, regexp_extract_all(coalesce(text, ''), '[^{blank}]+') AS ws FROM documents){cut},
+base AS (SELECT k, doc_id, lang, ws, len(ws) AS n_words, length(t0) AS chars, coalesce(list_sum([length(w) FOR w IN ws]), 0)::BIGINT AS word_chars, length(t0) - length(regexp_replace(t0, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  [x FOR x IN string_split(t0, chr(10)) IF regexp_matches(x, '[^{blank}]')] AS lines, [{counts}] AS cs FROM c{last}),
+grams AS (SELECT k, i, array_to_string(ws[i : i + {q.WINDOW - 1}], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS i FROM base WHERE len(ws) >= {q.WINDOW})),
+reps AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + {q.WINDOW})) AS p FROM grams WHERE (k, g) IN (SELECT (k, g) FROM grams GROUP BY k, g HAVING count(*) > 1)) GROUP BY k),
+sizes AS (SELECT lang, count(*) AS docs FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {q.LEAST_DOCS}),
+said AS (SELECT DISTINCT k, lang, unnest(regexp_extract_all(lower(t0), '[^{blank}]+')) AS word FROM c0 WHERE lang IS NOT NULL),
+common AS (SELECT DISTINCT word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
+  FROM (SELECT lang, word, count(*) AS n FROM said WHERE length(word) <= {q.LONGEST} GROUP BY 1, 2) JOIN sizes USING (lang) WHERE n >= {q.LEAST_SHARE}::DOUBLE * docs) WHERE r <= {q.COMMON}),
+spelled AS (SELECT word, word AS s FROM common UNION SELECT word, upper(word[1]) || lower(word[2:]) FROM common),
+own AS (SELECT k, word, count(*) AS n FROM (SELECT k, unnest(ws) AS s FROM base) JOIN spelled USING (s) GROUP BY 1, 2),
+totals AS (SELECT lang, sum(n_words)::DOUBLE AS words, sum(chars)::DOUBLE AS chars FROM base JOIN sizes USING (lang) GROUP BY lang HAVING sum(n_words) > 0),
+class_ref AS (SELECT lang, j, sum(cs[j]) / any_value(totals.chars) AS q FROM base JOIN totals USING (lang), (SELECT unnest(range(1, {last + 2})) AS j) GROUP BY lang, j),
+word_ref AS (SELECT t.lang, c.word, coalesce(n, 0) / t.words AS q FROM totals t CROSS JOIN common c LEFT JOIN (SELECT lang, word, sum(n) AS n FROM own JOIN base USING (k) GROUP BY 1, 2) x ON x.lang = t.lang AND x.word = c.word),
+class_d AS (SELECT k, r.lang, sqrt(greatest(0, sum({half}) / 2)) AS d FROM (SELECT k, r.lang, cs[j]::DOUBLE / chars AS p, q FROM base, class_ref r WHERE chars >= {q.LEAST_CHARS}) r GROUP BY k, r.lang),
+pq AS (SELECT b.k, r.lang, coalesce(own.n, 0) / b.n_words::DOUBLE AS p, r.q FROM base b CROSS JOIN word_ref r LEFT JOIN own ON own.k = b.k AND own.word = r.word WHERE b.n_words >= {q.LEAST_WORDS}),
+word_d AS (SELECT k, lang, sqrt(greatest(0, sum({half}) / 2)) AS d FROM (SELECT * FROM pq UNION ALL SELECT k, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pq GROUP BY k, lang) GROUP BY k, lang),
+best AS (SELECT b.k, arg_min(c.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS c, arg_min(w.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS w
+  FROM base b CROSS JOIN totals t LEFT JOIN class_d c ON c.k = b.k AND c.lang = t.lang LEFT JOIN word_d w ON w.k = b.k AND w.lang = t.lang WHERE b.lang IS NULL OR b.lang IN (SELECT lang FROM totals) GROUP BY b.k),
+rows AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(reps.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(reps.n, 0) > 20 * n_words AS base_failed, best.c, best.w
+  FROM base LEFT JOIN reps USING (k) LEFT JOIN best USING (k))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(c <= {q.MOST_CLASS_DISTANCE}, true) AND coalesce(w <= {q.MOST_WORD_DISTANCE}, true) AS kept FROM rows"""
+
+
 def contamination() -> str:
     said = lambda text: rf"regexp_extract_all(translate(coalesce({text}, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""
@@ -87,6 +120,6 @@ FROM d LEFT JOIN sizes USING (k) LEFT JOIN tops USING (k) LEFT JOIN degree USING
 
 
 ORACLES = {
-    "op4_url_filters": url_filters, "op5_chat_format": chat_format, "op6_decontamination": contamination,
+    "op1_distribution_quality": distribution_quality, "op4_url_filters": url_filters, "op5_chat_format": chat_format, "op6_decontamination": contamination,
     "op8_sharding": shards, "op9_jaccard_join": jaccard_join,
 }

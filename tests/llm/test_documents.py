@@ -356,3 +356,11 @@ def test_mixing_against_a_plain_list(spark, docs):
         assert r.slot == slots[r.mix_source][r.block] and r.position // size == r.slot
     for s, own in lists.items():
         assert [d if d is None else d for _, d in sorted(got[s], key=lambda x: x[0])] == [d if has else None for _, has, d in sorted(own)]
+
+
+def test_decontamination_and_secrets_without_rows(spark, docs, tmp_path):
+    items = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
+    assert decontaminate.find(docs.limit(0), items).isEmpty() and decontaminate.drop_contaminated(docs.limit(0), items).isEmpty()
+    assert secrets.scan(docs.limit(0), str(tmp_path / "a")).isEmpty()
+    clash = docs.select("doc_id", "text").limit(5).withColumn("blob", F.lit("x")).withColumn("findings", F.lit(1))
+    assert secrets.scan(clash, str(tmp_path / "b")).count() == clash.count()
