@@ -23,7 +23,7 @@ from .common import durable
 #: Labelled rows of each class that the classifier is fitted on (about), examples in a block, neighbours.
 EXAMPLES, BLOCK, NEIGHBOURS = 1000, 64, 15
 #: Blocks that are scored before the others are held against the k-th cosine, and cells that count terms of no example.
-FIRST_BLOCKS, CELLS = 8, 1 << 20
+FIRST_BLOCKS, CELLS = 8, 1 << 18
 #: A term that one in OFTEN examples has is kept as a row of a matrix; texts that are scored together.
 OFTEN, AT_ONCE = 8, 64
 #: Terms that tell labels apart (chi-square over the examples, and examples that have it) weigh BOOST-fold.
