@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import decontaminate, quality, sharding, urls
+from . import codes, decontaminate, importance, quality, sharding, urls, vectors
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
@@ -119,7 +119,62 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_li
 FROM d LEFT JOIN sizes USING (k) LEFT JOIN tops USING (k) LEFT JOIN degree USING (k)"""
 
 
+def _whole_vectors() -> str:
+    """Rows of embeddings with whole components; k: their order."""
+    v = vectors
+    return f"""SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label,
+  [least(greatest(floor({v.SCALE} * x::DOUBLE), {-v.MOST}), {v.MOST})::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+def bitslice_topk() -> str:
+    return f"""
+WITH v AS ({_whole_vectors()}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum([t[1] * t[2] FOR t IN list_zip(q.v, c.v)]), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
+def annular_codes() -> str:
+    parts, entries = codes.PARTS, codes.ENTRIES
+    step = f"len(v) // {parts}"
+    apart = "list_sum([(t[1] - t[2]) * (t[1] - t[2]) FOR t IN list_zip(x, c)])"
+    rounds = "".join(f""",
+a{r} AS MATERIALIZED (SELECT k, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT k, parts.p, x, e, {apart} AS d FROM parts JOIN b{r} ON b{r}.p = parts.p) GROUP BY k, p),
+s{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, sum(x[i]) // count(*) - (sum(x[i]) % count(*) < 0)::INT AS m FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY p, e, i) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN s{r} s ON s.p = b.p AND s.e = b.e)""" for r in range(codes.ROUNDS))
+    last = codes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED ({_whole_vectors()}),
+parts AS MATERIALIZED (SELECT k, p, v[p * ({step}) + 1 : (p + 1) * ({step})] AS x FROM v, (SELECT unnest(range({parts})) AS p)),
+b0 AS (SELECT p, k - 1 AS e, x AS c FROM parts WHERE k <= {entries}){rounds},
+a{last} AS (SELECT k, parts.p, arg_min(e, ({apart}, e)) AS e, min({apart}) AS d FROM parts JOIN b{last} ON b{last}.p = parts.p GROUP BY k, parts.p),
+coded AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY k),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (k), books"""
+
+
+def importance_resampling() -> str:
+    q = importance
+    if q.LONGEST_RUN != 1:
+        raise NotImplementedError("this SQL takes single words")
+    said = lambda name, id_col: rf"SELECT {id_col} AS k, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM {name}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents), own AS MATERIALIZED ({said('d', 'k')}), target AS MATERIALIZED ({said('benchmark', '0')}),
+steps AS (SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS tab FROM (SELECT unnest(range(256)) AS n)),
+bytes AS (SELECT w, [('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::BIGINT FOR i IN range(octet_length(encode(w)))] AS b FROM (SELECT DISTINCT w FROM (FROM own UNION ALL FROM target))),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce([4294967295] || b, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % {q.BUCKETS} AS bucket FROM bytes, steps),
+counts AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT w, 1 AS s, 0 AS t FROM own UNION ALL SELECT w, 0, 1 FROM target) JOIN hashed USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT count(*) FROM own) + {q.BUCKETS}))::DOUBLE / ((s + 1) * ((SELECT count(*) FROM target) + {q.BUCKETS}))::DOUBLE))::BIGINT AS g FROM counts),
+sums AS (SELECT k, count(*) AS n, sum(g)::BIGINT AS g FROM own JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY k),
+weighed AS (SELECT k, doc_id, coalesce(n, 0) AS n_features, coalesce(floor(g::DOUBLE / n), 0)::BIGINT AS weight, ('0x' || sha256('{q.SEED}:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN sums USING (k)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {q.LEAST_WORDS} ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {q.LEAST_WORDS} AND r <= (SELECT {q.PERCENT} * count(*) // 100 FROM scored WHERE n_features >= {q.LEAST_WORDS}) THEN r END AS rank FROM placed"""
+
+
 ORACLES = {
     "op1_distribution_quality": distribution_quality, "op4_url_filters": url_filters, "op5_chat_format": chat_format, "op6_decontamination": contamination,
-    "op8_sharding": shards, "op9_jaccard_join": jaccard_join,
+    "op8_sharding": shards, "op9_jaccard_join": jaccard_join, "op11_bitslice_topk": bitslice_topk, "op12_annular_codes": annular_codes,
+    "op13_importance_resampling": importance_resampling,
 }

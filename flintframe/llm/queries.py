@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, oracles, quality, secrets, sharding, toxicity, urls
+from . import bitslices, chat, codes, decontaminate, importance, jaccard, langid, mixing, oracles, quality, secrets, sharding, toxicity, urls
 from .common import shared_dir, table
 
 
@@ -78,6 +78,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out.alias("held_out"), F.col("__r.score").alias("score"), F.col("__r.predicted").alias("predicted"), F.transform("__r.evidence", lambda e: e["id"].cast("bigint")).alias("evidence_ids"))
 
 
+def op11_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitslices.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -85,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_distribution_quality, op2_language_id, op3_source_mixing, op4_url_filters, op5_chat_format,
-        op6_decontamination, op7_secret_scan, op8_sharding, op9_jaccard_join, op10_toxicity, pipeline,
+        op6_decontamination, op7_secret_scan, op8_sharding, op9_jaccard_join, op10_toxicity, op11_bitslice_topk, op12_annular_codes, op13_importance_resampling, pipeline,
     )
 }
 
