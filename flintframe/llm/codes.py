@@ -57,7 +57,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[
     for batch in batches:
         for at in range(0, batch.num_rows, AT_ONCE):
             piece = batch.slice(at, AT_ONCE)
-            x = whole(piece.column("__v"), parts * step).reshape(-1, parts, step)
+            x = whole(piece.column("__v"), parts * step).reshape(piece.num_rows, parts, step)
             found = [ring.nearest(x[:, p]) for p, ring in enumerate(rings)]
             yield piece, x, np.stack([i for i, _ in found], axis=1), np.stack([d for _, d in found], axis=1)
 
@@ -103,7 +103,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     _, longest = extent(own, "__v")
     step = -(-longest // parts)
     begin = own.select("__id", "__v").orderBy(F.col("__id").asc_nulls_last(), "__v").limit(entries).toArrow()
-    books = whole(begin["__v"].combine_chunks(), parts * step).reshape(-1, parts, step).transpose(1, 0, 2)
+    books = whole(begin["__v"].combine_chunks(), parts * step).reshape(begin.num_rows, parts, step).transpose(1, 0, 2)
     if not begin.num_rows:
         return own.select(F.col("__id").alias(id_col), F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error"), F.lit(0).cast("bigint").alias("label_error")), books
     for _ in range(rounds):
