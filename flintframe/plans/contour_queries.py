@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import analyses, arrows, calibration, contours, raster, spatial, surfaces
-from . import adapters
+from ..sources import images
+from . import adapters, scans
 from .assemblage_queries import rounded
 
-_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS}.items()}
-_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS}
+_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS}.items()}
+_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS}
 _NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
 _NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
 _CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
@@ -170,6 +171,9 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
   j AS (SELECT md.*, CASE WHEN try_cast(scale AS DOUBLE) > 0 THEN sp / try_cast(scale AS DOUBLE) END AS ppm, sc FROM md LEFT JOIN ba USING (scale_id)), st AS (SELECT *, CASE WHEN scale_id = '' THEN 'pixels_no_scale' WHEN ppm IS NULL THEN 'pixels_detection_failed' ELSE 'scale_bar' END AS calibration_status FROM j)
   SELECT image_id, scale_id, scale, calibration_status, CASE WHEN calibration_status = 'scale_bar' THEN 'scale_bar' ELSE 'pixels' END AS calibration_method, CASE WHEN calibration_status = 'scale_bar' THEN round(ppm, 4) END AS pixels_per_mm, CASE WHEN calibration_status = 'scale_bar' THEN round(sc, 4) END AS scale_confidence, CASE WHEN calibration_status = 'scale_bar' THEN round(ppm, 4) ELSE 1.0 END AS factor FROM st"""),
     "b04_suffix": ("px", lambda p: _numbers(p).select("k", calibration.suffix(F.when(F.col("k") % 2 == 0, "scale_bar").otherwise("pixels"), F.col("k") / 4).alias("text"), F.round(calibration.dpi_factor(F.col("k")), 4).alias("dpi_factor")), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT k, CASE WHEN k % 2 = 0 AND k > 0 THEN printf('scale bar, %.2f px/mm', k / 4) ELSE 'pixels only' END AS text, CASE WHEN k > 0 THEN round(k / 25.4, 4)::DOUBLE END AS dpi_factor FROM n"),
+    "s04_tiff": ("px", lambda p: _scanned(scans.tiffs(p)), "SELECT image_id, y, x, v FROM px"),
+    "s04_jpeg": ("coef", lambda c: _scanned(scans.jpegs(c)), scans.PIXELS_OF),
+    "s05_resolution": ("px", lambda p: scans.tiffs(p).select(F.col("path").alias("image_id"), images.dpi(F.col("content")).alias("dpi")), ", n AS (SELECT DISTINCT image_id, replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT image_id, (72 + k % 500)::INTEGER AS dpi FROM n"),
     "r01_grey": ("px", lambda p: p.select("image_id", "y", "x", raster.grey(F.col("v"), 255 - F.col("v"), F.col("v") % 64).alias("g")), "SELECT image_id, y, x, floor(0.299::DOUBLE * v + 0.587::DOUBLE * (255 - v) + 0.114::DOUBLE * (v % 64) + 0.5)::INTEGER AS g FROM px"),
     "r02_minmax": ("px", raster.normalise, "SELECT image_id, y, x, coalesce(floor((v - min(v) OVER w) * 255.0::DOUBLE / nullif(max(v) OVER w - min(v) OVER w, 0) + 0.5), 0)::INTEGER AS v FROM px WINDOW w AS (PARTITION BY image_id)"),
     "r02_zscore": ("px", lambda p: raster.normalise(p, "zscore"), "SELECT image_id, y, x, round(coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0), 4) + 0.0 AS v FROM px WINDOW w AS (PARTITION BY image_id)"),
@@ -232,6 +236,10 @@ def _numbers(pixels: DataFrame) -> DataFrame:
     return pixels.select(F.replace("image_id", F.lit("img-"), F.lit("")).cast("int").alias("k")).distinct()
 
 
+def _scanned(files: DataFrame) -> DataFrame:
+    return images.pixels(files).select(F.col("path").alias("image_id"), "y", "x", raster.grey(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+
+
 def _metadata(pixels: DataFrame) -> DataFrame:
     k = F.col("k")
     own = _numbers(pixels).withColumn("image_id", F.concat(F.lit("img-"), k.cast("string")))

@@ -1,6 +1,7 @@
 """Images as pixel tables, or as one row an image with its grey pixels.
 
-PNG of all bit depths, with palette and interlace, and uncompressed BMP are decoded here; other formats are reported.
+PNG of all bit depths, with palette and interlace, sequential JPEG, TIFF and uncompressed BMP are decoded; other files
+are reported with their reason.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import jpeg, tiff
 
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 #: First column and row and steps of the seven passes of an interlaced image.
@@ -104,8 +108,55 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return colours[np.minimum(px[:, :, 0], len(colours) - 1)]
 
 
+def turned(px: np.ndarray, orientation: int) -> np.ndarray:
+    """An image upright, from the number by which a file says how it lies: mirrored, turned, or both."""
+    if orientation > 4:
+        px = px.swapaxes(0, 1)
+    down, right = orientation in (3, 4, 7, 8), orientation in (2, 3, 6, 7)
+    return px[:: -1 if down else 1, :: -1 if right else 1]
+
+
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_png(data)
+    """Rows, columns and channels (red first), 8 bits each, upright."""
+    if data[:2] == b"BM":
+        return decode_bmp(data)
+    if data[:2] == b"\xff\xd8":
+        return turned(jpeg.decode(data), _camera(data).get(tiff.ORIENTATION, [1])[0])
+    if data[:2] in (b"II", b"MM"):
+        return turned(tiff.decode(data), tiff.tags(data)[1].get(tiff.ORIENTATION, [1])[0])
+    return decode_png(data)
+
+
+def _camera(data: bytes) -> dict[int, list]:
+    """Camera data of a JPEG; none where they are broken."""
+    try:
+        block = jpeg.exif(data)
+        return tiff.tags(block)[1] if block else {}
+    except (ValueError, struct.error):
+        return {}
+
+
+def resolution(data: bytes) -> float | None:
+    """Dots an inch by the header of a JPEG, TIFF or BMP; None if it does not say or can't be read."""
+    try:
+        if data[:2] == b"BM":
+            return struct.unpack("<i", data[38:42])[0] * 0.0254 or None
+        if data[:2] == b"\xff\xd8":
+            return jpeg.resolution(data) or tiff.resolution(_camera(data))
+        return tiff.resolution(tiff.tags(data)[1]) if data[:2] in (b"II", b"MM") else None
+    except (ValueError, struct.error):
+        return None
+
+
+@F.pandas_udf(T.DoubleType())
+def _resolutions(contents: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else resolution(bytes(c)) for c in contents], dtype=float)
+
+
+def dpi(content: Column) -> Column:
+    """Dots an inch (whole) from the header of a file, or null. Files that begin as PNG are read in expressions alone."""
+    png = F.startswith(F.hex(F.substring(content, 1, 4)), F.lit("89504E47"))
+    return F.coalesce(png_dpi(content), F.round(_resolutions(F.when(~png, content))).cast("int"))
 
 
 def _recall(row: np.ndarray, line: np.ndarray, up: np.ndarray, k: int, kind: int) -> None:
@@ -132,19 +183,23 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": path, "y": np.arange(h, dtype=np.int32), "channels": [r.astype(np.int32).ravel() for r in rgb], "error": None})
 
 
-def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """path, y, x, r, g, b of each pixel of each image; a file that can't be decoded is one row with error set."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    rows = files.mapInPandas(_decoded, "path string, y int, channels array<int>, error string")
+def pixels(files: DataFrame) -> DataFrame:
+    """path, y, x, r, g, b of each pixel of each file (path, content); one that can't be decoded is one row with error set."""
+    rows = files.select("path", "content").mapInPandas(_decoded, "path string, y int, channels array<int>, error string")
     at = rows.select("path", "y", "error", "channels", F.explode_outer(F.when(F.size("channels") > 0, F.sequence(F.lit(0), (F.size("channels") / 3 - 1).cast("int")))).alias("x"))
     pick = lambda k: F.get("channels", F.col("x") * 3 + k)
     return at.select("path", "y", "x", pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), "error")
 
 
+def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """pixels() of the files of a folder."""
+    return pixels(spark.read.format("binaryFile").load(folder))
+
+
 def read_dpi(spark: SparkSession, folder: str) -> DataFrame:
     """path, dpi (null where the file says none) and used_dpi (DEFAULT_DPI then)."""
-    dpi = png_dpi(F.col("content"))
-    return spark.read.format("binaryFile").load(folder).select("path", dpi.alias("dpi"), F.coalesce(dpi, F.lit(DEFAULT_DPI)).alias("used_dpi"))
+    found = dpi(F.col("content")).alias("dpi")
+    return spark.read.format("binaryFile").load(folder).select("path", found).withColumn("used_dpi", F.coalesce("dpi", F.lit(DEFAULT_DPI)))
 
 
 def grey_of(px: np.ndarray) -> np.ndarray:
@@ -156,4 +211,4 @@ def grey_of(px: np.ndarray) -> np.ndarray:
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, content and dpi of each file, a row an image."""
-    return spark.read.format("binaryFile").load(folder).select("path", "content", png_dpi(F.col("content")).alias("dpi"))
+    return spark.read.format("binaryFile").load(folder).select("path", "content", dpi(F.col("content")).alias("dpi"))
