@@ -117,6 +117,11 @@ def distance(p: Column, q: Column) -> Column:
     return kernels.distance_of(*_apart(p), *_apart(q))
 
 
+def enclosed(p: Column) -> Column:
+    """Area of what an outline encloses, its crossings repaired: of a figure of eight the larger loop."""
+    return kernels.enclosed_of(*_apart(p))
+
+
 def halves(p: Column, x: Column, y: Column) -> Column:
     """top_area, bottom_area, left_area and right_area: filled pixels on the sides of the truncated (x, y)."""
     return kernels.halves_of(*_apart(p), x.cast("int"), y.cast("int"))

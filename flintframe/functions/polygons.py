@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import rasters
+from . import planar, rasters
 
 
 def _row(**kinds: T.DataType) -> T.StructType:
@@ -103,38 +103,6 @@ def arrow(points: list[tuple[int, int]], least_area: float, least_depth: float,
     return float(round(round(compass, 1))), tx, ty, mx, my, math.hypot(bx - ax, by - ay), height, max(one, two), min(one, two)
 
 
-def _inside(points: np.ndarray, x: float, y: float) -> bool:
-    """Whether a point is inside by the parity of crossings; outlines are left to distances."""
-    a, b = points, np.roll(points, -1, axis=0)
-    spans = (a[:, 1] > y) != (b[:, 1] > y)
-    a, b = a[spans], b[spans]
-    return bool((x < a[:, 0] + (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1])).sum() % 2)
-
-
-def distance(one: list[tuple[int, int]], two: list[tuple[int, int]], part: int = 256) -> float:
-    """Distance of two polygons: 0 where their outlines meet or one holds the other. Sides are taken ``part`` at a time."""
-    p, q = np.asarray(one, float), np.asarray(two, float)
-    if _inside(p, *q[0]) or _inside(q, *p[0]):
-        return 0.0
-    least = np.inf
-    for v, ends in ((p, q), (q, p)):
-        for lo in range(0, len(ends), part):
-            a = ends[lo : lo + part]
-            d = np.roll(ends, -1, axis=0)[lo : lo + part] - a
-            n = np.maximum((d * d).sum(axis=1), 1e-300)
-            w = v[:, None, :] - a[None, :, :]
-            t = np.clip((w * d).sum(axis=2) / n, 0, 1)
-            least = min(least, float(((w - t[:, :, None] * d) ** 2).sum(axis=2).min()))
-            if v is p:  # sides of one against this part of the other's
-                e = np.roll(p, -1, axis=0) - p
-                side = lambda u, to: u[..., 0] * to[..., 1] - u[..., 1] * to[..., 0]
-                back = -w
-                across = side(e[:, None, :], back) * side(e[:, None, :], back + d) < 0
-                if (across & (side(d, w) * side(d, w + e[:, None, :]) < 0)).any():
-                    return 0.0
-    return math.sqrt(least)
-
-
 def _pairs(xs: pd.Series, ys: pd.Series) -> Iterator[list[tuple[int, int]] | None]:
     for x, y in zip(xs, ys, strict=True):
         yield None if x is None or y is None or not len(x) else list(zip(np.asarray(x).tolist(), np.asarray(y).tolist(), strict=True))
@@ -152,7 +120,21 @@ def chord_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def distance_of(xs: pd.Series, ys: pd.Series, us: pd.Series, vs: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or q is None else distance(p, q) for p, q in zip(_pairs(xs, ys), _pairs(us, vs), strict=True)], dtype=float)
+    """Distances of what the outlines enclose; the sides of an outline that comes in many pairs are found once."""
+    known: dict[tuple, np.ndarray] = {}
+
+    def figure(p: list[tuple[int, int]]) -> np.ndarray:
+        key = tuple(p)
+        if key not in known:
+            known[key] = planar.repaired(p)
+        return known[key]
+
+    return pd.Series([None if p is None or q is None else planar.distance(figure(p), figure(q)) for p, q in zip(_pairs(xs, ys), _pairs(us, vs), strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def enclosed_of(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else planar.area(planar.repaired(p)) for p in _pairs(xs, ys)], dtype=float)
 
 
 @F.pandas_udf(_row(top_area=T.LongType(), bottom_area=T.LongType(), left_area=T.LongType(), right_area=T.LongType()))
@@ -182,53 +164,10 @@ def arrow_of(xs: pd.Series, ys: pd.Series, least: pd.DataFrame, low: pd.Series,
     return pd.DataFrame([(None,) * len(_ARROW) if f is None else f for f in found], columns=list(_ARROW), dtype=float)
 
 
-def _cut(ring: list[tuple[float, float, int]], nx: float, ny: float, limit: float, tag: int) -> list[tuple[float, float, int]]:
-    """What is left of a ring where nx * x + ny * y <= limit; a vertex's tag names the side that starts there."""
-    out = []
-    for k, (x, y, side) in enumerate(ring):
-        u, v, _ = ring[(k + 1) % len(ring)]
-        here, there = nx * x + ny * y - limit, nx * u + ny * v - limit
-        if here <= 0:
-            out.append((x, y, side))
-        if (here < 0 < there) or (there < 0 < here):
-            t = here / (here - there)
-            out.append((x + t * (u - x), y + t * (v - y), tag if here < 0 else side))
-        elif here == 0 < there:
-            out[-1] = (x, y, tag)
-    return out
-
-
-def cells(outline: list[tuple[int, int]], sites: list[tuple[float, float]]) -> list[tuple[float, int]]:
-    """Area of each site's part of an outline (nearer to it than to any other), and how many other parts it borders.
-
-    A part is the outline cut by the middle line to every other site. Sides along a middle line are summed with their
-    sign, so what joins loose pieces of a part cancels out. Of sites at one place the first has the part.
-    """
-    found: list[tuple[float, int]] = []
-    first = {site: k for k, site in reversed(list(enumerate(sites)))}
-    for i, (sx, sy) in enumerate(sites):
-        ring = [(float(x), float(y), -1) for x, y in outline] if first[sx, sy] == i else []
-        for (ox, oy), j in first.items():
-            if j == i or not ring:
-                continue
-            nx, ny = ox - sx, oy - sy
-            ring = _cut(ring, nx, ny, (ox * ox + oy * oy - sx * sx - sy * sy) / 2, j)
-        area, along = 0.0, {}
-        for k, (x, y, side) in enumerate(ring):
-            u, v, _ = ring[(k + 1) % len(ring)]
-            area += x * v - u * y
-            if side >= 0:
-                ox, oy = sites[side]
-                dx, dy = sy - oy, ox - sx
-                along[side] = along.get(side, 0.0) + ((u - x) * dx + (v - y) * dy) / math.hypot(dx, dy)
-        found.append((abs(area) / 2, sum(abs(n) > 1e-6 for n in along.values())))
-    return found
-
-
 @F.pandas_udf(T.ArrayType(_row(site_id=T.LongType(), area=T.DoubleType(), shared_edges=T.IntegerType())))
 def cells_of(xs: pd.Series, ys: pd.Series, ids: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
     out = []
     for p, own, u, v in zip(_pairs(xs, ys), ids, sx, sy, strict=True):
-        made = [] if p is None else cells(p, list(zip(np.asarray(u, float).tolist(), np.asarray(v, float).tolist(), strict=True)))
+        made = [] if p is None else planar.cells(p, list(zip(np.asarray(u, float).tolist(), np.asarray(v, float).tolist(), strict=True)))
         out.append([{"site_id": int(k), "area": a, "shared_edges": n} for k, (a, n) in zip(own, made, strict=False) if a > 0])
     return pd.Series(out, dtype=object)

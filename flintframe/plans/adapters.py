@@ -55,6 +55,12 @@ SELECT concat('img-', cast(vec_id // 8 AS varchar(20))) AS image_id, cast(vec_id
 FROM (SELECT vec_id, i, cast(e AS double) AS e,
     cast(round(1000 * cos(2 * pi() * i / 64)) AS integer) AS ux, cast(round(1000 * sin(2 * pi() * i / 64)) AS integer) AS uy FROM {points}) q"""
 
+#: Quadrilaterals of any four points, many of which cross themselves; eight to an image.
+QUADS = """
+SELECT concat('img-', cast(vec_id AS varchar(20))) AS image_id, cast(vec_id * 8 + i // 8 AS bigint) AS contour_id, cast(i % 8 // 2 AS integer) AS i,
+  max(CASE WHEN i % 2 = 0 THEN cast(floor(500 + 1500 * cast(e AS double)) AS integer) END) AS x, max(CASE WHEN i % 2 = 1 THEN cast(floor(500 + 1500 * cast(e AS double)) AS integer) END) AS y
+FROM {points} GROUP BY vec_id, i // 8, i % 8 // 2"""
+
 #: 8 by 8 grey rasters, a pixel a row.
 PIXELS = """
 SELECT concat('img-', cast(vec_id AS varchar(20))) AS image_id, cast(i // 8 AS integer) AS y, cast(i % 8 AS integer) AS x,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -13,8 +13,8 @@ from ..sources import images
 from . import adapters, scans
 from .assemblage_queries import rounded
 
-_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS}.items()}
-_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS}
+_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS}.items()}
+_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS}
 _NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
 _NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
 _CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
@@ -135,6 +135,35 @@ _HULL = """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.
   tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2)),
   hull AS (SELECT contour_id, abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2 AS h FROM tops GROUP BY 1)
 """
+#: The larger loop of a quadrilateral that crosses itself, else all of it.
+_LOOPS = """, p AS (SELECT image_id, contour_id, """ + ", ".join(f"max({c}) FILTER (i = {k})::DOUBLE AS {c}{k}" for k in range(4) for c in "xy") + """ FROM quad GROUP BY 1, 2),
+t AS (SELECT *, """ + ", ".join(f"(x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}) AS o{a}{b}{c}" for a, b, c in ((0, 1, 2), (0, 1, 3), (2, 3, 0), (2, 3, 1), (1, 2, 3), (1, 2, 0), (3, 0, 1), (3, 0, 2))) + """ FROM p),
+z AS (SELECT *, CASE WHEN o012 * o013 < 0 AND o230 * o231 < 0 THEN 1 WHEN o123 * o120 < 0 AND o301 * o302 < 0 THEN 2 ELSE 0 END AS way FROM t),
+s AS (SELECT *, CASE way WHEN 1 THEN o230 / (o230 - o231) WHEN 2 THEN o301 / (o301 - o302) END AS f FROM z),
+k AS (SELECT *, CASE way WHEN 1 THEN x0 + f * (x1 - x0) ELSE x1 + f * (x2 - x1) END AS u, CASE way WHEN 1 THEN y0 + f * (y1 - y0) ELSE y1 + f * (y2 - y1) END AS v FROM s)
+SELECT image_id, contour_id, round(CASE way WHEN 1 THEN greatest(abs((x1 - u) * (y2 - v) - (y1 - v) * (x2 - u)), abs((x3 - u) * (y0 - v) - (y3 - v) * (x0 - u))) / 2
+  WHEN 2 THEN greatest(abs((x2 - u) * (y3 - v) - (y2 - v) * (x3 - u)), abs((x0 - u) * (y1 - v) - (y0 - v) * (x1 - u))) / 2
+  ELSE abs((x2 - x0) * (y3 - y1) - (x3 - x1) * (y2 - y0)) / 2 END, 4) AS area FROM k"""
+#: Cells in the largest outline of an image, which is a fan of triangles around its middle: each triangle's part is the convex set of all
+#: half-planes of the triangle and the site, and parts of following triangles belong together where something of the ray between them is left.
+_PIECES_OF_CELLS = f""", {_NEXT}, big AS (SELECT image_id, contour_id FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY abs(a) DESC, contour_id) = 1),
+si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a)) AS sx, floor(my / (6 * a)) AS sy FROM m),
+tri AS (SELECT image_id, i AS k, 200.0::DOUBLE + 170 * (contour_id % 4) AS cx, 200.0::DOUBLE + 170 * (contour_id // 4 % 2) AS cy, x::DOUBLE AS x, y::DOUBLE AS y, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM e JOIN big USING (image_id, contour_id)),
+hp AS (SELECT s.image_id, s.site_id, o.site_id % 8 AS r, o.sx - s.sx AS nx, o.sy - s.sy AS ny, (o.sx ** 2 + o.sy ** 2 - s.sx ** 2 - s.sy ** 2) / 2 AS l FROM si s JOIN si o ON s.image_id = o.image_id AND s.site_id <> o.site_id),
+sides AS (SELECT image_id, k, unnest([8, 9, 10]) AS r, unnest([cx, x, x2]) AS px, unnest([cy, y, y2]) AS py, unnest([x, x2, cx]) AS qx, unnest([y, y2, cy]) AS qy, sign((x - cx) * (y2 - cy) - (y - cy) * (x2 - cx)) AS turn FROM tri),
+own AS (SELECT image_id, k, r, turn * (qy - py) AS nx, turn * (px - qx) AS ny, turn * ((qy - py) * px + (px - qx) * py) AS l FROM sides WHERE turn <> 0),
+ln AS MATERIALIZED (SELECT hp.image_id, site_id, k, r, nx, ny, l FROM hp JOIN tri USING (image_id) UNION ALL SELECT own.image_id, site_id, k, r, nx, ny, l FROM own JOIN si USING (image_id)),
+meet AS (SELECT a.image_id, a.site_id, a.k, a.r AS ra, b.r AS rb, (a.l * b.ny - b.l * a.ny) / (a.nx * b.ny - b.nx * a.ny) AS x, (a.nx * b.l - b.nx * a.l) / (a.nx * b.ny - b.nx * a.ny) AS y
+  FROM ln a JOIN ln b ON a.image_id = b.image_id AND a.site_id = b.site_id AND a.k = b.k AND a.r < b.r WHERE a.nx * b.ny - b.nx * a.ny <> 0),
+held AS (SELECT n.* FROM meet n JOIN ln USING (image_id, site_id, k) GROUP BY ALL HAVING bool_and(nx * x + ny * y <= l + 1e-6)),
+ring AS (SELECT *, atan2(y - avg(y) OVER w, x - avg(x) OVER w) AS turn FROM held WINDOW w AS (PARTITION BY image_id, site_id, k)),
+next AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM ring WINDOW w AS (PARTITION BY image_id, site_id, k ORDER BY turn)),
+part AS (SELECT image_id, site_id, k, abs(sum(x * y2 - x2 * y)) / 2 AS area FROM next GROUP BY 1, 2, 3),
+ray AS (SELECT image_id, site_id, k, nx * (x - cx) + ny * (y - cy) AS g, l - nx * cx - ny * cy AS h FROM hp JOIN tri USING (image_id)),
+open AS (SELECT image_id, site_id, k, CASE WHEN least(1, min(h / g) FILTER (g > 0)) - greatest(0, max(h / g) FILTER (g < 0)) > 1e-9 AND NOT bool_or(g = 0 AND h < 0) THEN 0 ELSE 1 END AS gap FROM ray GROUP BY 1, 2, 3),
+run AS (SELECT *, (sum(gap) OVER (PARTITION BY image_id, site_id ORDER BY k)) % greatest(1, sum(gap) OVER (PARTITION BY image_id, site_id)) AS piece FROM open),
+size AS (SELECT image_id, site_id, piece, sum(area) AS area FROM run JOIN part USING (image_id, site_id, k) GROUP BY 1, 2, 3)
+SELECT image_id, site_id, round(max(area), 2) AS voronoi_cell_area FROM size GROUP BY 1, 2 HAVING round(max(area), 2) > 0"""
 #: name -> (input, operator, SQL after the common tables, or None where SQL has no fair form)
 FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "c02_border": ("vert", lambda v: contours.drop_border_touching(_polygons(v).withColumn("parent_contour_id", F.lit(None).cast("bigint")), F.lit(800), F.lit(520)).select("image_id", "contour_id"), "SELECT image_id, contour_id FROM vert GROUP BY 1, 2 HAVING min(x) > 0 AND min(y) > 0 AND max(x) + 1 < 800 AND max(y) + 1 < 520"),
@@ -202,7 +231,8 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "v03_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)), _CELLS + """, t AS (SELECT DISTINCT image_id, a, b FROM (SELECT p.image_id, p.site_id AS a, q.site_id AS b FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.y = q.y AND q.x = p.x + 1 AND p.site_id <> q.site_id
     UNION ALL SELECT p.image_id, p.site_id, q.site_id FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.x = q.x AND q.y = p.y + 1 AND p.site_id <> q.site_id) z)
   SELECT lb.image_id, site_id, count(*) AS voronoi_cell_area, (SELECT count(DISTINCT CASE WHEN a = site_id THEN b ELSE a END) FROM t WHERE t.image_id = lb.image_id AND (a = site_id OR b = site_id)) AS shared_edges FROM lb GROUP BY 1, 2"""),
-    "v03_outline_cells": ("vert", lambda v: spatial.outline_cells(_polygons(v).where("contour_id % 8 = 0"), _sites(v)), None),
+    "v03_outline_cells": ("vert", lambda v: spatial.outline_cells(_largest(_polygons(v)), _sites(v)).select("image_id", "site_id", F.round("area", 2).alias("voronoi_cell_area")).where("voronoi_cell_area > 0"), _PIECES_OF_CELLS),
+    "j03_enclosed": ("quad", lambda q: _polygons(q).select("image_id", "contour_id", G.enclosed(F.col("contour")).alias("area")), _LOOPS),
     "v04_num_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)).groupBy("image_id").agg(F.count(F.lit(1)).alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
     "v06_hull": ("vert", lambda v: _polygons(v).select("contour_id", F.round(G.area(G.hull(F.col("contour"))), 2).alias("hull_area")), f"{_HULL}SELECT contour_id, round(h, 2) AS hull_area FROM hull"),
     "v06_site_hull": ("vert", lambda v: spatial.hull_measures(_sites(v)).select("image_id", "n_sites", "convex_hull_width", "convex_hull_height"), f", {_NEXT}SELECT image_id, count(*)::INTEGER AS n_sites, (max(floor(mx / (6 * a))) - min(floor(mx / (6 * a))))::DOUBLE AS convex_hull_width, (max(floor(my / (6 * a))) - min(floor(my / (6 * a))))::DOUBLE AS convex_hull_height FROM m GROUP BY 1"),
@@ -251,6 +281,12 @@ def _mask(vert: DataFrame) -> DataFrame:
     return spatial.rasterize(_polygons(vert)).select("image_id", "x", "y").distinct()
 
 
+def _largest(polygons: DataFrame) -> DataFrame:
+    """The outline of the greatest area of each image, as the Dorsal surface is chosen; the first of equals."""
+    order = Window.partitionBy("image_id").orderBy(F.col("__area").desc(), "contour_id")
+    return polygons.withColumn("__area", G.area(F.col("contour"))).withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__area", "__place")
+
+
 def _query(source: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(make(adapters.adapt(spark, sf_dir, _OF[source])))
 
