@@ -37,34 +37,44 @@ def deviations(a: np.ndarray) -> np.ndarray:
 
 
 def equalised(a: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
-    """Local contrast: each tile's histogram, clipped, gives a curve; pixels blend the curves of the nearest tiles."""
+    """Local contrast: each tile's histogram, clipped, gives a curve; pixels blend the curves of the nearest tiles.
+
+    What is clipped goes to all levels alike, and the rest to levels at equal steps from the lowest. An image that tiles
+    do not divide both ways grows below and to the right, mirrored, by what the tiles lack (by one pixel a tile where
+    they lack nothing).
+    """
     h, w = a.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    whole = np.pad(a, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect" if min(h, w) > max(th * tiles - h, tw * tiles - w) else "edge")
+    whole = a.astype(int)
+    if h % tiles or w % tiles:
+        for axis, n in ((0, h), (1, w)):
+            at = np.arange(n + tiles - n % tiles) % max(1, 2 * n - 2)
+            whole = np.take(whole, n - 1 - np.abs(at - (n - 1)), axis)
+    th, tw = whole.shape[0] // tiles, whole.shape[1] // tiles
     limit = max(1, int(clip * th * tw / 256))
     curves = np.zeros((tiles, tiles, 256))
-    for i in range(tiles):
-        for j in range(tiles):
-            n = np.bincount(whole[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel().astype(int), minlength=256)
-            over = int(np.maximum(n - limit, 0).sum())
-            n = np.minimum(n, limit) + over // 256
-            n[: over % 256] += 1
-            curves[i, j] = np.minimum(255, np.floor(np.cumsum(n) * 255.0 / (th * tw) + 0.5))
-    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    for i, j in np.ndindex(tiles, tiles):
+        n = np.bincount(whole[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+        over = int(np.maximum(n - limit, 0).sum())
+        n = np.minimum(n, limit) + over // 256
+        rest = over % 256
+        if rest:
+            n[:: max(1, 256 // rest)][:rest] += 1
+        curves[i, j] = np.minimum(255, np.rint(np.cumsum(n) * (255 / (th * tw))))
+    y, x = np.arange(h) / th - 0.5, np.arange(w) / tw - 0.5
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
     at = lambda i, j: curves[np.clip(i, 0, tiles - 1)[:, None], np.clip(j, 0, tiles - 1)[None, :], a.astype(int)]
     top, low = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx, at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
-    return np.floor(top * (1 - fy) + low * fy + 0.5).astype(int)
+    return np.rint(top * (1 - fy) + low * fy).astype(int)
 
 
-def _smooth(a: np.ndarray, weights: tuple[float, ...], axis: int) -> np.ndarray:
+def _smooth(a: np.ndarray, weights: tuple[float, ...], axis: int, frame: str) -> np.ndarray:
     half, n = len(weights) // 2, a.shape[axis]
     if not half:
         return a * weights[0]
     pad = [(0, 0), (0, 0)]
     pad[axis] = (half, half)
-    wide = np.pad(a, pad, mode="reflect" if n > 1 else "edge")
+    wide = np.pad(a, pad, mode=frame if n > 1 else "edge")
     take = lambda k: wide[k : k + n] if axis == 0 else wide[:, k : k + n]
     out = take(half) * weights[half]
     for k in range(1, half + 1):
@@ -72,9 +82,14 @@ def _smooth(a: np.ndarray, weights: tuple[float, ...], axis: int) -> np.ndarray:
     return out
 
 
-def blurred(a: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
-    """Weighted mean along rows, then columns; mirrored at the frame without the frame itself."""
-    return _smooth(_smooth(a.astype(float), weights, 1), weights, 0)
+def blurred(a: np.ndarray, weights: tuple[float, ...], frame: str = "reflect") -> np.ndarray:
+    """Weighted mean along rows, then columns; beyond the frame mirrored without the frame itself, or ("edge") as at the frame."""
+    return _smooth(_smooth(a.astype(float), weights, 1, frame), weights, 0, frame)
+
+
+def above_local_mean(a: np.ndarray, weights: tuple[float, ...], offset: float = 2) -> np.ndarray:
+    """Where values are above their weighted local mean, as a whole number, less the offset."""
+    return a > whole(blurred(a, weights, "edge")) - offset
 
 
 def whole(a: np.ndarray) -> np.ndarray:
@@ -262,7 +277,7 @@ def binarised(grey: np.ndarray, dpi: float | None, p, scaling) -> np.ndarray:
     if p.threshold == "otsu":
         on = smooth > otsu(smooth)
     elif p.threshold == "adaptive":
-        on = smooth > whole(blurred(smooth, gaussian(odd(p.block * scale)))) - 2
+        on = above_local_mean(smooth, gaussian(odd(p.block * scale)))
     elif p.threshold in ("simple", "default"):
         on = smooth > p.threshold_at
     else:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +21,48 @@ def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).cast("int")
 
 
+def _gathered(pixels: DataFrame) -> DataFrame:
+    """A row an image: image_id and all its pixels as an array of (y, x, v)."""
+    return pixels.groupBy("image_id").agg(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")).alias("pixels"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """image_id, y, x and v of each gathered image."""
+    for batch in batches:
+        every = batch.column("pixels")
+        flat, ends = every.flatten(), np.concatenate(([0], np.cumsum(every.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        y, x, v = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        for k, image_id in enumerate(batch.column("image_id").to_pylist()):
+            own = slice(ends[k], ends[k + 1])
+            yield image_id, y[own], x[own], v[own]
+
+
+def _apart(made: Iterator[tuple[str, tuple[np.ndarray, ...]]], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for image_id, columns in made:
+        one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([image_id], pa.string()), *one], ["image_id", *names])
+
+
+def _pixelwise(pixels: DataFrame, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str, name: str = "v") -> DataFrame:
+    """image_id, y, x and what step(y, x, v) gives for each pixel of an image; images travel as one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _apart(((i, (y, x, step(y, x, v))) for i, y, x, v in _read(batches)), ("ys", "xs", "vs"))
+
+    made = _gathered(pixels).mapInArrow(run, f"image_id string, ys array<int>, xs array<int>, vs array<{kind}>")
+    return made.select("image_id", F.inline(F.arrays_zip("ys", "xs", "vs"))).toDF("image_id", "y", "x", name)
+
+
 def _each(pixels: DataFrame, step: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
     """step over each image as an array: one shuffle by image, whatever the step looks at."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["y"].to_numpy() - rows["y"].min(), rows["x"].to_numpy() - rows["x"].min()
-        a = np.zeros((y.max() + 1, x.max() + 1), rows["v"].dtype)
-        a[y, x] = rows["v"]
-        return rows.assign(v=step(a)[y, x])[["image_id", "y", "x", "v"]]
+    form = {"int": np.int32, "double": np.float64}[kind]
 
-    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInPandas(run, f"image_id string, y int, x int, v {kind}")
+    def run(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        y, x = y - y.min(), x - x.min()
+        a = np.zeros((y.max() + 1, x.max() + 1), v.dtype)
+        a[y, x] = v
+        return step(a)[y, x].astype(form)
+
+    return _pixelwise(pixels, run, kind)
 
 
 def normalise(pixels: DataFrame, method: str = "minmax", low: int = 0, high: int = 255) -> DataFrame:
@@ -72,9 +106,9 @@ def threshold_otsu(pixels: DataFrame, most: int = 255) -> DataFrame:
     return threshold(pixels.join(otsu_levels(pixels), "image_id"), F.col("level"), most).drop("level")
 
 
-def threshold_adaptive(pixels: DataFrame, weights: tuple[float, ...] = GAUSS5, offset: float = 2.0, most: int = 255) -> DataFrame:
-    """Pixels above their weighted local mean less the offset."""
-    return _each(pixels, lambda a: np.where(a > rasters.blurred(a, weights) - offset, most, 0))
+def threshold_adaptive(pixels: DataFrame, size: int = 11, offset: float = 2.0, most: int = 255) -> DataFrame:
+    """Pixels above their weighted mean in a square of this size, as a whole number, less the offset."""
+    return _each(pixels, lambda a: np.where(rasters.above_local_mean(a, rasters.gaussian(size), offset), most, 0))
 
 
 def invert(pixels: DataFrame) -> DataFrame:
@@ -110,22 +144,26 @@ def preprocess(pixels: DataFrame, options: Options | None = None, dpi: float | N
 
 def regions(pixels: DataFrame, eight: bool = True) -> DataFrame:
     """image_id, y, x, root for set pixels (v > 0): the component's first pixel as (y, x) in 32 + 32 bits."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = rows["y"].min(), rows["x"].min()
-        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+    def run(y: np.ndarray, x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        y0, x0 = y.min(), x.min()
+        y, x = y - y0, x - x0
         on = np.zeros((y.max() + 1, x.max() + 1), bool)
         on[y, x] = True
         number = rasters.labels(on, eight)
         at = rasters._first(number)
         root = (at // on.shape[1] + y0).astype(np.int64) * (1 << 32) + at % on.shape[1] + x0
-        return rows.assign(root=root[number[y, x] - 1])
+        return root[number[y, x] - 1]
 
-    return pixels.where(F.col("v") > 0).select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, "image_id string, y int, x int, root bigint")
+    return _pixelwise(pixels.where(F.col("v") > 0), run, "bigint", "root")
 
 
 OUTLINES = "image_id string, contour_id bigint, parent_contour_id bigint, contour array<struct<x:int,y:int>>, width int, height int"
 
 
+_POINT = pa.struct([("x", pa.int32()), ("y", pa.int32())])
+_OUTLINES = pa.schema([("image_id", pa.string()), ("contour_id", pa.int64()), ("parent_contour_id", pa.int64()), ("contour", pa.list_(_POINT)), ("width", pa.int32()), ("height", pa.int32())])
+
+
 def _outlined(image_id: str, a: np.ndarray) -> pd.DataFrame:
     found = rasters.outlines(a > 0)
     return pd.DataFrame({
@@ -139,12 +177,13 @@ def outlines(pixels: DataFrame) -> DataFrame:
     Outer contours run along components of eight neighbours, inner ones around each of their holes; both lie on set
     pixels. Ids are in order of the first pixel of the component or hole.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1), np.uint8)
-        a[rows["y"], rows["x"]] = rows["v"] > 0
-        return _outlined(rows["image_id"].iloc[0], a)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image_id, y, x, v in _read(batches):
+            a = np.zeros((y.max() + 1, x.max() + 1), np.uint8)
+            a[y, x] = v > 0
+            yield pa.RecordBatch.from_pandas(_outlined(image_id, a), _OUTLINES, preserve_index=False)
 
-    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("image_id").applyInPandas(run, OUTLINES)
+    return _gathered(pixels).mapInArrow(run, OUTLINES)
 
 
 def textures(pixels: DataFrame, polygons: DataFrame) -> DataFrame:

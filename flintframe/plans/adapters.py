@@ -66,6 +66,11 @@ PIXELS = """
 SELECT concat('img-', cast(vec_id AS varchar(20))) AS image_id, cast(i // 8 AS integer) AS y, cast(i % 8 AS integer) AS x,
   cast(greatest(0, least(255, floor((cast(e AS double) * 3 + 1) * 127.5E0))) AS integer) AS v FROM {points}"""
 
+#: Grey rasters of 64 columns, a vector a row and up to 64 rows an image.
+SHEETS = """
+SELECT concat('sheet-', cast(vec_id // 64 AS varchar(20))) AS image_id, cast(vec_id % 64 AS integer) AS y, cast(i AS integer) AS x,
+  cast(greatest(0, least(255, floor((cast(e AS double) * 3 + 1) * 127.5E0))) AS integer) AS v FROM {points}"""
+
 MANIFEST = """
 SELECT concat('lithic-', cast(c_custkey AS varchar(20))) AS image_id, c_custkey % 23 <> 0 AS ok,
   CASE WHEN c_custkey % 23 <> 0 AND c_custkey % 7 <> 0 THEN cast(150 * (1 + c_custkey % 4) AS integer) END AS dpi,

@@ -13,8 +13,8 @@ from ..sources import images
 from . import adapters, scans
 from .assemblage_queries import rounded
 
-_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS}.items()}
-_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS}
+_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "sheet": adapters.SHEETS}.items()}
+_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "sheet": adapters.SHEETS}
 _NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
 _NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
 _CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
@@ -135,6 +135,31 @@ _HULL = """, d AS (SELECT DISTINCT contour_id, x, y FROM vert), pr AS (SELECT a.
   tops AS (SELECT f.* FROM far f WHERE NOT EXISTS (SELECT 1 FROM far g WHERE g.contour_id = f.contour_id AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2)),
   hull AS (SELECT contour_id, abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2 AS h FROM tops GROUP BY 1)
 """
+#: Local means by eleven taps each way, beyond the frame as at the frame.
+_TAPS = "SELECT list(g / t ORDER BY k) AS w FROM (SELECT k, g, sum(g) OVER () AS t FROM (SELECT k, exp(-((k - 5) ** 2) / 8.0::DOUBLE) AS g FROM (SELECT unnest(range(11)) AS k)))"
+
+
+def _means(source: str, to: str, at: str, along: str) -> str:
+    tap = "list_sum([w[k + 1] * l[greatest(1, least(len(l), i + k - 4))] FOR k IN range(11)])"
+    return f"{to} AS (SELECT image_id, {at}, i::INTEGER AS {along}, {tap} AS v FROM (SELECT *, unnest(range(len(l))) AS i FROM (SELECT image_id, {at}, list(v ORDER BY {along}) AS l FROM {source} GROUP BY 1, 2) q), taps)"
+
+
+_LOCAL = f", taps AS ({_TAPS}), {_means('sheet', 'lx', 'y', 'x')}, {_means('lx', 'lm', 'x', 'y')}\n"
+#: Local contrast of eight by eight tiles, clipped at twice the mean count.
+_EQUAL = """, hw AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM sheet GROUP BY 1),
+gr AS (SELECT *, CASE WHEN h % 8 = 0 AND w % 8 = 0 THEN h ELSE h + 8 - h % 8 END AS gh, CASE WHEN h % 8 = 0 AND w % 8 = 0 THEN w ELSE w + 8 - w % 8 END AS gw FROM hw),
+ti AS (SELECT *, gh // 8 AS th, gw // 8 AS tw, greatest(1, floor(2.0 * (gh // 8) * (gw // 8) / 256))::BIGINT AS most FROM gr),
+py AS (SELECT *, unnest(range(gh)) AS gy FROM ti), pp AS (SELECT *, unnest(range(gw)) AS gx FROM py),
+ex AS (SELECT pp.image_id, gy // th AS ty, gx // tw AS tx, v FROM pp JOIN sheet s ON s.image_id = pp.image_id AND s.y = CASE WHEN gy < h THEN gy ELSE 2 * h - 2 - gy END AND s.x = CASE WHEN gx < w THEN gx ELSE 2 * w - 2 - gx END),
+hi AS (SELECT image_id, ty, tx, v, count(*) AS n FROM ex GROUP BY ALL),
+ov AS (SELECT image_id, ty, tx, sum(greatest(n - most, 0)) AS o FROM hi JOIN ti USING (image_id) GROUP BY ALL),
+lv AS (SELECT image_id, ty, tx, o, unnest(range(256)) AS v FROM ov),
+ct AS (SELECT lv.*, least(coalesce(n, 0), most) + o // 256 + CASE WHEN o % 256 > 0 AND lv.v % greatest(1, 256 // (o % 256)) = 0 AND lv.v // greatest(1, 256 // (o % 256)) < o % 256 THEN 1 ELSE 0 END AS c, th, tw FROM lv JOIN ti USING (image_id) LEFT JOIN hi USING (image_id, ty, tx, v)),
+cu AS MATERIALIZED (SELECT image_id, ty, tx, v, least(255, round_even(sum(c) OVER (PARTITION BY image_id, ty, tx ORDER BY v) * (255.0::DOUBLE / (th * tw)), 0)) AS f FROM ct),
+po AS (SELECT s.*, s.y / th::DOUBLE - 0.5 AS a, s.x / tw::DOUBLE - 0.5 AS b FROM sheet s JOIN ti USING (image_id)),
+nt AS (SELECT *, floor(a)::BIGINT AS p, floor(b)::BIGINT AS q FROM po)
+SELECT nt.image_id, y, x, round_even((k00.f * (1 - (b - q)) + k01.f * (b - q)) * (1 - (a - p)) + (k10.f * (1 - (b - q)) + k11.f * (b - q)) * (a - p), 0)::INTEGER AS v FROM nt
+""" + "\n".join(f"  JOIN cu k{i}{j} ON k{i}{j}.image_id = nt.image_id AND k{i}{j}.v = nt.v AND k{i}{j}.ty = greatest(0, least(7, p + {i})) AND k{i}{j}.tx = greatest(0, least(7, q + {j}))" for i in (0, 1) for j in (0, 1))
 #: The larger loop of a quadrilateral that crosses itself, else all of it.
 _LOOPS = """, p AS (SELECT image_id, contour_id, """ + ", ".join(f"max({c}) FILTER (i = {k})::DOUBLE AS {c}{k}" for k in range(4) for c in "xy") + """ FROM quad GROUP BY 1, 2),
 t AS (SELECT *, """ + ", ".join(f"(x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}) AS o{a}{b}{c}" for a, b, c in ((0, 1, 2), (0, 1, 3), (2, 3, 0), (2, 3, 1), (1, 2, 3), (1, 2, 0), (3, 0, 1), (3, 0, 2))) + """ FROM p),
@@ -209,13 +234,13 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r03_blur": ("px", raster.blur, f"{_BLUR}SELECT image_id, y, x, round(v, 4) AS v FROM bl"),
     "r04_simple": ("px", lambda p: raster.threshold(p, 127), "SELECT image_id, y, x, CASE WHEN v > 127 THEN 255 ELSE 0 END AS v FROM px"),
     "r04_otsu": ("px", raster.otsu_levels, f"{_OTSU}SELECT image_id, level FROM lvl"),
-    "r04_adaptive": ("px", raster.threshold_adaptive, f"{_BLUR}SELECT image_id, y, x, CASE WHEN px.v > bl.v - 2 THEN 255 ELSE 0 END AS v FROM px JOIN bl USING (image_id, y, x)"),
+    "r04_adaptive": ("sheet", raster.threshold_adaptive, _LOCAL + "SELECT sheet.image_id, sheet.y, sheet.x, CASE WHEN sheet.v > floor(lm.v + 0.5) - 2 THEN 255 ELSE 0 END AS v FROM sheet JOIN lm USING (image_id, y, x)"),
     "r05_invert": ("px", raster.invert, "SELECT image_id, y, x, 255 - v AS v FROM px"),
     "r06_closing": ("px", raster.close, _closing("px")),
     "r07_dpi_scale": ("px", lambda p: _numbers(p).select("k", *[raster.dpi_scale(F.col("k") * 3, mode=m).alias(m) for m in ("conservative", "standard", "other")], raster.odd_kernel(F.col("k") / 3).alias("kernel")), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px) SELECT k, round(CASE WHEN k > 0 THEN greatest(1, least(3, 1 + (k * 3 / 300.0::DOUBLE - 1) / 2)) ELSE 1 END, 4) AS conservative, round(CASE WHEN k > 0 THEN greatest(1, least(3, k * 3 / 300.0::DOUBLE)) ELSE 1 END, 4) AS standard, round(CASE WHEN k > 0 THEN greatest(1, k * 3 / 300.0::DOUBLE) ELSE 1 END, 4) AS other, (CASE WHEN greatest(1, k // 3) % 2 = 0 THEN greatest(1, k // 3) + 1 ELSE greatest(1, k // 3) END)::INTEGER AS kernel FROM n"),
     "r09_preprocess": ("px", raster.preprocess, ", mn AS (SELECT image_id, y, x, coalesce(floor((v - min(v) OVER w) * 255.0::DOUBLE / nullif(max(v) OVER w - min(v) OVER w, 0) + 0.5), 0)::INTEGER AS v FROM px WINDOW w AS (PARTITION BY image_id))" + _blur("mn")
         + ", rd AS (SELECT image_id, y, x, floor(v + 0.5)::INTEGER AS v FROM bl)" + _otsu("rd") + ", iv AS (SELECT image_id, y, x, CASE WHEN v > level THEN 0 ELSE 255 END AS v FROM rd JOIN lvl USING (image_id))" + _closing("iv")),
-    "r01_equalise": ("px", lambda p: raster.equalise(p, 2), None),
+    "r01_equalise": ("sheet", raster.equalise, _EQUAL),
     "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
     "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), f"{_PIECES}SELECT image_id, root, area FROM piece"),
     "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), None),
