@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import calibration, raster
 from .options import from_arguments, parser
 from .plans import batch
-from .sources import images, metadata
+from .sources import images, metadata, metrics
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,17 +23,24 @@ def main(argv: list[str] | None = None) -> int:
         faults = metadata.validate(meta)
     except Exception as e:  # a path that is not there
         faults = [f"{given.meta_file}: {type(e).__name__}"]
+    faults = metadata.missing_folders(spark, given.data_dir) + faults
     if faults:
         print("\n".join(faults), file=sys.stderr)
         return 2
     bars = None
     if options.scale.enabled and not meta.where("coalesce(scale_id, '') <> ''").isEmpty():
         bars = scale_bars(spark, f"{given.data_dir}/scales", options.scale.ink)
-    rows, status = batch.run(spark, f"{given.data_dir}/images", meta, bars, options)
-    batch.save(rows, status, given.output_dir or f"{given.data_dir}/processed", options)
-    done = status.agg(F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("n")).first()
-    print(f"{done['ok']} of {done['n']} images measured")
-    return 0 if done["ok"] else 1
+    out = given.output_dir or f"{given.data_dir}/processed"
+    if given.resume:
+        counted = batch.resume(spark, f"{given.data_dir}/images", meta, out, bars, options, given.parts)
+        print(f"{counted['images'] - counted['failed']} more images measured")
+    else:
+        rows, status = batch.run(spark, f"{given.data_dir}/images", meta, bars, options)
+        batch.save(rows, status, out, options)
+    done = metrics.read_manifest(spark, f"{out}/run_summary")
+    ok, n = (0, 0) if done is None else done.agg(F.count_if("ok"), F.count(F.lit(1))).first()
+    print(f"{ok} of {n} images measured")
+    return 0 if ok else 1
 
 
 def scale_bars(spark: SparkSession, folder: str, ink: int):

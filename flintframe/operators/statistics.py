@@ -200,6 +200,15 @@ def cortex_summary(df: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(every)).select("*", F.coalesce(F.col("n_with_cortex") * 100 / F.nullif("n_lithics", F.lit(0)), F.lit(0.0)).alias("prevalence_pct"))
 
 
+def cortex_percentages(df: DataFrame) -> DataFrame:
+    """Cortex regions with cortex_percentage: as in the table, or else their area of the area of their image's surface."""
+    own = cortex_rows(df)
+    if "cortex_percentage" in df.columns:
+        return own
+    whole = parent_rows(df).groupBy("image_id", "surface_type").agg(F.max("total_area").alias("__whole"))
+    return own.join(whole, ["image_id", "surface_type"]).withColumn("cortex_percentage", F.round(F.col("total_area") / F.nullif("__whole", F.lit(0.0)) * 100, 2)).drop("__whole")
+
+
 def histogram(rows: DataFrame, value: str, bins: int = 15) -> DataFrame:
     """Counts in equal bins between the extremes; the last bin holds the greatest value."""
     ends = rows.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))  # one row

@@ -137,6 +137,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--meta_file", required=True, help="CSV with image_id, scale_id, scale")
     p.add_argument("--output_dir", help="folder of the results; processed/ in the data folder if not given")
     p.add_argument("--config_file")
+    p.add_argument("--resume", action="store_true", help="leave what is measured already and add the rest")
+    p.add_argument("--parts", type=int, default=1, help="with --resume: in so many parts, each saved before the next")
     p.add_argument("--threshold_method", choices=["adaptive", "simple", "otsu", "default"])
     p.add_argument("--no_closing", action="store_true")
     p.add_argument("--enable_dpi_scaling", action="store_true")

@@ -77,6 +77,8 @@ FOUND: dict[str, tuple[Make, str]] = {
     "p19_hull_ratio": (lambda a: S.ecdf(S.hull_ratios(a).select(F.round("ratio", 4).alias("ratio")), "ratio").select("ratio", (F.col("rank") - 1).alias("rank")), "SELECT round(convex_hull_area / total_area, 4) AS ratio, row_number() OVER (ORDER BY round(convex_hull_area / total_area, 4)) - 1 AS rank FROM d WHERE convex_hull_area > 0"),
     "p20_cortex_summary": (S.cortex_summary, "SELECT count(*) FILTER (is_cortex) AS n_regions, count(DISTINCT CASE WHEN is_cortex THEN image_id END) AS n_with_cortex, count(DISTINCT image_id) AS n_lithics, round(count(DISTINCT CASE WHEN is_cortex THEN image_id END) * 100.0 / count(DISTINCT image_id), 4)::DOUBLE AS prevalence_pct FROM a"),
     "p20_cortex_areas": (lambda a: S.histogram(A.cortex_rows(a), "total_area"), """, c AS (SELECT total_area AS v, min(total_area) OVER () AS lo, max(total_area) OVER () AS hi FROM a WHERE is_cortex)
+  SELECT least(14, floor((v - lo) * 15 / (hi - lo)))::BIGINT AS bin, count(*) AS n, round(min(v), 4) AS least, round(max(v), 4) AS most FROM c GROUP BY 1"""),
+    "p20_cortex_percentages": (lambda a: S.histogram(S.cortex_percentages(a), "cortex_percentage"), """, c AS (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (SELECT round(k.total_area / d.total_area * 100, 2) AS v FROM a k JOIN d USING (image_id) WHERE k.is_cortex) z)
   SELECT least(14, floor((v - lo) * 15 / (hi - lo)))::BIGINT AS bin, count(*) AS n, round(min(v), 4) AS least, round(max(v), 4) AS most FROM c GROUP BY 1"""),
     "p21_caption": (lambda a: S.caption(A.dorsal_scars(a), "total_area"), """, q AS (SELECT median(total_area) AS median, quantile_cont(total_area, 0.25) AS q1, quantile_cont(total_area, 0.75) AS q3, count(*) AS n FROM s),
   f AS (SELECT *, [CASE WHEN v = floor(v) THEN format('{:,}', v::BIGINT) ELSE format('{:,}', trunc(v::DECIMAL(28,6)::DECIMAL(24,2))::BIGINT) || '.' || lpad((abs(v::DECIMAL(28,6)::DECIMAL(24,2) * 100)::BIGINT % 100)::VARCHAR, 2, '0') END FOR v IN [median, q1, q3]] AS t FROM q)

@@ -117,6 +117,14 @@ _PIECES = """, ink AS (SELECT image_id, y, x, y::BIGINT * 4294967296 + x AS node
 reach AS (SELECT image_id, node, y, x, node AS root FROM ink UNION SELECT r.image_id, o.node, o.y, o.x, r.root FROM reach r JOIN ink o ON r.image_id = o.image_id AND abs(r.y - o.y) <= 1 AND abs(r.x - o.x) <= 1),
 piece AS (SELECT image_id, root, count(*) AS area FROM (SELECT image_id, node, min(root) AS root FROM reach GROUP BY 1, 2) q GROUP BY 1, 2)
 """
+#: Regions of the 8 by 8 images in a frame of one pixel: set pixels join over eight neighbours, others over four; what is left of a region's first pixel is around it.
+_TREE = """, fr AS (SELECT image_id, y + 1 AS y, x + 1 AS x, v > 127 AS o FROM px UNION ALL SELECT image_id, y, x, false FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest(range(10)) AS y), (SELECT unnest(range(10)) AS x) WHERE y IN (0, 9) OR x IN (0, 9)),
+nd AS (SELECT *, y::BIGINT * 4294967296 + x AS node FROM fr),
+rc AS (SELECT image_id, node, y, x, o, node AS root FROM nd UNION SELECT r.image_id, n.node, n.y, n.x, n.o, r.root FROM rc r JOIN nd n ON r.image_id = n.image_id AND n.o = r.o AND abs(n.y - r.y) <= 1 AND abs(n.x - r.x) <= 1 AND (r.o OR abs(n.y - r.y) + abs(n.x - r.x) <= 1)),
+la AS (SELECT image_id, node, y, x, o, min(root) AS root FROM rc GROUP BY ALL),
+rg AS (SELECT image_id, root, NOT o AS hole, count(*) AS area, min(x) - 1 AS min_x, max(x) - 1 AS max_x, min(y) - 1 AS min_y, max(y) - 1 AS max_y FROM la GROUP BY 1, 2, 3),
+tr AS (SELECT rg.*, la.root AS parent_root FROM rg JOIN la ON rg.image_id = la.image_id AND la.node = rg.root - 1 WHERE rg.root > 0)
+"""
 #: Edges of the 8 by 8 images, ink as 255: gradients with the frame repeated, the greatest across, and what joins strong ones.
 _EDGES = """, bw AS (SELECT image_id, y, x, CASE WHEN v > 150 THEN 255 ELSE 0 END AS v FROM px),
 kern AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) k(dy, dx, kx, ky)),
@@ -243,7 +251,9 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r01_equalise": ("sheet", raster.equalise, _EQUAL),
     "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
     "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), f"{_PIECES}SELECT image_id, root, area FROM piece"),
-    "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), None),
+    "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), _TREE + "SELECT image_id, root, hole, area, min_x, max_x, min_y, max_y, CASE WHEN parent_root > 0 THEN parent_root END AS parent_root FROM tr"),
+    "c01_nesting": ("px", lambda p: raster.outlines(raster.threshold(p, 127)).select("image_id", "contour_id", "parent_contour_id"), _TREE + """, nr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS contour_id FROM tr)
+  SELECT a.image_id, a.contour_id, b.contour_id AS parent_contour_id FROM nr a LEFT JOIN nr b ON a.image_id = b.image_id AND a.parent_root = b.root"""),
     "c01_contours": ("px", lambda p: raster.outlines(raster.threshold(p, 127)).select("image_id", "contour_id", "parent_contour_id", F.size("contour").alias("corners"), G.area(F.col("contour")).alias("area")), None),
     "m08_labels": ("tree", lambda t: contours.labelled(contours.levels(t)).select("image_id", "contour_id", "record", "parent_record"), f"""{_LEVEL}, nu AS (SELECT *, CASE level WHEN 'parent' THEN 'parent ' ELSE 'child ' END || row_number() OVER (PARTITION BY image_id, level = 'parent' ORDER BY contour_id) AS record FROM lv WHERE level <> 'nested')
   SELECT a.image_id, a.contour_id, a.record, CASE WHEN a.level = 'parent' THEN a.record ELSE coalesce(b.record, 'Unknown') END AS parent_record FROM nu a LEFT JOIN nu b ON a.image_id = b.image_id AND a.parent_contour_id = b.contour_id"""),

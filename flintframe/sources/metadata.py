@@ -27,6 +27,13 @@ def validate(metadata: DataFrame) -> list[str]:
     return wrong + (["no row"] if not wrong and metadata.isEmpty() else [])
 
 
+def missing_folders(spark: SparkSession, data_dir: str) -> list[str]:
+    """What is wrong with the data folder: it, or its folder of images, is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))
+    return next(([f"{p} is missing"] for p in (data_dir, f"{data_dir}/images") if not there(p)), [])
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, name and length of the files of a folder; contents are not read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")

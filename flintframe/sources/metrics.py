@@ -20,6 +20,7 @@ COLUMNS = {
 }
 SCHEMA = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 MANIFEST = "schema_version int, timestamp string, total int, successful array<struct<image_id:string,dpi:int>>, failed array<struct<image_id:string,reason:string>>"
+MANIFEST += ", messages array<struct<image_id:string,messages:array<string>>>"
 
 
 def arrange(rows: DataFrame) -> DataFrame:
@@ -33,6 +34,63 @@ def write_csv(rows: DataFrame, path: str) -> None:
     arrange(rows).write.mode("overwrite").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
 
 
+def header(spark: SparkSession, path: str) -> list[str] | None:
+    """Columns of the CSV at a path; None if there is none."""
+    try:
+        return spark.read.option("header", True).csv(path).columns or None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def append_csv(rows: DataFrame, path: str, replace: bool = True) -> None:
+    """rows added to the CSV at a path, in the columns that it has: new ones are left out, missing ones are NA.
+
+    An image is in the table once: rows of images that it has already replace those, or (replace false) are left out,
+    so that what is added twice is there once. Rows are only added where no image comes again; else the table is
+    written anew beside the old one, which then goes.
+    """
+    spark = rows.sparkSession
+    columns = header(spark, path)
+    if columns is None:
+        return write_csv(rows, path)
+    own = arrange(rows)
+    own = own.select(*[F.col(c) if c in own.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    kinds = ", ".join(f"`{c}` {COLUMNS.get(c, 'string')}" for c in columns)
+    old = spark.read.schema(kinds).option("header", True).option("nullValue", "NA").csv(path)
+    save = lambda df, to, mode: df.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(to)
+    known = old.select("image_id").distinct()
+    if not replace:
+        own = own.join(known, "image_id", "left_anti").select(*columns)
+    elif not known.join(own.select("image_id"), "image_id", "left_semi").isEmpty():
+        kept = old.join(own.select("image_id").distinct(), "image_id", "left_anti").select(*columns)
+        save(kept.unionByName(own.select([F.col(c).cast(t).alias(c) for c, t in kept.dtypes])), f"{path}.next", "overwrite")
+        return _take_over(spark, f"{path}.next", path)
+    save(own, path, "append")
+
+
+def _take_over(spark: SparkSession, new: str, old: str) -> None:
+    """The folder ``new`` in the place of ``old``; if this stops in between, recover() ends it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(old), True)
+    files.rename(path(new), path(old))
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a replacement that stopped after the new table was whole and the old one gone; half-written ones go."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = at(f"{path}.next")
+    if not files.exists(new):
+        return
+    if files.exists(at(path)) or not files.exists(at(f"{path}.next/_SUCCESS")):
+        files.delete(new, True)
+    else:
+        files.rename(new, at(path))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A metrics table; a missing one fails. Columns are matched by position, extra ones left out."""
     return spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).option("nullValue", "NA").csv(path)
@@ -45,25 +103,49 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON line a lithic in a folder of its own; nulls are written."""
+    _documents(documents, path, "static")
+
+
+def append_documents(documents: DataFrame, path: str) -> None:
+    """Documents beside those that are there; those of lithics that are there already are replaced."""
+    _documents(documents, path, "dynamic")
+
+
+def _documents(documents: DataFrame, path: str, mode: str) -> None:
     out = documents.withColumn("lithic", F.col("image_id"))
-    out.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("lithic").json(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", mode).option("ignoreNullFields", False).partitionBy("lithic").json(path)
 
 
 def manifest(status: DataFrame) -> DataFrame:
-    """One row from a row an image (image_id, ok, dpi, reason): totals and both lists, in order of id."""
+    """One row from a row an image (image_id, ok, dpi, reason): totals and both lists, in order of id.
+
+    With messages (and position) in status: also what was said of each image, if anything, in order of position.
+    """
     listed = lambda c, *cols: F.array_sort(F.collect_list(F.when(c, F.struct(*cols))))
     ok = F.coalesce(F.col("ok"), F.lit(False))
+    said = []
+    if "messages" in status.columns:
+        place = F.col("position") if "position" in status.columns else F.lit(0)
+        every = listed(F.size("messages") > 0, place.alias("position"), "image_id", "messages")
+        said = [F.transform(every, lambda m: F.struct(m["image_id"].alias("image_id"), m["messages"].alias("messages"))).alias("messages")]
     return status.agg(
         F.lit(2).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.count(F.lit(1)).cast("int").alias("total"),
-        listed(ok, "image_id", F.col("dpi").cast("int").alias("dpi")).alias("successful"), listed(~ok, "image_id", "reason").alias("failed"))
+        listed(ok, "image_id", F.col("dpi").cast("int").alias("dpi")).alias("successful"), listed(~ok, "image_id", "reason").alias("failed"), *said)
+
+
+def merge_status(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """One status an image: of those in both the new one."""
+    if old is None:
+        return new
+    return new.unionByName(old.join(new.select("image_id"), "image_id", "left_anti"), allowMissingColumns=True)
 
 
 def write_manifest(status: DataFrame, path: str) -> None:
     manifest(status).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """A row an image (image_id, ok, dpi, reason), or None if the manifest is missing or can't be read."""
+def read_manifest(spark: SparkSession, path: str, messages: bool = False) -> DataFrame | None:
+    """A row an image (image_id, ok, dpi, reason; with messages also these and their position), or None if the manifest is missing or can't be read."""
     try:
         whole = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     except AnalysisException as e:
@@ -73,4 +155,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     if whole.where("schema_version is not null or successful is not null").isEmpty():
         return None
     good = whole.select(F.explode("successful").alias("s")).select("s.image_id", F.lit(True).alias("ok"), "s.dpi", F.lit(None).cast("string").alias("reason"))
-    return good.unionByName(whole.select(F.explode("failed").alias("s")).select("s.image_id", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("dpi"), "s.reason"))
+    every = good.unionByName(whole.select(F.explode("failed").alias("s")).select("s.image_id", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("dpi"), "s.reason"))
+    if not messages:
+        return every
+    said = whole.select(F.posexplode("messages").alias("position", "m")).select("m.image_id", F.col("m.messages").alias("messages"), F.col("position").cast("bigint").alias("position"))
+    return every.join(said, "image_id", "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
