@@ -127,6 +127,11 @@ def halves(p: Column, x: Column, y: Column) -> Column:
     return kernels.halves_of(*_apart(p), x.cast("int"), y.cast("int"))
 
 
+def runs(p: Column) -> Column:
+    """y, x0 and x1 of the runs of pixels inside a polygon or on its outline, as three arrays, row by row."""
+    return kernels.runs_of(*_apart(p))
+
+
 def arrow(p: Column, least: Column, low: float, high: float) -> Column:
     """The arrow of a contour (arrow_angle null if none), within limits min_area, min_depth and min_height and of solidity."""
     return kernels.arrow_of(*_apart(p), least, F.lit(low), F.lit(high))

@@ -33,16 +33,35 @@ def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sides
 
 
+def antipodal(corners: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Pairs of corners of a convex ring that parallel lines can hold it between; the farthest pairs are among them.
+
+    Going around, the corner that is farthest from a side only moves on; where a side is parallel to the next one there,
+    both its ends count.
+    """
+    n = len(corners)
+    if n < 3:
+        return {(i, j) for i in range(n) for j in range(i, n)}
+    found, k = set(), 1
+    off = lambda a, b, c: abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+    for i in range(n):
+        a, b = corners[i], corners[(i + 1) % n]
+        while off(a, b, corners[(k + 1) % n]) > off(a, b, corners[k % n]):
+            k += 1
+        also = (k, k + 1) if off(a, b, corners[(k + 1) % n]) == off(a, b, corners[k % n]) else (k,)
+        found |= {tuple(sorted((p % n, q % n))) for p in (i, i + 1) for q in also}
+    return found
+
+
 def chord(points: list[tuple[int, int]]) -> tuple[float, int, int]:
     """Squared length and ends of the farthest pair of vertices; of equals the first pair in order. Ends are hull corners."""
     first: dict[tuple[int, int], int] = {}
     for k, p in enumerate(points):
         first.setdefault(p, k)
-    at = np.sort([first[p] for p in hull(points)])
-    p = np.asarray(points, float)[at]
-    d2 = ((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-    i, j = divmod(int(np.argmax(np.triu(d2))), len(at))
-    return float(d2[i, j]), int(at[i]), int(at[j])
+    corners = hull(points)
+    d2 = lambda i, j: (corners[i][0] - corners[j][0]) ** 2 + (corners[i][1] - corners[j][1]) ** 2
+    least, i, j = min((-d2(i, j), *sorted((first[corners[i]], first[corners[j]]))) for i, j in antipodal(corners))
+    return float(-least), i, j
 
 
 def area(points: list[tuple[int, int]]) -> float:
@@ -153,6 +172,22 @@ def halves_of(xs: pd.Series, ys: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.
     return pd.DataFrame(out, columns=["top_area", "bottom_area", "left_area", "right_area"])
 
 
+@F.pandas_udf(_row(y=T.ArrayType(T.IntegerType()), x0=T.ArrayType(T.IntegerType()), x1=T.ArrayType(T.IntegerType())))
+def runs_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """Runs of pixels of each polygon, row by row."""
+    out = []
+    for p in _pairs(xs, ys):
+        if p is None:
+            out.append((np.empty(0, np.int32),) * 3)
+            continue
+        x0, y0 = min(a for a, _ in p), min(b for _, b in p)
+        mask = rasters.filled(p, x0, y0, max(a for a, _ in p) - x0 + 1, max(b for _, b in p) - y0 + 1)
+        edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        out.append(tuple(v.astype(np.int32) for v in (row + y0, begin + x0, np.nonzero(edge == -1)[1] - 1 + x0)))
+    return pd.DataFrame(out, columns=["y", "x0", "x1"])
+
+
 _ARROW = ("arrow_angle", "tip_x", "tip_y", "back_x", "back_y", "triangle_base_length", "triangle_height", "shaft_solidity", "tip_solidity")
 
 

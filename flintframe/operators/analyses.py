@@ -77,12 +77,12 @@ def lateral(parents: DataFrame) -> DataFrame:
     return _added(parents, own)
 
 
-def arrow_marks(features: DataFrame, contours: DataFrame, solidity: tuple[float, float] = (0.4, 1.0)) -> DataFrame:
+def arrow_marks(features: DataFrame, contours: DataFrame, solidity: tuple[float, float] = (0.4, 1.0), free_solidity: tuple[float, float] = (0.4, 0.9)) -> DataFrame:
     """features with has_arrow, arrow_angle, arrow_tip and arrow_back.
 
     First, arrows among nested contours go to the feature around them, or else to the first feature beside what is
     around them; of several the last stays. Where an image still has a feature without an arrow, contours that are
-    neither a surface nor a feature, solid enough and not inside cortex, go to the smallest feature that holds their
+    neither a surface nor a feature, within free_solidity and not inside cortex, go to the smallest feature that holds their
     centre; the first wins, and replaces what was there. Cortex takes no arrow. contours: all of the image, with level,
     and with dpi where limits are to grow with it.
     """
@@ -99,7 +99,7 @@ def arrow_marks(features: DataFrame, contours: DataFrame, solidity: tuple[float,
     lacking = first.groupBy("image_id").agg(F.max(~F.col("has_arrow")).alias("__lacks")).where("__lacks").select("image_id")
     p = F.col("contour")
     free = contours.where("level = 'nested'").join(known, ["image_id", "contour_id"], "left_anti").join(lacking, "image_id", "left_semi")
-    free = free.where((G.area(p) >= 1)).withColumn("__sol", G.solidity(p)).where("__sol between 0.4 and 0.9").drop("__sol").withColumn("__c", G.centroid(p))
+    free = free.where((G.area(p) >= 1)).withColumn("__sol", G.solidity(p)).where(F.col("__sol").between(*free_solidity)).drop("__sol").withColumn("__c", G.centroid(p))
     points = free.select("image_id", F.col("contour_id").alias("point_id"), F.col("__c.x").alias("x"), F.col("__c.y").alias("y"))
     flag = F.coalesce(F.col("is_cortex"), F.lit(False)) if "is_cortex" in features.columns else F.lit(False)
     crust = spatial.containing(points, features.where(flag).select("image_id", "contour_id", "contour")).select("image_id", "point_id")

@@ -70,67 +70,98 @@ def assign_arrows(candidates: DataFrame, scars: DataFrame) -> DataFrame:
     return containing(candidates, free).groupBy("image_id", "contour_id").agg(F.min("point_id").alias("point_id"))
 
 
-def rasterize(polygons: DataFrame) -> DataFrame:
-    """image_id, contour_id, x, y of all pixels inside or on the outline of each polygon.
+def spans(polygons: DataFrame) -> DataFrame:
+    """image_id, contour_id, y, x0, x1: the runs of pixels inside or on the outline of each polygon, from left to right.
 
-    A row of pixels is filled between its crossings with the edges, in pairs from the left; whole points of edges are
-    added.
+    A polygon is as many rows as it is high, not as it has pixels. Runs are found in Arrow batches, without a shuffle.
     """
-    b = G.bounds(F.col("contour"))
-    rows = polygons.select("image_id", "contour_id", _edges(F.col("contour")).alias("e"), b.alias("b")).select("image_id", "contour_id", "e", F.explode(F.sequence(F.col("b.min_y"), F.col("b.min_y") + F.col("b.height") - 1)).alias("y"))
-    y = F.col("y")
-    rise = lambda e: e["v"]["y"] - e["u"]["y"]
-    ahead = lambda e: (e["v"]["x"] - e["u"]["x"]).cast("bigint") * (y - e["u"]["y"])
-    cut = F.filter("e", lambda e: (e["u"]["y"] > y) != (e["v"]["y"] > y))
-    at = F.sort_array(F.transform(cut, lambda e: F.ceil(ahead(e).cast("double") / rise(e) + e["u"]["x"]).cast("int")))
-    on = F.filter("e", lambda e: (rise(e) != 0) & y.between(F.least(e["u"]["y"], e["v"]["y"]), F.greatest(e["u"]["y"], e["v"]["y"])) & (ahead(e) % rise(e) == 0))
-    flat = F.filter("e", lambda e: (rise(e) == 0) & (e["u"]["y"] == y))
-    filled = rows.select("image_id", "contour_id", "y", at.alias("c"), F.transform(on, lambda e: (ahead(e) / rise(e) + e["u"]["x"]).cast("int")).alias("on"), F.flatten(F.transform(flat, lambda e: F.sequence(F.least(e["u"]["x"], e["v"]["x"]), F.greatest(e["u"]["x"], e["v"]["x"])))).alias("flat"))
-    spans = F.flatten(F.transform("c", lambda lo, k: F.when((k % 2 == 0) & (F.get("c", k + 1) > lo), F.sequence(lo, F.get("c", k + 1) - 1)).otherwise(F.array().cast("array<int>"))))
-    return filled.select("image_id", "contour_id", F.explode(F.array_distinct(F.concat(spans, "on", "flat"))).alias("x"), "y")
-
-
-def symmetry(mask: DataFrame, centres: DataFrame) -> DataFrame:
+    made = polygons.select("image_id", "contour_id", G.runs(F.col("contour")).alias("r"))
+    return made.select("image_id", "contour_id", F.inline(F.arrays_zip("r.y", "r.x0", "r.x1")))
+
+
+def rasterize(polygons: DataFrame) -> DataFrame:
+    """image_id, contour_id, x, y of all pixels inside or on the outline of each polygon: spans(), a row a pixel."""
+    return spans(polygons).select("image_id", "contour_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+
+
+def _as_runs(mask: DataFrame) -> DataFrame:
+    """A mask of pixels (with x) as runs of one pixel each; runs as they are."""
+    return mask if "x0" in mask.columns else mask.withColumnRenamed("x", "x0").withColumn("x1", F.col("x0"))
+
+
+def span_areas(runs: DataFrame) -> DataFrame:
+    """By contour: pixels, and the sums of their x and y."""
+    n = (F.col("x1") - F.col("x0") + 1).cast("bigint")
+    return runs.groupBy("image_id", "contour_id").agg(F.sum(n).alias("pixels"), F.sum(F.expr("(x0 + x1) * cast(x1 - x0 + 1 AS bigint) DIV 2")).alias("sx"), F.sum(n * F.col("y")).alias("sy"))
+
+
+def span_overlaps(runs: DataFrame) -> DataFrame:
+    """image_id, a, b (a < b), pixels: what two contours of an image have in common, by runs of the same row that overlap."""
+    a, b = runs.alias("a"), runs.alias("b")
+    both = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.contour_id") < F.col("b.contour_id")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")))
+    n = (F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0") + 1).cast("bigint")
+    return both.groupBy(F.col("a.image_id").alias("image_id"), F.col("a.contour_id").alias("a"), F.col("b.contour_id").alias("b")).agg(F.sum(n).alias("pixels"))
+
+
+def union_spans(runs: DataFrame) -> DataFrame:
+    """image_id, y, x0, x1: the runs of pixels that any contour of an image has."""
+    line = Window.partitionBy("image_id", "y").orderBy("x0", "x1")
+    far = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.select("image_id", "y", "x0", "x1", F.when(F.col("x0") <= far + 1, 0).otherwise(1).alias("__new"))
+    each = marked.withColumn("__run", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.groupBy("image_id", "y", "__run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("__run")
+
+
+def symmetry(runs: DataFrame, centres: DataFrame) -> DataFrame:
     """Filled pixels above, below, left and right of the truncated centroid, and both symmetries (two digits).
 
-    mask: image_id, contour_id, x, y; centres: image_id, contour_id, cx, cy.
+    runs: spans(), or pixels (with x); centres: image_id, contour_id, cx, cy.
     """
+    runs = _as_runs(runs)
     c = centres.select("image_id", "contour_id", F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy"))
-    s = mask.join(c, ["image_id", "contour_id"]).groupBy("image_id", "contour_id").agg(
-        F.count_if(F.col("y") < F.col("cy")).alias("top_area"), F.count_if(F.col("y") >= F.col("cy")).alias("bottom_area"),
-        F.count_if(F.col("x") < F.col("cx")).alias("left_area"), F.count_if(F.col("x") >= F.col("cx")).alias("right_area"))
+    n = (F.col("x1") - F.col("x0") + 1).cast("bigint")
+    left = F.greatest(F.lit(0), F.least(F.col("x1"), F.col("cx") - 1) - F.col("x0") + 1).cast("bigint")
+    up = F.col("y") < F.col("cy")
+    s = runs.join(c, ["image_id", "contour_id"]).groupBy("image_id", "contour_id").agg(
+        F.sum(F.when(up, n).otherwise(0)).alias("top_area"), F.sum(F.when(up, 0).otherwise(n)).alias("bottom_area"), F.sum(left).alias("left_area"), F.sum(n - left).alias("right_area"))
     even = lambda p, q: F.round(1 - F.abs(F.col(p) - F.col(q)) / F.nullif(F.col(p) + F.col(q), F.lit(0)), 2)
     return s.withColumns({"vertical_symmetry": even("top_area", "bottom_area"), "horizontal_symmetry": even("left_area", "right_area")})
 
 
-def cells(mask: DataFrame, sites: DataFrame, tile: int = 16) -> DataFrame:
-    """Pixels of a mask (image_id, x, y) with their nearest site (image_id, site_id, sx, sy); the smaller id on ties.
+def cells(mask: DataFrame, sites: DataFrame) -> DataFrame:
+    """image_id, y, x0, x1, site_id: runs of a mask (image_id, y, x0, x1) by nearest site (image_id, site_id, sx, sy; whole
+    numbers), the smaller id on ties.
 
-    Pixels are filed under square tiles. A tile keeps each site that is no farther from its nearest edge than some site
-    is from its farthest corner: no other can be nearest to a pixel of it. Pixels are compared with these sites only.
+    In a row of pixels the part that is nearer to a site than to another begins or ends at one place, so a site has one
+    stretch of each row, found from the other sites alone; it is cut with the runs. A mask of pixels (with x) gives pixels.
     """
-    at = mask.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
-    gap = lambda t, s: F.greatest(F.lit(0), F.col(t) * tile - F.col(s), F.col(s) - (F.col(t) + 1) * tile).cast("double")
-    far = lambda t, s: F.greatest(F.abs(F.col(t) * tile - F.col(s)), F.abs((F.col(t) + 1) * tile - F.col(s))).cast("double")
-    two = lambda f: F.pow(f("tx", "sx"), F.lit(2)) + F.pow(f("ty", "sy"), F.lit(2))
-    tiles = at.select("image_id", "tx", "ty").distinct().join(sites.select("image_id", "site_id", "sx", "sy"), "image_id")
-    reach = F.min(two(far)).over(Window.partitionBy("image_id", "tx", "ty"))
-    able = tiles.withColumn("reach", reach).where(two(gap) <= F.col("reach")).drop("reach")
-    d2 = F.pow((F.col("x") - F.col("sx")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("sy")).cast("double"), F.lit(2))
-    near = at.join(able, ["image_id", "tx", "ty"]).groupBy("image_id", "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("site_id").alias("site"))).alias("best"))
-    return near.select("image_id", "x", "y", F.col("best.site").alias("site_id"))
-
-
-def cell_summary(labelled: DataFrame, step: int = 1) -> DataFrame:
-    """By site: pixels of its cell and how many other cells share an edge with it; pixels are ``step`` apart."""
-    size = labelled.groupBy("image_id", "site_id").agg(F.count(F.lit(1)).alias("voronoi_cell_area"))
-
-    def beyond(line: str, along: str) -> Column:
-        w = Window.partitionBy("image_id", line).orderBy(along)
-        return F.when(F.lead(along).over(w) == F.col(along) + step, F.lead("site_id").over(w))
-
-    nexts = labelled.select("image_id", "site_id", beyond("y", "x").alias("right"), beyond("x", "y").alias("below"))
-    both = nexts.select("image_id", "site_id", F.explode(F.array("right", "below")).alias("other")).where("other <> site_id")
+    if "x" in mask.columns:
+        return cells(_as_runs(mask), sites).select("image_id", F.col("x0").alias("x"), "y", "site_id")
+    whole = sites.select("image_id", "site_id", F.col("sx").cast("bigint").alias("sx"), F.col("sy").cast("bigint").alias("sy"))
+    other = whole.toDF("image_id", "__o", "__ox", "__oy")
+    apart = whole.join(other, "image_id").where("site_id <> __o")
+    lines = mask.select("image_id", "y").distinct()
+    slope, more = 2 * (F.col("__ox") - F.col("sx")), F.when(F.col("__o") < F.col("site_id"), 1).otherwise(0)
+    rest = F.col("__ox") * F.col("__ox") - F.col("sx") * F.col("sx") + F.pow(F.col("y") - F.col("__oy"), F.lit(2)).cast("bigint") - F.pow(F.col("y") - F.col("sy"), F.lit(2)).cast("bigint") - more
+    bounds = lines.join(apart, "image_id").select("image_id", "y", "site_id", slope.alias("k"), rest.alias("r"))  # nearer where k * x <= r
+    edge = bounds.groupBy("image_id", "y", "site_id").agg(
+        F.min(F.when(F.col("k") > 0, F.floor(F.col("r") / F.col("k")))).alias("hi"), F.max(F.when(F.col("k") < 0, F.ceil(F.col("r") / F.col("k")))).alias("lo"), F.max((F.col("k") == 0) & (F.col("r") < 0)).alias("none"))
+    alone = lines.join(whole.join(apart.select("image_id", "site_id").distinct(), ["image_id", "site_id"], "left_anti"), "image_id").select("image_id", "y", "site_id", F.lit(None).cast("bigint").alias("hi"), F.lit(None).cast("bigint").alias("lo"))
+    edge = edge.where("not none").drop("none").unionByName(alone)
+    cut = mask.join(edge, ["image_id", "y"]).withColumn("x0", F.greatest("x0", F.coalesce("lo", "x0")).cast("int")).withColumn("x1", F.least("x1", F.coalesce("hi", "x1")).cast("int"))
+    return cut.where("x0 <= x1").select("image_id", "y", "x0", "x1", "site_id")
+
+
+def cell_summary(labelled: DataFrame) -> DataFrame:
+    """By site: pixels of its cell and how many other cells share an edge of a pixel with it; labelled: as of cells()."""
+    labelled = _as_runs(labelled)
+    n = (F.col("x1") - F.col("x0") + 1).cast("bigint")
+    size = labelled.groupBy("image_id", "site_id").agg(F.sum(n).alias("voronoi_cell_area"))
+    line = Window.partitionBy("image_id", "y").orderBy("x0")
+    beside = labelled.select("image_id", "site_id", F.when(F.lead("x0").over(line) == F.col("x1") + 1, F.lead("site_id").over(line)).alias("other"))
+    below = labelled.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("site_id").alias("other"))
+    under = labelled.join(below, ["image_id", "y"]).where("x0 <= u1 and u0 <= x1").select("image_id", "site_id", "other")
+    both = beside.unionByName(under).where("other <> site_id").distinct()
     touching = both.unionByName(both.select("image_id", F.col("other").alias("site_id"), F.col("site_id").alias("other"))).distinct().groupBy("image_id", "site_id").agg(F.count(F.lit(1)).alias("shared_edges"))
     return size.join(touching, ["image_id", "site_id"], "left").fillna(0, ["shared_edges"])
 

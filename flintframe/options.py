@@ -61,6 +61,8 @@ class Scale:
 class Arrows:
     enabled: bool = True
     solidity: tuple[float, float] = (0.4, 1.0)
+    #: Of contours inside none of the features' children, before they are looked at as arrows.
+    free_solidity: tuple[float, float] = (0.4, 0.9)
 
 
 @dataclass(frozen=True)

@@ -47,6 +47,9 @@ SELECT concat('img-', cast(r_regionkey AS varchar(20))) AS image_id, cast(r_regi
 UNION ALL SELECT concat('img-', cast(n_regionkey AS varchar(20))), cast(100 + n_nationkey AS bigint), cast(n_regionkey AS bigint), cast(40 + n_nationkey AS double) FROM {nation}
 UNION ALL SELECT concat('img-', cast(n_regionkey AS varchar(20))), cast(1000 + c_custkey AS bigint), cast(100 + c_nationkey AS bigint), abs(c_acctbal) / 10 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
 
+#: The same without the nations of one region, so that its customers have no parent in the image.
+ORPHANED = HIERARCHY.replace("FROM {nation}\nUNION", "FROM {nation} WHERE n_regionkey <> 1\nUNION")
+
 #: Vertices of 64-gons around a grid, radius from the embedding; eight to an image. Unit vectors are exact thousandths.
 VERTICES = """
 SELECT concat('img-', cast(vec_id // 8 AS varchar(20))) AS image_id, cast(vec_id AS bigint) AS contour_id, i,

@@ -86,7 +86,7 @@ def analyse(level: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     parents, features = analyses.cells(analyses.symmetry(parents), features)
     parents = analyses.lateral(parents).withColumn("is_cortex", F.lit(False)).withColumn("has_arrow", F.lit(False))
     if o.arrows.enabled:
-        return parents, analyses.arrow_marks(_kept(features), level, o.arrows.solidity)
+        return parents, analyses.arrow_marks(_kept(features), level, o.arrows.solidity, o.arrows.free_solidity)
     return parents, features.withColumn("has_arrow", F.lit(False))
 
 

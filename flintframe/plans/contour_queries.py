@@ -13,8 +13,8 @@ from ..sources import images
 from . import adapters, scans
 from .assemblage_queries import rounded
 
-_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "sheet": adapters.SHEETS}.items()}
-_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "sheet": adapters.SHEETS}
+_DUCK = {k: adapters.duck(v) for k, v in {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "lone": adapters.ORPHANED, "sheet": adapters.SHEETS}.items()}
+_OF = {"surf": adapters.SURFACES, "tree": adapters.HIERARCHY, "vert": adapters.VERTICES, "px": adapters.PIXELS, "coef": scans.COEFFICIENTS, "quad": adapters.QUADS, "lone": adapters.ORPHANED, "sheet": adapters.SHEETS}
 _NEXT = "e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY image_id, contour_id ORDER BY i)),\n"
 _NEXT += "m AS (SELECT image_id, contour_id, sum(x::DOUBLE * y2 - x2::DOUBLE * y) / 2 AS a, sum(sqrt((x - x2)::DOUBLE ** 2 + (y - y2)::DOUBLE ** 2)) AS p, sum((x + x2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS mx, sum((y + y2) * (x::DOUBLE * y2 - x2::DOUBLE * y)) AS my, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e GROUP BY 1, 2)\n"
 _CHORD = """, pr AS (SELECT a.image_id, a.contour_id, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x)::DOUBLE ** 2 + (a.y - b.y)::DOUBLE ** 2 AS d2 FROM vert a JOIN vert b USING (image_id, contour_id) WHERE a.i < b.i),
@@ -40,6 +40,15 @@ def _labelled(surf: DataFrame) -> DataFrame:
     return surfaces.classify_and_label(surf.withColumn("parent_contour_id", up))
 
 
+def _detailed(surf: DataFrame) -> DataFrame:
+    """Rows with calibration by image and with values for every block of a document, on all rows alike."""
+    k = F.replace("image_id", F.lit("lithic-"), F.lit("")).cast("bigint")
+    n = F.col("contour_id").cast("double")
+    return surfaces.rows_of(_labelled(surf)).withColumns({
+        "calibration_method": F.when(k % 3 == 0, "scale_bar").otherwise("pixels"), "pixels_per_mm": F.when(k % 3 == 0, (1 + k % 20).cast("double")), "voronoi_num_cells": F.col("contour_id") + 1,
+        "convex_hull_area": F.col("total_area") / 2, "vertical_symmetry": n / 10, "lateral_convexity": 1 / (1 + n)})
+
+
 def _textures(px: DataFrame) -> DataFrame:
     """Textures of ink in the box of each image."""
     box = F.expr("array(named_struct('x', 0, 'y', 0), named_struct('x', 7, 'y', 0), named_struct('x', 7, 'y', 7), named_struct('x', 0, 'y', 7))")
@@ -113,6 +122,9 @@ si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a))::INTEGER AS s
 """
 _CELLS = _FILL + """, lb AS (SELECT f.image_id, f.x, f.y, min(((f.x - sx)::BIGINT ** 2 + (f.y - sy)::BIGINT ** 2)::BIGINT * 100000 + site_id) % 100000 AS site_id FROM (SELECT DISTINCT image_id, x, y FROM fill) f JOIN si USING (image_id) GROUP BY 1, 2, 3)
 """
+_TOUCHING = """, t AS (SELECT DISTINCT image_id, a, b FROM (SELECT p.image_id, p.site_id AS a, q.site_id AS b FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.y = q.y AND q.x = p.x + 1 AND p.site_id <> q.site_id
+    UNION ALL SELECT p.image_id, p.site_id, q.site_id FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.x = q.x AND q.y = p.y + 1 AND p.site_id <> q.site_id) z)
+  SELECT lb.image_id, site_id, count(*) AS voronoi_cell_area, (SELECT count(DISTINCT CASE WHEN a = site_id THEN b ELSE a END) FROM t WHERE t.image_id = lb.image_id AND (a = site_id OR b = site_id)) AS shared_edges FROM lb GROUP BY 1, 2"""
 _PIECES = """, ink AS (SELECT image_id, y, x, y::BIGINT * 4294967296 + x AS node FROM px WHERE v > 150),
 reach AS (SELECT image_id, node, y, x, node AS root FROM ink UNION SELECT r.image_id, o.node, o.y, o.x, r.root FROM reach r JOIN ink o ON r.image_id = o.image_id AND abs(r.y - o.y) <= 1 AND abs(r.x - o.x) <= 1),
 piece AS (SELECT image_id, root, count(*) AS area FROM (SELECT image_id, node, min(root) AS root FROM reach GROUP BY 1, 2) q GROUP BY 1, 2)
@@ -203,7 +215,7 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "c03_min_area": ("tree", lambda t: contours.filter_min_area(t).select("image_id", "contour_id", "parent_contour_id"), "SELECT t.image_id, t.contour_id, u.contour_id AS parent_contour_id FROM tree t LEFT JOIN tree u ON t.image_id = u.image_id AND t.parent_contour_id = u.contour_id AND u.area >= 50 WHERE t.area >= 50"),
     "c04_levels": ("tree", lambda t: contours.levels(t).select("image_id", "contour_id", "level"), f"{_LEVEL}SELECT image_id, contour_id, level FROM lv"),
     "c05_child_counts": ("tree", contours.child_counts, "SELECT image_id, parent_contour_id AS contour_id, count(*) AS n_children FROM tree WHERE parent_contour_id IS NOT NULL GROUP BY 1, 2"),
-    "c06_promotion": ("tree", lambda t: contours.promote_nested(contours.levels(t).where("level <> 'child' or image_id <> 'img-1'")).select("image_id", "contour_id", "level"), f"{_LEVEL}SELECT image_id, contour_id, CASE WHEN image_id = 'img-1' AND level = 'nested' THEN 'child' ELSE level END AS level FROM lv WHERE level <> 'child' OR image_id <> 'img-1'"),
+    "c06_promotion": ("lone", lambda t: contours.promote_nested(contours.levels(t)).select("image_id", "contour_id", "level"), ", lv AS (SELECT t.*, CASE WHEN t.parent_contour_id IS NULL THEN 'parent' WHEN u.contour_id IS NOT NULL AND u.parent_contour_id IS NULL THEN 'child' ELSE 'nested' END AS level FROM lone t LEFT JOIN lone u ON t.image_id = u.image_id AND t.parent_contour_id = u.contour_id)\nSELECT image_id, contour_id, CASE WHEN level = 'nested' AND NOT bool_or(level = 'child') OVER (PARTITION BY image_id) THEN 'child' ELSE level END AS level FROM lv"),
     "c07_fallback_levels": ("tree", lambda t: contours.fallback_levels(t).select("image_id", "contour_id", "level"), "SELECT image_id, contour_id, CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY contour_id) = 1 THEN 'parent' ELSE 'child' END AS level FROM tree"),
     "m01_area": ("vert", lambda v: _measured(v, "area"), f", {_NEXT}SELECT image_id, contour_id, round(abs(a), 2) AS area FROM m"),
     "m02_perimeter": ("vert", lambda v: _measured(v, "perimeter"), f", {_NEXT}SELECT image_id, contour_id, round(p, 2) AS perimeter FROM m"),
@@ -224,6 +236,12 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
             F.array_join(F.transform(F.flatten(F.transform("surfaces", lambda x: x["features"])), lambda f: F.concat_ws(":", f["contour_id"].cast("string"), f["surface_feature"])), ",").alias("features")),
         f"""{_CLASS}, de AS (SELECT p.image_id, count(DISTINCT p.contour_id)::INTEGER AS n_surfaces, count(f.contour_id)::INTEGER AS n_features, coalesce(string_agg(f.contour_id || ':' || f.surface_feature, ',' ORDER BY p.contour_id, f.contour_id), '') AS features FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id GROUP BY 1)
   SELECT image_id, n_surfaces, n_features, types, features FROM de JOIN (SELECT image_id, string_agg(surface_type, ',' ORDER BY contour_id) AS types FROM par GROUP BY 1) z USING (image_id)"""),
+    "e04_blocks": ("surf", lambda s: surfaces.documents(_detailed(s)).select("image_id", "calibration", F.explode("surfaces").alias("s")).select("image_id", "s.contour_id", "s.surface_type", F.col("calibration.method").alias("method"), F.col("calibration.pixels_per_mm").alias("pixels_per_mm"),
+            F.col("s.voronoi.voronoi_num_cells").alias("cells"), F.col("s.voronoi.convex_hull_area").alias("hull"), F.col("s.symmetry.vertical_symmetry").alias("symmetry"), F.col("s.lateral_convexity").alias("convexity"), F.size("s.features").alias("n_features"), F.count_if(F.col("s.voronoi").isNotNull()).over(Window.partitionBy("image_id")).alias("n_voronoi")),
+        f"""{_CLASS}, nf AS (SELECT image_id, parent_contour_id AS contour_id, count(*) AS n FROM fe WHERE surface_type IS NOT NULL GROUP BY 1, 2)
+  SELECT image_id, contour_id, surface_type, CASE WHEN k % 3 = 0 THEN 'scale_bar' ELSE 'pixels' END AS method, CASE WHEN k % 3 = 0 THEN (1 + k % 20)::DOUBLE END AS pixels_per_mm, CASE WHEN surface_type = 'Dorsal' THEN (contour_id + 1)::INTEGER END AS cells,
+    CASE WHEN surface_type = 'Dorsal' THEN round(area / 2, 4) END AS hull, CASE WHEN surface_type = 'Dorsal' THEN round(contour_id / 10, 4) END AS symmetry, CASE WHEN surface_type = 'Lateral' THEN round(1 / (1 + contour_id), 4) END AS convexity, coalesce(n, 0)::INTEGER AS n_features, count(*) FILTER (surface_type = 'Dorsal') OVER (PARTITION BY image_id) AS n_voronoi
+  FROM (SELECT *, replace(image_id, 'lithic-', '')::BIGINT AS k FROM par) p LEFT JOIN nf USING (image_id, contour_id)"""),
     "e06_flatten": ("surf", lambda s: surfaces.flatten_documents(surfaces.documents(surfaces.rows_of(_labelled(s)))), f"{_CLASS}SELECT p.image_id, p.surface_type, f.surface_feature, f.area AS total_area FROM par p LEFT JOIN fe f ON p.image_id = f.image_id AND p.contour_id = f.parent_contour_id"),
     "e07_mean_scar_area": ("surf", lambda s: surfaces.mean_scar_area(surfaces.rows_of(_labelled(s))), f"{_CLASS}SELECT image_id, (SELECT count(*) FROM fe WHERE fe.image_id = par.image_id AND surface_feature LIKE '%scar%')::INTEGER AS scar_count, round(m, 4) AS mean_scar_area FROM par JOIN (SELECT image_id, avg(area) AS m FROM fe WHERE surface_feature LIKE 'scar %' GROUP BY 1) z USING (image_id) WHERE surface_type = 'Dorsal'"),
     "b07_millimetres": ("surf", lambda s: surfaces.to_millimetres(s, (F.col("contour_id") - 1) * F.lit(1.2345679)), "SELECT image_id, contour_id, CASE WHEN contour_id > 1 THEN round(technical_length / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_length END AS technical_length, CASE WHEN contour_id > 1 THEN round(technical_width / ((contour_id - 1) * 1.2345679::DOUBLE), 2) ELSE technical_width END AS technical_width, CASE WHEN contour_id > 1 THEN round(area / (((contour_id - 1) * 1.2345679::DOUBLE) ** 2), 2) ELSE area END AS area FROM surf"),
@@ -249,7 +267,8 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r09_preprocess": ("px", raster.preprocess, ", mn AS (SELECT image_id, y, x, coalesce(floor((v - min(v) OVER w) * 255.0::DOUBLE / nullif(max(v) OVER w - min(v) OVER w, 0) + 0.5), 0)::INTEGER AS v FROM px WINDOW w AS (PARTITION BY image_id))" + _blur("mn")
         + ", rd AS (SELECT image_id, y, x, floor(v + 0.5)::INTEGER AS v FROM bl)" + _otsu("rd") + ", iv AS (SELECT image_id, y, x, CASE WHEN v > level THEN 0 ELSE 255 END AS v FROM rd JOIN lvl USING (image_id))" + _closing("iv")),
     "r01_equalise": ("sheet", raster.equalise, _EQUAL),
-    "r11_rasterize": ("vert", lambda v: spatial.rasterize(_polygons(v)).groupBy("image_id", "contour_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("sx")), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
+    "r11_rasterize": ("vert", lambda v: spatial.span_areas(spatial.spans(_polygons(v))).drop("sy"), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
+    "r11_overlaps": ("vert", lambda v: spatial.span_overlaps(spatial.spans(_polygons(v))), f"{_FILL}SELECT p.image_id, p.contour_id AS a, q.contour_id AS b, count(*) AS pixels FROM fill p JOIN fill q ON p.image_id = q.image_id AND p.x = q.x AND p.y = q.y AND p.contour_id < q.contour_id GROUP BY 1, 2, 3"),
     "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), f"{_PIECES}SELECT image_id, root, area FROM piece"),
     "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), _TREE + "SELECT image_id, root, hole, area, min_x, max_x, min_y, max_y, CASE WHEN parent_root > 0 THEN parent_root END AS parent_root FROM tr"),
     "c01_nesting": ("px", lambda p: raster.outlines(raster.threshold(p, 127)).select("image_id", "contour_id", "parent_contour_id"), _TREE + """, nr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS contour_id FROM tr)
@@ -263,9 +282,7 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "x04_is_cortex": ("px", lambda p: _textures(p).select("image_id", F.round("stippling_density", 2).alias("stippling"), F.round(F.col("texture_variance") * 4096).cast("bigint").alias("variance_4096"), "edge_density", surfaces.is_cortex(F.col("stippling_density"), F.col("texture_variance"), F.col("edge_density"), "low").alias("cortex")),
         _PIECES + _EDGES + _blur("bw") + """, va AS (SELECT image_id, var_pop(floor(v + 0.5)::INTEGER) AS variance FROM bl GROUP BY 1), st AS (SELECT image_id, coalesce(k, 0) / 64.0::DOUBLE * 1000 AS stippling FROM (SELECT DISTINCT image_id FROM px) q LEFT JOIN (SELECT image_id, count(*) AS k FROM piece WHERE area <= 50 GROUP BY 1) z USING (image_id))
   SELECT image_id, round(stippling, 2) AS stippling, round(variance * 4096)::BIGINT AS variance_4096, round(edge_density, 4) AS edge_density, stippling > 0.4 AND variance > 200 AND edge_density > 0.1 AS cortex FROM va JOIN st USING (image_id) JOIN dens USING (image_id)"""),
-    "v03_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)), _CELLS + """, t AS (SELECT DISTINCT image_id, a, b FROM (SELECT p.image_id, p.site_id AS a, q.site_id AS b FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.y = q.y AND q.x = p.x + 1 AND p.site_id <> q.site_id
-    UNION ALL SELECT p.image_id, p.site_id, q.site_id FROM lb p JOIN lb q ON p.image_id = q.image_id AND p.x = q.x AND q.y = p.y + 1 AND p.site_id <> q.site_id) z)
-  SELECT lb.image_id, site_id, count(*) AS voronoi_cell_area, (SELECT count(DISTINCT CASE WHEN a = site_id THEN b ELSE a END) FROM t WHERE t.image_id = lb.image_id AND (a = site_id OR b = site_id)) AS shared_edges FROM lb GROUP BY 1, 2"""),
+    "v03_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)), _CELLS + _TOUCHING),
     "v03_outline_cells": ("vert", lambda v: spatial.outline_cells(_largest(_polygons(v)), _sites(v)).select("image_id", "site_id", F.round("area", 2).alias("voronoi_cell_area")).where("voronoi_cell_area > 0"), _PIECES_OF_CELLS),
     "j03_enclosed": ("quad", lambda q: _polygons(q).select("image_id", "contour_id", G.enclosed(F.col("contour")).alias("area")), _LOOPS),
     "v04_num_cells": ("vert", lambda v: spatial.pixel_cells(_polygons(v), _sites(v)).groupBy("image_id").agg(F.count(F.lit(1)).alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
@@ -285,9 +302,9 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "y01_symmetry": ("vert", lambda v: _polygons(v).withColumn("c", G.centroid(F.col("contour"))).select("image_id", "contour_id", G.halves(F.col("contour"), F.col("c.x"), F.col("c.y")).alias("h")).select("image_id", "contour_id", "h.*").withColumns(analyses.even_sides()),
         _FILL + """, ct AS (SELECT image_id, contour_id, trunc(mx / (6 * a))::INTEGER AS cx, trunc(my / (6 * a))::INTEGER AS cy FROM m), hv AS (SELECT image_id, contour_id, count(*) FILTER (y < cy) AS top_area, count(*) FILTER (y >= cy) AS bottom_area, count(*) FILTER (x < cx) AS left_area, count(*) FILTER (x >= cx) AS right_area FROM fill JOIN ct USING (image_id, contour_id) GROUP BY 1, 2)
   SELECT *, round(1 - abs(top_area - bottom_area)::DOUBLE / nullif(top_area + bottom_area, 0), 2) AS vertical_symmetry, round(1 - abs(left_area - right_area)::DOUBLE / nullif(left_area + right_area, 0), 2) AS horizontal_symmetry FROM hv"""),
-    # the same as queries of other plans: cells by joins of pixels, tiles and sites
-    "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), None),
-    "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), None),
+    # the same by joins of runs of pixels and sites
+    "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), _CELLS + _TOUCHING),
+    "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
     "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * F.lit(5.3)).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5.3::DOUBLE / 300 END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
     "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), None),
     "a14_assignment": ("vert", lambda v: spatial.assign_arrows(_sites(v).select("image_id", F.col("site_id").alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), _polygons(v)), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS point_id, floor(mx / (6 * a))::INTEGER AS qx, floor(my / (6 * a))::INTEGER AS qy FROM m),
@@ -312,8 +329,8 @@ def _metadata(pixels: DataFrame) -> DataFrame:
 
 
 def _mask(vert: DataFrame) -> DataFrame:
-    """All pixels that any contour of an image holds."""
-    return spatial.rasterize(_polygons(vert)).select("image_id", "x", "y").distinct()
+    """All pixels that any contour of an image holds, as runs."""
+    return spatial.union_spans(spatial.spans(_polygons(vert)))
 
 
 def _largest(polygons: DataFrame) -> DataFrame:

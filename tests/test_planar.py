@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flintframe.functions import geometry as G
-from flintframe.functions import planar, rasters
+from flintframe.functions import planar, polygons, rasters
 from flintframe.operators import spatial
 
 POLY = "image_id string, contour_id bigint, contour array<struct<x:int,y:int>>"
@@ -115,3 +115,35 @@ def test_neighbours_alone_cut_a_cell(monkeypatch):
     monkeypatch.setattr(planar, "_region", by_all)
     plain = planar.cells(outline, few)
     assert np.allclose([a for a, _ in near], [a for a, _ in plain]) and [n for _, n in near] == [n for _, n in plain]
+
+
+def test_farthest_corners_by_antipodal_pairs():
+    rnd = np.random.default_rng(6)
+    shapes = [[tuple(v) for v in rnd.integers(0, k, (n, 2)).tolist()] for n in (1, 2, 3, 5, 40) for k in (3, 10, 1000) for _ in range(15)]
+    shapes += [[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (9, 0), (3, 0)], [(round(900 * np.cos(t)), round(900 * np.sin(t))) for t in np.linspace(0, 2 * np.pi, 12, endpoint=False)]]
+    for p in shapes:
+        d2, i, j = min((-((p[i][0] - p[j][0]) ** 2 + (p[i][1] - p[j][1]) ** 2), i, j) for i in range(len(p)) for j in range(i, len(p)) if p.index(p[i]) == i and p.index(p[j]) == j and (i < j or len(set(p)) == 1))
+        assert polygons.chord(p) == (-d2, i, j)
+    wide = [(round(1e9 * np.cos(t)), round(1e9 * np.sin(t))) for t in np.linspace(0, 2 * np.pi, 20_000, endpoint=False)]
+    assert len(polygons.antipodal(polygons.hull(wide))) < 3 * len(wide) and polygons.chord(wide)[0] == pytest.approx(4e18, rel=1e-6)
+
+
+def test_runs_of_pixels(spark):
+    rnd = np.random.default_rng(9)
+    shapes = [("i", k, [{"x": int(x), "y": int(y)} for x, y in rnd.integers(-5, 25, (6, 2))]) for k in range(8)] + [("j", 9, [{"x": 3, "y": 4}]), ("j", 10, [])]
+    df = spark.createDataFrame(shapes, POLY)
+    runs = [tuple(r) for r in spatial.spans(df).collect()]
+    assert len(runs) == len({(i, c, y, x0) for i, c, y, x0, _ in runs}) and all(a <= b for *_, a, b in runs)
+    pixels = {}
+    for i, c, y, a, b in runs:
+        pixels.setdefault((i, c), set()).update((x, y) for x in range(a, b + 1))
+    for i, c, p in shapes:
+        if p:
+            mask = rasters.filled([(v["x"], v["y"]) for v in p], -10, -10, 40, 40)
+            assert pixels[i, c] == {(int(x) - 10, int(y) - 10) for y, x in zip(*np.nonzero(mask))}
+    every = spark.createDataFrame(runs, "image_id string, contour_id bigint, y int, x0 int, x1 int")
+    assert {(r.a, r.b): r.pixels for r in spatial.span_overlaps(every).collect()} == {(a, b): n for a in range(8) for b in range(a + 1, 8) if (n := len(pixels["i", a] & pixels["i", b]))}
+    both = [tuple(r) for r in spatial.union_spans(every).select("image_id", "y", "x0", "x1").collect()]
+    assert {(x, y) for i, y, a, b in both if i == "i" for x in range(a, b + 1)} == set().union(*(pixels["i", k] for k in range(8)))
+    assert all(not any(i == j and y == v and a < c <= b + 1 for j, v, c, _ in both) for i, y, a, b in both)
+    assert {r.contour_id: (r.pixels, r.sx, r.sy) for r in spatial.span_areas(every).collect()} == {c: (len(s), sum(x for x, _ in s), sum(y for _, y in s)) for (_, c), s in pixels.items()}
