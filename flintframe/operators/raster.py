@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rasters
+from ..functions.durable import kept
 from ..options import Options
 
 GAUSS5 = rasters.SMALL[5]
@@ -157,6 +158,43 @@ def regions(pixels: DataFrame, eight: bool = True) -> DataFrame:
     return _pixelwise(pixels.where(F.col("v") > 0), run, "bigint", "root")
 
 
+def joined(edges: DataFrame) -> DataFrame:
+    """image_id, node, root: the least node that edges (image_id, a, b) lead to, for each node of an edge.
+
+    Each round, a node takes the least root beside it and then that root's own; what is found so far is kept, so rounds
+    do not repeat each other, and there are about as many as the logarithm of the longest way.
+    """
+    both = kept(edges.select("image_id", "a", "b").unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = kept(both.groupBy("image_id", F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")))
+    while True:
+        of = roots.select("image_id", F.col("node").alias("b"), F.col("root").alias("other"))
+        near = both.join(of, ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        taken = roots.join(near, ["image_id", "node"]).select("image_id", "node", "root", F.least("root", "other").alias("new"))
+        jump = taken.groupBy("image_id", F.col("node").alias("new")).agg(F.min("new").alias("further"))
+        moved = kept(taken.join(jump, ["image_id", "new"], "left").select("image_id", "node", "root", F.least("new", F.coalesce("further", "new")).alias("new")))
+        if moved.where("new <> root").isEmpty():
+            return roots
+        roots = moved.select("image_id", "node", F.col("new").alias("root"))
+
+
+def tiled_regions(pixels: DataFrame, tile: int = 1024) -> DataFrame:
+    """regions() over eight neighbours of images that no task could hold: labelled by square tiles, then joined across their borders.
+
+    A task holds one tile. Only pixels at borders of tiles meet those beyond, and only labels that do take part in the
+    rounds of joined().
+    """
+    on = pixels.where(F.col("v") > 0).select("image_id", "y", "x", "v").withColumn("__t", F.struct("image_id", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")))
+    named = on.select(F.to_json("__t").alias("image_id"), "y", "x", "v")
+    own = kept(regions(named).withColumn("__t", F.from_json("image_id", "image_id string, ty bigint, tx bigint")).select("__t.image_id", "y", "x", "root"))
+    rim = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
+    edge = own.where(rim("y") | rim("x"))
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    beyond = edge.select("image_id", F.col("root").alias("b"), "y", "x", steps.alias("s")).select("image_id", "b", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    met = edge.join(beyond, ["image_id", "y", "x"]).select("image_id", F.col("root").alias("a"), "b").where("a <> b").distinct()
+    roots = joined(met).select("image_id", F.col("node").alias("root"), F.col("root").alias("__least"))
+    return own.join(roots, ["image_id", "root"], "left").select("image_id", "y", "x", F.coalesce("__least", "root").alias("root"))
+
+
 OUTLINES = "image_id string, contour_id bigint, parent_contour_id bigint, contour array<struct<x:int,y:int>>, width int, height int"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rasters
+from ..functions.durable import kept as _kept
 from ..operators import analyses, calibration, contours, raster, surfaces
 from ..options import Options
 from ..sources import images, metadata, metrics
@@ -19,17 +19,6 @@ COLUMNS = ("image_id", "contour_id", "parent_contour_id", "contour", "width", "h
 CONTOURS = raster.OUTLINES + ", " + ", ".join(f"{c} double" for c in raster.TEXTURE) + ", dpi double, error string, messages array<string>"
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder (on one machine without one, as in tests, in a temporary one)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flintframe-"))
-    return df.checkpoint(eager=True)
-
-
 def _said(dpi: float | None, found: int, options: Options) -> list[str]:
     """What there is to say of an image that was read."""
     scaling, out = options.dpi, []

@@ -270,6 +270,7 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "r11_rasterize": ("vert", lambda v: spatial.span_areas(spatial.spans(_polygons(v))).drop("sy"), f"{_FILL}SELECT image_id, contour_id, count(*) AS pixels, sum(x)::BIGINT AS sx FROM fill GROUP BY 1, 2"),
     "r11_overlaps": ("vert", lambda v: spatial.span_overlaps(spatial.spans(_polygons(v))), f"{_FILL}SELECT p.image_id, p.contour_id AS a, q.contour_id AS b, count(*) AS pixels FROM fill p JOIN fill q ON p.image_id = q.image_id AND p.x = q.x AND p.y = q.y AND p.contour_id < q.contour_id GROUP BY 1, 2, 3"),
     "r12_regions": ("px", lambda p: raster.regions(raster.threshold(p, 150)).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), f"{_PIECES}SELECT image_id, root, area FROM piece"),
+    "r12_regions_tiled": ("sheet", lambda p: raster.tiled_regions(raster.threshold(p, 150), 16).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("area")), _PIECES.replace("FROM px", "FROM sheet") + "SELECT image_id, root, area FROM piece"),
     "c01_region_tree": ("px", lambda p: raster.region_tree(raster.threshold(p, 127)), _TREE + "SELECT image_id, root, hole, area, min_x, max_x, min_y, max_y, CASE WHEN parent_root > 0 THEN parent_root END AS parent_root FROM tr"),
     "c01_nesting": ("px", lambda p: raster.outlines(raster.threshold(p, 127)).select("image_id", "contour_id", "parent_contour_id"), _TREE + """, nr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY root) - 1 AS contour_id FROM tr)
   SELECT a.image_id, a.contour_id, b.contour_id AS parent_contour_id FROM nr a LEFT JOIN nr b ON a.image_id = b.image_id AND a.parent_root = b.root"""),

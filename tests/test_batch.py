@@ -194,3 +194,26 @@ def test_batch_options(spark, tmp_path):
     rows, _ = batch.run(spark, str(tmp_path), meta, options=off)
     got = rows.collect()
     assert {r.surface_type for r in got} == {"Unclassified"} and all(r.scar_complexity is None and not r.is_cortex for r in got)
+
+
+def test_regions_by_tiles(spark):
+    rnd = np.random.default_rng(11)
+    h, w = 40, 50
+    snake = np.zeros((h, w), int)  # one component that crosses every tile, and a hook back into a tile
+    snake[::4] = 1
+    snake[:, 0][2::8] = snake[:, -1][0:0] = 1
+    for k in range(0, h - 4, 4):
+        snake[k : k + 5, (0 if k % 8 else w - 1)] = 1
+    spots = (rnd.random((h, w)) < 0.45).astype(int)
+    corners = np.zeros((h, w), int)
+    for k in range(min(h, w)):
+        corners[k, k] = 1  # diagonal: tiles touch at corners only
+    for k in range(h):
+        corners[k, w - 1 - k] = 1
+    rows = [(name, y, x, int(a[y, x])) for name, a in (("snake", snake), ("spots", spots), ("corners", corners), ("none", corners * 0)) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, v int").cache()
+    want = {(r.image_id, r.y, r.x): r.root for r in raster.regions(px).collect()}
+    for tile in (7, 64):
+        assert {(r.image_id, r.y, r.x): r.root for r in raster.tiled_regions(px, tile).collect()} == want
+    assert len({root for (i, _, _), root in want.items() if i == "corners"}) == 1
+    assert raster.tiled_regions(px.where("image_id = 'none'"), 7).count() == 0
