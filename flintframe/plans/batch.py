@@ -90,8 +90,8 @@ def run(spark: SparkSession, folder: str, meta: DataFrame, bars: DataFrame | Non
     meta = meta.withColumn("__place", F.monotonically_increasing_id())
     places = meta.groupBy("image_id").agg(F.min("__place").alias("position"))
     meta = meta.drop("__place")
-    files = images.read_images(spark, folder)
-    at = metadata.resolve_images(meta, metadata.list_images(spark, folder)).select("image_id", "path")
+    at = _kept(metadata.resolve_images(meta, metadata.list_images(spark, folder)).select("image_id", "path"))
+    files = images.read_named(spark, at)
     found = find_contours(files.join(at, "path"), options)
     if counters is not None:
         mark = F.col("contour_id").isNull()

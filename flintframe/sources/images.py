@@ -6,6 +6,7 @@ are reported with their reason.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -210,5 +211,21 @@ def grey_of(px: np.ndarray) -> np.ndarray:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content and dpi of each file, a row an image."""
-    return spark.read.format("binaryFile").load(folder).select("path", "content", dpi(F.col("content")).alias("dpi"))
+    """path, content and dpi of each file of a folder, a row an image."""
+    return _with_dpi(spark.read.format("binaryFile").load(folder))
+
+
+def read_named(spark: SparkSession, named: DataFrame) -> DataFrame:
+    """path, content and dpi of the files that are named (path); no other file of their folder is opened.
+
+    The names go to the driver, as those of all files that Spark reads do.
+    """
+    paths = [r["path"] for r in named.select("path").where("path is not null").distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary, dpi int")
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]  # names are no patterns
+    return _with_dpi(spark.read.format("binaryFile").load(plain))
+
+
+def _with_dpi(files: DataFrame) -> DataFrame:
+    return files.select("path", "content", dpi(F.col("content")).alias("dpi"))

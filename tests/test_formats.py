@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flintframe.plans import batch, scans
-from flintframe.sources import images, jpeg, tiff
+from flintframe.sources import images, jpeg, metadata, tiff
 
-from .test_sources import drawing
+from .test_sources import drawing, png
 
 
 def lit(block):
@@ -167,3 +167,14 @@ def test_run_over_jpeg_and_tiff(spark, tmp_path):
     assert (got["one"].dpi, got["two"].dpi, got["three"].dpi) == (300, 300, None) and "progressive" in got["three"].reason
     by = {k: sorted(str(r[1:]) for r in rows.where(F.col("image_id") == k).collect()) for k in ("one", "two")}
     assert by["one"] == by["two"] != []
+
+
+def test_only_named_files_are_read(spark, tmp_path):
+    names = ["a.png", "b [1].png", "c{x}*.png", "not named.png"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(png(drawing(), 100 * (k + 1)))
+    listed = metadata.list_images(spark, str(tmp_path))
+    named = listed.where("name <> 'not named.png'").unionByName(listed.limit(1).withColumn("path", F.lit(None).cast("string")))
+    got = images.read_named(spark, named)
+    assert sorted(r.dpi for r in got.select("dpi").collect()) == [100, 200, 300] and len(got.inputFiles()) == 3
+    assert images.read_named(spark, named.limit(0)).count() == 0 == images.read_named(spark, named.where("path is null")).count()
