@@ -239,28 +239,44 @@ def textures(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
     return left.cogroup(apart.groupBy("image_id")).applyInPandas(run, "image_id string, contour_id bigint, " + ", ".join(f"{c} double" for c in TEXTURE))
 
 
+def _tree(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[pa.Array | np.ndarray, ...]:
+    """root, hole, area, least and greatest x and y, and parent's root of the regions of an image in a frame of one pixel."""
+    y0, x0 = int(y.min()), int(x.min())
+    on = np.zeros((y.max() - y0 + 3, x.max() - x0 + 3), bool)
+    on[y - y0 + 1, x - x0 + 1] = v > 0
+    wide, made = on.shape[1], []
+    both = rasters.labels(on, True), rasters.labels(~on, False)
+    code = lambda flat: (flat // wide + y0).astype(np.int64) * (1 << 32) + flat % wide + x0
+    first = [rasters._first(own) for own in both]
+    frame = both[1][0, 0]
+    for k, (own, other) in enumerate((both, both[::-1])):
+        r, c = np.nonzero(own)
+        n, label = len(first[k]), own[r, c] - 1
+        ends = [np.full(n, wide * len(on)), np.full(n, -1), np.full(n, wide * len(on)), np.full(n, -1)]
+        for out, f, at in zip(ends, (np.minimum, np.maximum) * 2, (c, c, r, r), strict=True):
+            f.at(out, label, at)
+        stays = np.arange(n) != frame - 1 if k else np.ones(n, bool)
+        around = other.ravel()[first[k][stays] - 1]
+        outer = around == frame if k == 0 else np.zeros(len(around), bool)
+        up = pa.array(code(first[1 - k][around - 1]), mask=outer)
+        less = lambda values, low: (values[stays] + low - 1).astype(np.int32)  # noqa: B023, E731
+        made.append((code(first[k][stays]), np.full(stays.sum(), bool(k)), np.bincount(label, minlength=n)[stays], less(ends[0], x0), less(ends[1], x0), less(ends[2], y0), less(ends[3], y0), up))
+    return tuple(pa.concat_arrays([pa.array(p), pa.array(q)]) for p, q in zip(*made, strict=True))
+
+
 def region_tree(pixels: DataFrame) -> DataFrame:
     """Nested regions of a binary image: image_id, root, hole, area, bounding box, parent_root.
 
     Foreground regions join over eight neighbours, background over four; the frame's background has no row. What lies
-    to the left of a region's first pixel is the region around it, so nesting is one join.
+    to the left of a region's first pixel is the region around it. Places without a row are background.
     """
-    y, x = F.col("y"), F.col("x")
-    ends = pixels.groupBy("image_id").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.min("x").alias("c"), F.max("x").alias("d"))
-    rim = ends.select("image_id", F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("y"), F.col("a"), "b", "c", "d").select("image_id", "y", F.explode(F.sequence(F.col("c") - 1, F.col("d") + 1)).alias("x"), "a", "b", "c", "d")
-    rim = rim.where((y < F.col("a")) | (y > F.col("b")) | (x < F.col("c")) | (x > F.col("d"))).select("image_id", "y", "x", F.lit(0).alias("v"))
-    framed = pixels.select("image_id", (y + 0).cast("int").alias("y"), x.cast("int").alias("x"), F.col("v").cast("int").alias("v")).unionByName(rim)
-    shifted = framed.withColumn("y", y + 1).withColumn("x", x + 1)  # the frame's ring must not be negative
-    fore = regions(shifted, True).withColumn("hole", F.lit(False))
-    back = regions(shifted.withColumn("v", F.when(F.col("v") > 0, 0).otherwise(1)), False).withColumn("hole", F.lit(True))
-    every = fore.unionByName(back)
-    first = every.groupBy("image_id", "root", "hole").agg(F.count(F.lit(1)).alias("area"), F.min(F.struct("y", "x")).alias("p"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-    around = every.select(F.col("image_id").alias("__of"), F.col("y").alias("ay"), (F.col("x") + 1).alias("ax"), F.col("root").alias("parent_root"), F.col("hole").alias("__h"))
-    held = first.join(around, (F.col("image_id") == F.col("__of")) & (F.col("p.y") == F.col("ay")) & (F.col("p.x") == F.col("ax")) & (F.col("hole") != F.col("__h")), "left").drop("__of")
-    frame = held.where(F.col("hole") & F.col("parent_root").isNull()).select("image_id", F.col("root").alias("parent_root"), F.lit(True).alias("__frame"))
-    tree = held.where(F.col("parent_root").isNotNull()).join(frame, ["image_id", "parent_root"], "left")
-    less = lambda c: (F.col(c) - 1).alias(c)
-    return tree.select("image_id", "root", "hole", "area", less("min_x"), less("max_x"), less("min_y"), less("max_y"), F.when(F.col("__frame").isNull(), F.col("parent_root")).alias("parent_root"))
+    kinds = {"root": "bigint", "hole": "boolean", "area": "bigint", "min_x": "int", "max_x": "int", "min_y": "int", "max_y": "int", "parent_root": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _apart(((i, _tree(y, x, v)) for i, y, x, v in _read(batches)), tuple(kinds))
+
+    made = _gathered(pixels).mapInArrow(run, "image_id string, " + ", ".join(f"{c} array<{t}>" for c, t in kinds.items()))
+    return made.select("image_id", F.inline(F.arrays_zip(*kinds)))
 
 
 def stippling(pixels: DataFrame, mask_pixels: Column | None = None, most: int = 50) -> DataFrame:
