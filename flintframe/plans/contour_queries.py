@@ -189,6 +189,42 @@ k AS (SELECT *, CASE way WHEN 1 THEN x0 + f * (x1 - x0) ELSE x1 + f * (x2 - x1)
 SELECT image_id, contour_id, round(CASE way WHEN 1 THEN greatest(abs((x1 - u) * (y2 - v) - (y1 - v) * (x2 - u)), abs((x3 - u) * (y0 - v) - (y3 - v) * (x0 - u))) / 2
   WHEN 2 THEN greatest(abs((x2 - u) * (y3 - v) - (y2 - v) * (x3 - u)), abs((x0 - u) * (y1 - v) - (y0 - v) * (x1 - u))) / 2
   ELSE abs((x2 - x0) * (y3 - y1) - (x3 - x1) * (y2 - y0)) / 2 END, 4) AS area FROM k"""
+
+
+def _hulls(source: str, key: str, name: str) -> str:
+    """Corners (by key: ax, ay, with the next corner bx, b_y) of the hulls of points (key, x, y)."""
+    keys = [f"{c}" for c in key.split(", ")]
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    return f""", {name}d AS (SELECT DISTINCT {key}, x, y FROM {source}), {name}p AS (SELECT {', '.join('a.' + c for c in keys)}, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM {name}d a JOIN {name}d b ON {same('a', 'b')} AND (a.x <> b.x OR a.y <> b.y)),
+{name}o AS (SELECT {', '.join('p.' + c for c in keys)}, ax, ay, bx, b_y FROM {name}p p JOIN {name}d d ON {same('p', 'd')} GROUP BY ALL HAVING min((bx - ax)::BIGINT * (d.y - ay) - (b_y - ay)::BIGINT * (d.x - ax)) >= 0),
+{name}f AS (SELECT * FROM {name}o QUALIFY row_number() OVER (PARTITION BY {key}, ax, ay ORDER BY (bx - ax)::BIGINT ** 2 + (b_y - ay)::BIGINT ** 2 DESC) = 1),
+{name} AS (SELECT f.* FROM {name}f f WHERE NOT EXISTS (SELECT 1 FROM {name}f g WHERE {same('g', 'f')} AND (g.bx - g.ax)::BIGINT * (f.b_y - f.ay) - (g.b_y - g.ay)::BIGINT * (f.bx - f.ax) = 0 AND (g.bx - g.ax)::BIGINT * (f.ay - g.ay) - (g.b_y - g.ay)::BIGINT * (f.ax - g.ax) = 0
+  AND (g.bx - g.ax)::BIGINT * (f.bx - f.ax) + (g.b_y - g.ay)::BIGINT * (f.b_y - f.ay) > 0 AND (g.bx - g.ax)::BIGINT ** 2 + (g.b_y - g.ay)::BIGINT ** 2 > (f.bx - f.ax)::BIGINT ** 2 + (f.b_y - f.ay)::BIGINT ** 2))"""
+
+
+def _rings(source: str, key: str, name: str) -> str:
+    """Area by key of rings of points (key, i, x, y)."""
+    return f""", {name}n AS (SELECT {key}, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+{name} AS (SELECT {key}, abs(sum(x::DOUBLE * y2 - x2::DOUBLE * y)) / 2 AS a FROM {name}n GROUP BY {key})"""
+
+
+#: The two deepest dents of an outline, what they cut off, and its tip.
+_ARROWS = _hulls("vert", "contour_id", "hc") + _rings("vert", "contour_id", "ra") + """, ha AS (SELECT contour_id, abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2 AS h FROM hc GROUP BY 1),
+mk AS (SELECT contour_id, i, x, y, lead(i) OVER w AS j, first_value(i) OVER (PARTITION BY contour_id ORDER BY i) AS j0 FROM vert WHERE (contour_id, x, y) IN (SELECT contour_id, ax, ay FROM hc) WINDOW w AS (PARTITION BY contour_id ORDER BY i)),
+sd AS (SELECT m.contour_id, m.i, coalesce(m.j, m.j0) AS j, m.j IS NULL AS last, m.x AS ax, m.y AS ay, v.x AS bx, v.y AS b_y, sqrt((v.x - m.x)::DOUBLE ** 2 + (v.y - m.y)::DOUBLE ** 2) AS len FROM mk m JOIN vert v ON v.contour_id = m.contour_id AND v.i = coalesce(m.j, m.j0)),
+dp AS (SELECT s.contour_id, s.i, v.i AS spot, floor(abs((bx - ax)::DOUBLE * (v.y - ay) - (b_y - ay)::DOUBLE * (v.x - ax)) / len * 256) / 256 AS depth FROM sd s JOIN vert v ON v.contour_id = s.contour_id AND (CASE WHEN last THEN v.i > s.i OR v.i < s.j ELSE v.i > s.i AND v.i < s.j END) WHERE len > 0),
+df AS (SELECT contour_id, depth, spot FROM dp QUALIFY row_number() OVER (PARTITION BY contour_id, i ORDER BY depth DESC, spot) = 1),
+dd AS (SELECT contour_id, spot, row_number() OVER (PARTITION BY contour_id ORDER BY depth DESC, spot) AS r FROM df WHERE depth > 2),
+bs AS (SELECT a.contour_id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y, floor((p.x + q.x) / 2)::BIGINT AS mx, floor((p.y + q.y) / 2)::BIGINT AS my FROM dd a JOIN dd b ON a.contour_id = b.contour_id AND a.r = 1 AND b.r = 2 JOIN vert p ON p.contour_id = a.contour_id AND p.i = a.spot JOIN vert q ON q.contour_id = b.contour_id AND q.i = b.spot
+  JOIN ra ON ra.contour_id = a.contour_id JOIN ha ON ha.contour_id = a.contour_id WHERE h > 0 AND a >= 1 AND least(1, a / h) BETWEEN 0.4 AND 1.0),
+pt AS (SELECT v.contour_id, ((v.x - mx) * (ay - b_y) + (v.y - my) * (bx - ax) <= 0)::INTEGER AS part, v.i, v.x, v.y FROM vert v JOIN bs USING (contour_id)),
+ok AS (SELECT contour_id FROM (SELECT contour_id, part, count(*) AS n FROM pt GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2 AND min(n) >= 5)
+""" + _hulls("pt", "contour_id, part", "hp") + _rings("pt", "contour_id, part", "rp") + """,
+so AS (SELECT rp.contour_id, rp.part, coalesce(least(1, rp.a / nullif(abs(sum(ax::DOUBLE * b_y - bx::DOUBLE * ay)) / 2, 0)), 0) AS s FROM rp LEFT JOIN hp ON rp.contour_id = hp.contour_id AND rp.part = hp.part GROUP BY rp.contour_id, rp.part, rp.a),
+wh AS (SELECT contour_id, CASE WHEN max(s) FILTER (part = 0) > max(s) FILTER (part = 1) THEN 1 ELSE 0 END AS part FROM so GROUP BY 1),
+tp AS (SELECT pt.contour_id, pt.x AS tx, pt.y AS ty FROM pt JOIN wh USING (contour_id, part) JOIN bs USING (contour_id) QUALIFY row_number() OVER (PARTITION BY pt.contour_id ORDER BY (pt.x - mx) ** 2 + (pt.y - my) ** 2 DESC, pt.i) = 1),
+an AS (SELECT contour_id, sqrt((bx - ax)::DOUBLE ** 2 + (b_y - ay)::DOUBLE ** 2) AS base, sqrt((tx - mx)::DOUBLE ** 2 + (ty - my)::DOUBLE ** 2) AS height, degrees(atan2((my - ty)::DOUBLE, (mx - tx)::DOUBLE)) AS t FROM tp JOIN bs USING (contour_id) JOIN ok USING (contour_id))
+SELECT v.image_id, v.contour_id, an.contour_id IS NOT NULL AS has_arrow, round(base, 4) AS triangle_base_length, round(height, 4) AS triangle_height, round_even(round((270 + CASE WHEN t < 0 THEN t + 360 ELSE t END) % 360, 1), 0) AS arrow_angle FROM (SELECT DISTINCT image_id, contour_id FROM vert) v LEFT JOIN an ON an.contour_id = v.contour_id AND height >= 8"""
 #: Cells in the largest outline of an image, which is a fan of triangles around its middle: each triangle's part is the convex set of all
 #: half-planes of the triangle and the site, and parts of following triangles belong together where something of the ray between them is left.
 _PIECES_OF_CELLS = f""", {_NEXT}, big AS (SELECT image_id, contour_id FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY abs(a) DESC, contour_id) = 1),
@@ -307,7 +343,7 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), _CELLS + _TOUCHING),
     "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
     "a01_thresholds": ("px", lambda p: _numbers(p).select("k", arrows.thresholds(F.col("k") * F.lit(5.3)).alias("t")).select("k", "t.*"), ", n AS (SELECT DISTINCT replace(image_id, 'img-', '')::INTEGER AS k FROM px), s AS (SELECT k, CASE WHEN k > 0 THEN k * 5.3::DOUBLE / 300 END AS s FROM n) SELECT k, round(coalesce(s * s * 0.7, 1.0), 4) AS min_area, round(coalesce(2 * s * 0.8, 2.0), 4) AS min_depth, round(coalesce(8 * s * 0.8, 8.0), 4) AS min_height FROM s"),
-    "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), None),
+    "a08_arrows": ("vert", lambda v: arrows.detect(_polygons(v)).select("image_id", "contour_id", "has_arrow", "triangle_base_length", "triangle_height", "arrow_angle"), _ARROWS),
     "a14_assignment": ("vert", lambda v: spatial.assign_arrows(_sites(v).select("image_id", F.col("site_id").alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")), _polygons(v)), f""", {_NEXT}, si AS (SELECT image_id, contour_id AS point_id, floor(mx / (6 * a))::INTEGER AS qx, floor(my / (6 * a))::INTEGER AS qy FROM m),
   hit AS (SELECT si.image_id, point_id, e.contour_id, sum(CASE WHEN (e.y > qy) <> (e.y2 > qy) AND qx < (e.x2 - e.x)::DOUBLE * (qy - e.y) / nullif(e.y2 - e.y, 0)::DOUBLE + e.x THEN 1 ELSE 0 END) % 2 = 1 OR bool_or((e.x2 - e.x)::DOUBLE * (qy - e.y) - (e.y2 - e.y)::DOUBLE * (qx - e.x) = 0 AND qx BETWEEN least(e.x, e.x2) AND greatest(e.x, e.x2) AND qy BETWEEN least(e.y, e.y2) AND greatest(e.y, e.y2)) AS inside FROM si JOIN e USING (image_id) GROUP BY 1, 2, 3),
   best AS (SELECT hit.image_id, point_id, hit.contour_id FROM hit JOIN m ON hit.contour_id = m.contour_id WHERE inside QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY abs(a), hit.contour_id) = 1)
