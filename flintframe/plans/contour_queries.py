@@ -339,6 +339,10 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "y01_symmetry": ("vert", lambda v: _polygons(v).withColumn("c", G.centroid(F.col("contour"))).select("image_id", "contour_id", G.halves(F.col("contour"), F.col("c.x"), F.col("c.y")).alias("h")).select("image_id", "contour_id", "h.*").withColumns(analyses.even_sides()),
         _FILL + """, ct AS (SELECT image_id, contour_id, trunc(mx / (6 * a))::INTEGER AS cx, trunc(my / (6 * a))::INTEGER AS cy FROM m), hv AS (SELECT image_id, contour_id, count(*) FILTER (y < cy) AS top_area, count(*) FILTER (y >= cy) AS bottom_area, count(*) FILTER (x < cx) AS left_area, count(*) FILTER (x >= cx) AS right_area FROM fill JOIN ct USING (image_id, contour_id) GROUP BY 1, 2)
   SELECT *, round(1 - abs(top_area - bottom_area)::DOUBLE / nullif(top_area + bottom_area, 0), 2) AS vertical_symmetry, round(1 - abs(left_area - right_area)::DOUBLE / nullif(left_area + right_area, 0), 2) AS horizontal_symmetry FROM hv"""),
+    "j00_complexity": ("vert", lambda v: analyses.complexity(_scene(v)[1]).select("image_id", "contour_id", "scar_complexity"), None),
+    "y00_dorsal_symmetry": ("vert", lambda v: analyses.symmetry(_scene(v)[0]).select("image_id", "contour_id", "top_area", "bottom_area", "left_area", "right_area", "vertical_symmetry", "horizontal_symmetry"), None),
+    "l00_lateral": ("vert", lambda v: analyses.lateral(_scene(v)[0]).select("image_id", "contour_id", "lateral_convexity", "distance_to_max_width"), None),
+    "v00_dorsal_cells": ("vert", lambda v: _scene_cells(v), None),
     # the same by joins of runs of pixels and sites
     "v03_cells_all": ("vert", lambda v: spatial.cell_summary(spatial.cells(_mask(v), _sites(v))), _CELLS + _TOUCHING),
     "v04_num_cells_all": ("vert", lambda v: spatial.cells(_mask(v), _sites(v)).groupBy("image_id").agg(F.countDistinct("site_id").alias("voronoi_num_cells")), f"{_CELLS}SELECT image_id, count(DISTINCT site_id) AS voronoi_num_cells FROM lb GROUP BY 1"),
@@ -351,6 +355,30 @@ FOUND: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
 }
 
 
+#: Places by area of the contours of an image, after e and m.
+_RANKS = "rk AS (SELECT image_id, contour_id, row_number() OVER (PARTITION BY image_id ORDER BY round(abs(a), 2) DESC, contour_id) AS r FROM m)"
+
+
+def _with(name: str, sql: str) -> None:
+    source, make, _ = FOUND[name]
+    FOUND[name] = (source, make, sql)
+
+
+_near = FOUND["j02_adjacency"][2]
+_near = _near[: _near.rindex("SELECT m.image_id")].replace("FROM m a JOIN m b", "FROM sc a JOIN sc b").replace(", pp AS", f", {_RANKS}, sc AS (SELECT m.* FROM m JOIN rk USING (image_id, contour_id) WHERE r > 2 AND contour_id % 5 <> 0), pp AS", 1)
+_with("j00_complexity", _near + "SELECT image_id, contour_id, CASE WHEN contour_id % 5 <> 0 THEN (SELECT count(*) FROM u WHERE u.contour_id = rk.contour_id)::INTEGER END AS scar_complexity FROM rk WHERE r > 2")
+_even = FOUND["y01_symmetry"][2]
+_with("y00_dorsal_symmetry", _even[: _even.rindex("SELECT *, round")] + f""", {_RANKS} SELECT rk.image_id, rk.contour_id, top_area, bottom_area, left_area, right_area, round(1 - abs(top_area - bottom_area)::DOUBLE / nullif(top_area + bottom_area, 0), 2) AS vertical_symmetry,
+  round(1 - abs(left_area - right_area)::DOUBLE / nullif(left_area + right_area, 0), 2) AS horizontal_symmetry FROM rk LEFT JOIN hv ON rk.image_id = hv.image_id AND rk.contour_id = hv.contour_id AND r = 1 WHERE r <= 2""")
+_far = FOUND["l02_distance"][2]
+_with("l00_lateral", _HULL + ", " + _NEXT + ", " + _RANKS + _far.replace(", pr AS", ", ap AS").replace("FROM pr QUALIFY", "FROM ap QUALIFY").replace("SELECT image_id, contour_id, round(sqrt(((ax", ", li AS (SELECT image_id, contour_id, round(sqrt(((ax").replace(", 4) AS d FROM", ", 2) AS d FROM")
+    + ") SELECT rk.image_id, rk.contour_id, CASE WHEN r = 2 THEN round(least(1, abs(a) / h), 2) END AS lateral_convexity, CASE WHEN r = 2 THEN d END AS distance_to_max_width FROM rk JOIN m USING (image_id, contour_id) JOIN hull ON hull.contour_id = rk.contour_id JOIN li ON li.contour_id = rk.contour_id WHERE r <= 2")
+_with("v00_dorsal_cells", _PIECES_OF_CELLS[: _PIECES_OF_CELLS.rindex("SELECT image_id, site_id, round(max(area)")].replace(
+    "si AS (SELECT image_id, contour_id AS site_id, floor(mx / (6 * a)) AS sx, floor(my / (6 * a)) AS sy FROM m)", f"{_RANKS}, si AS (SELECT m.image_id, m.contour_id AS site_id, round(mx / (6 * a), 2) AS sx, round(my / (6 * a), 2) AS sy FROM m JOIN rk USING (image_id, contour_id) WHERE r <> 2)")
+    + """, ce AS (SELECT image_id, site_id, max(area) AS area FROM size GROUP BY 1, 2 HAVING max(area) > 1e-9), nc AS (SELECT image_id, count(*)::INTEGER AS n FROM ce GROUP BY 1), sw AS (SELECT image_id, round(max(sx) - min(sx), 2) AS w FROM si GROUP BY 1)
+  SELECT rk.image_id, rk.contour_id, round(area, 2) AS voronoi_cell_area, CASE WHEN r = 1 THEN n END AS voronoi_num_cells, CASE WHEN r = 1 THEN w END AS convex_hull_width FROM rk LEFT JOIN ce ON rk.image_id = ce.image_id AND rk.contour_id = ce.site_id LEFT JOIN nc ON nc.image_id = rk.image_id LEFT JOIN sw ON sw.image_id = rk.image_id""")
+
+
 def _numbers(pixels: DataFrame) -> DataFrame:
     return pixels.select(F.replace("image_id", F.lit("img-"), F.lit("")).cast("int").alias("k")).distinct()
 
@@ -370,6 +398,23 @@ def _mask(vert: DataFrame) -> DataFrame:
     return spatial.union_spans(spatial.spans(_polygons(vert)))
 
 
+def _scene(vert: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Surfaces and features of each image: by area the first contour is Dorsal and the second Lateral, the rest are scars and cortex of the first."""
+    own = contours.measures(_polygons(vert))
+    w = Window.partitionBy("image_id")
+    own = own.withColumn("__r", F.row_number().over(w.orderBy(F.col("area").desc(), "contour_id")))
+    own = own.withColumn("__up", F.max(F.when(F.col("__r") == 1, F.col("contour_id"))).over(w)).withColumn("is_cortex", (F.col("contour_id") % 5 == 0) & (F.col("__r") > 2))
+    name = F.concat(F.when(F.col("is_cortex"), "cortex ").otherwise("scar "), F.col("__r").cast("string"))
+    parents = own.where("__r <= 2").withColumn("surface_type", F.when(F.col("__r") == 1, "Dorsal").otherwise("Lateral"))
+    features = own.where("__r > 2").withColumn("surface_type", F.lit("Dorsal")).withColumn("surface_feature", name).withColumn("parent_contour_id", F.col("__up"))
+    return parents.drop("__r", "__up"), features.drop("__r", "__up")
+
+
+def _scene_cells(vert: DataFrame) -> DataFrame:
+    parents, features = analyses.cells(*_scene(vert))
+    return parents.select("image_id", "contour_id", "voronoi_cell_area", "voronoi_num_cells", "convex_hull_width").unionByName(features.select("image_id", "contour_id", "voronoi_cell_area"), allowMissingColumns=True)
+
+
 def _largest(polygons: DataFrame) -> DataFrame:
     """The outline of the greatest area of each image, as the Dorsal surface is chosen; the first of equals."""
     order = Window.partitionBy("image_id").orderBy(F.col("__area").desc(), "contour_id")
