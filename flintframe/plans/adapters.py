@@ -83,7 +83,7 @@ POINTS = {
     "spark": "(SELECT vec_id, i, e FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS i, e)",
     "duckdb": "(SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)",
 }
-TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "embeddings")
+TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "supplier", "embeddings")
 
 
 def adapt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -79,6 +79,19 @@ def analyse(level: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     return parents, features.withColumn("has_arrow", F.lit(False))
 
 
+def measured(each: DataFrame, meta: DataFrame, bars: DataFrame | None, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From what find_contours() gives: the rows of the metrics table, and the levelled contours, surfaces and calibrations behind them."""
+    level = _kept(levelled(each.where("contour_id is not null").drop("error", "messages"), options))
+    parents, features = analyse(level, options)
+    none = level.sparkSession.createDataFrame([], "image_id string, scale_pixels double, scale_confidence double")
+    scaled = calibration.calibrate(meta, none if bars is None else bars, options.scale.enabled)
+    rows = surfaces.metric_rows(parents, features)
+    rows = rows.join(scaled.select("image_id", "calibration_method", "pixels_per_mm", "scale_confidence"), "image_id", "left")
+    if not options.legacy_pixel_units:
+        rows = surfaces.to_millimetres(rows, F.col("pixels_per_mm"))
+    return rows, level, parents, scaled
+
+
 def run(spark: SparkSession, folder: str, meta: DataFrame, bars: DataFrame | None = None, options: Options | None = None, counters: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """The metrics rows, in all their columns, and a status row an image (image_id, ok, dpi, reason, messages, position).
 
@@ -98,14 +111,7 @@ def run(spark: SparkSession, folder: str, meta: DataFrame, bars: DataFrame | Non
         found = found.observe(counters, F.count_if(mark).alias("images"), F.count_if(mark & F.col("error").isNotNull()).alias("failed"), F.count_if(~mark).alias("contours"))
     each = _kept(found)
     marks = each.where("contour_id is null")
-    level = _kept(levelled(each.where("contour_id is not null").drop("error", "messages"), options))
-    parents, features = analyse(level, options)
-    none = spark.createDataFrame([], "image_id string, scale_pixels double, scale_confidence double")
-    scaled = calibration.calibrate(meta, none if bars is None else bars, options.scale.enabled)
-    rows = surfaces.metric_rows(parents, features)
-    rows = rows.join(scaled.select("image_id", "calibration_method", "pixels_per_mm", "scale_confidence"), "image_id", "left")
-    if not options.legacy_pixel_units:
-        rows = surfaces.to_millimetres(rows, F.col("pixels_per_mm"))
+    rows, level, parents, scaled = measured(each, meta, bars, options)
     bad = marks.select("image_id", F.col("error"), F.col("messages").alias("__read"))
     status = at.join(files.select("path", "dpi"), "path", "left").join(bad, "image_id", "left")
     reason = F.when(F.col("path").isNull(), "image not found").otherwise(F.col("error"))

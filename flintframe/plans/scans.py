@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,3 +114,24 @@ def tiffs(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({"path": [image_id], "content": [tiff.encode(px, order, how, tile=tile, rows=3, predictor=predictor, dpi=72 + number % 500)]})
 
     return pixels.groupBy("image_id").applyInPandas(run, "path string, content binary")
+
+
+#: One drawing a supplier: a dark rectangle (x0, y0, w, h) with a light one (hw, hh) in it.
+DRAWINGS = """
+SELECT concat('drawing-', cast(s_suppkey AS varchar(20))) AS image_id, cast(5 + s_suppkey % 4 AS integer) AS x0, cast(6 + s_suppkey % 5 AS integer) AS y0, cast(40 + s_suppkey % 30 AS integer) AS w,
+  cast(50 + s_suppkey % 23 AS integer) AS h, cast(10 + s_suppkey % 7 AS integer) AS hw, cast(9 + s_suppkey % 11 AS integer) AS hh, cast(1 + s_suppkey % 3 AS integer) AS bar FROM {supplier}"""
+
+
+def drawings(shapes: DataFrame) -> DataFrame:
+    """image_id, content and dpi of a TIFF of each drawing."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for d in b.itertuples():
+                px = np.full((100, 100, 1), 240, np.uint8)
+                px[d.y0 : d.y0 + d.h, d.x0 : d.x0 + d.w] = 20
+                px[d.y0 + 9 : d.y0 + 9 + d.hh, d.x0 + 8 : d.x0 + 8 + d.hw] = 240
+                made.append(tiff.encode(px, how=tiff.PACKBITS, dpi=300))
+            yield pd.DataFrame({"image_id": b["image_id"], "content": made, "dpi": 300.0})
+
+    return shapes.mapInPandas(run, "image_id string, content binary, dpi double")
