@@ -68,6 +68,12 @@ def test_the_larger_piece_is_the_cell():
     assert low == (800.0, 1) and high == (100.0, 1)
     beside = planar.cells(comb, [(25, 5), (24.9, 35), (25.1, 35)])
     assert [n for _, n in beside[1:]] == [1, 1]  # both have an arm of their own and share no border with each other
+    for turn in (1, -1):  # arms that meet in a corner on the line are apart, and so are those beside a side on it
+        notched = [(0, 0), (40, 0), (40, 40), (20, 20), (6, 40), (0, 40)][::turn]
+        assert planar.cells(notched, [(20, 10), (20, 30)])[1] == (260.0, 1)
+        flat = [(0, 0), (40, 0), (40, 40), (30, 20), (15, 20), (0, 40)][::turn]
+        assert planar.cells(flat, [(20, 10), (20, 30)])[1] == (150.0, 1)
+        assert [a for a, _ in planar.cells([(0, 0), (40, 0), (40, 20), (0, 20)][::turn], [(20, 10), (20, 30)])] == [800.0, 0.0]
     assert planar.cells(BOX, [(5, 5)]) == [(100.0, 0)] and planar.cells(BOX, [(5, 5), (5, 5)]) == [(100.0, 0), (0.0, 0)]
     assert planar.cells(BOX, [(5, 5), (500, 5)])[1] == (0.0, 0) and planar.cells(BOX, []) == []
 
