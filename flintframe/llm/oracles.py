@@ -80,12 +80,13 @@ word_ref AS (SELECT t.lang, c.word, coalesce(n, 0) / t.words AS q FROM totals t
 class_d AS (SELECT k, r.lang, sqrt(greatest(0, sum({half}) / 2)) AS d FROM (SELECT k, r.lang, cs[j]::DOUBLE / chars AS p, q FROM base, class_ref r WHERE chars >= {q.LEAST_CHARS}) r GROUP BY k, r.lang),
 pq AS (SELECT b.k, r.lang, coalesce(own.n, 0) / b.n_words::DOUBLE AS p, r.q FROM base b CROSS JOIN word_ref r LEFT JOIN own ON own.k = b.k AND own.word = r.word WHERE b.n_words >= {q.LEAST_WORDS}),
 word_d AS (SELECT k, lang, sqrt(greatest(0, sum({half}) / 2)) AS d FROM (SELECT * FROM pq UNION ALL SELECT k, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pq GROUP BY k, lang) GROUP BY k, lang),
-best AS (SELECT b.k, arg_min(c.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS c, arg_min(w.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS w
-  FROM base b CROSS JOIN totals t LEFT JOIN class_d c ON c.k = b.k AND c.lang = t.lang LEFT JOIN word_d w ON w.k = b.k AND w.lang = t.lang WHERE b.lang IS NULL OR b.lang IN (SELECT lang FROM totals) GROUP BY b.k),
+silent AS (SELECT lang, sqrt(greatest(0, sum({half}) / 2)) AS d FROM (SELECT lang, 0.0 AS p, q FROM word_ref UNION ALL SELECT lang, 1.0, greatest(0, 1 - sum(q)) FROM word_ref GROUP BY lang) GROUP BY lang),
+best AS (SELECT b.k, arg_min(c.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS c, arg_min(w.d <= {q.MOST_WORD_SHARE} * s.d, (coalesce(c.d, 0) + coalesce(w.d, 0), t.lang)) AS w
+  FROM base b CROSS JOIN totals t LEFT JOIN silent s ON s.lang = t.lang LEFT JOIN class_d c ON c.k = b.k AND c.lang = t.lang LEFT JOIN word_d w ON w.k = b.k AND w.lang = t.lang WHERE b.lang IS NULL OR b.lang IN (SELECT lang FROM totals) GROUP BY b.k),
 rows AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(reps.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(reps.n, 0) > 20 * n_words AS base_failed, best.c, best.w
   FROM base LEFT JOIN reps USING (k) LEFT JOIN best USING (k))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(c <= {q.MOST_CLASS_DISTANCE}, true) AND coalesce(w <= {q.MOST_WORD_DISTANCE}, true) AS kept FROM rows"""
+  NOT base_failed AND coalesce(c <= {q.MOST_CLASS_DISTANCE}, true) AND coalesce(w, true) AS kept FROM rows"""
 
 
 def contamination() -> str:

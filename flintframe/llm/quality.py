@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ COMMON, LEAST_SHARE, LONGEST, LEAST_DOCS = 12, 0.05, 12, 20
 CLASSES = [("lower", "[a-z]+"), ("space", WHITESPACE), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"), ("punct", "[\\x21-\\x7E]+"), ("letter", "\\p{L}+")]
 WINDOW = 5
 LEAST_CHARS, LEAST_WORDS = 200, 60
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.35, 0.55
+#: Limits: of the class distance, and of the word distance as a share of that of a text without any common word.
+MOST_CLASS_DISTANCE, MOST_WORD_SHARE = 0.35, 0.93
 
 
 def repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -117,6 +120,13 @@ def word_distance(bins: Column, counts: Column, said: Column, ref: list[float])
     return F.sqrt(F.greatest(F.lit(0.0), sums))
 
 
+def silent_distance(ref: list[float]) -> float:
+    """word_distance() of a text that has none of the common words: what is left of a language where only its letters are."""
+    rest = ref[-1]
+    m = (1 + rest) / 2
+    return math.sqrt(max(0.0, (1 - rest) / 2 + (-math.log2(m) + (rest * math.log2(rest / m) if rest > 0 else 0.0)) / 2))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the text, with base counts, base_failed, ref_lang, class_distance, word_distance and kept.
 
@@ -127,8 +137,10 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     documents or more; its common words are learned from them too. A document goes by the language whose two
     Jensen-Shannon distances (0 to 1) have the smallest sum (of equal sums the first language). Distances are null,
     and not judged, for texts with fewer than LEAST_CHARS characters (classes) or LEAST_WORDS words (words), and for
-    documents of a language that has no reference. kept is false if base_failed or a distance is over its limit. A
-    null lang is judged, but no reference. Rows repeat as they come; an empty table stays empty; input columns with
+    documents of a language that has no reference. kept is false if base_failed or a distance is over its limit:
+    MOST_CLASS_DISTANCE, and for words MOST_WORD_SHARE of the distance that a text without common words has from the
+    same reference (a fixed limit would be above or below it as the language has few or many such words). A null lang
+    is judged, but no reference. Rows repeat as they come; an empty table stays empty; input columns with
     the names of the new ones are replaced.
     """
     common = common_words(docs, text_col, lang_col)
@@ -142,17 +154,17 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         F.struct(
             F.when(chars >= LEAST_CHARS, class_distance(F.col("__c"), c)).alias("c"),
             F.when(F.col("n_words") >= LEAST_WORDS, word_distance(F.col("__b"), F.col("__n"), F.col("n_words"), w)).alias("w"),
-            F.lit(lang).alias("lang"),
+            F.lit(lang).alias("lang"), F.lit(MOST_WORD_SHARE * silent_distance(w)).alias("most"),
         )
         for lang, (c, w) in sorted(refs.items())
     ]
-    best = F.lit(None).cast("struct<sum:double,lang:string,c:double,w:double>")
+    best = F.lit(None).cast("struct<sum:double,lang:string,c:double,w:double,most:double>")
     if each:
-        order = lambda s: F.struct((F.coalesce(s["c"], F.lit(0.0)) + F.coalesce(s["w"], F.lit(0.0))).alias("sum"), s["lang"].alias("lang"), s["c"].alias("c"), s["w"].alias("w"))
+        order = lambda s: F.struct((F.coalesce(s["c"], F.lit(0.0)) + F.coalesce(s["w"], F.lit(0.0))).alias("sum"), s["lang"].alias("lang"), s["c"].alias("c"), s["w"].alias("w"), s["most"].alias("most"))
         known = F.col(lang_col).isNull() | F.col(lang_col).isin(list(refs))
         best = F.when(known, F.array_min(F.transform(F.array(*each), order)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fine = F.coalesce(F.col("__best.c") <= MOST_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("__best.w") <= MOST_WORD_DISTANCE, F.lit(True))
+    fine = F.coalesce(F.col("__best.c") <= MOST_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("__best.w") <= F.col("__best.most"), F.lit(True))
     return profiles.withColumn("__best", best).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.coalesce("__best.c", "__best.w").isNotNull(), F.col("__best.lang")).alias("ref_lang"),
