@@ -146,7 +146,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     interchangeable; an empty table stays empty; input columns with the names of the new ones are replaced.
 
     Ranks are counted in hash buckets of about the root of the row count, so a source that holds most rows is
-    spread over many tasks. One row for each weight goes to the driver; back comes the schedule, as a
+    spread over many tasks. Rows without an id go to buckets by all their other columns (maps apart), so that a source
+    with many of them is spread too, unless they are alike in everything. One row for each weight goes to the driver; back comes the schedule, as a
     broadcast of two numbers a block (not a row).
     """
     spark = docs.sparkSession
@@ -155,16 +156,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     new = ("mix_source", "block", "phase", "slot", "position")
     keep = [c for c in docs.columns if c not in new]
     named = F.col(source_col).cast("string")
-    hashed = docs.select(*keep, F.when(named.isin(*[s for s in targets if s != OTHER]), named).otherwise(OTHER).alias("__s"), F.xxhash64(F.lit(seed), F.col(id_col), named).alias("__h"))
+    others = [f.name for f in docs.schema if f.name in keep and f.name != id_col and "map<" not in f.dataType.simpleString()]
+    by_id = F.xxhash64(F.lit(seed), F.col(id_col), named)
+    whole = F.when(F.col(id_col).isNull(), F.xxhash64(by_id, *others)).otherwise(by_id)
+    hashed = docs.select(*keep, F.when(named.isin(*[s for s in targets if s != OTHER]), named).otherwise(OTHER).alias("__s"), by_id.alias("__h"), whole.alias("__g"))
     rows = docs.select(F.count(F.lit(1))).first()[0]
     buckets = max(1, rows // max(_LEAST_BUCKET, math.isqrt(rows)))
-    hashed = hashed.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    hashed = hashed.withColumn("__b", F.pmod(F.col("__g"), F.lit(buckets)).cast("int"))
     sizes = hashed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__s", "__b", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__n")).alias("__before"))
     totals = {r["__s"]: r["n"] for r in sizes.groupBy("__s").agg(F.sum("__n").alias("n")).collect()}  # one row a weight
     plan = phases({s: targets[s] for s in totals}, {s: -(-n // block_rows) for s, n in totals.items()}, period)
     schedule = spark.createDataFrame(_schedule(plan, period))
-    ranked = hashed.withColumn("__k", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", id_col)) - 1)
+    ranked = hashed.withColumn("__k", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", id_col, "__g")) - 1)
     ranked = ranked.join(before, ["__s", "__b"]).withColumn("__r", F.col("__before") + F.col("__k"))
     placed = ranked.withColumn("__j", F.floor(F.col("__r") / block_rows)).withColumn("__c", F.floor(F.col("__j") / _RUN)).join(F.broadcast(schedule), ["__s", "__c"])
     own = lambda c: F.get(c, (F.col("__j") % _RUN).cast("int"))
