@@ -18,6 +18,8 @@ LEDGER = T.StructType([
     T.StructField("rules", T.ArrayType(T.StringType())),
     T.StructField("findings", T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
 ])
+#: Bits that tell which texts may have to be scanned: 8 MB in all, however many blobs there are.
+FILTER_BITS = 1 << 26
 _HEX = bytes(104 if chr(k) in "0123456789abcdef" else 32 for k in range(256))
 
 
@@ -84,6 +86,20 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def _maybe(texts: DataFrame, todo: DataFrame) -> DataFrame:
+    """The rows of texts whose (blob, path) may be in todo: all that are, and others as far as they share a bit of FILTER_BITS.
+
+    The bits are small enough to be sent to every task, so texts of blobs that are known already never leave theirs.
+    """
+    bit = lambda path: F.pmod(F.xxhash64("blob", path), F.lit(FILTER_BITS)) + 1
+    marks = todo.withColumn("__bit", bit("__one")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
+    at = texts.withColumn("__bit", bit("__path"))
+    at = at.withColumn("__bucket", F.bitmap_bucket_number("__bit")).withColumn("__at", F.bitmap_bit_position("__bit"))
+    byte = F.conv(F.hex(F.substring("__marks", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = at.join(F.broadcast(marks), "__bucket").where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1)
+    return own.select(*texts.columns)
+
+
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a version: path_col, blob (SHA-256 of the text) and findings (kind, start, end), sorted by start and rule order.
 
@@ -93,8 +109,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     paths each get a row (a row that repeats with its path may be scanned again); no versions, no rows. Other columns
     are not read.
 
-    Blobs are told apart by content, so a text that fills a third of the table is scanned once. Its copies differ in
-    path, which the shuffle of texts uses as a key too.
+    What to scan is found on hashes and paths alone. Of the texts, only those that _maybe() lets through are moved to be
+    scanned; with a ledger that knows all blobs, none. Blobs are told apart by content, so a text that fills a third
+    of the table is scanned once.
     """
     spark = versions.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -104,6 +121,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     wanted = F.array(*[F.lit(r.key) for r in rules])
     todo = paths.groupBy("blob").agg(F.min(F.struct("__path")).alias("__one")).join(known, "blob", "left")
     todo = todo.select("blob", F.col("__one.__path").alias("__one"), F.array_except(wanted, F.coalesce("__seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+    todo = durable(todo)
+    texts = _maybe(texts, todo)
     todo = todo.withColumnRenamed("blob", "__blob").hint("shuffle_hash")
     unseen = texts.join(todo, (texts["blob"] == todo["__blob"]) & texts["__path"].eqNullSafe(todo["__one"]))
     unseen.select("blob", "text", "rules").mapInPandas(_scan(rules), LEDGER).write.mode("append").parquet(ledger)
