@@ -79,6 +79,24 @@ def test_quality_divergent_text_goes(spark):
     assert not out[90].kept and not out[91].kept
 
 
+def test_quality_common_words_decide(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
+    rnd = random.Random(5)
+    letters = [(-1 - k, ["en", "de", "fr", "es", None][k % 5], " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(200))) for k in range(20)]
+    out = quality.judge(docs.unionByName(spark.createDataFrame(letters, "doc_id bigint, lang string, text string"))).join(labels, "doc_id", "left").cache()
+    assert out.where("doc_id < 0 and kept").isEmpty() and out.where("doc_id < 0 and class_distance > 0.35").isEmpty()
+    assert out.where("quality = 1 and not base_failed and not kept").count() <= 1  # a text in two languages by turns
+    assert out.where("quality = 0 and not base_failed and not kept").count() > out.where("quality = 0 and kept").count()
+
+
+def test_silent_distance(spark):
+    for ref in ([0.1, 0.2, 0.3, 0.4], [0.0, 0.0, 1.0], [0.5, 0.5, 0.0]):
+        none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
+        got = spark.range(1).select(quality.word_distance(*none, F.lit(9).cast("long"), ref)).first()[0]
+        assert got == pytest.approx(quality.silent_distance(ref))
+
+
 def test_decontamination(spark, sf_dir, docs, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     items += [(900, "one"), (901, None), (902, " .. "), (None, "quick brown fox"), (903, "Éé straße"), (903, "word1x word2x WORD3x word4x word5x word6x word7x word8x word9x word10x word11x")]
@@ -202,6 +220,15 @@ def test_mixing_rows(docs):
     assert mixing.mix(docs.limit(0)).isEmpty()
 
 
+def test_mixing_rows_without_an_id(spark):
+    rows = spark.range(40000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("src0").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+    out = mixing.mix(rows.unionByName(rows.limit(7)))
+    assert sorted(r.position for r in out.select("position").collect()) == list(range(40007))
+    named = F.xxhash64(F.lit(0), F.col("doc_id"), F.col("source"))
+    spread = rows.select(F.pmod(F.xxhash64(named, "source", "text"), F.lit(40007 // 1024)).alias("b")).groupBy("b").count().agg(F.count("*"), F.max("count")).first()
+    assert spread[0] == 39 and spread[1] < 2000
+
+
 def test_sharding(spark, docs):
     names = [f"s{k}" for k in range(7)]
     owner = sharding.fill_table(names, 101)
@@ -358,6 +385,23 @@ def test_mixing_against_a_plain_list(spark, docs):
         assert [d if d is None else d for _, d in sorted(got[s], key=lambda x: x[0])] == [d if has else None for _, has, d in sorted(own)]
 
 
+def test_texts_of_known_blobs_do_not_move(spark, docs, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    texts = docs.select(F.col("doc_id").alias("__path"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"), "text")
+    todo = texts.groupBy("blob").agg(F.min(F.struct("__path")).alias("p")).select("blob", F.col("p.__path").alias("__one"))
+    assert secrets._maybe(texts, todo.limit(0)).isEmpty()
+    wanted = {(bytes(r["blob"]), r["__one"]) for r in todo.collect()}
+    got = {(bytes(r["blob"]), r["__path"]) for r in secrets._maybe(texts, todo).collect()}
+    assert wanted <= got and len(got - wanted) <= 2
+    few = spark.createDataFrame([(k, f"text number {k}") for k in range(400)], "__path bigint, text string").withColumn("blob", F.unhex(F.sha2("text", 256)))
+    asked = few.where("__path < 9").select("blob", F.col("__path").alias("__one"))
+    assert {r["__path"] for r in secrets._maybe(few, asked).collect()} == set(range(9))
+    secrets.scan(docs, ledger)
+    first = spark.read.parquet(ledger).count()
+    secrets.scan(docs, ledger)
+    assert spark.read.parquet(ledger).count() == first
+
+
 def test_decontamination_and_secrets_without_rows(spark, docs, tmp_path):
     items = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
     assert decontaminate.find(docs.limit(0), items).isEmpty() and decontaminate.drop_contaminated(docs.limit(0), items).isEmpty()
