@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import kept
 from .assemblage import cortex_rows, dorsal_scars, is_dorsal_scar, parent_rows
 
 #: Surfaces in their order on the page; others follow by name.
@@ -62,11 +63,12 @@ def _ranked(rows: DataFrame, value: str, by: list[str], buckets: int = 256) -> D
     """by, value, __n (rows with it), __from (rows before it) and __all, a row a distinct value.
 
     Values are counted first; the running count over distinct values is split at approximate quantiles, so tasks get
-    like shares whatever the spread, and only the buckets' totals are accumulated together.
+    like shares whatever the spread, and only the buckets' totals are accumulated together. Approximate quantiles differ
+    from one computation to the next, so those that split are kept: totals and places go by the same ones.
     """
     own = rows.where(F.col(value).isNotNull())
     counted = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    marks = counted.groupBy(*by).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 4 * buckets).alias("__marks"), F.sum("__n").alias("__all"))
+    marks = kept(counted.groupBy(*by).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 4 * buckets).alias("__marks"), F.sum("__n").alias("__all")))
     joined = counted.join(F.broadcast(marks), by) if by else counted.crossJoin(F.broadcast(marks))  # a row a curve
     joined = joined.withColumn("__b", F.size(F.filter("__marks", lambda m: m < F.col(value)))).drop("__marks")
     totals = joined.groupBy(*by, "__b").agg(F.sum("__n").alias("__t"))

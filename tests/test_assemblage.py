@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flintframe.operators import assemblage as A
@@ -60,3 +61,10 @@ def test_ecdf_and_outliers(spark):
     assert [r.x for r in S.outliers(pts, "x", "y").where("is_outlier").collect()] == [5.0]
     assert S.outliers(pts.limit(2), "x", "y").where("is_outlier").isEmpty()
     assert S.caption(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double"), "v").first().q1 == 1.75
+
+
+def test_ranks_of_many_values(spark):
+    """Ranks run from 1 without gap or overlap, though the quantiles that split the values are approximate."""
+    rows = spark.range(0, 600_000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(300_000)).cast("double").alias("v"))
+    ranks = S.ecdf(rows, "v").select("rank", F.row_number().over(Window.orderBy("v", "rank")).alias("k"))
+    assert ranks.agg(F.count(F.lit(1)), F.countDistinct("rank"), F.count_if(F.col("rank") != F.col("k"))).first() == (600_000, 600_000, 0)
