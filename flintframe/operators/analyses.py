@@ -57,14 +57,16 @@ def cells(parents: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame
     """Both with voronoi_cell_area; parents with voronoi_num_cells and the hull of the sites, on the Dorsal surface.
 
     Sites are the centroids of the Dorsal surface and of all its features; each has the part of the outline nearest to it.
+    A surface without features is not parted: it has the hull of its site, but no cells.
     """
     dorsal = _only(parents, "Dorsal")
     site = lambda rows: rows.select("image_id", F.col("contour_id").alias("site_id"), F.col("centroid_x").alias("sx"), F.col("centroid_y").alias("sy"))
     kids = features.join(dorsal.select("image_id", F.col("contour_id").alias("parent_contour_id")), ["image_id", "parent_contour_id"], "left_semi")
     sites = site(dorsal).unionByName(site(kids)).where("sx is not null and sy is not null")
-    parted = spatial.outline_cells(dorsal.select("image_id", "contour"), sites)
+    parted = spatial.outline_cells(dorsal.select("image_id", "contour"), sites, alone=False)
     area = parted.select("image_id", F.col("site_id").alias("contour_id"), F.round("area", 2).alias("voronoi_cell_area"))
-    count = parted.groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("voronoi_num_cells")).join(spatial.hull_measures(sites).drop("n_sites"), "image_id")
+    count = parted.groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("voronoi_num_cells"))
+    count = spatial.hull_measures(sites).drop("n_sites").join(count, "image_id", "left")
     on_dorsal = dorsal.select("image_id", "contour_id").join(count, "image_id")
     return _added(_added(parents, area), on_dorsal), _added(features, area)
 

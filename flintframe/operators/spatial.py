@@ -166,13 +166,14 @@ def cell_summary(labelled: DataFrame) -> DataFrame:
     return size.join(touching, ["image_id", "site_id"], "left").fillna(0, ["shared_edges"])
 
 
-def outline_cells(outlines: DataFrame, sites: DataFrame) -> DataFrame:
+def outline_cells(outlines: DataFrame, sites: DataFrame, alone: bool = True) -> DataFrame:
     """image_id, site_id, area, shared_edges: the part of the image's outline (image_id, contour) nearest to each site, where it has one.
 
     Cells are the outline cut by middle lines, exactly; sites: image_id, site_id, sx, sy. Of sites at one place the
-    first by id has the cell.
+    first by id has the cell. The only site of an image has all of the outline, or (alone false) no cell.
     """
     own = sites.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("site_id", "sx", "sy"))).alias("sites"))
+    own = own if alone else own.where(F.size("sites") > 1)
     both = outlines.join(own, "image_id").select("image_id", F.explode(G.site_cells(F.col("contour"), F.col("sites"))).alias("c"))
     return both.select("image_id", "c.*")
 

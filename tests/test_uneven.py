@@ -14,7 +14,7 @@ def uneven(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["s04_jpeg"])
+@pytest.mark.parametrize("name", ["s04_jpeg", "v00_dorsal_cells", "v03_outline_cells"])
 def test_agrees_with_sql(spark, uneven, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{uneven}/embeddings.parquet'")
