@@ -29,23 +29,38 @@ def _said(dpi: float | None, found: int, options: Options) -> list[str]:
     return out if found else [*out, "no contour was found"]
 
 
+#: Images whose rows a task hands on together: a table an image costs more than the image.
+IMAGES_TOGETHER = 64
+
+
 def _outlined(options: Options) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Contours of each image with the texture of those inside others, and a row without contour_id that has its error and messages."""
+    table = lambda rows: pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
+
+    def of(image_id: str, content: bytes, dpi: float | None) -> list[dict]:
+        about = {"image_id": image_id, "dpi": dpi}
+        try:
+            binary = rasters.binarised(images.grey_of(images.decode(content)), dpi, options.preprocessing, options.dpi)
+            found = rasters.outlines(binary > 0)
+            size, made = {"width": binary.shape[1], "height": binary.shape[0]}, []
+            for k, (up, c) in enumerate(found):
+                up = None if pd.isna(up) else int(up)
+                texture = {} if up is None else dict(zip(raster.TEXTURE, rasters.texture(binary, c), strict=True))
+                made.append(about | size | texture | {"contour_id": k, "parent_contour_id": up, "contour": [{"x": int(x), "y": int(y)} for x, y in c]})
+            return [*made, about | {"messages": _said(dpi, len(found), options)}]
+        except Exception as e:  # one bad image is a row with its reason
+            return [about | {"error": f"{type(e).__name__}: {e}"[:300], "messages": []}]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image_id, content, dpi in zip(batch["image_id"], batch["content"], batch["dpi"], strict=True):
-                dpi = None if pd.isna(dpi) else float(dpi)
-                about = {"image_id": image_id, "dpi": dpi}
-                try:
-                    binary = rasters.binarised(images.grey_of(images.decode(bytes(content))), dpi, options.preprocessing, options.dpi)
-                    found = raster._outlined(image_id, binary)
-                    inner = found["parent_contour_id"].notna()
-                    made = [rasters.texture(binary, [(v["x"], v["y"]) for v in c]) if own else (np.nan,) * 3 for c, own in zip(found["contour"], inner, strict=True)]
-                    about["messages"] = _said(dpi, len(found), options)
-                    yield found.assign(**{c: [m[k] for m in made] for k, c in enumerate(raster.TEXTURE)}, dpi=dpi, error=None, messages=None)
-                except Exception as e:  # one bad image is a row with its reason
-                    about |= {"error": f"{type(e).__name__}: {e}"[:300], "messages": []}
-                yield pd.DataFrame({c: pd.Series([about.get(c)], dtype=object) for c in COLUMNS})
+            rows: list[dict] = []
+            for k, (image_id, content, dpi) in enumerate(zip(batch["image_id"], batch["content"], batch["dpi"], strict=True), 1):
+                rows += of(image_id, bytes(content), None if pd.isna(dpi) else float(dpi))
+                if k % IMAGES_TOGETHER == 0:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     return run
 
