@@ -41,9 +41,13 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolve_images(metadata: DataFrame, files: DataFrame) -> DataFrame:
-    """metadata with path: the file of the exact name, else the first that an extension makes; null if there is none."""
-    tried = metadata.select("image_id").distinct().select("image_id", F.posexplode(F.array(F.lit(""), *[F.lit(e) for e in EXTENSIONS])).alias("rank", "ext"))
-    hits = tried.withColumn("name", F.concat("image_id", "ext")).join(files.select("name", "path"), "name")
+    """metadata with path: the file of the exact name, else the first that an extension makes; null if there is none.
+
+    A file is filed under the ids that it can be of, which are two at most.
+    """
+    tried = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(e).alias("ext")) for k, e in enumerate(("", *EXTENSIONS))])
+    own = files.select("name", "path", F.explode(F.filter(tried, lambda t: F.endswith(F.col("name"), t["ext"]))).alias("t"))
+    hits = own.select(F.expr("left(name, length(name) - length(t.ext))").alias("image_id"), "path", F.col("t.rank").alias("rank"))
     best = hits.groupBy("image_id").agg(F.min_by("path", "rank").alias("path"))
     return metadata.join(best, "image_id", "left")
 

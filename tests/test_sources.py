@@ -112,3 +112,12 @@ def test_options():
         except (KeyError, TypeError):
             continue
         raise AssertionError(bad)
+
+
+def test_images_are_filed_once(spark):
+    """Files are filed under the ids that they can be of; ids are not multiplied by the extensions and joined."""
+    files = spark.createDataFrame([("a.tiff", "/1"), ("a.jpg", "/2"), ("b.png", "/3"), ("b", "/4"), (".bmp", "/5"), ("c.gif", "/6"), (None, "/7")], "name string, path string")
+    meta = spark.createDataFrame([("a",), ("a.tiff",), ("b",), ("b.png",), ("",), ("c",), (None,)], "image_id string")
+    found = metadata.resolve_images(meta, files)
+    assert {r.image_id: r.path for r in found.collect()} == {"a": "/2", "a.tiff": "/1", "b": "/4", "b.png": "/3", "": "/5", "c": None, None: None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
