@@ -17,6 +17,8 @@ from .assemblage_queries import rounded
 IMAGES = "SELECT concat('lithic-', cast(c_custkey AS varchar(20)), CASE WHEN c_custkey % 5 = 0 THEN '.png' ELSE '' END) AS image_id, cast(c_custkey % 9 AS varchar(20)) AS scale, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('bar-', cast(c_custkey AS varchar(20))) END AS scale_id, c_custkey AS k FROM {customer}"
 FILES = """SELECT concat('lithic-', cast(c_custkey AS varchar(20)), CASE c_custkey % 7 WHEN 1 THEN '' WHEN 2 THEN '.png' WHEN 3 THEN '.jpg' WHEN 4 THEN '.tif' WHEN 5 THEN '.png' ELSE '.bmp' END) AS name FROM {customer} WHERE c_custkey % 7 <> 0
 UNION ALL SELECT concat('lithic-', cast(c_custkey AS varchar(20)), '.jpeg') AS name FROM {customer} WHERE c_custkey % 4 = 0"""
+#: How the tables that these queries write are packed: most of a row is NA.
+CODEC = "gzip"
 _SHOWN = ("image_id", "surface_type", "surface_feature", "scar_count", "technical_length", "total_area", "vertical_symmetry", "is_cortex", "scar_complexity", "has_arrow", "calibration_method", "pixels_per_mm")
 _A = f"WITH a AS ({adapters.duck(adapters.ASSEMBLAGE)}), m AS ({adapters.duck(adapters.MANIFEST)})\n"
 _ROWS = _A + "SELECT " + ", ".join(f"round({c}, 4) AS {c}" if c in ("technical_length", "total_area", "vertical_symmetry", "pixels_per_mm") else c for c in _SHOWN) + " FROM a"
@@ -50,8 +52,8 @@ def s08_appended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics table in two parts that have images in common: each is there once."""
     path, rows = new_folder(spark, "metrics"), _assemblage(spark, sf_dir)
     part = F.pmod(F.xxhash64("image_id"), F.lit(3))
-    metrics.append_csv(rows.where(part < 2), path)
-    metrics.append_csv(rows.where(part > 0).withColumn("another", F.lit(1)), path)
+    metrics.append_csv(rows.where(part < 2), path, codec=CODEC)
+    metrics.append_csv(rows.where(part > 0).withColumn("another", F.lit(1)), path, codec=CODEC)
     return rounded(metrics.read_csv(spark, path).select(*_SHOWN))
 
 

@@ -18,6 +18,7 @@ COLUMNS = {
     "cortex_percentage": "double", "scar_complexity": "int", "has_arrow": "boolean", "arrow_angle": "double", "calibration_method": "string",
     "pixels_per_mm": "double", "scale_confidence": "double",
 }
+ROWS_OF_A_PACKED_FILE = 1_000_000
 SCHEMA = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 MANIFEST = "schema_version int, timestamp string, total int, successful array<struct<image_id:string,dpi:int>>, failed array<struct<image_id:string,reason:string>>"
 MANIFEST += ", messages array<struct<image_id:string,messages:array<string>>>"
@@ -29,9 +30,16 @@ def arrange(rows: DataFrame) -> DataFrame:
     return rows.select(*own, *[c for c in rows.columns if c not in COLUMNS])
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """rows as CSV with a header and NA for null; what was there is replaced."""
-    arrange(rows).write.mode("overwrite").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+def write_csv(rows: DataFrame, path: str, codec: str = "none") -> None:
+    """rows as CSV with a header and NA for null, packed by a codec that Spark knows; what was there is replaced."""
+    _save(arrange(rows), path, "overwrite", codec)
+
+
+def _save(rows: DataFrame, path: str, mode: str, codec: str) -> None:
+    out = rows.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "").option("compression", codec)
+    if codec != "none":  # a packed file is read by one task
+        out = out.option("maxRecordsPerFile", ROWS_OF_A_PACKED_FILE)
+    out.csv(path)
 
 
 def header(spark: SparkSession, path: str) -> list[str] | None:
@@ -44,30 +52,41 @@ def header(spark: SparkSession, path: str) -> list[str] | None:
         return None
 
 
-def append_csv(rows: DataFrame, path: str, replace: bool = True) -> None:
+def append_csv(rows: DataFrame, path: str, replace: bool = True, codec: str = "none") -> None:
     """rows added to the CSV at a path, in the columns that it has: new ones are left out, missing ones are NA.
 
     An image is in the table once: rows of images that it has already replace those, or (replace false) are left out,
-    so that what is added twice is there once. Rows are only added where no image comes again; else the table is
-    written anew beside the old one, which then goes.
+    so that what is added twice is there once. Rows are computed once: they are written beside the table, and what they
+    replace is found from there. Where no image comes again their files move into the table; else the rest of the table
+    is written to them, and they take its place. Files that are there stay as they are packed.
     """
     spark = rows.sparkSession
     columns = header(spark, path)
     if columns is None:
-        return write_csv(rows, path)
+        return write_csv(rows, path, codec)
     own = arrange(rows)
     own = own.select(*[F.col(c) if c in own.columns else F.lit(None).cast("string").alias(c) for c in columns])
     kinds = ", ".join(f"`{c}` {COLUMNS.get(c, 'string')}" for c in columns)
-    old = spark.read.schema(kinds).option("header", True).option("nullValue", "NA").csv(path)
-    save = lambda df, to, mode: df.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(to)
-    known = old.select("image_id").distinct()
+    read = lambda at: spark.read.schema(kinds).option("header", True).option("nullValue", "NA").csv(at)
+    old, beside = read(path), f"{path}.next"
     if not replace:
-        own = own.join(known, "image_id", "left_anti").select(*columns)
-    elif not known.join(own.select("image_id"), "image_id", "left_semi").isEmpty():
-        kept = old.join(own.select("image_id").distinct(), "image_id", "left_anti").select(*columns)
-        save(kept.unionByName(own.select([F.col(c).cast(t).alias(c) for c, t in kept.dtypes])), f"{path}.next", "overwrite")
-        return _take_over(spark, f"{path}.next", path)
-    save(own, path, "append")
+        return _save(own.join(old.select("image_id").distinct(), "image_id", "left_anti").select(*columns), path, "append", codec)
+    _save(own, beside, "overwrite", codec)
+    again = read(beside).select("image_id").distinct()
+    if old.join(again, "image_id", "left_semi").isEmpty():
+        return _move_into(spark, beside, path)
+    _save(old.join(again, "image_id", "left_anti").select(*columns), beside, "append", codec)
+    _take_over(spark, beside, path)
+
+
+def _move_into(spark: SparkSession, new: str, old: str) -> None:
+    """The files of the folder ``new``, whose names nobody else has, into ``old``; ``new`` goes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    for one in files.globStatus(path(f"{new}/part-*")):
+        if not files.rename(one.getPath(), path(f"{old}/{one.getPath().getName()}")):
+            raise OSError(f"{one.getPath()} could not be moved to {old}")
+    files.delete(path(new), True)
 
 
 def _take_over(spark: SparkSession, new: str, old: str) -> None:

@@ -41,6 +41,26 @@ def test_append_in_the_columns_that_are_there(spark, tmp_path):
     assert sorted(r.own for r in spark.read.option("header", True).csv(path).collect()) == ["x", "y"]
 
 
+@pytest.mark.parametrize("codec", ["none", "gzip"])
+def test_rows_to_be_added_are_computed_once(spark, tmp_path, codec):
+    path, seen = str(tmp_path / "m"), spark.sparkContext.accumulator(0)
+    metrics.write_csv(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "image_id string, total_area double"), path)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    made = lambda *ids: spark.createDataFrame([(i, 2.0) for i in ids], "image_id string, total_area double").coalesce(1).mapInPandas(counted, "image_id string, total_area double")
+    metrics.append_csv(made("b", "c"), path, codec=codec)  # an image comes again
+    assert seen.value == 2
+    metrics.append_csv(made("d"), path, codec=codec)  # none does
+    assert seen.value == 3
+    assert {r.image_id: r.total_area for r in metrics.read_csv(spark, path).collect()} == {"a": 1.0, "b": 2.0, "c": 2.0, "d": 2.0}
+    assert metrics.read_csv(spark, path).count() == 4 and not (tmp_path / "m.next").exists()
+    assert len({p.suffix for p in (tmp_path / "m").glob("part-*")}) == 1
+
+
 def test_replacement_that_stopped(spark, tmp_path):
     path = str(tmp_path / "m")
     rows = spark.createDataFrame([("a", 1.0)], "image_id string, total_area double")
