@@ -44,7 +44,7 @@ def s03_resolved_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s07_metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics table as CSV with NA, read with its types."""
     path = new_folder(spark, "metrics")
-    metrics.write_csv(_assemblage(spark, sf_dir), path)
+    metrics.write_csv(_assemblage(spark, sf_dir), path, CODEC)
     return rounded(metrics.read_csv(spark, path).select(*_SHOWN))
 
 

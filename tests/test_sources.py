@@ -84,6 +84,16 @@ def test_metrics_round_trip(spark, tmp_path):
     assert both.columns[-1] == "extra" and both.count() == 4
 
 
+def test_packed_metrics(spark, tmp_path):
+    rows = metrics.arrange(spark.range(2000).selectExpr("concat('a', id) AS image_id", "'Dorsal' AS surface_type", "id / 8 AS total_area").coalesce(1))
+    size = {}
+    for codec in ("none", "gzip"):
+        metrics.write_csv(rows, str(tmp_path / codec), codec)
+        assert sorted(map(repr, metrics.read_csv(spark, str(tmp_path / codec)).collect())) == sorted(map(repr, rows.collect()))
+        size[codec] = sum(p.stat().st_size for p in (tmp_path / codec).glob("part-*"))
+    assert size["gzip"] * 4 < size["none"]
+
+
 def test_manifest(spark, tmp_path):
     status = spark.createDataFrame([("b", True, 300, None), ("a", True, None, None), ("c", False, None, "bad")], "image_id string, ok boolean, dpi int, reason string")
     metrics.write_manifest(status, str(tmp_path / "run"))
