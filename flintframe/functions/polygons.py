@@ -172,19 +172,110 @@ def halves_of(xs: pd.Series, ys: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.
     return pd.DataFrame(out, columns=["top_area", "bottom_area", "left_area", "right_area"])
 
 
+def runs(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """number, y, x0 and x1 of the runs of pixels inside polygons or on their outlines, by number and from left to right.
+
+    Vertices of all polygons follow each other, as many as sizes says of each. Polygons of one owner are one area.
+    Nothing has more room than the rows of pixels that sides cross.
+    """
+    x, y, sizes = np.asarray(x, np.int64), np.asarray(y, np.int64), np.asarray(sizes, np.int64)
+    if not len(x):
+        return (np.empty(0, np.int64),) * 4
+    of, after, last = np.repeat(np.arange(len(sizes)), sizes), np.arange(1, len(x) + 1), np.cumsum(sizes)
+    after[last[sizes > 0] - 1] = (last - sizes)[sizes > 0]
+    right, down = x[after] - x, y[after] - y
+    flat = down == 0
+    tall = np.where(flat, 0, np.abs(down) + 1)
+    side = np.repeat(np.arange(len(x)), tall)
+    row = np.arange(len(side)) - np.repeat(np.cumsum(tall) - tall, tall) + np.minimum(y, y[after])[side]
+    far = right[side] * (row - y[side])
+    at, exact = x[side] + far // down[side], far % down[side] == 0
+    half = row < np.maximum(y, y[after])[side]
+    line, level, cut = of[side][half], row[half], (at + ~exact)[half]
+    order = np.lexsort((cut, level, line))
+    into, out = order[::2], order[1::2]
+    number = np.concatenate([line[into], of[side][exact], of[flat]])
+    level = np.concatenate([level[into], row[exact], y[flat]])
+    x0, x1 = np.concatenate([cut[into], at[exact], np.minimum(x, x[after])[flat]]), np.concatenate([cut[out] - 1, at[exact], np.maximum(x, x[after])[flat]])
+    return joined_runs(number if owner is None else np.asarray(owner)[number], level, x0, x1)
+
+
+def joined_runs(number: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order, those of a number and row that overlap or touch as one; empty ones go."""
+    own = np.nonzero(x0 <= x1)[0]
+    own = own[np.lexsort((x0[own], y[own], number[own]))]
+    if not len(own):
+        return (np.empty(0, np.int64),) * 4
+    number, y, x0, x1 = number[own], y[own], x0[own], x1[own]
+    line = np.concatenate([[0], np.cumsum((np.diff(number) != 0) | (np.diff(y) != 0))])
+    least = x0.min()
+    base = line * (x1.max() - least + 3) - least
+    far = np.maximum.accumulate(base + x1)
+    begin = np.concatenate([[0], np.nonzero((base + x0)[1:] > far[:-1] + 1)[0] + 1])
+    end = np.concatenate([begin[1:], [len(own)]]) - 1
+    return number[begin], y[begin], x0[begin], far[end] - base[end]
+
+
+def cells_of_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels that are nearest to each site (to the first on ties), and which two sites have pixels beside each other.
+
+    y, x0, x1: runs that do not overlap, by row and from left to right. In a row the pixels that are nearer to one site
+    than to another begin or end at one place, so a site has one stretch of each row. Sites that are not at whole
+    numbers, where that place is subject to rounding, are compared pixel by pixel.
+    """
+    count = len(sx)
+    rows, row = np.unique(y, return_inverse=True)
+    if (sx == np.floor(sx)).all() and (sy == np.floor(sy)).all():
+        found = []
+        for k in range(count):
+            lo, hi = np.full(len(rows), float(x0.min())), np.full(len(rows), float(x1.max()))
+            for o in range(count):
+                slope = 2 * (sx[o] - sx[k])
+                rest = sx[o] ** 2 - sx[k] ** 2 + (rows - sy[o]) ** 2 - (rows - sy[k]) ** 2 - (o < k)  # nearer where slope * x <= rest
+                if slope > 0:
+                    hi = np.minimum(hi, rest // slope)
+                elif slope < 0:
+                    lo = np.maximum(lo, -(rest // -slope))
+                elif o != k:
+                    hi = np.where(rest < 0, -np.inf, hi)
+            a, b = np.maximum(x0, lo[row]), np.minimum(x1, hi[row])
+            own = np.nonzero(a <= b)[0]
+            found.append((row[own], a[own].astype(np.int64), b[own].astype(np.int64), np.full(len(own), k)))
+        row, a, b, site = (np.concatenate(v) for v in zip(*found, strict=True))
+    else:
+        n = x1 - x0 + 1
+        row = np.repeat(row, n)
+        a = b = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x0, n)
+        best, site = np.full(len(row), np.inf), np.zeros(len(row), np.int64)
+        for k in range(count):
+            d2 = (a - sx[k]) ** 2.0 + ((rows - sy[k]) ** 2.0)[row]
+            near = d2 < best
+            best[near], site[near] = d2[near], k
+    order = np.lexsort((a, row))
+    row, a, b, site = row[order], a[order], b[order], site[order]
+    area = np.zeros(count, np.int64)
+    np.add.at(area, site, b - a + 1)
+    touch = np.zeros((count, count), bool)
+    beside = np.nonzero((row[1:] == row[:-1]) & (a[1:] == b[:-1] + 1))[0]
+    touch[site[beside], site[beside + 1]] = touch[site[beside + 1], site[beside]] = True
+    wide, least = b.max() - a.min() + 3, a.min()
+    start, end, under = row * wide + a - least, row * wide + b - least, np.isin(rows[row] + 1, rows) * wide
+    first, last = np.searchsorted(end, start + under), np.searchsorted(start, end + under, side="right")
+    n = np.where(under > 0, np.maximum(last - first, 0), 0)
+    one = np.repeat(np.arange(len(a)), n)
+    two = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(one))
+    touch[site[one], site[two]] = touch[site[two], site[one]] = True
+    np.fill_diagonal(touch, False)
+    return area, touch
+
+
 @F.pandas_udf(_row(y=T.ArrayType(T.IntegerType()), x0=T.ArrayType(T.IntegerType()), x1=T.ArrayType(T.IntegerType())))
 def runs_of(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     """Runs of pixels of each polygon, row by row."""
     out = []
-    for p in _pairs(xs, ys):
-        if p is None:
-            out.append((np.empty(0, np.int32),) * 3)
-            continue
-        x0, y0 = min(a for a, _ in p), min(b for _, b in p)
-        mask = rasters.filled(p, x0, y0, max(a for a, _ in p) - x0 + 1, max(b for _, b in p) - y0 + 1)
-        edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, begin = np.nonzero(edge == 1)
-        out.append(tuple(v.astype(np.int32) for v in (row + y0, begin + x0, np.nonzero(edge == -1)[1] - 1 + x0)))
+    for x, y in zip(xs, ys, strict=True):
+        n = 0 if x is None or y is None else len(x)
+        out.append(tuple(v.astype(np.int32) for v in runs(x if n else (), y if n else (), [n])[1:]))
     return pd.DataFrame(out, columns=["y", "x0", "x1"])
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygons as kernels
 from ..functions import rasters
 
 BORDER_DISTANCE = 10.0
+#: Contours whose runs a task holds at a time.
+CONTOURS_TOGETHER = 256
 
 
 def _boxed(polygons: DataFrame, cell: int, reach: float) -> DataFrame:
@@ -70,13 +77,27 @@ def assign_arrows(candidates: DataFrame, scars: DataFrame) -> DataFrame:
     return containing(candidates, free).groupBy("image_id", "contour_id").agg(F.min("point_id").alias("point_id"))
 
 
+def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, CONTOURS_TOGETHER):
+            part = batch.slice(k, CONTOURS_TOGETHER)
+            xs, ys = part.column(2), part.column(3)
+            sizes = pc.fill_null(pc.list_value_length(xs), 0).to_numpy()
+            number, *run = kernels.runs(xs.flatten().to_numpy(), ys.flatten().to_numpy(), sizes)
+            ids = [part.column(c).take(pa.array(number)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(v, pa.int32()) for v in run)], ["image_id", "contour_id", "y", "x0", "x1"])
+
+
 def spans(polygons: DataFrame) -> DataFrame:
     """image_id, contour_id, y, x0, x1: the runs of pixels inside or on the outline of each polygon, from left to right.
 
-    A polygon is as many rows as it is high, not as it has pixels. Runs are found in Arrow batches, without a shuffle.
+    A polygon is as many rows as it is high, not as it has pixels. Runs are found in Arrow batches, without a shuffle;
+    those of CONTOURS_TOGETHER polygons are handed on before the next are made.
     """
-    made = polygons.select("image_id", "contour_id", G.runs(F.col("contour")).alias("r"))
-    return made.select("image_id", "contour_id", F.inline(F.arrays_zip("r.y", "r.x0", "r.x1")))
+    at = lambda c: F.transform("contour", lambda v: v[c].cast("int")).alias(f"{c}s")
+    apart = polygons.select("image_id", "contour_id", at("x"), at("y"))
+    ids = ", ".join(f"{c} {t}" for c, t in apart.dtypes[:2])
+    return apart.mapInArrow(_spans_of, f"{ids}, y int, x0 int, x1 int")
 
 
 def rasterize(polygons: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,14 @@ def test_runs_of_pixels(spark):
     assert {(x, y) for i, y, a, b in both if i == "i" for x in range(a, b + 1)} == set().union(*(pixels["i", k] for k in range(8)))
     assert all(not any(i == j and y == v and a < c <= b + 1 for j, v, c, _ in both) for i, y, a, b in both)
     assert {r.contour_id: (r.pixels, r.sx, r.sy) for r in spatial.span_areas(every).collect()} == {c: (len(s), sum(x for x, _ in s), sum(y for _, y in s)) for (_, c), s in pixels.items()}
+
+
+def test_runs_are_handed_on_in_turn():
+    n = 2 * spatial.CONTOURS_TOGETHER + 9
+    square = lambda k: ([k, k + 3, k + 3, k], [0, 0, 2, 2])
+    made = [None if k == 5 else square(k) for k in range(n)]
+    batch = pa.RecordBatch.from_pylist([{"image_id": "i", "contour_id": k, "xs": m and m[0], "ys": m and m[1]} for k, m in enumerate(made)],
+                                       pa.schema([("image_id", pa.string()), ("contour_id", pa.int64()), ("xs", pa.list_(pa.int32())), ("ys", pa.list_(pa.int32()))]))
+    parts = [p.to_pylist() for p in spatial._spans_of([batch])]
+    assert [len({r["contour_id"] for r in p}) for p in parts] == [spatial.CONTOURS_TOGETHER - 1, spatial.CONTOURS_TOGETHER, 9]
+    assert sorted((r["contour_id"], r["y"], r["x0"], r["x1"]) for p in parts for r in p) == [(k, y, k, k + 3) for k in range(n) if k != 5 for y in range(3)]
