@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import polygons as kernels
-from ..functions import rasters
 
 BORDER_DISTANCE = 10.0
 #: Contours whose runs a task holds at a time.
@@ -200,28 +199,18 @@ def outline_cells(outlines: DataFrame, sites: DataFrame, alone: bool = True) ->
 
 
 def pixel_cells(polygons: DataFrame, sites: DataFrame) -> DataFrame:
-    """By site: pixels of the image's polygons nearest to it (the smaller id on ties), and how many other cells touch them."""
+    """By site: pixels of the image's polygons nearest to it (the smaller id on ties), and how many other cells touch them.
+
+    An image is held as the runs of its pixels, and cells as the parts of these runs.
+    """
     def run(shapes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(shapes) or not len(own):
+        own = own.dropna(subset=["sx", "sy"]).sort_values("site_id")
+        sizes = np.array([0 if x is None else len(x) for x in shapes["xs"]], np.int64)
+        if not sizes.sum() or not len(own):
             return pd.DataFrame(columns=["image_id", "site_id", "voronoi_cell_area", "shared_edges"])
-        points = [list(zip(np.asarray(x).tolist(), np.asarray(y).tolist(), strict=True)) for x, y in zip(shapes["xs"], shapes["ys"], strict=True)]
-        every = np.concatenate([np.asarray(p) for p in points])
-        (x0, y0), (w, h) = every.min(axis=0), every.max(axis=0) - every.min(axis=0) + 1
-        mask = np.zeros((h, w), bool)
-        for p in points:
-            mask |= rasters.filled(p, x0, y0, w, h)
-        own = own.sort_values("site_id")
-        best, label = np.full((h, w), np.inf), np.full((h, w), -1)
-        for k, (sx, sy) in enumerate(zip(own["sx"], own["sy"], strict=True)):
-            d2 = (np.arange(w) + x0 - sx)[None, :] ** 2.0 + (np.arange(h) + y0 - sy)[:, None] ** 2.0
-            near = d2 < best
-            best[near], label[near] = d2[near], k
-        label[~mask] = -1
-        touch = np.zeros((len(own), len(own)), bool)
-        for a, b in ((label[:, :-1], label[:, 1:]), (label[:-1], label[1:])):
-            beside = (a >= 0) & (b >= 0) & (a != b)
-            touch[a[beside], b[beside]] = touch[b[beside], a[beside]] = True
-        n = np.bincount(label[mask], minlength=len(own))
+        flat = lambda c: np.concatenate([np.asarray(v, np.int64) for v in shapes[c] if v is not None])
+        _, y, x0, x1 = kernels.runs(flat("xs"), flat("ys"), sizes, np.zeros(len(sizes), np.int64))
+        n, touch = kernels.cells_of_runs(y, x0, x1, own["sx"].to_numpy(), own["sy"].to_numpy())
         return pd.DataFrame({"image_id": own["image_id"], "site_id": own["site_id"], "voronoi_cell_area": n, "shared_edges": touch.sum(axis=1)})[n > 0]
 
     apart = polygons.select("image_id", F.transform("contour", lambda v: v["x"]).alias("xs"), F.transform("contour", lambda v: v["y"]).alias("ys"))

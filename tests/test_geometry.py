@@ -162,3 +162,21 @@ def test_cells_of_many_sites(spark):
     got = spatial.cells(spark.createDataFrame(mask, "image_id string, x int, y int"), spark.createDataFrame(sites, "image_id string, site_id bigint, sx int, sy int")).collect()
     assert {(r.image_id, r.x, r.y): r.site_id for r in got} == {(im, x, y): min(((x - a) ** 2 + (y - b) ** 2, k) for j, k, a, b in sites if j == im)[1] for im, x, y in mask}
     assert len(got) == len(mask)
+
+
+def test_pixel_cells_by_runs(spark):
+    rnd = random.Random(11)
+    shapes = [[(rnd.randrange(25), rnd.randrange(25)) for _ in range(6)] for _ in range(3)] + [[(900_000, 900_000), (900_001, 900_000), (900_001, 900_001)]]  # far apart: no room for all pixels between
+    polys = polygons(spark, shapes)
+    pixels = {(r.x, r.y) for r in spatial.rasterize(polys).collect()}
+    for sites in ([(k, rnd.randrange(25), rnd.randrange(25)) for k in range(7)] + [(7, 4, 4), (8, 4, 4), (9, 900_000, 900_001)], [(k, rnd.randrange(50) / 2 + 0.25, rnd.randrange(50) / 2) for k in range(6)]):
+        rows = spark.createDataFrame([("i", k, float(x), float(y)) for k, x, y in sites], "image_id string, site_id bigint, sx double, sy double")
+        label = {p: min(sites, key=lambda s: ((p[0] - s[1]) ** 2 + (p[1] - s[2]) ** 2, s[0]))[0] for p in pixels}
+        beside = {k: set() for k, *_ in sites}
+        for (x, y), s in label.items():
+            for q in ((x + 1, y), (x, y + 1)):
+                if label.get(q, s) != s:
+                    beside[s].add(label[q])
+                    beside[label[q]].add(s)
+        got = {(r.site_id, r.voronoi_cell_area, r.shared_edges) for r in spatial.pixel_cells(polys, rows).collect()}
+        assert got == {(k, list(label.values()).count(k), len(beside[k])) for k in set(label.values())}
