@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..sources.metrics import COLUMNS
 from .assemblage import AREA_FIELDS, LINEAR_FIELDS
@@ -15,9 +16,14 @@ VORONOI = ("voronoi_num_cells", "convex_hull_width", "convex_hull_height", "conv
 SYMMETRY = ("top_area", "bottom_area", "left_area", "right_area", "vertical_symmetry", "horizontal_symmetry")
 
 
+def _image() -> WindowSpec:
+    """All rows of an image, in the order that numbers follow too, so that one sort serves all steps."""
+    return Window.partitionBy("image_id").orderBy("contour_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _typed(df: DataFrame, tolerance: float, parent: Column) -> tuple[DataFrame, Column]:
     """df with what the classes of its parents need beside each row, and the class of a parent as a column."""
-    w = Window.partitionBy("image_id")
+    w = _image()
     length, width, area, at = (F.col(c) for c in ("technical_length", "technical_width", "area", "contour_id"))
     df = df.withColumn("__d", F.max(F.when(parent, F.struct(area, (-at).alias("m"), length.alias("l"), width.alias("w")))).over(w))
     d = F.col("__d")
@@ -55,16 +61,17 @@ def classify_and_label(contours: DataFrame, tolerance: float = TOLERANCE, enable
 
     The same classes as classify() and labels as label_children(): a parent's feature is its type, and features of
     Ventral and Platform surfaces go. A child whose parent is not in the image has neither. All of it takes one
-    shuffle by image. With enabled off, parents are Unclassified.
+    shuffle by image and one sort. With enabled off, parents are Unclassified.
     """
     parent = F.col("parent_contour_id").isNull()
     df, surface = _typed(contours, tolerance, parent)
     df = df.withColumn("__own", F.when(parent, surface if enabled else F.lit("Unclassified")))
-    types = F.map_from_entries(F.collect_list(F.when(parent, F.struct(F.col("contour_id").cast("bigint"), "__own"))).over(Window.partitionBy("image_id")))
+    types = F.map_from_entries(F.collect_list(F.when(parent, F.struct(F.col("contour_id").cast("bigint"), "__own"))).over(_image()))
     df = df.withColumn("surface_type", F.coalesce("__own", types[F.col("parent_contour_id").cast("bigint")]))
     df = df.where(parent | F.coalesce(~F.col("surface_type").isin("Ventral", "Platform"), F.lit(True)))
     df = df.withColumn("__kind", F.when(~parent & F.col("surface_type").isNotNull(), F.when(F.col("surface_type") == "Lateral", "edge").otherwise("scar")))
-    n = F.row_number().over(Window.partitionBy("image_id", "__kind").orderBy("contour_id"))
+    so_far = Window.partitionBy("image_id").orderBy("contour_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.when(F.col("__kind") == "edge", F.count_if(F.col("__kind") == "edge").over(so_far)).otherwise(F.count_if(F.col("__kind") == "scar").over(so_far))
     return df.select(*contours.columns, "surface_type", F.when(parent, F.col("surface_type")).when(F.col("__kind").isNotNull(), F.concat_ws(" ", "__kind", n)).alias("surface_feature"))
 
 
@@ -140,7 +147,7 @@ def rows_of(labelled: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """rows with scar_count on the Dorsal surface in place of __parent."""
-    scars = F.count_if(~F.col("__parent") & F.lower("surface_feature").contains("scar")).over(Window.partitionBy("image_id")).cast("int")
+    scars = F.count_if(~F.col("__parent") & F.lower("surface_feature").contains("scar")).over(_image()).cast("int")
     count = F.when(F.col("__parent") & (F.col("surface_type") == "Dorsal"), scars)
     return rows.select("image_id", "surface_type", "surface_feature", count.alias("scar_count"), *[c for c in rows.columns if c not in ("image_id", "surface_type", "surface_feature", "__parent")])
 

@@ -180,3 +180,12 @@ def test_pixel_cells_by_runs(spark):
                     beside[label[q]].add(s)
         got = {(r.site_id, r.voronoi_cell_area, r.shared_edges) for r in spatial.pixel_cells(polys, rows).collect()}
         assert got == {(k, list(label.values()).count(k), len(beside[k])) for k in set(label.values())}
+
+
+def test_one_sort_serves_the_steps_by_image(spark):
+    rows = spark.createDataFrame([("i", k, 1 if k > 2 else None, 9.0 - k, 5.0 - k % 2, 80.0 / k) for k in range(1, 8)], "image_id string, contour_id int, parent_contour_id int, technical_length double, technical_width double, area double")
+    made = surfaces.rows_of(surfaces.classify_and_label(rows))
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count(" Sort [") == 1, plan
+    got = [(r.contour_id, r.surface_type, r.surface_feature, r.scar_count) for r in made.orderBy("contour_id").collect()]
+    assert got[0] == (1, "Dorsal", "Dorsal", 5) and [g[2] for g in got[2:]] == [f"scar {k}" for k in range(1, 6)]
