@@ -317,12 +317,13 @@ def _opened(docs: DataFrame, width: int, percent: int, classes: DataFrame, rank:
     return each, sets, lead
 
 
-def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """What to compare: leader, block of queries, block of members, query, digest, n, w, a.
+def _block_pairs(opened: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """What to compare: leader, block of queries, block of members, query, digest, n, w, a; and the tables it is read from.
 
     Two sets with a_q + a_m >= 0 link for sure. Blocks hold about BLOCK sets of a group with similar ``a``, so only
     those pairs of blocks are made that hold a pair which is not sure. A set is left out where no other of the group
     has enough that the leader lacks: of what it has beyond the leader it must share all but what it can differ in.
+    Sets and pairs of blocks are kept, as each is used several times: one plan of it all has each of them as often.
     """
     differ = opened.withColumn("d", F.col("more") + F.col("less")).where("d > 0")
     # a pair needs 2 * (100 + percent) * overlap >= -(a + a'), and no set overlaps by more than its own difference
@@ -332,7 +333,7 @@ def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
     next_most = near.where("digest <> top.digest").groupBy("leader").agg(F.max("more").alias("second"))
     near = near.join(next_most, "leader").withColumn("others", F.when(F.col("digest") == F.col("top.digest"), F.col("second")).otherwise(F.col("top.more")))
     fits = (F.col("a") + F.col("low") < 0) & (reach + F.col("high") >= 0) & (F.col("others") >= F.col("more") - F.floor(F.col("n") * (100 - percent) / 100))
-    unsure = near.where(fits).select("leader", "digest", "n", "w", "member", "a")
+    unsure = scratch.keep(near.where(fits).select("leader", "digest", "n", "w", "member", "a"))
 
     def blocked(rows: DataFrame) -> DataFrame:
         """rows with their block: sets in order of a; equal values are dealt by digest where they are many."""
@@ -341,14 +342,15 @@ def _block_pairs(opened: DataFrame, percent: int) -> DataFrame:
         sizes = sizes.select("leader", "a", F.floor(before / BLOCK).alias("first"), F.ceil(F.col("c") / BLOCK).alias("span"))
         return rows.join(sizes, ["leader", "a"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("span"))).drop("first", "span")
 
-    queries, members = blocked(unsure), blocked(unsure.where("member"))
+    queries, members = scratch.keep(blocked(unsure)), scratch.keep(blocked(unsure.where("member")))
+    scratch.drop(unsure)
     q = queries.groupBy("leader", "block").agg(F.min("a").alias("qa")).withColumnRenamed("block", "qb")
     m = members.groupBy("leader", "block").agg(F.min("a").alias("ma")).withColumnRenamed("block", "mb")
-    pairs = q.join(m, "leader").where("qa + ma < 0").select("leader", "qb", "mb")
+    pairs = scratch.keep(q.join(m, "leader").where("qa + ma < 0").select("leader", "qb", "mb"))
     cols = ["leader", "qb", "mb", "query", "digest", "n", "w", "a"]
     left = queries.withColumnRenamed("block", "qb").join(pairs, ["leader", "qb"]).withColumn("query", F.lit(True))
     right = members.withColumnRenamed("block", "mb").join(pairs, ["leader", "mb"]).withColumn("query", F.lit(False))
-    return left.select(cols).unionAll(right.select(cols))
+    return left.select(cols).unionAll(right.select(cols)), [queries, members, pairs]
 
 
 def _postings(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -484,8 +486,10 @@ def _links(opened: DataFrame, sets: DataFrame, lead: DataFrame, percent: int, sc
     tops = opened.groupBy("leader").agg(F.max(F.struct("a", "digest")).alias("top"))
     star = opened.select("leader", "digest", "a").join(tops, "leader").where((F.col("a") + F.col("top.a") >= 0) & (F.col("digest") != F.col("top.digest"))).select(F.col("digest").alias("a"), F.col("top.digest").alias("b"))
     keys, parts = ["leader", "qb", "mb"], int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the rows are few for the work they make
-    blocks = _block_pairs(opened, percent).join(sets.select("digest", "bits"), "digest").repartition(parts, *keys).sortWithinPartitions(*keys)
+    pairs, read = _block_pairs(opened, percent, scratch)
+    blocks = pairs.join(sets.select("digest", "bits"), "digest").repartition(parts, *keys).sortWithinPartitions(*keys)
     blocks = scratch.keep(blocks.select(*keys, "query", "digest", "n", "w", "a", "bits").mapInPandas(_by_key(lambda rows: _able(rows, percent)), "leader bigint, qb bigint, mb bigint, query boolean, digest binary, n bigint, w bigint, a bigint"))
+    scratch.drop(*read)
     differ = blocks.select("leader", "digest").distinct().join(sets.select("digest", "tokens"), "digest").join(lead, "leader")
     differ = differ.select("leader", "digest", F.array_except("tokens", "lt").alias("more"), F.array_except("lt", "tokens").alias("less"))
     dealt = blocks.join(differ, ["leader", "digest"]).repartition(parts, *keys).sortWithinPartitions(*keys)
